@@ -108,7 +108,7 @@ _SQL = {
     "run_log": "SELECT file, run, logged_at, line1 || ' ' || line2 AS comment FROM entries",
     # job log
     "job_log": """SELECT o_orderkey AS ord, 'S' || CAST(o_custkey % 100 AS VARCHAR) AS run, 'queued' AS status,
-      list_transform(range(o_orderkey % 4), n -> CAST(o_orderkey*3 + n AS VARCHAR)) AS job_ids FROM orders""",
+      [CAST(o_orderkey*3 + n AS VARCHAR) FOR n IN range(o_orderkey % 4)] AS job_ids FROM orders""",
     "accounting": """SELECT CAST(o_orderkey*3 + n AS VARCHAR) AS job_id,
       CASE (o_orderkey + n) % 5 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'COMPLETED' WHEN 2 THEN 'RUNNING' WHEN 3 THEN 'PENDING' ELSE 'FAILED' END AS state,
       CASE WHEN o_orderkey % 2 = 0 THEN 'Priority' ELSE 'Dependency' END AS reason, CAST(n AS VARCHAR) || ':0' AS exit_code,
