@@ -4,7 +4,7 @@ from importlib import import_module
 
 from gridspark.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["sources_select", "joins", "aggregates"]
+_MODULES = ["sources_select", "joins", "aggregates", "windows", "texts"]
 
 
 def load() -> None:

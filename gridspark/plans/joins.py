@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.interp import deepest_above, piecewise_linear
 from gridspark.operators import catalogue, generate, metrics, monitor, reduce, timewin
-from gridspark.plans.registry import query, rounded
+from gridspark.plans.registry import query
 from gridspark.plans.texts_sql import NAME_PARAMETERS_SQL, PROGRESS_SQL, STATUS_SQL
 
 
@@ -28,12 +28,12 @@ def wet_fraction(t):
 
 
 @query("j03_vertical_metric", uses="cells grid1d", sql="""
-SELECT run, rec, k, j, i, round((THETA - T0) / drF, 9) AS departure FROM cells JOIN grid1d USING (run, k)""")
+SELECT run, rec, k, j, i, (THETA - T0) / drF AS departure FROM cells JOIN grid1d USING (run, k)""")
 def vertical_metric(t):
     """Departure from the reference profile per thickness."""
     rows = metrics.with_vertical(t.cells, t.grid1d, "T0", "drF")
     departure = F.try_divide(F.col("THETA") - F.col("T0"), F.col("drF"))
-    return rows.select("run", "rec", "k", "j", "i", F.round(departure, 9).alias("departure"))
+    return rows.select("run", "rec", "k", "j", "i", departure.alias("departure"))
 
 
 @query("j04_staggered_product", uses="cells grid2d", sql="""
@@ -47,12 +47,12 @@ def staggered_product(t):
 
 
 @query("j05_slice_with_surface", uses="cells cells2d", sql="""
-SELECT c.run, c.rec, c.k, c.i, round(PHIHYD - ETAN * 9.8, 9) AS p FROM cells c JOIN cells2d s
+SELECT c.run, c.rec, c.k, c.i, PHIHYD - ETAN * 9.8 AS p FROM cells c JOIN cells2d s
 ON c.run = s.run AND c.rec = s.rec AND c.j = s.j AND c.i = s.i WHERE c.j = 4""")
 def slice_with_surface(t):
     """A 3-D slice with the matching record of the 2-D stream."""
     rows = metrics.with_surface(t.cells.where("j = 4"), t.cells2d.where("j = 4"), "ETAN")
-    return rows.select("run", "rec", "k", "i", F.round(F.col("PHIHYD") - F.col("ETAN") * 9.8, 9).alias("p"))
+    return rows.select("run", "rec", "k", "i", (F.col("PHIHYD") - F.col("ETAN") * 9.8).alias("p"))
 
 
 @query("j06_first_last_change", uses="cells", sql="""
@@ -84,7 +84,7 @@ def job_overview(t):
     """Job log with accounting states and the run's latest monitor values."""
     jobs = catalogue.job_records(t.job_lines).withColumn("run", F.concat(F.lit("run"), F.col("ord") % 9))
     rows = catalogue.job_overview(jobs, t.accounting, monitor.progress(monitor.metrics(t.log_lines)))
-    return rows.select("ord", "run", "job_states", "running", F.round("model_days", 9).alias("model_days"), "note")
+    return rows.select("ord", "run", "job_states", "running", F.col("model_days").alias("model_days"), "note")
 
 
 @query("j09_source_run", uses="cells", sql="""
@@ -103,8 +103,8 @@ def source_run(t):
 WITH b AS (SELECT run, CAST(k AS DOUBLE) * 90 AS x0, T0 + k * k / 4e0 AS y0 FROM grid1d),
 s AS (SELECT run, x0, y0, lead(x0) OVER w AS x1, lead(y0) OVER w AS y1 FROM b WINDOW w AS (PARTITION BY run ORDER BY x0)),
 q AS (SELECT run, j, i, XC - 600 AS x FROM grid2d)
-SELECT q.run, q.j, q.i, round(CASE WHEN x < 0 THEN -1e0 WHEN x > 540 THEN 99e0
-  ELSE y0 + COALESCE((y1 - y0) / (x1 - x0) * (x - x0), 0) END, 9) AS y
+SELECT q.run, q.j, q.i, CASE WHEN x < 0 THEN -1e0 WHEN x > 540 THEN 99e0
+  ELSE y0 + COALESCE((y1 - y0) / (x1 - x0) * (x - x0), 0) END AS y
 FROM q LEFT JOIN s ON q.run = s.run AND x >= x0 AND (x < x1 OR x1 IS NULL) AND x <= 540""")
 def linear_interpolation(t):
     """Interpolation through per-run breakpoints with given values outside."""
@@ -112,7 +112,7 @@ def linear_interpolation(t):
     breaks = t.grid1d.groupBy("run").agg(points.alias("breaks"))
     rows = t.grid2d.select("run", "j", "i", (F.col("XC") - 600).alias("x")).join(breaks, "run")
     y = piecewise_linear("x", "breaks", left=F.lit(-1.0), right=F.lit(99.0))
-    return rows.select("run", "j", "i", F.round(y, 9).alias("y"))
+    return rows.select("run", "j", "i", y.alias("y"))
 
 
 @query("j11_deepest_above", uses="grid2d grid1d", sql="""
@@ -126,18 +126,18 @@ def deepest_level(t):
 
 
 @query("j12_outer_product", uses="spec", sql="""
-SELECT run, CAST(n AS INT) AS n, CAST(k AS INT) AS k, CAST(j AS INT) AS j, n * 1240e0 AS time_s, round(28 - (k + 1) * 0.25, 9) AS t
+SELECT run, CAST(n AS INT) AS n, CAST(k AS INT) AS k, CAST(j AS INT) AS j, n * 1240e0 AS time_s, 28 - (k + 1) * 0.25 AS t
 FROM spec, range(36) a(n), range(20) b(k), range(2) c(j) WHERE j < ny""")
 def outer_product(t):
     """Samples by levels by rows, exploded in place."""
     level = generate.levels(t.spec).withColumn("T0", 28 - (F.col("k") + 1) * 0.25)
-    return generate.boundary_forcing(level).select("run", "n", "k", "j", "time_s", F.round("t", 9).alias("t"))
+    return generate.boundary_forcing(level).select("run", "n", "k", "j", "time_s", F.col("t").alias("t"))
 
 
 @query("j13_cyclic_forcing", uses="series", sql="""
 WITH f AS (SELECT DISTINCT run, n, CAST((n * n) % 17 AS DOUBLE) AS u FROM series, range(36) r(n)),
-q AS (SELECT run, event_id, t, CAST((t // 1240) % 36 AS INT) AS here, (t % 1240) / 1240e0 AS part FROM series)
-SELECT q.run, q.event_id, round(a.u * (1 - part) + b.u * part, 6) AS u FROM q
+q AS (SELECT run, event_id, t, CAST((t // 1240) % 36 AS INT) AS here, t / 1240e0 - floor(t / 1240e0) AS part FROM series)
+SELECT q.run, q.event_id, a.u * (1 - part) + b.u * part AS u FROM q
 JOIN f a ON a.run = q.run AND a.n = here JOIN f b ON b.run = q.run AND b.n = (here + 1) % 36""")
 def cyclic_forcing(t):
     """Forcing at any model time from a repeating sample cycle."""
@@ -145,4 +145,4 @@ def cyclic_forcing(t):
     forcing = runs.withColumn("u", ((F.col("n") * F.col("n")) % 17).cast("double"))
     times = t.series.select("run", "event_id", F.col("t").cast("double").alias("time_s"))
     out = timewin.cyclic_forcing(times, timewin.forcing_arrays(forcing))
-    return out.select("run", "event_id", F.round("u", 6).alias("u"))
+    return out.select("run", "event_id", F.col("u").alias("u"))

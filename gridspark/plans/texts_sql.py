@@ -20,7 +20,7 @@ FROM (SELECT ord, run, pos, u.job_id, state, CASE
   FROM (SELECT j.ord, j.run, n AS pos, job_ids[n + 1] AS job_id FROM job_log j LEFT JOIN range(3) r(n) ON n < len(job_ids)) u
   LEFT JOIN accounting USING (job_id)) GROUP BY ord, run"""
 
-PROGRESS_SQL = """SELECT run, round(d, 9) AS model_days, cfl_u, cfl_v, cfl_w,
+PROGRESS_SQL = """SELECT run, d AS model_days, cfl_u, cfl_v, cfl_w,
   CASE WHEN d IS NULL THEN 'no output yet' ELSE format('{:.2f} days', d) END AS note
 FROM (SELECT run, arg_max(value, ord) FILTER (metric = 'time_secondsf') / 24 / 3600 AS d,
   arg_max(value, ord) FILTER (metric = 'advcfl_uvel_max') AS cfl_u, CAST(arg_max(value, ord) FILTER (metric = 'advcfl_vvel_max') AS DOUBLE) AS cfl_v,
