@@ -30,6 +30,7 @@ COMMENT_TOKENS = {
     "N_0": r"N_0 ?= ?(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)",
 }
 
+RUN_IN_PATH = "results/([^/]+)/"
 STAMP_SPARK = "yyyy-MM-dd HH:mm:ss"
 STAMP_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\s*$"
 
@@ -39,7 +40,7 @@ def run_label(prefix: str, number, width: int = 3) -> Column:
     return F.format_string(f"{prefix}%0{width}d", _col(number))
 
 
-def _digits(text: Column, pattern: str) -> Column:
+def _captured(text: Column, pattern: str) -> Column:
     found = F.regexp_extract(text, pattern, 1)
     return F.when(found != "", found)
 
@@ -53,14 +54,14 @@ def name_parameters(run="run") -> list[Column]:
     name = _col(run)
     out = []
     for token, (pattern, divisor) in NAME_TOKENS.items():
-        digits = _digits(name, pattern)
+        digits = _captured(name, pattern)
         # Column names ignore case, so the lower-case flow token gets its own name.
         out.append(digits.alias("flow_raw" if token == "u" else f"{token}_raw"))
         if divisor is not None:
             label = {"u": "flow", "U": "U0", "f": "f0", "Amp": "height"}.get(token, token)
             out.append((digits.cast("double") / divisor).alias(label))
     has_slope = name.rlike("alpha[0-9]+")
-    n_raw = _digits(name, NAME_TOKENS["N"][0]).cast("double")
+    n_raw = _captured(name, NAME_TOKENS["N"][0]).cast("double")
     out.append(F.when(has_slope, n_raw / N_DIVISOR_SLOPE).otherwise(n_raw / N_DIVISOR_HILL).alias("N0"))
     return out
 
@@ -70,7 +71,7 @@ def comment_parameters(comment="comment") -> list[Column]:
     text = _col(comment)
     out = []
     for token, pattern in COMMENT_TOKENS.items():
-        number = F.regexp_replace(_digits(text, pattern), r"\.$", "")
+        number = F.regexp_replace(_captured(text, pattern), r"\.$", "")
         out.append(number.try_cast("double").alias(token))
     out.append(
         F.when(text.rlike("const\\w* strat|conststrat"), "const")
@@ -80,9 +81,9 @@ def comment_parameters(comment="comment") -> list[Column]:
     return out
 
 
-def run_of_path(path) -> Column:
-    """Run name inside a ``…/results/<run>/…`` path."""
-    return _digits(_col(path), "results/([^/]+)/")
+def run_of_path(path, pattern: str = RUN_IN_PATH) -> Column:
+    """Run name inside a path, by default ``…/results/<run>/…``."""
+    return _captured(_col(path), pattern)
 
 
 def parse_stamp(text) -> Column:

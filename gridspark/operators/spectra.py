@@ -18,7 +18,7 @@ def _row_spectrum(values: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndar
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(width) / width)
     power = np.abs(np.fft.rfft(pieces * window, n=n, axis=1)) ** 2 / (window ** 2).sum()
     power[:, 1 : (n + 1) // 2] *= 2
-    return np.fft.rfftfreq(n), power.mean(axis=0)
+    return np.arange(power.shape[1]) / n, power.mean(axis=0)
 
 
 def row_spectra(rows: DataFrame, value: str = "Depth", segment: int = SEGMENT) -> DataFrame:

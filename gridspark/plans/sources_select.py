@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridspark.functions.names import run_of_path
-from gridspark.operators import catalogue, monitor, reduce, select
+from gridspark.operators import catalogue, reduce, select
 from gridspark.plans.binary_fixture import write_level_files
 from gridspark.plans.registry import query, rounded
 from gridspark.sources import binary, tables as store, text
@@ -107,8 +106,7 @@ SELECT run, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(length(value)) AS BIGINT) AS
 WHERE regexp_matches(value, 'advcfl_wvel_max|time_seconds') GROUP BY run""")
 def log_scan(t):
     """Matching lines of text logs, the run taken from the path."""
-    lines = text.read_lines(t.spark, t.log_folder + "/*")
-    lines = lines.withColumn("run", F.regexp_extract("file", r"run=([^/]+)/", 1))
+    lines = text.read_lines(t.spark, t.log_folder + "/*", r"run=([^/]+)/")
     hits = lines.where(F.col("value").rlike("advcfl_wvel_max|time_seconds"))
     return hits.groupBy("run").agg(F.count("*").alias("n"), F.sum(F.length("value")).cast("bigint").alias("chars"))
 

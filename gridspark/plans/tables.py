@@ -272,11 +272,10 @@ class Tables:
 
     @cached_property
     def log_folder(self) -> str:
-        """The monitor log as one text file per run, in line order."""
+        """The monitor log as text below one folder per run, lines in order within a file."""
         def write(df, path):
-            for_run = df.repartition("run").sortWithinPartitions("run", "ord")
-            for_run.select("run", "value").withColumn("results", F.lit("r")).select(
-                F.concat("run").alias("run"), "value").write.partitionBy("run").text(path)
+            ordered = df.select("run", "ord", "value").repartitionByRange("run").sortWithinPartitions("run", "ord")
+            ordered.drop("ord").write.partitionBy("run").text(path)
 
         return self._once("log_text", lambda: self.log_lines, write)
 

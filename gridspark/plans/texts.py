@@ -145,7 +145,7 @@ def log_metrics(t):
 SELECT run, metric, arg_max(value, ord) AS value, CAST(COUNT(*) AS BIGINT) AS n FROM metrics GROUP BY run, metric""")
 def metrics_from_files(t):
     """The same from text files, ordered by file split and row."""
-    lines = text.read_lines(t.spark, t.log_folder + "/*").withColumn("run", F.regexp_extract("file", r"run=([^/]+)/", 1))
+    lines = text.read_lines(t.spark, t.log_folder + "/*", r"run=([^/]+)/")
     rows = monitor.metrics(lines)
     return rows.groupBy("run", "metric").agg(F.max_by("value", "ord").alias("value"), F.count("*").alias("n"))
 

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridspark.functions.names import run_of_path
+from gridspark.functions.names import RUN_IN_PATH, run_of_path
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str], run_in_path: str = RUN_IN_PATH) -> DataFrame:
     """Lines of text files with their file, run (from the path), split and order."""
     lines = spark.read.text(paths)
     start = F.col("_metadata.file_block_start")
@@ -21,7 +21,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), start.alias("chunk"),
         F.struct(start.alias("block"), F.monotonically_increasing_id().alias("seq")).alias("ord"),
         F.regexp_replace("value", r"\r$", "").alias("value"),
-    ).withColumn("run", run_of_path("file"))
+    ).withColumn("run", run_of_path("file", run_in_path))
 
 
 def append_job_records(jobs: DataFrame, path: str) -> None:

@@ -4,28 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridspark.functions.names import run_of_path
+from gridspark.functions.names import RUN_IN_PATH, run_of_path
 from gridspark.functions.scalars import last_number
-from gridspark.operators.monitor import METRIC_PATTERN
+from gridspark.operators.monitor import METRIC_PATTERN, latest, metrics
 from gridspark.operators.timewin import window_average
 from gridspark.sources.shared import fresh_path
 
 
-def log_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Lines of growing log folders as a stream, with run and order."""
+def log_stream(spark: SparkSession, path: str, files_per_batch: int | None = None,
+               run_in_path: str = RUN_IN_PATH) -> DataFrame:
+    """Lines of growing log folders as a stream, with their run and file split."""
     reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    start = F.col("_metadata.file_block_start")
     return reader.load(path).select(
-        run_of_path("_metadata.file_path").alias("run"), "value",
-        F.struct(F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_path").alias("f"),
-                 start.alias("block"), F.monotonically_increasing_id().alias("seq")).alias("ord"),
+        run_of_path("_metadata.file_path", run_in_path).alias("run"), "value",
+        F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"),
+                 F.col("_metadata.file_block_start").alias("block")).alias("split"),
     )
 
 
 def live_metrics(lines: DataFrame) -> DataFrame:
-    """Latest value per run and metric of a line stream (use update output)."""
+    """Latest value per run and metric of a line stream that carries an order (use update output)."""
     found = lines.withColumn("metric", F.regexp_extract("value", METRIC_PATTERN, 1)).where(F.col("metric") != "")
     return found.groupBy("run", "metric").agg(F.max_by(last_number("value"), "ord").alias("value"))
 
@@ -63,6 +63,27 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def watch_log_files(lines: DataFrame, label: str) -> DataFrame:
+    """Latest value per run and metric of every micro-batch of a ``log_stream``.
+
+    Line order inside a file split is only known to the batch that reads it, so each
+    batch reduces its own lines; ``latest_batch_per_key`` then picks the newest batch.
+    """
+    spark = lines.sparkSession
+    path, checkpoint = fresh_path(spark, label), fresh_path(spark, f"{label}-checkpoint")
+
+    def reduce_batch(batch: DataFrame, number: int) -> None:
+        order = F.struct("split", F.monotonically_increasing_id().alias("seq"))
+        latest(metrics(batch.withColumn("ord", order))).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = (
+        lines.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(reduce_batch).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema("run string, metric string, value double, batch bigint").parquet(path)
+
+
 def latest_batch_per_key(updates: DataFrame, keys: list[str]) -> DataFrame:
     """Current state from update-mode batches: each key's row of the highest batch."""
     values = [c for c in updates.columns if c not in (*keys, "batch")]
