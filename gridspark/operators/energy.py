@@ -15,8 +15,8 @@ from gridspark import constants as C
 from gridspark.functions.scalars import total
 from gridspark.operators.metrics import with_horizontal, with_vertical
 from gridspark.operators.reduce import run_area
-from gridspark.operators.select import edge_strip
-from gridspark.operators.stencil import face_to_centre, four_point_mean, interface_value, vertical_divergence
+from gridspark.operators.select import domain_of
+from gridspark.operators.stencil import face_to_centre, interface_value, pair_mean, pair_sums, vertical_divergence
 from gridspark.schema import LEVEL
 
 
@@ -126,53 +126,70 @@ _SIDES = {
 }
 
 
-def _interior(df: DataFrame, grid2d: DataFrame, along: str, margin: int) -> DataFrame:
-    """Rows at least ``margin`` positions from both ends of a side."""
-    if margin == 0:
-        return df
-    ends = grid2d.groupBy("run").agg(F.max(along).alias("_end"))
-    keep = F.col(along).between(margin, F.col("_end") - margin)
-    return df.join(ends, "run").where(keep).drop("_end")
+def _side_rows(cells: DataFrame, grid2d: DataFrame, sides: str) -> DataFrame:
+    """Cells of the two-wide strips, once per side they belong to.
 
-
-def _face_rows(strip: DataFrame, grid2d: DataFrame, side: str) -> DataFrame:
-    """Normal velocity on the side's own face with the face length."""
-    across, along, normal, _, _, length = _SIDES[side]
-    face = strip.where(F.col(across) == F.col("face")).select(*LEVEL, "j", "i", F.col(normal).alias("_vn"))
-    return with_horizontal(face, grid2d, length).select(*LEVEL, along, "_vn", F.col(length).alias("_len"))
-
-
-def linear_side_flux(cells: DataFrame, grid2d: DataFrame, side: str, margin: int = 1) -> DataFrame:
-    """Pressure averaged over the two cells at a side, times normal velocity and face length."""
-    across, along, *_ = _SIDES[side]
-    strip = edge_strip(cells, grid2d, side)
+    Adds ``side``, the position ``along`` it with the last position ``end``, the normal
+    velocity and face length where the cell holds the side's own face, and the
+    transverse velocity with its wet fraction.  All sides come from one scan.
+    """
+    rows = cells.join(domain_of(grid2d), "run")
+    sizes = {"i": F.col("ni"), "j": F.col("nj")}
+    members, entries = [], []
+    for side in sides:
+        across, along, normal, transverse, wet, length = _SIDES[side]
+        low = side in "WS"
+        member = F.col(across) < 2 if low else F.col(across) >= sizes[across] - 2
+        on_face = F.col(across) == (F.lit(0) if low else sizes[across] - 1)
+        members.append(member)
+        entries.append(F.when(member, F.struct(
+            F.lit(side).alias("side"), F.col(along).alias("along"), (sizes[along] - 1).alias("end"),
+            F.when(on_face, F.col(normal)).alias("vn"), F.when(on_face, F.col(length)).alias("length"),
+            F.col(transverse).alias("vt"), F.col(wet).alias("wet"),
+        )))
+    strips = with_horizontal(rows.where(reduce(lambda x, y: x | y, members)), grid2d, "dxG", "dyG")
+    exploded = strips.withColumn("_s", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+    return exploded.select(*strips.columns, "_s.*")
+
+
+def _through_faces(rows: DataFrame, density) -> DataFrame:
+    """Sum over a side of density times normal velocity times face length."""
+    flux = total(density * F.col("vn") * F.col("length"))
+    return rows.groupBy(*LEVEL, "side").agg(flux.alias("flux"))
+
+
+def _inside(margin: int):
+    return F.col("along").between(margin, F.col("end") - margin)
+
+
+def linear_side_flux(cells: DataFrame, grid2d: DataFrame, sides: str = "WESN", margin: int = 1) -> DataFrame:
+    """Pressure averaged over the two cells at a side, times normal velocity and face length.
+
+    ``margin`` positions at both ends of a side are left out.
+    """
+    rows = _side_rows(cells, grid2d, sides).where(_inside(margin))
     weighted = F.col("PHIHYD") * F.col("hFacC")
     mean = F.try_divide(total(weighted), F.sum("hFacC"))
-    if across == "i":  # west/east pairs need both cells; south/north sums skip a missing one
-        mean = F.when(F.count(weighted) == F.count("*"), mean)
-    pressure = strip.groupBy(*LEVEL, along).agg(mean.alias("_p"))
-    rows = _interior(pressure.join(_face_rows(strip, grid2d, side), [*LEVEL, along]), grid2d, along, margin)
-    flux = total(F.col("_p") * F.col("_vn") * F.col("_len"))
-    return rows.groupBy(*LEVEL).agg(flux.alias("flux")).withColumn("side", F.lit(side))
+    # West/east pairs need both cells; south/north sums skip a missing one.
+    both = F.col("side").isin("S", "N") | (F.count(weighted) == F.count("*"))
+    positions = rows.groupBy(*LEVEL, "side", "along").agg(
+        F.when(both, mean).alias("p"), F.max("vn").alias("vn"), F.max("length").alias("length"))
+    return _through_faces(positions, F.col("p"))
 
 
-def nonlinear_side_flux(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame, side: str,
+def nonlinear_side_flux(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame, sides: str = "WESN",
                         n0: float = 1e-3, margin: int = 1) -> DataFrame:
     """Energy density at a side (normal + transverse kinetic + potential) carried by the normal flow."""
-    across, along, _, transverse, wet, _ = _SIDES[side]
-    strip = with_vertical(edge_strip(cells, grid2d, side), grid1d, "T0")
-    keys = [*LEVEL, along]
-    cross = four_point_mean(strip, transverse, wet, along, LEVEL)
+    rows = with_vertical(_side_rows(cells, grid2d, sides), grid1d, "T0")
     departure = F.col("THETA") - F.col("T0")
     scale = 0.5 * C.GRAVITY * C.PE_COEFFICIENT * C.PE_COEFFICIENT / (n0 * n0)
-    stored = strip.groupBy(*keys).agg(
-        F.try_divide(total(departure * departure * F.col("hFacC")) * scale, F.sum("hFacC")).alias("_ape")
+    positions = rows.groupBy(*LEVEL, "side", "along").agg(
+        *pair_sums("vt", "wet"),
+        F.try_divide(total(departure * departure * F.col("hFacC")) * scale, F.sum("hFacC")).alias("ape"),
+        F.max("end").alias("end"), F.max("vn").alias("vn"), F.max("length").alias("length"),
     )
-    rows = _face_rows(strip, grid2d, side).join(cross, keys).join(stored, keys)
-    rows = _interior(rows, grid2d, along, margin)
-    density = 0.5 * F.col("_vn") * F.col("_vn") + F.col("pair_mean") + F.col("_ape")
-    flux = total(density * F.col("_vn") * F.col("_len"))
-    return rows.groupBy(*LEVEL).agg(flux.alias("flux")).withColumn("side", F.lit(side))
+    positions = positions.withColumn("transverse", pair_mean("along", [*LEVEL, "side"])).where(_inside(margin))
+    return _through_faces(positions, 0.5 * F.col("vn") * F.col("vn") + F.col("transverse") + F.col("ape"))
 
 
 def all_sides(one_side, sides: str = "WESN") -> DataFrame:

@@ -21,11 +21,14 @@ def neighbour(value, axis: str, offset: int, line: list[str]) -> Column:
     return F.first(_col(value)).over(w)
 
 
+def _whole_line(axis: str, line: list[str]):
+    """Frame over a whole line in the same order as the neighbour frame, so both share one sort."""
+    return Window.partitionBy(*line).orderBy(axis).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def previous_wrapped(value, axis: str, line: list[str]) -> Column:
     """Value at ``axis - 1``; the line's first index takes the value at its last index."""
-    whole = Window.partitionBy(*line)
-    # max_by skips NULL ordering keys only, so a missing last value stays missing.
-    wrapped = F.max_by(_col(value), F.col(axis)).over(whole)
+    wrapped = F.last(_col(value)).over(_whole_line(axis, line))
     return F.when(F.col(axis) == 0, wrapped).otherwise(neighbour(value, axis, -1, line))
 
 
@@ -48,7 +51,7 @@ def vertical_divergence(profile: DataFrame, value: str = "WP", thickness: str =
                         by: list[str] | None = None) -> DataFrame:
     """Adds ``dWPdz``: minus the difference to the next interface over thickness, 0 at both ends."""
     by = by or ["run", "rec"]
-    last = F.max("k").over(Window.partitionBy(*by))
+    last = F.last("k").over(_whole_line("k", by))
     below = neighbour(value, "k", 1, by)
     inside = -F.try_divide(below - F.col(value), F.col(thickness))
     return profile.withColumn("dWPdz", F.when(F.col("k").between(1, last - 1), inside).otherwise(F.lit(0.0)))
@@ -97,16 +100,24 @@ def carry_from_east(value, condition, axis: str, line: list[str]) -> Column:
     return F.last(F.when(condition, _col(value)), ignorenulls=True).over(w)
 
 
+def pair_sums(value: str, weight: str) -> list[Column]:
+    """Aggregates of a strip at one position: weighted half squares and weights."""
+    squares = 0.5 * F.col(value) * F.col(value) * F.col(weight)
+    return [total(squares).alias("_num"), F.sum(weight).alias("_den")]
+
+
+def pair_mean(axis: str, line: list[str]) -> Column:
+    """Weighted mean over positions ``n`` and ``n + 1`` of sums made by ``pair_sums``."""
+    num = F.col("_num") + neighbour("_num", axis, 1, line)
+    den = F.col("_den") + neighbour("_den", axis, 1, line)
+    return F.try_divide(num, den)
+
+
 def four_point_mean(strip: DataFrame, value: str, weight: str, axis: str, by: list[str]) -> DataFrame:
     """Weighted mean of half squares over two strip lines and two faces ``n, n + 1`` along ``axis``.
 
     The strip is first summed across its width; only those per-position sums are
     paired with their neighbour.
     """
-    sums = strip.groupBy(*by, axis).agg(
-        total(0.5 * F.col(value) * F.col(value) * F.col(weight)).alias("_num"),
-        F.sum(weight).alias("_den"),
-    )
-    num = F.col("_num") + neighbour("_num", axis, 1, by)
-    den = F.col("_den") + neighbour("_den", axis, 1, by)
-    return sums.select(*by, axis, F.try_divide(num, den).alias("pair_mean"))
+    sums = strip.groupBy(*by, axis).agg(*pair_sums(value, weight))
+    return sums.select(*by, axis, pair_mean(axis, by).alias("pair_mean"))

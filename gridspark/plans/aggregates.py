@@ -148,13 +148,13 @@ _ENDS = "n AS (SELECT run, max(j) AS mj, max(i) AS mi FROM grid2d GROUP BY run)"
 @query("a13_linear_flux_west_east", uses="cells grid2d", sql=f"WITH {_ENDS} {_linear_sql('W')} UNION ALL {_linear_sql('E')}")
 def linear_flux_west_east(t):
     """Pressure flux through the western and eastern side."""
-    return rounded(energy.all_sides(lambda s: energy.linear_side_flux(t.cells, t.grid2d, s), "WE"))
+    return rounded(energy.linear_side_flux(t.cells, t.grid2d, "WE"))
 
 
 @query("a14_linear_flux_south_north", uses="cells grid2d", sql=f"WITH {_ENDS} {_linear_sql('S')} UNION ALL {_linear_sql('N')}")
 def linear_flux_south_north(t):
     """Pressure flux through the southern and northern side."""
-    return rounded(energy.all_sides(lambda s: energy.linear_side_flux(t.cells, t.grid2d, s), "SN"))
+    return rounded(energy.linear_side_flux(t.cells, t.grid2d, "SN"))
 
 
 def _nonlinear_sql(side: str) -> str:
@@ -174,7 +174,7 @@ def _nonlinear_sql(side: str) -> str:
        sql=f"WITH {_ENDS} " + " UNION ALL ".join(_nonlinear_sql(s) for s in "SNEW"))
 def nonlinear_flux(t):
     """Energy carried through all four sides by the normal flow."""
-    return rounded(energy.all_sides(lambda s: energy.nonlinear_side_flux(t.cells, t.grid2d, t.grid1d, s), "SNEW"))
+    return rounded(energy.nonlinear_side_flux(t.cells, t.grid2d, t.grid1d, "SNEW"))
 
 
 _AREA = "(SELECT run, SUM(rA) AS area FROM grid2d GROUP BY run)"

@@ -210,8 +210,13 @@ class Tables:
 
         return self._kept("grid2d", build)
 
-    def _dense(self) -> DataFrame:
-        sums = self.given("lineitem").groupBy(
+    def _dense(self, levels: list[int] | None = None) -> DataFrame:
+        """Line-item sums at every grid position and record, 0 where there are none."""
+        lines, places = self.given("lineitem"), self.grid3d
+        if levels is not None:
+            lines = lines.where((F.col("l_linenumber") - 1).isin(levels))
+            places = places.where(F.col("k").isin(levels))
+        sums = lines.groupBy(
             F.col("l_returnflag").alias("run"), (F.year("l_shipdate") - 1995).cast("int").alias("rec"),
             (F.col("l_linenumber") - 1).cast("int").alias("k"), (F.col("l_suppkey") % NJ).cast("int").alias("j"),
             F.floor(F.col("l_partkey") / PARTS_PER_I).cast("int").alias("i"),
@@ -220,7 +225,7 @@ class Tables:
             F.sum(F.col("l_quantity").cast("bigint")).alias("sq"), F.sum(F.floor("l_extendedprice")).alias("se"),
             F.sum("l_partkey").alias("sp"),
         )
-        places = self.grid3d.withColumn("rec", F.explode(F.sequence(F.lit(0), F.lit(NREC - 1))))
+        places = places.withColumn("rec", F.explode(F.sequence(F.lit(0), F.lit(NREC - 1))))
         filled = places.join(sums, ["run", "rec", "k", "j", "i"], "left").na.fill(0, ["sd", "st", "sq", "se", "sp"])
         return filled.withColumn("wet", F.when(F.col("hFacC") > 0, 1).otherwise(0))
 
@@ -240,7 +245,7 @@ class Tables:
             def level(k, name):
                 return F.max(F.when(F.col("k") == k, (F.col("sp") % 101 - 50) / F.lit(1024.0))).alias(name)
 
-            rows = self._dense().groupBy("run", "rec", "j", "i").agg(level(0, "ETAN"), level(NK - 1, "PHIBOT"))
+            rows = self._dense([0, NK - 1]).groupBy("run", "rec", "j", "i").agg(level(0, "ETAN"), level(NK - 1, "PHIBOT"))
             return rows.selectExpr("run", "rec", "CAST(rec AS BIGINT) * 3600 AS iter", "rec * 22320e0 AS time_s", "j", "i", "ETAN", "PHIBOT")
 
         return self._kept("cells2d", build)
