@@ -12,6 +12,8 @@ import time
 
 from pyspark.sql import SparkSession
 
+from gridspark.session import configured
+
 HEADLINE = [
     "a01_work_profile", "a02_mean_flow_profile", "a05_demean", "a06_pressure_work", "a07_body_force",
     "a08_kinetic_energy", "a09_potential_energy", "a12_budget_residual", "a13_linear_flux_west_east",
@@ -26,9 +28,8 @@ HEADLINE = [
 
 def session(cpus: int) -> SparkSession:
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]").appName("gridspark-bench")
+        configured(SparkSession.builder).master(f"local[{cpus}]").appName("gridspark-bench")
         .config("spark.sql.shuffle.partitions", str(cpus))
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

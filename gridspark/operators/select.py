@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from gridspark.functions.scalars import _col
-from gridspark.sources.shared import settle
+from gridspark.sources.shared import settle, sized
 
 
 # --- run-level dimension tables -------------------------------------------
@@ -35,10 +35,11 @@ def index_records(records: DataFrame) -> DataFrame:
 
 
 def domain_of(grid2d: DataFrame) -> DataFrame:
-    """Horizontal size ``nj, ni`` of each run (dense 0-based indices)."""
-    return grid2d.groupBy("run").agg(
+    """Horizontal size ``nj, ni`` of each run (dense 0-based indices), small enough to join to cells."""
+    sizes = grid2d.groupBy("run").agg(
         (F.max("j") + 1).cast("int").alias("nj"), (F.max("i") + 1).cast("int").alias("ni")
     )
+    return sized(sizes, "domains")
 
 
 # --- columns ---------------------------------------------------------------

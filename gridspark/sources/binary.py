@@ -8,6 +8,7 @@ and no task holds more than one band.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from gridspark.schema import cells_schema
 from gridspark.sources.shared import settle
 
 CELLS_PER_ITEM = 1_000_000
+ITEMS_PER_READER = 16
 _NUMPY_TYPES = {"float64": "f8", "float32": "f4", "real*8": "f8", "real*4": "f4"}
 # numpy byte-order mark per accepted name of an order
 _ORDERS = {"<": "<", ">": ">", "=": "=", "little": "<", "big": ">", "native": "="}
@@ -65,7 +67,7 @@ def work_items(header_rows: DataFrame, cells_per_item: int = CELLS_PER_ITEM) ->
 
 def _read_items(fields: list[str], order: str):
     schema = pa.schema(
-        [("run", pa.string()), ("stream", pa.string()), ("iter", pa.int64()),
+        [("run", pa.string()), ("stream", pa.string()), ("rec", pa.int32()), ("iter", pa.int64()),
          ("k", pa.int32()), ("j", pa.int32()), ("i", pa.int32())] + [(f, pa.float64()) for f in fields]
     )
 
@@ -87,7 +89,8 @@ def _read_items(fields: list[str], order: str):
         i = np.tile(np.arange(item["i0"] - 1, item["i1"], dtype="i4"), rows)
         columns = [
             pa.array([item["run"]] * size, pa.string()), pa.array([item["stream"]] * size, pa.string()),
-            pa.array(np.full(size, item["iter"], "i8")), pa.array(np.full(size, item["k"] - 1, "i4")),
+            pa.array(np.full(size, item["rec"], "i4")), pa.array(np.full(size, item["iter"], "i8")),
+            pa.array(np.full(size, item["k"] - 1, "i4")),
             pa.array(j), pa.array(i),
         ]
         for name in fields:
@@ -122,10 +125,11 @@ def read_stream(spark: SparkSession, paths: str | list[str], fields: list[str],
         seen = seen.where(F.col("iter").isin(iterations))
     records = settle(seen.select("run", "stream", "iter", "rec"), "iterations")
     items = work_items(found.join(records, ["run", "stream", "iter"]), cells_per_item).select(
-        "meta", "run", "stream", "iter", "prec", "fields", "i0", "i1", "j0", "j1", "k0", "k1", "k", "band", "band_end"
+        "meta", "run", "stream", "rec", "iter", "prec", "fields", "i0", "i1", "j0", "j1", "k0", "k1", "k", "band", "band_end"
     )
-    readers = readers or spark.sparkContext.defaultParallelism
-    wide = "run string, stream string, iter bigint, k int, j int, i int, " + ", ".join(f"{f} double" for f in fields)
+    # Item rows are tiny, so the reader count follows their number, not their bytes.
+    readers = readers or max(spark.sparkContext.defaultParallelism, math.ceil(items.count() / ITEMS_PER_READER))
+    wide = "run string, stream string, rec int, iter bigint, k int, j int, i int, " + ", ".join(f"{f} double" for f in fields)
     rows = items.repartition(readers).mapInArrow(_read_items(fields, _ORDERS[endian]), wide)
-    rows = rows.join(records, ["run", "stream", "iter"]).withColumn("time_s", F.col("iter") * float(seconds_per_step))
+    rows = rows.withColumn("time_s", F.col("iter") * float(seconds_per_step))
     return rows.select(*[f.name for f in cells_schema(fields)])

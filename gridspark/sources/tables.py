@@ -21,6 +21,18 @@ def write_cells(cells: DataFrame, path: str, rows_per_file: int = 4_000_000, par
     ordered.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).partitionBy(*keys).parquet(path)
 
 
+def save_by_column(df: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Save cells or 2-D metrics bucketed by water column ``(run, j, i)``.
+
+    Vertical neighbours, column means, layer binning, per-cell time means and joins with
+    equally bucketed 2-D metrics then run without shuffling the cells.  A dominant run
+    is still spread over all buckets, since a bucket key is a single column of it.
+    """
+    order = [c for c in ("run", "j", "i", "rec", "k") if c in df.columns]
+    writer = df.write.mode("errorifexists").format("parquet").bucketBy(buckets, "run", "j", "i").sortBy(*order)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def read_cells(spark: SparkSession, path: str, schema=None) -> DataFrame:
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.parquet(path)

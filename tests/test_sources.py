@@ -1,6 +1,7 @@
 """Binary ingest, table layout, ordered text and streams."""
 
 import os
+import re
 
 import numpy as np
 import pytest
@@ -226,3 +227,59 @@ def test_interpolation_matches_numpy(spark):
     edges = [-2.0, 0.5, 1.0, 3.0, 4.0]
     bins = [r["b"] for r in df.select(edge_bin("x", edges).alias("b")).collect()]
     assert bins == list(np.clip(np.digitize(xs, edges) - 1, 0, 3))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_column_buckets_need_no_shuffle(spark, tmp_path):
+    """Stored by water column, vertical and per-cell operators and the metric join do not move cells."""
+    from gridspark.operators import layers, metrics, reduce, stencil, timewin
+    from tests.grids import grid1d, grid2d
+
+    one = np.ones((3, 4, 5))
+    cells = frame(spark, {n: one for n in ("UVEL", "THETA", "PHIHYD", "hFacC", "hFacW", "hFacS")})
+    tables.save_by_column(cells, "cells_by_column", 4, f"{tmp_path}/c")
+    tables.save_by_column(grid2d(spark, 4, 5), "grid_by_column", 4, f"{tmp_path}/g")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        cells, grid = spark.table("cells_by_column"), spark.table("grid_by_column")
+        level = settle(grid1d(spark, 3, t0=[1.0, 2.0, 3.0]), "levels")
+        assert "Exchange" not in plan_of(cells.select("k", stencil.interface_value().alias("p")))
+        assert "Exchange" not in plan_of(reduce.split_vertical_mean(cells))
+        moved = re.compile(r"hashpartitioning\([^)]*\bj#")  # a shuffle on cell keys
+        assert not moved.search(plan_of(layers.layer_transport(cells, level, 4)))
+        assert not moved.search(plan_of(timewin.tidal_average(cells, ["UVEL"])))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = metrics.with_horizontal(cells, grid, "rA")
+        assert "SortMergeJoin" in plan_of(joined) and "Exchange" not in plan_of(joined)
+        assert joined.count() == 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("cells_by_column", "grid_by_column"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_small_sides_are_settled_beyond_the_threshold(spark):
+    """With a tiny threshold a per-run table is written and re-read, and the result is the same."""
+    from gridspark.operators.select import middle_row
+    from gridspark.sources.shared import sized
+    from tests.grids import grid2d
+
+    cells, grid = frame(spark, {"UVEL": np.ones((2, 5, 3))}), settle(grid2d(spark, 5, 3), "grid")
+    per_run = grid.groupBy("run").agg(F.max("j").alias("nj"))
+    assert sized(per_run, "x") is per_run
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10b")
+    try:
+        assert "FileScan" in plan_of(sized(per_run, "x"))
+        assert {r["j"] for r in middle_row(cells, grid).collect()} == {2}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_tail_is_limited_before_the_shuffle(spark):
+    lines = spark.range(1000).selectExpr("concat('r', id % 2) AS run", "id AS ord", "'time_seconds 1' AS value")
+    plan = plan_of(monitor.matching_tail(lines, "time_seconds", 9))
+    assert "WindowGroupLimit" in plan and plan.count("WindowGroupLimit") >= 2
