@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from gridspark import constants as C
 from gridspark.functions.scalars import total
 from gridspark.operators.metrics import with_horizontal, with_vertical
-from gridspark.operators.reduce import run_area
+from gridspark.operators.reduce import demean, run_area
 from gridspark.operators.select import domain_of
 from gridspark.operators.stencil import face_to_centre, interface_value, pair_mean, pair_sums, vertical_divergence
 from gridspark.schema import LEVEL
@@ -91,13 +91,17 @@ def energy_tendency(energies: DataFrame, first: int = 0, last: int = 2,
 
 def energy_budget(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame, f0: float = 1e-4, u0: float = 0.1,
                   n0: float = 1e-3, records: tuple[int, int, int] = (0, 1, 2),
-                  seconds: float = C.TENDENCY_SECONDS, periodic: bool = True) -> DataFrame:
+                  seconds: float = C.TENDENCY_SECONDS, periodic: bool = True,
+                  demean_between: tuple[float, float] | None = None) -> DataFrame:
     """Budget profile per run: ``Bf, dWPdz, dEdt`` and what they leave over (``resid``).
 
     Tendency is taken between the first and last of the three records, the other
-    terms at the middle one.
+    terms at the middle one.  ``demean_between`` gives two depths; the mean flow between
+    them (U's relative to ``u0``) is removed from each record first.
     """
     first, mid, last = records
+    if demean_between is not None:
+        cells = demean(cells.where(F.col("rec").isin(first, mid, last)), grid1d, *demean_between, background=u0)
     at_mid = cells.where(F.col("rec") == mid)
     energies = energy_profiles(cells.where(F.col("rec").isin(first, last)), grid2d, grid1d, n0)
     terms = [

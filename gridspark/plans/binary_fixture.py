@@ -7,22 +7,25 @@ import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame
 
+from gridspark.sources.tables import with_tiles
+
 FIELDS = ["UVEL", "THETA"]
+TILE_COLUMNS = 1024
 
 
 def write_level_files(cells: DataFrame, path: str) -> None:
-    """One header/array pair per (run, iteration, level); a group is one horizontal level."""
+    """One header/array pair per (run, iteration, level, tile of columns), so groups stay bounded."""
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["j", "i"])
         first = pdf.iloc[0]
-        nj, ni, k = int(pdf["j"].max()) + 1, int(pdf["i"].max()) + 1, int(first["k"])
+        nj, i0, i1, k = int(pdf["j"].max()) + 1, int(pdf["i"].min()) + 1, int(pdf["i"].max()) + 1, int(first["k"])
         filesystem, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
         folder = f"{root}/results/{first['run']}/input"
         filesystem.create_dir(folder, recursive=True)
-        name = f"{folder}/fields.{int(first['iter']):010d}.{k + 1:03d}"
+        name = f"{folder}/fields.{int(first['iter']):010d}.{k + 1:03d}.{int(first['tile_i']) + 1:03d}"
         header = (
-            f" nDims = [ 3 ];\n dimList = [ {ni}, 1, {ni}, {nj}, 1, {nj}, 7, {k + 1}, {k + 1} ];\n"
+            f" nDims = [ 3 ];\n dimList = [ {i1}, {i0}, {i1}, {nj}, 1, {nj}, 7, {k + 1}, {k + 1} ];\n"
             f" dataprec = [ 'float64' ];\n nrecords = [ {len(FIELDS)} ];\n nFlds = [ {len(FIELDS)} ];\n"
             " fldList = {\n" + " ".join(f"'{f:8s}'" for f in FIELDS) + "\n };\n"
         )
@@ -33,5 +36,5 @@ def write_level_files(cells: DataFrame, path: str) -> None:
             out.write(header.encode())
         return pd.DataFrame({"cells": [len(pdf)]})
 
-    rows = cells.select("run", "iter", "k", "j", "i", *FIELDS)
-    rows.groupBy("run", "iter", "k").applyInPandas(write, "cells bigint").write.format("noop").mode("overwrite").save()
+    rows = with_tiles(cells.select("run", "iter", "k", "j", "i", *FIELDS), i=TILE_COLUMNS)
+    rows.groupBy("run", "iter", "k", "tile_i").applyInPandas(write, "cells bigint").write.format("noop").mode("overwrite").save()

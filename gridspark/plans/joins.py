@@ -126,7 +126,7 @@ def deepest_level(t):
 
 
 @query("j12_outer_product", uses="spec", sql="""
-SELECT run, CAST(n AS INT) AS n, CAST(k AS INT) AS k, CAST(j AS INT) AS j, n * 1240e0 AS time_s, 28 - (k + 1) * 0.25 AS t
+SELECT run, CAST(n AS INT) AS n, CAST(k AS INT) AS k, CAST(j AS INT) AS j, n * 1240e0 AS time_s, 28 - (k + 1) * 0.25e0 AS t
 FROM spec, range(36) a(n), range(20) b(k), range(2) c(j) WHERE j < ny""")
 def outer_product(t):
     """Samples by levels by rows, exploded in place."""

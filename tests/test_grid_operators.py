@@ -108,6 +108,16 @@ def test_budget_closes_on_known_fields(spark):
     close(profile(out, "Bf"), [0.5 * 24 * 10 * 1e-4 * 0.1] * 5)
 
 
+def test_budget_with_mean_flow_removed(spark):
+    """A uniform cross flow has no body force once its mean is removed."""
+    one = np.ones(SHAPE)
+    f = {"UVEL": 0.3 * one, "VVEL": 0.5 * one, "WVEL": 0 * one, "THETA": 20 * one, "PHIHYD": 0 * one,
+         "hFacC": one, "hFacW": one, "hFacS": one}
+    cells = frame(spark, f, rec=0).unionByName(frame(spark, f, rec=1)).unionByName(frame(spark, f, rec=2))
+    out = energy.energy_budget(cells, grid2d(spark, 4, 6), grid1d(spark, 5), demean_between=(-2000.0, -10.0))
+    close(profile(out, "Bf"), [0] * 5)
+
+
 def test_side_fluxes(spark):
     f = random_fields((3, 6, 7), dry=0.2)
     nk, nj, ni = 3, 6, 7

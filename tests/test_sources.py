@@ -47,6 +47,18 @@ def test_binary_round_trip(spark, tmp_path, dtype, prec, endian):
         assert part["UVEL"].isna().sum() == 1 and (part["time_s"] == it * 6.2).all()
 
 
+def test_binary_tiles_are_placed_by_their_bounds(spark, tmp_path):
+    folder = f"{tmp_path}/results/One/input"
+    whole = np.arange(2 * 3 * 8.0).reshape(2, 3, 8)
+    for tile, (i0, i1) in enumerate([(0, 5), (5, 8)]):
+        name = f"spinup.0000000010.{tile + 1:03d}.001"
+        write_pair(folder, name, [whole[:, :, i0:i1]], fields=("UVEL",))
+        header = open(f"{folder}/{name}.meta").read()
+        open(f"{folder}/{name}.meta", "w").write(header.replace(f"{i1 - i0}, 1, {i1 - i0},", f"8, {i0 + 1}, {i1},"))
+    out = binary.read_stream(spark, f"{folder}/spinup.*.meta", ["UVEL"], cells_per_item=6).orderBy("k", "j", "i").collect()
+    assert [r["UVEL"] for r in out] == list(whole.reshape(-1)) and {r["stream"] for r in out} == {"spinup"}
+
+
 def test_binary_last_iteration_opens_only_that_file(spark, tmp_path):
     folder = f"{tmp_path}/results/One/input"
     for it in (10, 20):
