@@ -49,7 +49,7 @@ def test_binary_round_trip(spark, tmp_path, dtype, prec, endian):
 
 def test_binary_tiles_are_placed_by_their_bounds(spark, tmp_path):
     folder = f"{tmp_path}/results/One/input"
-    whole = np.arange(2 * 3 * 8.0).reshape(2, 3, 8)
+    whole = np.arange(2 * 2 * 8.0).reshape(2, 2, 8)
     for tile, (i0, i1) in enumerate([(0, 5), (5, 8)]):
         name = f"spinup.0000000010.{tile + 1:03d}.001"
         write_pair(folder, name, [whole[:, :, i0:i1]], fields=("UVEL",))
