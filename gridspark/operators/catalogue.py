@@ -67,7 +67,8 @@ def job_records(lines: DataFrame) -> DataFrame:
 
 
 def job_status(jobs: DataFrame, accounting: DataFrame, line: str = "ord") -> DataFrame:
-    """One status text and one id text per job-log line, ids in written order.
+    """One status text and one id text per job-log line, ids in written order, with the
+    elapsed time of the line's last running job.
 
     Grouping is by log line, so a group holds only the ids written on that line.
     """
@@ -76,9 +77,11 @@ def job_status(jobs: DataFrame, accounting: DataFrame, line: str = "ord") -> Dat
     pending = F.when(F.col("state") == "PENDING", F.col("pos"))
     jobs_in_order = F.array_sort(F.collect_list(F.when(F.col("job_id").isNotNull(), F.struct(
         "pos", "job_id", "state", "reason", "exit_code"))))
+    running = F.col("state") == "RUNNING"
     grouped = known.groupBy(line, "run").agg(
         jobs_in_order.alias("jobs"), F.min(pending).alias("first"),
-        F.coalesce(F.max(F.col("state") == "RUNNING"), F.lit(False)).alias("running"),
+        F.coalesce(F.max(running), F.lit(False)).alias("running"),
+        F.max_by("elapsed", F.when(running, F.col("pos"))).alias("elapsed"),
     )
 
     def label(job):
@@ -86,7 +89,7 @@ def job_status(jobs: DataFrame, accounting: DataFrame, line: str = "ord") -> Dat
 
     return grouped.select(
         line, "run", F.array_join(F.transform("jobs", label), "  ").alias("job_states"),
-        F.array_join(F.transform("jobs", lambda job: job["job_id"]), " ").alias("job_ids"), "running",
+        F.array_join(F.transform("jobs", lambda job: job["job_id"]), " ").alias("job_ids"), "running", "elapsed",
     )
 
 

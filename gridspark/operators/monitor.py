@@ -48,13 +48,13 @@ def blocks(metric_rows: DataFrame, names: list[str], chunk: str = "chunk") -> Da
 
 
 def progress(metric_rows: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """Latest model time in days and CFL numbers per run; runs without output say so."""
+    """Latest model time (seconds, days) and CFL numbers per run; runs without output say so."""
     def last_of(metric):
         hit = F.col("metric") == metric
         return F.max_by(F.when(hit, F.col("value")), F.when(hit, F.col("ord")))
 
     out = metric_rows.groupBy("run").agg(
-        days(last_of(TIME_METRIC)).alias("model_days"),
+        last_of(TIME_METRIC).alias("model_seconds"), days(last_of(TIME_METRIC)).alias("model_days"),
         *[last_of(m).alias(c) for c, m in CFL_METRICS.items()],
     )
     if runs is not None:

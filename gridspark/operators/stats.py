@@ -66,6 +66,14 @@ def surface_statistics(cells2d: DataFrame, grid2d: DataFrame, fields: tuple[str,
     return _unpivot(rows.groupBy(*RECORD).agg(*sums), list(fields), RECORD)
 
 
+def top_level_statistics(cells: DataFrame, grid2d: DataFrame, fields: tuple[str, ...] = ("THETA",)) -> DataFrame:
+    """The same for the top level of 3-D fields (surface temperature), area-weighted where it is wet."""
+    rows = with_horizontal(cells.where(F.col("k") == 0), grid2d, "rA")
+    weight = F.when(F.col("hFacC") > 0, F.col("rA")).otherwise(0.0)
+    sums = [s for f in fields for s in _summaries(f, F.col(f), weight)]
+    return _unpivot(rows.groupBy(*RECORD).agg(*sums), list(fields), RECORD)
+
+
 def advective_cfl(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame, dt: float) -> DataFrame:
     """Largest advective CFL numbers per record, and W's with partial-cell thickness."""
     rows = with_vertical(with_horizontal(cells, grid2d, "dxG", "dyG"), grid1d, "drF")
@@ -79,12 +87,13 @@ def advective_cfl(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame, dt: fl
 
 
 def kinetic_energy_statistics(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame) -> DataFrame:
-    """Largest and volume-mean kinetic energy of co-located velocities per record."""
+    """Largest and volume-mean kinetic energy of co-located velocities per record, and the wet volume."""
     rows = with_vertical(with_horizontal(cells, grid2d, "rA"), grid1d, "drF")
     ke = 0.5 * (F.col("UVEL") * F.col("UVEL") + F.col("VVEL") * F.col("VVEL"))
     volume = F.col("hFacC") * F.col("rA") * F.col("drF")
     return rows.groupBy(*RECORD).agg(
-        F.max(F.when(volume > 0, ke)).alias("ke_max"), weighted_mean(ke, volume).alias("ke_mean")
+        F.max(F.when(volume > 0, ke)).alias("ke_max"), weighted_mean(ke, volume).alias("ke_mean"),
+        F.sum(volume).alias("volume"),
     )
 
 

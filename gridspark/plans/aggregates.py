@@ -259,6 +259,15 @@ def surface_statistics(t):
     return stats.surface_statistics(t.cells2d, t.grid2d)
 
 
+@query("a22_top_level_statistics", uses="cells grid2d", sql="""
+SELECT run, rec, 'THETA' AS field, min(THETA) AS "min", max(THETA) AS "max", SUM(rA*THETA)/SUM(rA) AS mean,
+  sqrt(greatest(SUM(rA*THETA*THETA)/SUM(rA) - (SUM(rA*THETA)/SUM(rA))*(SUM(rA*THETA)/SUM(rA)), 0)) AS sd
+FROM cells JOIN grid2d USING (run, j, i) WHERE k = 0 AND hFacC > 0 GROUP BY run, rec""")
+def top_level_statistics(t):
+    """Area-weighted statistics of the surface temperature."""
+    return stats.top_level_statistics(t.cells, t.grid2d)
+
+
 _BINS = "(SELECT run, min(T0) AS lo, max(T0) AS hi FROM grid1d GROUP BY run)"
 
 
@@ -308,7 +317,7 @@ def advective_cfl(t):
 
 
 @query("a25_kinetic_energy_statistics", uses="cells grid2d grid1d", sql="""
-SELECT run, rec, max(CASE WHEN w > 0 THEN ke END) AS ke_max, SUM(w*ke) / SUM(CASE WHEN ke IS NOT NULL THEN w END) AS ke_mean FROM (
+SELECT run, rec, max(CASE WHEN w > 0 THEN ke END) AS ke_max, SUM(w*ke) / SUM(CASE WHEN ke IS NOT NULL THEN w END) AS ke_mean, SUM(w) AS volume FROM (
   SELECT run, rec, 0.5*(UVEL*UVEL + VVEL*VVEL) AS ke, hFacC*rA*drF AS w FROM cells JOIN grid2d USING (run, j, i) JOIN grid1d USING (run, k))
 GROUP BY run, rec""")
 def kinetic_energy_statistics(t):

@@ -78,13 +78,14 @@ def sweep(t):
 
 @query("j08_job_overview", uses="job_log accounting metrics", sql=f"""
 WITH status AS ({STATUS_SQL}), progress AS ({PROGRESS_SQL})
-SELECT ord, run, job_states, running, model_days, note FROM (SELECT ord, 'run' || CAST(ord % 9 AS VARCHAR) AS run, job_states, running FROM status)
+SELECT ord, run, job_states, running, elapsed, model_days, note
+FROM (SELECT ord, 'run' || CAST(ord % 9 AS VARCHAR) AS run, job_states, running, elapsed FROM status)
 LEFT JOIN progress USING (run)""")
 def job_overview(t):
     """Job log with accounting states and the run's latest monitor values."""
     jobs = catalogue.job_records(t.job_lines).withColumn("run", F.concat(F.lit("run"), F.col("ord") % 9))
     rows = catalogue.job_overview(jobs, t.accounting, monitor.progress(monitor.metrics(t.log_lines)))
-    return rows.select("ord", "run", "job_states", "running", F.col("model_days").alias("model_days"), "note")
+    return rows.select("ord", "run", "job_states", "running", "elapsed", F.col("model_days").alias("model_days"), "note")
 
 
 @query("j09_source_run", uses="cells", sql="""

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridspark.schema import cells_schema
@@ -171,12 +172,22 @@ class Tables:
     def _once(self, name: str, build, write=None) -> str:
         """Path of a derived table, written at first use."""
         key = (shared_dir(self.spark), self.sf_dir, name)
+        if key in _written and not self._present(_written[key]):
+            del _written[key]
         if key not in _written:
             path = fresh_path(self.spark, name)
             (write or (lambda df, p: df.write.parquet(p)))(build(), path)
             _written[key] = path
         return _written[key]
 
+    def _present(self, path: str) -> bool:
+        """Whether a written table is still there; the shared folder may have been emptied."""
+        try:
+            self.spark.read.schema("x int").parquet(path)
+        except AnalysisException:
+            return False
+        return True
+
     def _kept(self, name: str, build) -> DataFrame:
         return self.spark.read.parquet(self._once(name, build))
 

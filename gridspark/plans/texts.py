@@ -168,7 +168,7 @@ def block_table(t):
     return monitor.blocks(monitor.metrics(t.log_lines), ["time_secondsf", "advcfl_uvel_max"])
 
 
-@query("l03_progress", uses="metrics", sql=f"{PROGRESS_SQL} UNION ALL SELECT 'none', NULL, NULL, NULL, NULL, 'no output yet'")
+@query("l03_progress", uses="metrics", sql=f"{PROGRESS_SQL} UNION ALL SELECT 'none', NULL, NULL, NULL, NULL, NULL, 'no output yet'")
 def progress(t):
     """Model days and CFL numbers per run; a run without output says so."""
     runs = t.log_lines.select("run").distinct()

@@ -27,6 +27,11 @@ _NUMPY_TYPES = {"float64": "f8", "float32": "f4", "real*8": "f8", "real*4": "f4"
 _ORDERS = {"<": "<", ">": ">", "=": "=", "little": "<", "big": ">", "native": "="}
 
 
+def _arrow_uri(uri: str) -> str:
+    """Arrow knows S3 under one scheme name only."""
+    return uri.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1)
+
+
 def headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per header: run, stream, iteration, precision, fields and tile bounds."""
     text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("meta"), "value")
@@ -75,7 +80,7 @@ def _read_items(fields: list[str], order: str):
         dtype = np.dtype(order + _NUMPY_TYPES[item["prec"]])
         ni, nj = item["i1"] - item["i0"] + 1, item["j1"] - item["j0"] + 1
         nk, rows = item["k1"] - item["k0"] + 1, item["band_end"] - item["band"] + 1
-        filesystem, path = fs.FileSystem.from_uri(item["meta"][: -len(".meta")] + ".data")
+        filesystem, path = fs.FileSystem.from_uri(_arrow_uri(item["meta"][: -len(".meta")] + ".data"))
         values = {}
         with filesystem.open_input_file(path) as data:
             for n, name in enumerate(item["fields"]):
