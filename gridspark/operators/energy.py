@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridspark import constants as C
 from gridspark.functions.scalars import total
-from gridspark.operators.metrics import with_horizontal, with_vertical
+from gridspark.operators.metrics import present, with_horizontal, with_vertical
 from gridspark.operators.reduce import demean, run_area
 from gridspark.operators.select import domain_of
 from gridspark.operators.stencil import face_to_centre, interface_value, pair_mean, pair_sums, vertical_divergence
@@ -50,7 +50,8 @@ def _energies(cells: DataFrame, grid2d: DataFrame, wanted: list[str], n0: float
 
 def pressure_work(cells: DataFrame, grid2d: DataFrame) -> DataFrame:
     """Pressure work through each interface; no value at the surface interface k = 0."""
-    columns = cells.select(*LEVEL, "j", "i", "PHIHYD", "WVEL", "hFacC").withColumn("_p", interface_value())
+    wanted = [*LEVEL, "j", "i", "PHIHYD", "WVEL", "hFacC", *present(cells, "rA")]
+    columns = cells.select(*wanted).withColumn("_p", interface_value())
     rows = with_horizontal(columns, grid2d, "rA")
     summed = rows.groupBy(*LEVEL).agg(total(F.col("_p") * F.col("WVEL") * F.col("rA")).alias("_wp"))
     return summed.select(*LEVEL, F.when(F.col("k") > 0, F.col("_wp")).alias("WP"))
@@ -64,7 +65,8 @@ def pressure_work_divergence(cells: DataFrame, grid2d: DataFrame, grid1d: DataFr
 def body_force(cells: DataFrame, grid2d: DataFrame, f0: float = 1e-4, u0: float = 0.1,
                periodic: bool = True) -> DataFrame:
     """Work of the background pressure gradient on the cross flow, centred in ``j``."""
-    lines = cells.select(*LEVEL, "j", "i", "VVEL", "hFacC").withColumn("_v", face_to_centre("VVEL", "j", periodic))
+    wanted = [*LEVEL, "j", "i", "VVEL", "hFacC", *present(cells, "rA")]
+    lines = cells.select(*wanted).withColumn("_v", face_to_centre("VVEL", "j", periodic))
     rows = with_horizontal(lines, grid2d, "rA")
     summed = rows.groupBy(*LEVEL).agg(total(F.col("_v") * F.col("hFacC") * F.col("rA")).alias("_b"))
     return summed.select(*LEVEL, (F.col("_b") * f0 * u0).alias("Bf"))

@@ -33,6 +33,22 @@ def with_vertical(cells: DataFrame, grid1d: DataFrame, *names: str) -> DataFrame
     return _attach(cells, grid1d, ["run", "k"], names)
 
 
+def materialise(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame,
+                horizontal: tuple[str, ...] = ("rA", "rAw", "rAs", "dxG", "dyG"),
+                vertical: tuple[str, ...] = ("drF", "T0")) -> DataFrame:
+    """Attach the metrics used by reductions once, before cells are written.
+
+    They repeat, so Parquet stores them as short dictionaries; every later operator
+    reads them with the fields instead of joining, whatever the grid size.
+    """
+    return with_vertical(with_horizontal(cells, grid2d, *horizontal), grid1d, *vertical)
+
+
+def present(cells: DataFrame, *names: str) -> list[str]:
+    """Those of the named columns that the rows already carry."""
+    return [n for n in names if n in cells.columns]
+
+
 def with_surface(cells: DataFrame, cells2d: DataFrame, *names: str) -> DataFrame:
     """Attach fields of the matching 2-D stream record to 3-D rows (a slice or a volume)."""
     return _attach(cells, cells2d, ["run", "rec", "j", "i"], names)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridspark.functions.scalars import weighted_mean
-from gridspark.operators.metrics import with_horizontal, with_vertical
+from gridspark.operators.metrics import present, with_horizontal, with_vertical
 from gridspark.schema import RECORD
 
 # field: (wet fraction used as a weight, area); W is weighted by wet/dry only.
@@ -104,13 +104,15 @@ def relative_vorticity(cells: DataFrame, grid2d: DataFrame) -> DataFrame:
     one grouped sum (with map-side partial sums) collects them, instead of two
     window sorts in different directions.
     """
-    rows = with_horizontal(cells.select("run", "rec", "k", "j", "i", "UVEL", "VVEL"), grid2d, "dxG", "dyG")
+    metrics = ("dxG", "dyG", "rA")
+    rows = with_horizontal(cells.select("run", "rec", "k", "j", "i", "UVEL", "VVEL", *present(cells, *metrics)), grid2d, *metrics)
     v, u = F.col("VVEL") * F.col("dyG"), F.col("UVEL") * F.col("dxG")
     one = lambda c: F.when(c.isNotNull(), F.lit(1)).otherwise(0)
 
     def give(dj, di, value, edges):
+        area = F.col("rA") if (dj, di) == (0, 0) else F.lit(None).cast("double")
         return F.struct((F.col("j") + dj).alias("j"), (F.col("i") + di).alias("i"),
-                        value.alias("c"), edges.alias("n"))
+                        value.alias("c"), edges.alias("n"), area.alias("a"))
 
     both = F.coalesce(v, F.lit(0.0)) - F.coalesce(u, F.lit(0.0))
     gifts = F.array(
@@ -119,9 +121,9 @@ def relative_vorticity(cells: DataFrame, grid2d: DataFrame) -> DataFrame:
         give(1, 0, F.coalesce(u, F.lit(0.0)), one(u)),
     )
     corners = rows.select("run", "rec", "k", F.explode(gifts).alias("g")).select("run", "rec", "k", "g.*")
-    summed = corners.groupBy("run", "rec", "k", "j", "i").agg(F.sum("c").alias("_c"), F.sum("n").alias("_n"))
-    complete = with_horizontal(summed.where(F.col("_n") == 4), grid2d, "rA")
-    return complete.select("run", "rec", "k", "j", "i", F.try_divide("_c", "rA").alias("vort"))
+    summed = corners.groupBy("run", "rec", "k", "j", "i").agg(
+        F.sum("c").alias("_c"), F.sum("n").alias("_n"), F.max("a").alias("_a"))
+    return summed.where(F.col("_n") == 4).select("run", "rec", "k", "j", "i", F.try_divide("_c", "_a").alias("vort"))
 
 
 def vorticity_statistics(cells: DataFrame, grid2d: DataFrame) -> DataFrame:

@@ -219,13 +219,13 @@ _FLUX = """SELECT run, rec, k, AVG((m - ub) * (p - pb)) AS UpPp, AVG(CASE WHEN m
 
 
 @query("a20_flux_decomposition", uses="cells cells2d", sql=f"""
-WITH f AS ({_FLUX}) SELECT f.run, f.rec, f.k, round(UpPp, 9) AS UpPp, round(UbPb, 9) AS UbPb, round(UpPb, 9) AS UpPb, round(UbPp, 9) AS UbPp,
+WITH f AS ({_FLUX}) SELECT f.run, f.rec, f.k, round(UpPp, 6) AS UpPp, round(UbPb, 6) AS UbPb, round(UpPb, 6) AS UpPb, round(UbPp, 6) AS UbPp,
   round(tp * 10, 6) AS UpPp_total FROM f JOIN (SELECT run, rec, SUM(UpPp) AS tp FROM f GROUP BY run, rec) USING (run, rec)""")
 def flux_decomposition(t):
     """Four parts of the pressure flux along a slice and the vertical total of one."""
     profile = settle(flux.flux_decomposition(t.cells.where("j = 3"), t.cells2d.where("j = 3")), "flux")
     out = profile.join(flux.flux_totals(profile).select("run", "rec", "UpPp_total"), ["run", "rec"])
-    return out.select("run", "rec", "k", *[F.round(p, 9).alias(p) for p in flux.PARTS], F.round("UpPp_total", 6).alias("UpPp_total"))
+    return out.select("run", "rec", "k", *[F.round(p, 6).alias(p) for p in flux.PARTS], F.round("UpPp_total", 6).alias("UpPp_total"))
 
 
 @query("a21_mean_of_last", uses="cells", sql="""

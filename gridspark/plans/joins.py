@@ -14,7 +14,7 @@ from gridspark.plans.texts_sql import NAME_PARAMETERS_SQL, PROGRESS_SQL, STATUS_
 SELECT run, rec, k, j, i, VVEL * rAs AS v_area FROM cells JOIN grid2d USING (run, j, i)""")
 def horizontal_metric(t):
     """Field times a 2-D metric, repeated over levels and records."""
-    rows = metrics.with_horizontal(t.cells, t.grid2d, "rAs")
+    rows = metrics.with_horizontal(t.bare_cells, t.grid2d, "rAs")
     return rows.select("run", "rec", "k", "j", "i", (F.col("VVEL") * F.col("rAs")).alias("v_area"))
 
 
@@ -22,7 +22,7 @@ def horizontal_metric(t):
 SELECT run, rec, k, j, i, VVEL * hFacS AS v_wet FROM cells""")
 def wet_fraction(t):
     """Field times the 3-D wet fraction joined from the static grid."""
-    bare = t.cells.drop("hFacC", "hFacW", "hFacS")
+    bare = t.bare_cells.drop("hFacC", "hFacW", "hFacS")
     rows = metrics.with_wet_fractions(bare, t.grid3d, "hFacS")
     return rows.select("run", "rec", "k", "j", "i", (F.col("VVEL") * F.col("hFacS")).alias("v_wet"))
 
@@ -31,7 +31,7 @@ def wet_fraction(t):
 SELECT run, rec, k, j, i, (THETA - T0) / drF AS departure FROM cells JOIN grid1d USING (run, k)""")
 def vertical_metric(t):
     """Departure from the reference profile per thickness."""
-    rows = metrics.with_vertical(t.cells, t.grid1d, "T0", "drF")
+    rows = metrics.with_vertical(t.bare_cells, t.grid1d, "T0", "drF")
     departure = F.try_divide(F.col("THETA") - F.col("T0"), F.col("drF"))
     return rows.select("run", "rec", "k", "j", "i", departure.alias("departure"))
 
@@ -40,7 +40,7 @@ def vertical_metric(t):
 SELECT run, rec, k, j, i, (UVEL*UVEL*hFacW + VVEL*VVEL*hFacS) * rA AS product FROM cells JOIN grid2d USING (run, j, i)""")
 def staggered_product(t):
     """Face and centre values multiplied by index."""
-    rows = metrics.with_horizontal(t.cells, t.grid2d, "rA")
+    rows = metrics.with_horizontal(t.bare_cells, t.grid2d, "rA")
     u, v = F.col("UVEL"), F.col("VVEL")
     product = (u * u * F.col("hFacW") + v * v * F.col("hFacS")) * F.col("rA")
     return rows.select("run", "rec", "k", "j", "i", product.alias("product"))
@@ -51,7 +51,7 @@ SELECT c.run, c.rec, c.k, c.i, PHIHYD - ETAN * 9.8 AS p FROM cells c JOIN cells2
 ON c.run = s.run AND c.rec = s.rec AND c.j = s.j AND c.i = s.i WHERE c.j = 4""")
 def slice_with_surface(t):
     """A 3-D slice with the matching record of the 2-D stream."""
-    rows = metrics.with_surface(t.cells.where("j = 4"), t.cells2d.where("j = 4"), "ETAN")
+    rows = metrics.with_surface(t.bare_cells.where("j = 4"), t.cells2d.where("j = 4"), "ETAN")
     return rows.select("run", "rec", "k", "i", (F.col("PHIHYD") - F.col("ETAN") * 9.8).alias("p"))
 
 

@@ -181,7 +181,7 @@ def pick_rename(t):
 SELECT * EXCLUDE (hFacC, hFacW, hFacS) FROM cells WHERE rec = 0""")
 def drop_prefixed(t):
     """Coordinates dropped by name prefix."""
-    return select.drop_prefixed(select.at(t.cells, rec=0).drop("stream"), "hFac", "mask")
+    return select.drop_prefixed(select.at(t.bare_cells, rec=0).drop("stream"), "hFac", "mask")
 
 
 @query("p03_fixed_slice", uses="cells", sql="SELECT run, rec, k, i, UVEL, THETA FROM cells WHERE j = 5")

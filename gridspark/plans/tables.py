@@ -16,11 +16,13 @@ from functools import cached_property
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gridspark.operators.metrics import materialise
 from gridspark.schema import cells_schema
 from gridspark.sources.shared import fresh_path, shared_dir
 from gridspark.sources.tables import write_cells
 
 NJ, NK, NREC, PARTS_PER_I = 8, 7, 7, 50
+METRICS = ["rA", "rAw", "rAs", "dxG", "dyG", "drF", "T0"]
 FIELDS = ["UVEL", "VVEL", "WVEL", "THETA", "PHIHYD", "TRAC01", "KLeps", "KLviscAr", "hFacC", "hFacW", "hFacS"]
 
 # --- expressions both engines evaluate as text -----------------------------
@@ -242,13 +244,20 @@ class Tables:
 
     @cached_property
     def cells(self) -> DataFrame:
+        """Cell rows with the static metrics materialised, sorted by record and level."""
         def build():
-            return self._dense().selectExpr(
+            rows = self._dense().selectExpr(
                 "run", "'fields' AS stream", "rec", "CAST(rec AS BIGINT) * 3600 AS iter", "rec * 22320e0 AS time_s", "k", "j", "i",
                 *[f"{t} AS {n}" for n, t in _FIELD_TEXT.items()], *_WETS)
+            return materialise(rows, self.grid2d, self.grid1d)
 
         path = self._once("cells", build, write_cells)
-        return self.spark.read.schema(cells_schema(FIELDS)).parquet(path)
+        return self.spark.read.schema(cells_schema(FIELDS + METRICS)).parquet(path)
+
+    @cached_property
+    def bare_cells(self) -> DataFrame:
+        """Cell rows without the static metrics, as a stream delivers them."""
+        return self.cells.drop(*METRICS)
 
     @cached_property
     def cells2d(self) -> DataFrame:
