@@ -74,9 +74,13 @@ def job_status(jobs: DataFrame, accounting: DataFrame, line: str = "ord") -> Dat
     """
     ids = jobs.select(line, "run", F.posexplode_outer("job_ids").alias("pos", "job_id"))
     known = ids.join(accounting, "job_id", "left")
+
+    def label(first_pending: bool):
+        return job_label("job_id", "state", "reason", "exit_code", F.lit(first_pending))
+
     pending = F.when(F.col("state") == "PENDING", F.col("pos"))
     jobs_in_order = F.array_sort(F.collect_list(F.when(F.col("job_id").isNotNull(), F.struct(
-        "pos", "job_id", "state", "reason", "exit_code"))))
+        "pos", "job_id", label(True).alias("as_first"), label(False).alias("as_later")))))
     running = F.col("state") == "RUNNING"
     grouped = known.groupBy(line, "run").agg(
         jobs_in_order.alias("jobs"), F.min(pending).alias("first"),
@@ -84,11 +88,12 @@ def job_status(jobs: DataFrame, accounting: DataFrame, line: str = "ord") -> Dat
         F.max_by("elapsed", F.when(running, F.col("pos"))).alias("elapsed"),
     )
 
-    def label(job):
-        return job_label(job["job_id"], job["state"], job["reason"], job["exit_code"], job["pos"] == F.col("first"))
+    # Which pending job is the first is known only now; both texts came with the job.
+    def text(job):
+        return F.when(job["pos"] == F.col("first"), job["as_first"]).otherwise(job["as_later"])
 
     return grouped.select(
-        line, "run", F.array_join(F.transform("jobs", label), "  ").alias("job_states"),
+        line, "run", F.array_join(F.transform("jobs", text), "  ").alias("job_states"),
         F.array_join(F.transform("jobs", lambda job: job["job_id"]), " ").alias("job_ids"), "running", "elapsed",
     )
 
