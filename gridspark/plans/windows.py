@@ -160,7 +160,7 @@ UNION ALL SELECT 'E', run, rec, SUM(UVEL * dyG) FROM cells JOIN grid2d USING (ru
 def union_sides(t):
     """Flow through two sides in one table with a side column."""
     def side(s):
-        rows = select.edge_strip(t.cells, t.grid2d, s, width=1).join(t.grid2d.select("run", "j", "i", "dyG"), ["run", "j", "i"])
+        rows = select.edge_strip(t.cells, t.grid2d, s, width=1)
         return rows.groupBy("run", "rec").agg(F.sum(F.col("UVEL") * F.col("dyG")).alias("through")).withColumn("side", F.lit(s))
 
     return energy.all_sides(side, "WE")
