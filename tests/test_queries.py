@@ -31,4 +31,5 @@ def test_entry(spark):
     import __spark_entry__ as driver
 
     assert driver.entry(spark).columns == ["run", "k", "Z", "Bf", "dWPdz", "dEdt", "resid"]
+    assert set(QUERIES) <= set(driver.queries())
     assert set(driver.oracle_sql()) <= set(driver.queries())
