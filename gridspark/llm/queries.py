@@ -1,6 +1,6 @@
 """Imports every operator module of this subpackage, so that its queries register."""
 
-from gridspark.llm import decontaminate, mixing, pii, quality, secrets, sharding, warc  # noqa: F401
+from gridspark.llm import bagminhash, decontaminate, mixing, pii, quality, secrets, sharding, warc  # noqa: F401
 from gridspark.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -168,3 +168,32 @@ def covered(start: np.ndarray, size, n: int) -> np.ndarray:
     np.add.at(steps, start, 1)
     np.add.at(steps, start + size, -1)
     return np.cumsum(steps[:n]) > 0
+
+
+def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run of values from ``start`` to ``end``; agrees with ``window_hashes``."""
+    total, down = _prefix(h, _GRAM_POWERS)
+    return mixed((total[end] - total[start]) * down[start])
+
+
+def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of every run of ``size`` words; a shorter document is one run of all its words."""
+    h = word_hashes(w)
+    windows = window_hashes(h, size)
+    at = np.flatnonzero(inside(w.first, size, len(windows)))
+    counts = w.count()
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    doc = np.concatenate([w.doc()[at], short])
+    return doc, np.concatenate([windows[at], span_hashes(h, w.first[:-1][short], w.first[1:][short])])
+
+
+def bags(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, key) with their counts, documents in order."""
+    joint = key ^ mixed(doc.astype(np.uint64) + _U(1))
+    order = np.argsort(joint)
+    sorted_ = joint[order]
+    head = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(order) else np.zeros(0, np.int64)
+    n = np.diff(np.append(head, len(order)))
+    first = order[head]
+    back = np.argsort(doc[first], kind="stable")
+    return doc[first][back], key[first][back], n[back]
