@@ -27,6 +27,8 @@ _LOWER[0x41:0x5B] += 0x20
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (public splitmix64 constants)."""
+    if np.ndim(h) == 0:  # scalars would warn of the intended overflow
+        return mixed(np.array([h], dtype=np.uint64))[0]
     h = h ^ (h >> _U(30))
     h = h * _U(0xBF58476D1CE4E5B9)
     h = h ^ (h >> _U(27))
