@@ -39,7 +39,8 @@ def _shingle(size: int) -> Column:
 
 
 def _shingled(rows: DataFrame, size: int) -> DataFrame:
-    return rows.select("*", F.posexplode("words").alias("pos", "word")).withColumn("h", _shingle(size)).drop("word")
+    """A row per word; one with null ``pos`` for rows without words."""
+    return rows.select("*", F.posexplode_outer("words").alias("pos", "word")).withColumn("h", _shingle(size)).drop("word")
 
 
 def windows_of(items: DataFrame, window: int, id_col="item_id", text_col="text") -> DataFrame:
@@ -50,23 +51,27 @@ def windows_of(items: DataFrame, window: int, id_col="item_id", text_col="text")
     return cut.groupBy("words").agg(F.collect_set("item").alias("items")).select(F.monotonically_increasing_id().alias("w"), "words", F.size("words").alias("size"), "items")
 
 
-def _hits(docs: DataFrame, windows: DataFrame, size: int, window: int) -> DataFrame:
-    """Verified occurrences: ``doc_id, text_key, start, size, items``; for windows whose shingles have ``size`` words."""
+def _hits(docs: DataFrame, windows: DataFrame, size: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """Verified occurrences ``doc_id, text_key, start, size, items`` of windows whose shingles have
+    ``size`` words, and ``doc_id, text_key, n_words`` of all documents, which the same pass gives."""
     tokens = settle(_shingled(windows.where(F.col("size") >= size), size).where(F.col("pos") <= F.col("size") - size).select("w", "pos", "h"), "bench-tokens")
     token = settle(tokens.select("h").distinct(), "bench-token-set")
     seen = _shingled(docs.select(words_of(F.col("text")).alias("words")), size).select("h").join(token, "h", "left_semi").groupBy("h").agg(F.count("*").alias("n"))
     order = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "pos")
     prefix = tokens.join(seen, "h", "left").groupBy("w").agg(F.min(order).alias("first")).select("w", F.col("first.h").alias("h"), F.col("first.pos").alias("at"))
     anchored = settle(prefix.join(windows, "w").select("h", "at", F.col("words").alias("needed"), F.col("size"), "items"), "bench-windows")
-    anchors = settle(anchored.select("h").distinct(), "bench-anchors")
+    anchors = settle(anchored.select("h", F.lit(True).alias("anchor")).distinct(), "bench-anchors")
     low = F.greatest(F.col("pos") - window + 1, F.lit(0))
     near = (
-        _shingled(docs.select("doc_id", "text_key", words_of(F.col("text")).alias("words")), size).join(anchors, "h", "left_semi")
-        .select("doc_id", "text_key", "h", "pos", F.size("words").alias("n"), low.alias("low"), F.slice("words", low + 1, 2 * window - 1).alias("near"))
+        _shingled(docs.select("doc_id", "text_key", words_of(F.col("text")).alias("words")), size).join(anchors, "h", "left")
+        .where("anchor or pos is null or pos = 0")  # the first word's row stays for the count of words
+        .select("doc_id", "text_key", "h", "anchor", "pos", F.size("words").alias("n"), low.alias("low"), F.when(F.col("anchor"), F.slice("words", low + 1, 2 * window - 1)).alias("near"))
     )
+    near = settle(near, "bench-near")
     start = F.col("pos") - F.col("at")
     fits = (start >= 0) & (start + F.col("size") <= F.col("n"))
-    return near.join(anchored, "h").where(fits).where(F.slice("near", F.greatest(start - F.col("low"), F.lit(0)) + 1, F.col("size")) == F.col("needed")).select("doc_id", "text_key", start.alias("start"), "size", "items")
+    hits = near.where("anchor").join(anchored, "h").where(fits).where(F.slice("near", F.greatest(start - F.col("low"), F.lit(0)) + 1, F.col("size")) == F.col("needed")).select("doc_id", "text_key", start.alias("start"), "size", "items")
+    return hits, near.where("pos is null or pos = 0").select("doc_id", "text_key", F.col("n").cast("long").alias("n_words"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -74,10 +79,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     rows = keyed(docs)
     windows = settle(windows_of(items, window), "bench-all-windows")
     shortest = windows.agg(F.min("size")).first()[0] or shingle
-    counted = rows.select("doc_id", "text_key", F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_words"))
     hits = None
     for size in range(min(shortest, shingle), shingle + 1):  # one turn, unless items are shorter than a shingle
-        part = _hits(rows, windows if size == shingle else windows.where(F.col("size") == size), size, window)
+        part, counted = _hits(rows, windows if size == shingle else windows.where(F.col("size") == size), size, window)
         hits = part if hits is None else hits.unionByName(part)
     hits = settle(hits, "bench-hits")
     by_doc = Window.partitionBy("doc_id", "text_key").orderBy("start", "size")
