@@ -170,10 +170,10 @@ def _pair(a, b):
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, unit: int = 1, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, unit: int = 1, id_col="doc_id", text_col="text", with_label: bool = False) -> tuple[DataFrame, DataFrame]:
     """``doc_id, node, class_id`` of every row, and the verified links ``a, b, sim`` between nodes.
 
-    A node is a distinct text, named by its MD5.  ``unit`` coarsens the weights of the signatures only.
+    A node is a distinct text, named by its MD5; ``with_label`` gives the class's least node in place of its least id.  ``unit`` coarsens the weights of the signatures only.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("node"), text.alias("text"))
@@ -206,10 +206,23 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     every = links.unionByName(more)
     labels = components(links.select("a", "b").unionByName(more.select("a", "b"))) if more.limit(1).count() else first
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if with_label:
+        return settle(labelled.select("doc_id", "node", "label"), "near-labelled"), every
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return labelled.join(least, "label").select("doc_id", "node", "class_id"), every
 
 
+def representatives(docs: DataFrame, id_col="doc_id", text_col="text", **parameters) -> DataFrame:
+    """One row of ``docs`` per class, with its own columns: the one with the least id (then text hash)."""
+    members, _ = classes(docs, id_col=id_col, text_col=text_col, with_label=True, **parameters)
+    first = members.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")).alias("first")).select("first.doc_id", "first.node")
+    first = settle(members.join(first.select(F.col("doc_id").alias("id"), F.col("node").alias("n")), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("node") == F.col("n"))).groupBy("doc_id", "node").agg(F.count("*").alias("rows")), "near-first")
+    node = F.unhex(F.md5(F.coalesce(docs[text_col], F.lit(""))))
+    kept = docs.join(first, docs[id_col].eqNullSafe(first["doc_id"]) & (node == first["node"]), "left_semi")
+    repeated = first.where("rows > 1").limit(1).count()
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
+
+
 @query("op6_bagminhash_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))[0].select("doc_id", "class_id")

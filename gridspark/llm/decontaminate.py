@@ -97,6 +97,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col="doc_id", text_col="text") -> DataFrame:
+    """The rows of ``docs`` that hold no window, with their own columns."""
+    found = contamination(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), items, window, shingle)
+    found = settle(found.where("contaminated").select("doc_id", "text_key"), "bench-contaminated")
+    text_key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(found, docs[id_col].eqNullSafe(found["doc_id"]) & (text_key == found["text_key"]), "left_anti")
+
+
 @query(
     "op9_prefix_decontamination",
     """WITH low AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
