@@ -94,12 +94,12 @@ def votes(kind: str, m: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, found``: per row its candidates ``kind, start, end, base, votes, size``."""
+    """``row, doc_id, found``: per row (by a number of its own) its candidates ``kind, start, end, base, votes, size``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", *[S.matches(F.col("text"), p, needs).alias(f"m_{k}") for k, (p, needs) in PATTERNS.items()])
-    rows = rows.select("doc_id", *[S.pieces(F.col("text"), p, F.col(f"m_{k}")).alias(f"p_{k}") for k, (p, _) in PATTERNS.items()])
-    rows = rows.select("doc_id", *[f"p_{k}" for k in KINDS], *[S.offsets(F.col(f"p_{k}")).alias(f"o_{k}") for k in KINDS])
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
+    rows = rows.select("row", "doc_id", "text", *[S.matches(F.col("text"), p, needs).alias(f"m_{k}") for k, (p, needs) in PATTERNS.items()])
+    rows = rows.select("row", "doc_id", *[S.pieces(F.col("text"), p, F.col(f"m_{k}")).alias(f"p_{k}") for k, (p, _) in PATTERNS.items()])
+    rows = rows.select("row", "doc_id", *[f"p_{k}" for k in KINDS], *[S.offsets(F.col(f"p_{k}")).alias(f"o_{k}") for k in KINDS])
 
     def judged(kind):
         def one(m):
@@ -112,7 +112,7 @@ def candidates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
         return F.transform(S.placed(F.col(f"p_{kind}"), F.col(f"o_{kind}")), one)
 
-    return rows.select("doc_id", F.concat(*[judged(k) for k in KINDS]).alias("found"))
+    return rows.select("row", "doc_id", F.concat(*[judged(k) for k in KINDS]).alias("found"))
 
 
 def reliabilities(counts: list[tuple[int, tuple[int, ...], float]], rounds: int = ROUNDS) -> tuple[list[float], list[list[list[float]]]]:
@@ -179,13 +179,11 @@ def score(c: Column, weights: list[float]) -> Column:
 
 
 def spans(found: DataFrame, weights: list[float], accept: float = ACCEPT) -> DataFrame:
-    """``doc_id, base, added``: base spans, and those that the classifier adds."""
-    base = found.select("doc_id", F.filter("found", lambda c: c["base"]).alias("base"), F.filter("found", lambda c: ~c["base"] & (score(c, weights) > math.log(accept / (1 - accept)))).alias("more"))
-    apart = F.filter("more", lambda c: ~F.exists("base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    clear = base.select("doc_id", "base", F.array_sort(F.transform(apart, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))).alias("more"))
-    first = F.filter("more", lambda c: ~F.exists("more", lambda b: (b < c) & (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    plain = F.transform("base", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return clear.select("doc_id", plain.alias("base"), first.alias("added"))
+    """``doc_id, base, added``: base spans, and those that the classifier adds; ``found`` is a written table."""
+    plain = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
+    chosen = F.filter("found", lambda c: ~c["base"] & (score(c, weights) > math.log(accept / (1 - accept))))
+    split = found.select("row", "doc_id", F.transform(F.filter("found", lambda c: c["base"]), plain).alias("base"), F.transform(chosen, plain).alias("more"))
+    return split.join(S.apart(split), "row", "left").select("doc_id", "base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("added"))
 
 
 @query("op2_weak_supervision_pii")

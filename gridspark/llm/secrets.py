@@ -42,18 +42,18 @@ _IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_-]{7,}+"
 
 
 def candidates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, found``: base spans and long tokens, ``kind, start, end, value``."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", *[S.matches(F.col("text"), p, "AKIA" if k == "access" else None).alias(f"m_{k}") for k, p in PATTERNS.items()])
-    rows = rows.select("doc_id", *[S.pieces(F.col("text"), p, F.col(f"m_{k}")).alias(f"p_{k}") for k, p in PATTERNS.items()])
-    rows = rows.select("doc_id", *[f"p_{k}" for k in KINDS], *[S.offsets(F.col(f"p_{k}")).alias(f"o_{k}") for k in KINDS])
+    """``row, doc_id, found``: per row (by a number of its own) base spans and long tokens, ``kind, start, end, value``."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("row", "doc_id", "text", *[S.matches(F.col("text"), p, "AKIA" if k == "access" else None).alias(f"m_{k}") for k, p in PATTERNS.items()])
+    rows = rows.select("row", "doc_id", *[S.pieces(F.col("text"), p, F.col(f"m_{k}")).alias(f"p_{k}") for k, p in PATTERNS.items()])
+    rows = rows.select("row", "doc_id", *[f"p_{k}" for k in KINDS], *[S.offsets(F.col(f"p_{k}")).alias(f"o_{k}") for k in KINDS])
 
     def one(kind):
         return lambda m: F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), (F.regexp_replace(m["value"], _VALUE, "") if kind == "assign" else m["value"]).alias("value"))
 
     own = {k: F.transform(S.placed(F.col(f"p_{k}"), F.col(f"o_{k}")), one(k)) for k in KINDS}
     own["assign"] = F.filter(own["assign"], lambda m: F.char_length(m["value"]) >= 6)
-    return rows.select("doc_id", F.concat(*own.values()).alias("found"))
+    return rows.select("row", "doc_id", F.concat(*own.values()).alias("found"))
 
 
 def _transitions(tokens: DataFrame) -> dict[tuple[int, int], int]:
@@ -99,11 +99,12 @@ def ratio(value: Column, table_: list[float]) -> Column:
 
 
 def spans(found: DataFrame, table_: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, base, added``."""
+    """``doc_id, base, added``; ``found`` is a written table."""
     last = KINDS.index("random")
-    base = found.select("doc_id", F.filter("found", lambda c: c["kind"] < last).alias("base"), F.filter("found", lambda c: (c["kind"] == last)).alias("more"))
-    apart = base.select("doc_id", "base", F.filter("more", lambda c: ~F.exists("base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"]))).alias("more"))
-    return apart.select("doc_id", "base", F.filter("more", lambda c: ratio(c["value"], table_) > threshold).alias("added"))
+    plain = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
+    chosen = F.filter(F.filter("found", lambda c: c["kind"] == last), lambda c: ratio(c["value"], table_) > threshold)
+    split = found.select("row", "doc_id", F.transform(F.filter("found", lambda c: c["kind"] < last), plain).alias("base"), F.transform(chosen, plain).alias("more"))
+    return split.join(S.apart(split), "row", "left").select("doc_id", "base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("added"))
 
 
 @query("op3_markov_secrets")

@@ -8,7 +8,7 @@ match empty strings and should be possessive, so that long runs need neither sta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = 256
 LEFT, RIGHT = 40, 12  #: code points of context kept on either side, up to the next match of the kind
@@ -54,7 +54,7 @@ def placed(own: Column, starts: Column) -> Column:
 
         return F.aggregate(_block(own, b), F.struct(x.alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.size(own) / BLOCK).cast("int")), lambda b: block(F.get(starts, b), b)))
+    return F.flatten(F.transform(starts, block))
 
 
 def joined(spans: Column, kinds: list[str]) -> Column:
@@ -64,6 +64,23 @@ def joined(spans: Column, kinds: list[str]) -> Column:
     return F.concat_ws(",", F.transform(order, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def apart(found: DataFrame) -> DataFrame:
+    """``row, added``: the spans in ``more`` that overlap neither a base span nor an earlier one in ``more``.
+
+    ``found`` has ``row, base, more``.  Spans are compared with running extremes in order of place,
+    so texts with very many spans cost no quadratic time; rows without ``more`` are not shuffled.
+    """
+    one = lambda is_base: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(is_base).alias("is_base"))
+    each = found.where(F.size("more") > 0).select("row", F.explode(F.concat(F.transform("base", one(True)), F.transform("more", one(False)))).alias("s")).select("row", "s.*")
+    order = ["start", "end", "kind"]
+    onward = Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    backward = Window.partitionBy("row").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    before, after = F.max(F.when(F.col("is_base"), F.col("end"))).over(onward), F.min(F.when(F.col("is_base"), F.col("start"))).over(backward)
+    free = each.withColumns({"before": before, "after": after}).where("not is_base and coalesce(before <= start, true) and coalesce(after >= end, true)")
+    first = free.withColumn("before", F.max("end").over(onward)).where("coalesce(before <= start, true)")
+    return first.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+
+
 def count_of(spans: str, kind: int) -> Column:
     return F.size(F.filter(spans, lambda c: c["kind"] == kind)).cast("long")
 
