@@ -10,11 +10,16 @@ layer, not per unit, and a time limit per document ends the processes early (it
 a component is still empty).
 
 Signatures are cut into bands.  Equal texts are collapsed first.  In each bucket every
-text is verified against the bucket's first one by exact multiset overlap; verified links give
-components.  Buckets that still hold several components are then checked across components - not
-within them - where lengths and the triangle inequality of the Jaccard distance over the
-bucket's first text allow a link.  So no bucket emits all its pairs, and no link between texts
-that share a bucket is lost.
+text is verified by exact multiset overlap against the bucket's most central one (the one that meets most texts over
+all bands, as an original among its copies does); verified links give components.  A text can
+only be linked to another component if its share of shingles that occur in other components
+reaches the threshold, so texts that merely have a passage in common leave here, each on its own.  The
+others are verified in a few rounds, each against one text of the largest other component of
+each of their buckets, which joins most of them at a linear cost.  At last, the buckets that still hold
+several components are checked whole across components - never within them - where lengths, supports,
+the triangle inequality of the Jaccard distance over the central text and a long signature of one bit per
+component allow a link (a link fails the last with a probability of 3e-6, as it fails to share a bucket).  So no
+bucket emits all its pairs, and no link between components is lost beyond what signatures lose.
 
 Defined results: a null text counts as empty.  Texts without words have no shingles and are
 duplicates only of texts that are equal to them; texts of fewer than five words are one shingle.  Repeated rows are copies.
@@ -33,6 +38,9 @@ from gridspark.llm.common import query, settle, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
+ROUNDS = 4  #: against one text of the largest component, before what is left is checked whole
+SKETCH = 1024  #: bits of the long signatures; a pair is verified up to SKETCH_SIGMA deviations from a link's mean
+SKETCH_SIGMA = 4.5
 _U = np.uint64
 _PAIR_BYTES = 4 << 20
 
@@ -108,6 +116,28 @@ def _signed(size: int, bands: int, rows: int, unit: int):
     return run
 
 
+def _sketched(size: int, unit: int):
+    names = ["node", *(f"s{k}" for k in range(SKETCH // 64))]
+
+    def run(batches):
+        for batch in batches:
+            for w in W.blocks(batch.column(1)):
+                n = len(w.first) - 1
+                doc, key, count = W.bags(*W.shingles(w, size))
+                sig = signatures(doc, key, -(-count // unit), n, SKETCH)
+                bits = np.packbits((W.mixed(sig.view(np.uint64)) & _U(1)).astype(bool), axis=1).view(np.int64)
+                yield pa.record_batch([batch.column(0).slice(w.low, n), *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], names=names)
+
+    return run
+
+
+def _alike(similarity: float):
+    """Whether the sketches of ``x`` and ``y`` differ in no more bits than those of a link may."""
+    differ = (1 - similarity) / 2
+    most = SKETCH * differ + SKETCH_SIGMA * (SKETCH * differ * (1 - differ)) ** 0.5
+    return sum(F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH // 64)) <= most
+
+
 def _bag(texts: pa.Array, size: int):
     parts = []
     for w in W.blocks(texts):
@@ -147,6 +177,29 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified(size), "a binary, b binary, sim double")
 
 
+def _supported(texts: DataFrame, labels: DataFrame, similarity: float, size: int) -> DataFrame:
+    """``node, support`` of the texts whose overlap with other components can reach ``similarity``.
+
+    The support counts the shingles that occur in another component; a link's overlap is at most
+    that, and at least ``similarity`` times the text's own size.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for w in W.blocks(batch.column(2)):
+                doc, key, n = W.bags(*W.shingles(w, size))
+                rows = pa.array(doc + w.low)
+                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(key.view(np.int64)), pa.array(n)], names=["id", "label", "h", "n"])
+
+    short = labels.select("node", F.xxhash64("node").alias("id"), F.xxhash64("label").alias("own"))
+    each = settle(texts.join(short, "node").select("id", "own", "text").mapInArrow(run, "id long, label long, h long, n long"), "near-shingles")
+    elsewhere = each.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
+    support = each.join(elsewhere, "h", "left_semi").groupBy("id").agg(F.sum("n").alias("support"))
+    whole = each.groupBy("id").agg(F.sum("n").alias("size"))
+    enough = support.join(whole, "id").where(F.col("support") >= similarity * F.col("size"))
+    return short.join(enough, "id").select("node", "support")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` of every node of ``a, b``; the label is the component's least node.
 
@@ -165,6 +218,23 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def _reaches(size_a: str, size_b: str, support_a: str, support_b: str, similarity: float):
+    """Whether the overlap that a link of these sizes needs is within both supports."""
+    return F.least(support_a, support_b) >= similarity / (1 + similarity) * (F.col(size_a) + F.col(size_b)) - 1e-9
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, label`` after the links ``a, b`` join components."""
+    ends = links.select("a", "b").join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+    joined = components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return settle(labels.join(joined, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "near-labels")
+
+
+def _mixed(own: DataFrame) -> DataFrame:
+    """``band`` of the buckets that hold several components."""
+    return own.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+
+
 def _pair(a, b):
     """Columns ``a, b`` of two nodes in order."""
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -181,30 +251,51 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     signed = settle(plain.select("node", "text").mapInArrow(_signed(shingle, bands, rows, unit), "node binary, size long, bands array<long>"), "near-signatures")
     nodes = signed.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
     bucketed = settle(nodes.select("node", "size", F.explode("bands").alias("band")), "near-buckets")
-    pivots = bucketed.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("band", "pivot")
-    within = settle(bucketed.join(pivots, "band"), "near-within")  # only buckets of two texts and more
-    sizes = within.select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size")).distinct()
-    star = within.where("node <> pivot").select("node", "pivot", "size").distinct().join(sizes, "pivot").where(F.least("size", "pivot_size") >= similarity * F.greatest("size", "pivot_size"))
-    star = settle(star.select(*_pair(F.col("node"), F.col("pivot"))).distinct(), "near-star")
+    several = bucketed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    within = settle(bucketed.join(several, "band"), "near-crowded")  # only buckets of two texts and more
+    central = within.groupBy("node").agg(F.sum("n").alias("met"))  # originals meet more texts than their copies do
+    pivots = within.join(central, "node").groupBy("band").agg(F.max_by("node", F.struct("met", "node")).alias("pivot"))
+    pivots = pivots.join(within.select("band", F.col("node").alias("pivot"), F.col("size").alias("pivot_size")), ["band", "pivot"])
+    within = settle(within.join(pivots, "band").select("band", "node", "size", "pivot", "pivot_size"), "near-within")
     needed = within.select("node").distinct()
     texts = settle(plain.select("node", "text").join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
-    tried = settle(verify(star, texts, shingle), "near-tried")
+
+    def allowed(star):
+        """Distinct pairs of texts and their pivots whose sizes allow a link."""
+        near = star.where((F.col("node") != F.col("pivot")) & (F.least("size", "pivot_size") >= similarity * F.greatest("size", "pivot_size")))
+        return near.select(*_pair(F.col("node"), F.col("pivot"))).distinct()
+
+    tried = settle(verify(settle(allowed(within), "near-star"), texts, shingle), "near-tried")
     links = tried.where(F.col("sim") >= similarity)
-    first = components(links)
-    # Buckets that hold several components: links across them, where bounds allow any.
-    own = within.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = own.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    apart = own.join(mixed, "band")
+    labels = _relabelled(needed.select("node", F.col("node").alias("label")), links)
     known = tried.select("a", "b", (1 - F.col("sim")).alias("far"))
-    apart = apart.withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}).join(known, ["a", "b"], "left")
-    apart = settle(apart.select("band", "node", "size", "label", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("far")).alias("far")), "near-apart")
+    # Texts that a link can still join to another component, with their distance to the central text.
+    mixed = _mixed(within.join(labels, "node"))
+    able = settle(_supported(texts, within.join(mixed, "band", "left_semi").select("node").distinct().join(labels, "node"), similarity, shingle), "near-able")
+    left = within.join(able, "node").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}).join(known, ["a", "b"], "left")
+    left = settle(left.select("band", "node", "size", "support", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("far")).alias("far")), "near-left")
+    for r in range(ROUNDS):
+        own = left.join(labels, "node")
+        groups = own.groupBy("band", "label").agg(F.count("*").alias("n"), F.max_by(F.struct("node", "size", "support"), F.xxhash64("band", "node", F.lit(r))).alias("one"))
+        most = groups.groupBy("band").agg(F.max_by(F.struct("label", "one"), F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+        most = most.select("band", F.col("most.label").alias("pivot_label"), F.col("most.one.node").alias("pivot"), F.col("most.one.size").alias("pivot_size"), F.col("most.one.support").alias("pivot_support"))
+        asked = allowed(own.join(most, "band").where((F.col("label") != F.col("pivot_label")) & _reaches("size", "pivot_size", "support", "pivot_support", similarity)))
+        asked = settle(asked.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "near-asked")
+        told = settle(verify(asked, texts, shingle), "near-told")
+        tried, links = tried.unionByName(told), links.unionByName(told.where(F.col("sim") >= similarity))
+        if not told.where(F.col("sim") >= similarity).limit(1).count():
+            break
+        labels = _relabelled(labels, told.where(F.col("sim") >= similarity))
+    own = left.join(labels, "node")
+    sketches = settle(texts.join(able, "node", "left_semi").mapInArrow(_sketched(shingle, unit), ", ".join(["node binary", *(f"s{k} long" for k in range(SKETCH // 64))])), "near-sketches")
+    apart = settle(own.join(_mixed(own), "band", "left_semi").join(sketches, "node"), "near-apart")
     x, y = apart.alias("x"), apart.alias("y")
-    near = (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size")) & ~(F.coalesce(F.abs(F.col("x.far") - F.col("y.far")), F.lit(0.0)) > 1 - similarity + 1e-9)
+    near = (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size")) & _reaches("x.size", "y.size", "x.support", "y.support", similarity) & ~(F.coalesce(F.abs(F.col("x.far") - F.col("y.far")), F.lit(0.0)) > 1 - similarity + 1e-9) & _alike(similarity)
     cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & near).select(*_pair(F.col("x.node"), F.col("y.node"))).distinct()
-    cross = settle(cross.join(tried, ["a", "b"], "left_anti"), "near-cross")
+    cross = settle(cross.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "near-cross")
     more = settle(verify(cross, texts, shingle).where(F.col("sim") >= similarity), "near-more")
     every = links.unionByName(more)
-    labels = components(links.select("a", "b").unionByName(more.select("a", "b"))) if more.limit(1).count() else first
+    labels = _relabelled(labels, more)
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     if with_label:
         return settle(labelled.select("doc_id", "node", "label"), "near-labelled"), every
