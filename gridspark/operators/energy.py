@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from gridspark import constants as C
 from gridspark.functions.scalars import total
 from gridspark.operators.metrics import present, with_horizontal, with_vertical
-from gridspark.operators.reduce import demean, run_area
+from gridspark.operators.reduce import demean, run_area, run_parameters
 from gridspark.operators.select import domain_of
 from gridspark.operators.stencil import face_to_centre, interface_value, pair_mean, pair_sums, vertical_divergence
 from gridspark.schema import LEVEL
@@ -25,17 +25,20 @@ def kinetic_energy(cells: DataFrame, grid2d: DataFrame) -> DataFrame:
     return _energies(cells, grid2d, ["KE"])
 
 
-def potential_energy(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame, n0: float = 1e-3) -> DataFrame:
+def potential_energy(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame, n0: float = 1e-3,
+                     parameters: DataFrame | None = None) -> DataFrame:
     """PE per level from squared temperature departures (unscaled coefficient, see the budget)."""
-    return _energies(with_vertical(cells, grid1d, "T0"), grid2d, ["PE"], n0)
+    return _energies(with_vertical(cells, grid1d, "T0"), grid2d, ["PE"], n0, parameters)
 
 
-def energy_profiles(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame, n0: float = 1e-3) -> DataFrame:
+def energy_profiles(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame, n0: float = 1e-3,
+                    parameters: DataFrame | None = None) -> DataFrame:
     """KE and PE per level in a single pass."""
-    return _energies(with_vertical(cells, grid1d, "T0"), grid2d, ["KE", "PE"], n0)
+    return _energies(with_vertical(cells, grid1d, "T0"), grid2d, ["KE", "PE"], n0, parameters)
 
 
-def _energies(cells: DataFrame, grid2d: DataFrame, wanted: list[str], n0: float = 1e-3) -> DataFrame:
+def _energies(cells: DataFrame, grid2d: DataFrame, wanted: list[str], n0: float = 1e-3,
+              parameters: DataFrame | None = None) -> DataFrame:
     rows = with_horizontal(cells, grid2d, "rA")
     u, v, area = F.col("UVEL"), F.col("VVEL"), F.col("rA")
     sums = {}
@@ -43,9 +46,12 @@ def _energies(cells: DataFrame, grid2d: DataFrame, wanted: list[str], n0: float
         sums["KE"] = total(u * u * F.col("hFacW") * area) * 0.5 + total(v * v * F.col("hFacS") * area) * 0.5
     if "PE" in wanted:
         departure = F.col("THETA") - F.col("T0")
-        scale = C.GRAVITY * C.PE_COEFFICIENT * C.PE_COEFFICIENT / 2.0 / (n0 * n0)
-        sums["PE"] = total(departure * departure * F.col("hFacC") * area) * scale
-    return rows.groupBy(*LEVEL).agg(*[sums[name].alias(name) for name in wanted])
+        sums["PE"] = total(departure * departure * F.col("hFacC") * area)
+    summed = rows.groupBy(*LEVEL).agg(*[sums[name].alias(name) for name in wanted])
+    if "PE" not in wanted:
+        return summed
+    scale = C.GRAVITY * C.PE_COEFFICIENT * C.PE_COEFFICIENT / 2.0 / (F.col("n0") * F.col("n0"))
+    return run_parameters(summed, parameters, n0=n0).withColumn("PE", F.col("PE") * scale).select(*LEVEL, *wanted)
 
 
 def pressure_work(cells: DataFrame, grid2d: DataFrame) -> DataFrame:
@@ -63,13 +69,14 @@ def pressure_work_divergence(cells: DataFrame, grid2d: DataFrame, grid1d: DataFr
 
 
 def body_force(cells: DataFrame, grid2d: DataFrame, f0: float = 1e-4, u0: float = 0.1,
-               periodic: bool = True) -> DataFrame:
+               periodic: bool = True, parameters: DataFrame | None = None) -> DataFrame:
     """Work of the background pressure gradient on the cross flow, centred in ``j``."""
     wanted = [*LEVEL, "j", "i", "VVEL", "hFacC", *present(cells, "rA")]
     lines = cells.select(*wanted).withColumn("_v", face_to_centre("VVEL", "j", periodic))
     rows = with_horizontal(lines, grid2d, "rA")
     summed = rows.groupBy(*LEVEL).agg(total(F.col("_v") * F.col("hFacC") * F.col("rA")).alias("_b"))
-    return summed.select(*LEVEL, (F.col("_b") * f0 * u0).alias("Bf"))
+    summed = run_parameters(summed, parameters, f0=f0, u0=u0)
+    return summed.select(*LEVEL, (F.col("_b") * F.col("f0") * F.col("u0")).alias("Bf"))
 
 
 def dissipation_profile(cells: DataFrame, grid2d: DataFrame) -> DataFrame:
@@ -94,22 +101,25 @@ def energy_tendency(energies: DataFrame, first: int = 0, last: int = 2,
 def energy_budget(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame, f0: float = 1e-4, u0: float = 0.1,
                   n0: float = 1e-3, records: tuple[int, int, int] = (0, 1, 2),
                   seconds: float = C.TENDENCY_SECONDS, periodic: bool = True,
-                  demean_between: tuple[float, float] | None = None) -> DataFrame:
+                  demean_between: tuple[float, float] | None = None,
+                  parameters: DataFrame | None = None) -> DataFrame:
     """Budget profile per run: ``Bf, dWPdz, dEdt`` and what they leave over (``resid``).
 
     Tendency is taken between the first and last of the three records, the other
     terms at the middle one.  ``demean_between`` gives two depths; the mean flow between
-    them (U's relative to ``u0``) is removed from each record first.
+    them (U's relative to ``u0``) is removed from each record first.  ``parameters`` gives ``f0``,
+    ``u0`` and ``n0`` by run where they differ.
     """
     first, mid, last = records
     if demean_between is not None:
-        cells = demean(cells.where(F.col("rec").isin(first, mid, last)), grid1d, *demean_between, background=u0)
+        cells = demean(cells.where(F.col("rec").isin(first, mid, last)), grid1d, *demean_between, background=u0,
+                       parameters=parameters)
     at_mid = cells.where(F.col("rec") == mid)
-    energies = energy_profiles(cells.where(F.col("rec").isin(first, last)), grid2d, grid1d, n0)
+    energies = energy_profiles(cells.where(F.col("rec").isin(first, last)), grid2d, grid1d, n0, parameters)
     terms = [
         energy_tendency(energies, first, last, seconds),
         pressure_work_divergence(at_mid, grid2d, grid1d).select("run", "k", "dWPdz"),
-        body_force(at_mid, grid2d, f0, u0, periodic).select("run", "k", "Bf"),
+        body_force(at_mid, grid2d, f0, u0, periodic, parameters).select("run", "k", "Bf"),
     ]
     joined = reduce(lambda a, b: a.join(b, ["run", "k"]), terms)
     resid = -F.col("dEdt") + F.col("Bf") - F.col("dWPdz")
@@ -184,16 +194,17 @@ def linear_side_flux(cells: DataFrame, grid2d: DataFrame, sides: str = "WESN", m
 
 
 def nonlinear_side_flux(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame, sides: str = "WESN",
-                        n0: float = 1e-3, margin: int = 1) -> DataFrame:
+                        n0: float = 1e-3, margin: int = 1, parameters: DataFrame | None = None) -> DataFrame:
     """Energy density at a side (normal + transverse kinetic + potential) carried by the normal flow."""
     rows = with_vertical(_side_rows(cells, grid2d, sides), grid1d, "T0")
     departure = F.col("THETA") - F.col("T0")
-    scale = 0.5 * C.GRAVITY * C.PE_COEFFICIENT * C.PE_COEFFICIENT / (n0 * n0)
     positions = rows.groupBy(*LEVEL, "side", "along").agg(
         *pair_sums("vt", "wet"),
-        F.try_divide(total(departure * departure * F.col("hFacC")) * scale, F.sum("hFacC")).alias("ape"),
+        total(departure * departure * F.col("hFacC")).alias("_d"), F.sum("hFacC").alias("_wet"),
         F.max("end").alias("end"), F.max("vn").alias("vn"), F.max("length").alias("length"),
     )
+    scale = 0.5 * C.GRAVITY * C.PE_COEFFICIENT * C.PE_COEFFICIENT / (F.col("n0") * F.col("n0"))
+    positions = run_parameters(positions, parameters, n0=n0).withColumn("ape", F.try_divide(F.col("_d") * scale, F.col("_wet")))
     positions = positions.withColumn("transverse", pair_mean("along", [*LEVEL, "side"])).where(_inside(margin))
     return _through_faces(positions, 0.5 * F.col("vn") * F.col("vn") + F.col("transverse") + F.col("ape"))
 

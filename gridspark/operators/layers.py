@@ -10,7 +10,7 @@ from gridspark.operators.metrics import with_vertical
 from gridspark.operators.reduce import profile_range
 from gridspark.operators.stencil import neighbour
 from gridspark.schema import COLUMN
-from gridspark.sources.shared import sized
+from gridspark.sources.shared import settle
 
 
 def layer_edges(grid1d: DataFrame, bins: int = 100) -> DataFrame:
@@ -58,7 +58,7 @@ def layer_transport(cells: DataFrame, grid1d: DataFrame, bins: int = 100, parts:
     rows = with_vertical(cells, grid1d, "drF")
     if parts > 1:
         rows = refine_vertically(rows, parts)
-    rows = rows.join(sized(profile_range(grid1d), "ranges"), "run")
+    rows = rows.join(settle(profile_range(grid1d), "ranges"), "run")
     return _summed(rows.withColumn("layer", uniform_bin("THETA", "low", "high", bins)), wet)
 
 

@@ -16,16 +16,30 @@ from gridspark.schema import COLUMN, LEVEL
 from gridspark.sources.shared import settle
 
 
+def run_parameters(rows: DataFrame, parameters: DataFrame | None, **defaults: float) -> DataFrame:
+    """Adds a column per named parameter: the run's own value in ``parameters`` (``run`` and
+    any of the names), else the default.  Call it on reduced rows; the table has a row per run."""
+    own = [n for n in defaults if parameters is not None and n in parameters.columns]
+    if own:
+        rows = rows.join(parameters.select("run", *own).dropDuplicates(["run"]), "run", "left")
+    return rows.withColumns({n: F.coalesce(n, F.lit(d)) if n in own else F.lit(d) for n, d in defaults.items()})
+
+
 def run_area(grid2d: DataFrame) -> DataFrame:
     """Total centre and south-face area of each run."""
     return grid2d.groupBy("run").agg(total("rA").alias("area"), total("rAs").alias("area_s"))
 
 
-def work_profile(cells: DataFrame, grid2d: DataFrame, f0: float = 1.4e-4, u0: float = 0.1) -> DataFrame:
-    """Work of the background flow per level: sum of V x wet fraction x area x f0 x U0."""
+def work_profile(cells: DataFrame, grid2d: DataFrame, f0: float = 1.4e-4, u0: float = 0.1,
+                 parameters: DataFrame | None = None) -> DataFrame:
+    """Work of the background flow per level: sum of V x wet fraction x area x f0 x U0.
+
+    ``parameters`` gives ``f0`` and ``u0`` by run where they differ.
+    """
     rows = with_horizontal(cells, grid2d, "rAs")
     summed = rows.groupBy(*LEVEL).agg(total(F.col("VVEL") * F.col("hFacS") * F.col("rAs")).alias("_v"))
-    return summed.select(*LEVEL, (F.col("_v") * f0 * u0).alias("work"))
+    summed = run_parameters(summed, parameters, f0=f0, u0=u0)
+    return summed.select(*LEVEL, (F.col("_v") * F.col("f0") * F.col("u0")).alias("work"))
 
 
 def mean_flow_profile(cells: DataFrame, grid2d: DataFrame) -> DataFrame:
@@ -37,23 +51,26 @@ def mean_flow_profile(cells: DataFrame, grid2d: DataFrame) -> DataFrame:
 
 
 def window_mean_flow(cells: DataFrame, grid1d: DataFrame, low: float = -2000.0, high: float = -50.0,
-                     background: float = 0.0) -> DataFrame:
-    """Unweighted mean of U (minus the background) and V between two depths, per record."""
+                     background: float = 0.0, parameters: DataFrame | None = None) -> DataFrame:
+    """Unweighted mean of U (minus the background) and V between two depths, per record.
+
+    ``parameters`` gives the background as ``u0`` by run.
+    """
     levels = grid1d.where((F.col("Z") > low) & (F.col("Z") < high)).select("run", "k")
     inside = cells.select("run", "rec", "k", "UVEL", "VVEL").join(levels, ["run", "k"], "left_semi")
-    return inside.groupBy("run", "rec").agg(
-        (F.avg("UVEL") - background).alias("u_mean"), F.avg("VVEL").alias("v_mean")
-    )
+    means = inside.groupBy("run", "rec").agg(F.avg("UVEL").alias("u_mean"), F.avg("VVEL").alias("v_mean"))
+    means = run_parameters(means, parameters, u0=background)
+    return means.select("run", "rec", (F.col("u_mean") - F.col("u0")).alias("u_mean"), "v_mean")
 
 
 def demean(cells: DataFrame, grid1d: DataFrame, low: float = -2000.0, high: float = -50.0,
-           background: float = 0.0) -> DataFrame:
+           background: float = 0.0, parameters: DataFrame | None = None) -> DataFrame:
     """Subtract each record's depth-window mean from U and V.
 
     The means (one row per record) are settled first, so joining them does not
     shuffle the cells while they fit the broadcast threshold.
     """
-    means = settle(window_mean_flow(cells, grid1d, low, high, background), "window-means")
+    means = settle(window_mean_flow(cells, grid1d, low, high, background, parameters), "window-means")
     return (
         cells.join(means, ["run", "rec"])
         .withColumn("UVEL", F.col("UVEL") - F.col("u_mean"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from gridspark.functions.scalars import _col
-from gridspark.sources.shared import settle, sized
+from gridspark.sources.shared import settle
 
 
 # --- run-level dimension tables -------------------------------------------
@@ -39,7 +39,7 @@ def domain_of(grid2d: DataFrame) -> DataFrame:
     sizes = grid2d.groupBy("run").agg(
         (F.max("j") + 1).cast("int").alias("nj"), (F.max("i") + 1).cast("int").alias("ni")
     )
-    return sized(sizes, "domains")
+    return settle(sizes, "domains")
 
 
 # --- columns ---------------------------------------------------------------

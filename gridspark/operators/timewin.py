@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridspark import constants as C
 from gridspark.functions.scalars import _col
-from gridspark.sources.shared import sized
+from gridspark.sources.shared import settle
 
 
 def event_time(seconds="time_s") -> Column:
@@ -74,7 +74,7 @@ def drop_restart_overlap(rows: DataFrame, winners: DataFrame | None = None) -> D
     The decision is made on (run, iter, segment) - partial maxima keep that shuffle at
     one row per record - not by ranking cells, which would put a whole record in one task.
     """
-    winners = sized(winning_segments(rows), "segments") if winners is None else winners
+    winners = settle(winning_segments(rows), "segments") if winners is None else winners
     return rows.join(winners, ["run", "iter", "segment"], "left_semi")
 
 
@@ -92,4 +92,4 @@ def cyclic_forcing(times: DataFrame, samples: DataFrame, step: float = C.FORCING
     after = F.pmod(here + 1, size)
     part = at - F.floor(at)
     value = F.element_at("samples", here + 1) * (1 - part) + F.element_at("samples", after + 1) * part
-    return times.join(sized(samples, "forcing"), "run").withColumn("u", value).drop("samples")
+    return times.join(settle(samples, "forcing"), "run").withColumn("u", value).drop("samples")

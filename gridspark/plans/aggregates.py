@@ -10,12 +10,12 @@ from gridspark.plans.registry import query, rounded
 from gridspark.sources.shared import settle
 
 
-@query("a01_work_profile", uses="cells grid2d", sql="""
-SELECT run, rec, k, COALESCE(SUM(VVEL * hFacS * rAs), 0) * 1.4e-4 * 0.1 AS work
-FROM cells JOIN grid2d USING (run, j, i) GROUP BY run, rec, k""")
+@query("a01_work_profile", uses="cells grid2d params", sql="""
+SELECT run, rec, k, COALESCE(SUM(VVEL * hFacS * rAs), 0) * any_value(f0) * any_value(u0) AS work
+FROM cells JOIN grid2d USING (run, j, i) JOIN params USING (run) GROUP BY run, rec, k""")
 def work_profile(t):
     """Work of the background flow per run, record and level."""
-    return reduce.work_profile(t.cells, t.grid2d)
+    return reduce.work_profile(t.cells, t.grid2d, parameters=t.params)
 
 
 @query("a02_mean_flow_profile", uses="cells grid2d", sql="""
@@ -62,20 +62,20 @@ def pressure_work(t):
     return rounded(energy.pressure_work_divergence(t.cells, t.grid2d, t.grid1d))
 
 
-_BF = """SELECT run, rec, k, COALESCE(SUM(0.5 * (VVEL + vb) * hFacC * rA), 0) * 1e-4 * 0.1 AS Bf FROM (
+_BF = """SELECT run, rec, k, COALESCE(SUM(0.5 * (VVEL + vb) * hFacC * rA), 0) * any_value(f0) * any_value(u0) AS Bf FROM (
   SELECT *, CASE WHEN j = 0 THEN first_value(VVEL) OVER (PARTITION BY run, rec, k, i ORDER BY j DESC)
-    ELSE lag(VVEL) OVER (PARTITION BY run, rec, k, i ORDER BY j) END AS vb FROM cells) JOIN grid2d USING (run, j, i) GROUP BY run, rec, k"""
+    ELSE lag(VVEL) OVER (PARTITION BY run, rec, k, i ORDER BY j) END AS vb FROM cells) JOIN grid2d USING (run, j, i) JOIN params USING (run) GROUP BY run, rec, k"""
 
 
-@query("a07_body_force", uses="cells grid2d", sql=f"SELECT run, rec, k, Bf AS Bf FROM ({_BF})")
+@query("a07_body_force", uses="cells grid2d params", sql=f"SELECT run, rec, k, Bf AS Bf FROM ({_BF})")
 def body_force(t):
     """Body force with the periodic neighbour average."""
-    return energy.body_force(t.cells, t.grid2d)
+    return energy.body_force(t.cells, t.grid2d, parameters=t.params)
 
 
 # The operators' own constant factors, written so that SQL reads the same doubles.
-_PE_SCALE = f"{9.8 * 4e-4 * 4e-4 / 2.0 / (1e-3 * 1e-3):.17e}"
-_APE_SCALE = f"{0.5 * 9.8 * 4e-4 * 4e-4 / (1e-3 * 1e-3):.17e}"
+_PE_SCALE = f"({9.8 * 4e-4 * 4e-4 / 2.0:.17e} / (any_value(n0) * any_value(n0)))"
+_APE_SCALE = f"({0.5 * 9.8 * 4e-4 * 4e-4:.17e} / (any_value(n0) * any_value(n0)))"
 _KE = """COALESCE(SUM(UVEL*UVEL*hFacW*rA), 0) * 0.5 + COALESCE(SUM(VVEL*VVEL*hFacS*rA), 0) * 0.5"""
 _PE = f"""COALESCE(SUM((THETA-T0)*(THETA-T0)*hFacC*rA), 0) * {_PE_SCALE}"""
 
@@ -87,11 +87,11 @@ def kinetic_energy(t):
     return energy.kinetic_energy(t.cells, t.grid2d)
 
 
-@query("a09_potential_energy", uses="cells grid2d grid1d", sql=f"""
-SELECT run, rec, k, {_PE} AS PE FROM cells JOIN grid2d USING (run, j, i) JOIN grid1d USING (run, k) GROUP BY run, rec, k""")
+@query("a09_potential_energy", uses="cells grid2d grid1d params", sql=f"""
+SELECT run, rec, k, {_PE} AS PE FROM cells JOIN grid2d USING (run, j, i) JOIN grid1d USING (run, k) JOIN params USING (run) GROUP BY run, rec, k""")
 def potential_energy(t):
     """Potential energy profile."""
-    return energy.potential_energy(t.cells, t.grid2d, t.grid1d)
+    return energy.potential_energy(t.cells, t.grid2d, t.grid1d, parameters=t.params)
 
 
 @query("a10_dissipation_profile", uses="cells grid2d", sql="""
@@ -101,25 +101,28 @@ def dissipation_profile(t):
     return energy.dissipation_profile(t.cells, t.grid2d)
 
 
-_E = f"SELECT run, rec, k, {_KE} AS KE, {_PE} AS PE FROM cells JOIN grid2d USING (run, j, i) JOIN grid1d USING (run, k) GROUP BY run, rec, k"
+_E = f"SELECT run, rec, k, {_KE} AS KE, {_PE} AS PE FROM cells JOIN grid2d USING (run, j, i) JOIN grid1d USING (run, k) JOIN params USING (run) GROUP BY run, rec, k"
 _TENDENCY = f"""SELECT run, k, (SUM(KE) FILTER (rec = 2) - SUM(KE) FILTER (rec = 0)
   + (SUM(PE) FILTER (rec = 2) - SUM(PE) FILTER (rec = 0)) * 2.45e0) / 3600 AS dEdt FROM ({_E}) GROUP BY run, k"""
 
 
-@query("a11_energy_tendency", uses="cells grid2d grid1d", sql=f"SELECT run, k, dEdt AS dEdt FROM ({_TENDENCY})")
+@query("a11_energy_tendency", uses="cells grid2d grid1d params", sql=f"SELECT run, k, dEdt AS dEdt FROM ({_TENDENCY})")
 def energy_tendency(t):
     """Energy change between two records over a fixed time."""
-    return energy.energy_tendency(energy.energy_profiles(at(t.cells, rec=[0, 2]), t.grid2d, t.grid1d))
+    return energy.energy_tendency(energy.energy_profiles(at(t.cells, rec=[0, 2]), t.grid2d, t.grid1d, parameters=t.params))
 
 
 _BUDGET = f"""SELECT run, k, Z, Bf, dWPdz, dEdt, -dEdt + Bf - dWPdz AS resid FROM ({_TENDENCY}) e
   JOIN (SELECT run, k, Bf FROM ({_BF}) WHERE rec = 1) b USING (run, k) JOIN (SELECT run, k, dWPdz FROM ({_DWP}) WHERE rec = 1) w USING (run, k)
   JOIN grid1d USING (run, k)"""
-_BUDGET_TABLES = "cells grid2d grid1d"
+_BUDGET_TABLES = "cells grid2d grid1d params"
+
+
+_TERMS = ["Bf", "dWPdz", "dEdt", "resid"]
 
 
 def _budget(t):
-    return energy.energy_budget(t.cells, t.grid2d, t.grid1d)
+    return energy.energy_budget(t.cells, t.grid2d, t.grid1d, parameters=t.params)
 
 
 @query("a12_budget_residual", uses=_BUDGET_TABLES, sql=f"""
@@ -130,6 +133,18 @@ def budget_residual(t):
     return out.select("run", "k", "Z", "Bf", F.round("dWPdz", 6).alias("dWPdz"), "dEdt", F.round("resid", 6).alias("resid"))
 
 
+_DEMEANED = """m AS (SELECT run, rec, AVG(UVEL) - any_value(u0) AS um, AVG(VVEL) AS vm FROM cells JOIN grid1d USING (run, k) JOIN params USING (run) WHERE Z < -10 AND Z > -60 GROUP BY run, rec),
+cells AS (SELECT c.* REPLACE (UVEL - um AS UVEL, VVEL - vm AS VVEL) FROM cells c JOIN m USING (run, rec))"""
+
+
+@query("a12_demeaned_budget", uses=_BUDGET_TABLES, sql=f"""
+SELECT run, k, Z, round(Bf, 6) AS Bf, round(dWPdz, 6) AS dWPdz, round(dEdt, 6) AS dEdt, round(resid, 6) AS resid FROM (WITH {_DEMEANED} {_BUDGET})""")
+def demeaned_budget(t):
+    """The budget of what is left when each record's mean flow between two depths is taken off."""
+    out = energy.energy_budget(t.cells, t.grid2d, t.grid1d, demean_between=(-60.0, -10.0), parameters=t.params)
+    return rounded(out.select("run", "k", "Z", *_TERMS))
+
+
 def _linear_sql(side: str) -> str:
     a, b, vn, length = ("i", "j", "UVEL", "dyG") if side in "WE" else ("j", "i", "VVEL", "dxG")
     strip = f"{a} < 2" if side in "WS" else f"{a} >= m{a} - 1"
@@ -166,33 +181,34 @@ def _nonlinear_sql(side: str) -> str:
         SELECT run, rec, k, {b}, any_value(m{b}) AS last_b, COALESCE(SUM(0.5*{vt}*{vt}*{wet}), 0) AS num, SUM({wet}) AS den,
           COALESCE(SUM((THETA-T0)*(THETA-T0)*hFacC), 0) * {_APE_SCALE} / nullif(SUM(hFacC), 0) AS ape,
           max(CASE WHEN {a} = {face} THEN {vn} END) AS vn, max(CASE WHEN {a} = {face} THEN {length} END) AS len
-        FROM cells JOIN grid2d USING (run, j, i) JOIN grid1d USING (run, k) JOIN n USING (run) WHERE {strip} GROUP BY run, rec, k, {b})
+        FROM cells JOIN grid2d USING (run, j, i) JOIN grid1d USING (run, k) JOIN n USING (run) JOIN params USING (run) WHERE {strip} GROUP BY run, rec, k, {b})
       WINDOW w AS (PARTITION BY run, rec, k ORDER BY {b})) WHERE {b} BETWEEN 1 AND last_b - 1 GROUP BY run, rec, k"""
 
 
-@query("a15_nonlinear_flux", uses="cells grid2d grid1d",
+@query("a15_nonlinear_flux", uses="cells grid2d grid1d params",
        sql=f"WITH {_ENDS} " + " UNION ALL ".join(_nonlinear_sql(s) for s in "SNEW"))
 def nonlinear_flux(t):
     """Energy carried through all four sides by the normal flow."""
-    return rounded(energy.nonlinear_side_flux(t.cells, t.grid2d, t.grid1d, "SNEW"))
+    return rounded(energy.nonlinear_side_flux(t.cells, t.grid2d, t.grid1d, "SNEW", parameters=t.params))
 
 
 _AREA = "(SELECT run, SUM(rA) AS area FROM grid2d GROUP BY run)"
 
 
 @query("a16_column_totals", uses=_BUDGET_TABLES, sql=f"""
-SELECT run, round(SUM(Bf)*10/(area/1e6), 6) AS Bf_total, round(SUM(dEdt)*10/(area/1e6), 6) AS dEdt_total
+SELECT run, round(SUM(Bf)*10/(area/1e6), 5) AS Bf_total, round(SUM(dWPdz)*10/(area/1e6), 5) AS dWPdz_total,
+  round(SUM(dEdt)*10/(area/1e6), 5) AS dEdt_total, round(SUM(resid)*10/(area/1e6), 5) AS resid_total
 FROM ({_BUDGET}) JOIN {_AREA} USING (run) GROUP BY run, area""")
 def column_totals(t):
     """Depth-integrated budget terms per square kilometre."""
-    return rounded(reduce.column_totals(_budget(t), reduce.run_area(t.grid2d), ["Bf", "dEdt"]))
+    return rounded(reduce.column_totals(_budget(t), reduce.run_area(t.grid2d), _TERMS), 5)
 
 
 @query("a17_normalised_profiles", uses=_BUDGET_TABLES, sql=f"""
-SELECT run, k, Bf/area AS Bf_norm, dEdt/area AS dEdt_norm FROM ({_BUDGET}) JOIN {_AREA} USING (run)""")
+SELECT run, k, round(Bf/area, 9) AS Bf_norm, round(dWPdz/area, 9) AS dWPdz_norm, round(dEdt/area, 9) AS dEdt_norm, round(resid/area, 9) AS resid_norm FROM ({_BUDGET}) JOIN {_AREA} USING (run)""")
 def normalised_profiles(t):
     """Budget terms per unit area."""
-    return reduce.normalised_profiles(_budget(t), reduce.run_area(t.grid2d), ["Bf", "dEdt"])
+    return rounded(reduce.normalised_profiles(_budget(t), reduce.run_area(t.grid2d), _TERMS), 9)
 
 
 @query("a18_temperature_profile", uses="cells", sql="""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridspark.operators import catalogue, reduce, select
+from gridspark.plans.aggregates import _BUDGET, _BUDGET_TABLES, _TERMS, _budget
 from gridspark.plans.binary_fixture import write_level_files
 from gridspark.plans.registry import query, rounded
 from gridspark.sources import binary, tables as store, text
@@ -82,13 +83,14 @@ def replace_runs(t):
     return store.read_cells(t.spark, path, "rec int, sum_u double, run string")
 
 
-@query("s08_budget_tables", uses="grid2d grid1d", sql="""
-SELECT d.run, k, Z, area FROM grid1d d JOIN (SELECT run, SUM(rA) AS area FROM grid2d GROUP BY run) a USING (run)""")
+@query("s08_budget_tables", uses=_BUDGET_TABLES, sql=f"""
+SELECT run, k, Z, round(Bf, 6) AS Bf, round(dWPdz, 6) AS dWPdz, round(dEdt, 6) AS dEdt, round(resid, 6) AS resid, area
+FROM ({_BUDGET}) JOIN (SELECT run, SUM(rA) AS area FROM grid2d GROUP BY run) USING (run)""")
 def budget_tables(t):
     """Profile and scalar results written side by side and read back."""
     path = fresh_path(t.spark, "budget")
-    store.write_budget(t.grid1d.select("run", "k", "Z"), reduce.run_area(t.grid2d).select("run", "area"), path)
-    profile = store.read_cells(t.spark, f"{path}/profile", "k int, Z double, run string")
+    store.write_budget(rounded(_budget(t).select("run", "k", "Z", *_TERMS)), reduce.run_area(t.grid2d).select("run", "area"), path)
+    profile = store.read_cells(t.spark, f"{path}/profile", "k int, Z double, Bf double, dWPdz double, dEdt double, resid double, run string")
     scalars = store.read_cells(t.spark, f"{path}/scalars", "area double, run string")
     return profile.join(scalars, "run")
 
@@ -265,12 +267,13 @@ def background_anomaly(t):
 
 
 @query("p13_depth_time_section", uses="cells", sql="""
-SELECT run, k, SUM(UVEL) FILTER (rec = 0) AS "0", SUM(UVEL) FILTER (rec = 1) AS "1", SUM(UVEL) FILTER (rec = 2) AS "2"
+SELECT run, k, SUM(UVEL) FILTER (rec = 0) AS "0", SUM(UVEL) FILTER (rec = 1) AS "1", SUM(UVEL) FILTER (rec = 2) AS "2",
+  SUM(UVEL) FILTER (rec = 3) AS "3", SUM(UVEL) FILTER (rec = 4) AS "4", SUM(UVEL) FILTER (rec = 5) AS "5", SUM(UVEL) FILTER (rec = 6) AS "6"
 FROM cells GROUP BY run, k""")
 def depth_time_section(t):
     """Level by record matrix of a reduced profile."""
-    profile = select.at(t.cells, rec=[0, 1, 2]).groupBy("run", "rec", "k").agg(F.sum("UVEL").alias("su"))
-    return select.depth_time_section(profile, "su", [0, 1, 2])
+    profile = t.cells.groupBy("run", "rec", "k").agg(F.sum("UVEL").alias("su"))
+    return select.depth_time_section(profile, "su", [0, 1, 2, 3, 4, 5, 6])
 
 
 @query("p14_bathymetry_section", uses="grid2d", sql="SELECT run, i, Depth FROM grid2d WHERE j = 5")

@@ -91,6 +91,9 @@ _SQL = {
     "cells2d": """SELECT run, rec, j, i, CAST(rec AS BIGINT) * 3600 AS iter, rec * 22320e0 AS time_s,
       MAX(CASE WHEN k = 0 THEN sp % 101 - 50 END) / 1024e0 AS ETAN, MAX(CASE WHEN k = 6 THEN sp % 101 - 50 END) / 1024e0 AS PHIBOT
       FROM dense GROUP BY ALL""",
+    # parameters by run, as their parameter files have them
+    "params": """SELECT run, (1 + ascii(run) % 7) / 64e0 AS u0, (1 + ascii(run) % 5) / 8192e0 AS f0, (1 + ascii(run) % 3) / 1024e0 AS n0
+      FROM (SELECT DISTINCT l_returnflag AS run FROM lineitem)""",
     # sweep of generated runs
     "spec": """SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS run, CAST(48 + 8*(s_suppkey % 3) AS INT) AS nx,
       CAST(1 + s_suppkey % 2 AS INT) AS ny, CAST(20 AS INT) AS nz, 2000e0 AS H, (10 + s_suppkey % 11) / 10000e0 AS N0,
@@ -277,6 +280,21 @@ class Tables:
         return self._kept("records", lambda: index_records(
             self.cells.groupBy("run", "stream", "rec", "iter", "time_s").agg(F.lit(1).alias("seen")).drop("seen")))
 
+    @cached_property
+    def params(self) -> DataFrame:
+        """Parameters by run, harvested from the text of a parameter file per run."""
+        from gridspark.operators.catalogue import harvest_parameters
+
+        def build():
+            runs = self.grid1d.select("run").distinct()
+            texts = F.expr("array('# parameters', '&PARM05', concat(' u0 = ', (1 + ascii(run) % 7) / 64e0, ','), "
+                           "concat(' f0 = ', (1 + ascii(run) % 5) / 8192e0, ','), concat(' n0 = ', (1 + ascii(run) % 3) / 1024e0), ' /')")
+            lines = runs.select("run", F.lit("data").alias("file"), F.lit(0).alias("chunk"), F.posexplode(texts).alias("ord", "value"))
+            found = harvest_parameters(lines)
+            return found.groupBy("run").agg(*[F.max(F.when(F.col("name") == n, F.col("value").cast("double"))).alias(n) for n in ("u0", "f0", "n0")])
+
+        return self._kept("params", build)
+
     @cached_property
     def spec(self) -> DataFrame:
         """Parameters of a generated sweep, one run per supplier."""

@@ -36,18 +36,6 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def sized(df: DataFrame, label: str) -> DataFrame:
-    """``df`` itself where Spark's estimate already allows a broadcast, else the settled table.
-
-    For one-row-per-run tables reduced from large inputs: their estimate is that of the
-    input, so without this a join back would shuffle the cells on a few hot keys.
-    """
-    threshold = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b")
-    limit = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold)
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if estimate <= limit else settle(df, label)
-
-
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the re-read table."""
     spark = df.sparkSession
