@@ -9,6 +9,7 @@ from gridspark.functions.names import (
 )
 from gridspark.functions.scalars import inverse_froude, drag_first_order, drag_second_order
 from gridspark.operators.ordered import carry_forward
+from gridspark.sources.shared import settle
 
 
 # --- run log ---------------------------------------------------------------
@@ -22,14 +23,15 @@ def run_log_entries(lines: DataFrame, keys=("file",), chunk: str = "chunk", orde
     keys = list(keys)
     start = F.when(F.col("value").rlike(STAMP_PATTERN), F.struct(F.col(order).alias("at"), F.trim("value").alias("stamp")))
     marked = carry_forward(lines, start, keys, chunk, order, "entry")
-    body = F.col(order) > F.col("entry.at")
-    is_path = body & F.col("value").rlike("results/[^/]+/")
-    is_text = body & ~F.col("value").rlike("results/[^/]+/") & (F.trim("value") != "")
+    is_text = (F.col(order) > F.col("entry.at")) & (F.trim("value") != "")
     grouped = marked.where(F.col("entry").isNotNull()).groupBy(*keys, "entry").agg(
-        F.min_by(F.when(is_path, F.col("value")), F.when(is_path, F.col(order))).alias("path"),
         F.array_sort(F.collect_list(F.when(is_text, F.struct(F.col(order).alias("o"), F.col("value").alias("v"))))).alias("text"),
     )
-    comment = F.array_join(F.transform("text", lambda t: F.trim(t["v"])), " ")
+    # Only the line after the stamp is a path; a comment may mention one.
+    first = F.get("text", F.lit(0))["v"]
+    grouped = grouped.withColumn("path", F.when(first.rlike("results/[^/]+/"), first))
+    words = F.filter("text", lambda t, n: (n > 0) | F.col("path").isNull())
+    comment = F.array_join(F.transform(words, lambda t: F.trim(t["v"])), " ")
     return grouped.select(
         *keys, parse_stamp("entry.stamp").alias("logged_at"), run_of_path("path").alias("run"),
         comment.alias("comment"),
@@ -70,38 +72,34 @@ def job_status(jobs: DataFrame, accounting: DataFrame, line: str = "ord") -> Dat
     """One status text and one id text per job-log line, ids in written order, with the
     elapsed time of the line's last running job.
 
-    Grouping is by log line, so a group holds only the ids written on that line.
+    Grouping is by log line, so a group holds only the ids written on that line.  Lines
+    without ids stay out of the join, where they would all meet under one missing key.
+    Jobs travel as accounted and are worded once, after grouping.
     """
-    ids = jobs.select(line, "run", F.posexplode_outer("job_ids").alias("pos", "job_id"))
-    known = ids.join(accounting, "job_id", "left")
-
-    def label(first_pending: bool):
-        return job_label("job_id", "state", "reason", "exit_code", F.lit(first_pending))
-
-    pending = F.when(F.col("state") == "PENDING", F.col("pos"))
-    jobs_in_order = F.array_sort(F.collect_list(F.when(F.col("job_id").isNotNull(), F.struct(
-        "pos", "job_id", label(True).alias("as_first"), label(False).alias("as_later")))))
-    running = F.col("state") == "RUNNING"
-    grouped = known.groupBy(line, "run").agg(
-        jobs_in_order.alias("jobs"), F.min(pending).alias("first"),
-        F.coalesce(F.max(running), F.lit(False)).alias("running"),
-        F.max_by("elapsed", F.when(running, F.col("pos"))).alias("elapsed"),
-    )
-
-    # Which pending job is the first is known only now; both texts came with the job.
-    def text(job):
-        return F.when(job["pos"] == F.col("first"), job["as_first"]).otherwise(job["as_later"])
-
-    return grouped.select(
+    ids = jobs.select(line, "run", F.posexplode("job_ids").alias("pos", "job_id"))
+    known = ids.join(accounting.select("job_id", "state", "reason", "exit_code", "elapsed"), "job_id", "left")
+    job = F.struct("pos", "job_id", "state", "reason", "exit_code", "elapsed")
+    grouped = known.groupBy(line, "run").agg(F.array_sort(F.collect_list(job)).alias("jobs"))
+    bare = jobs.where("coalesce(size(job_ids), 0) <= 0").select(line, "run")
+    bare = bare.distinct().withColumn("jobs", F.array().cast(grouped.schema["jobs"].dataType))
+    first = F.get(F.transform(F.filter("jobs", lambda x: x["state"] == "PENDING"), lambda x: x["pos"]), F.lit(0))
+    running = F.filter("jobs", lambda x: x["state"] == "RUNNING")
+
+    def text(x):
+        return job_label(x["job_id"], x["state"], x["reason"], x["exit_code"], x["pos"].eqNullSafe(F.col("first")))
+
+    rows = grouped.unionByName(bare).withColumns({"first": first, "_running": running})
+    return rows.select(
         line, "run", F.array_join(F.transform("jobs", text), "  ").alias("job_states"),
-        F.array_join(F.transform("jobs", lambda job: job["job_id"]), " ").alias("job_ids"), "running", "elapsed",
+        F.array_join(F.transform("jobs", lambda x: x["job_id"]), " ").alias("job_ids"), (F.size("_running") > 0).alias("running"),
+        F.try_element_at("_running", F.lit(-1))["elapsed"].alias("elapsed"),
     )
 
 
 def job_overview(jobs: DataFrame, accounting: DataFrame, progress: DataFrame, line: str = "ord") -> DataFrame:
     """Job status per line with the run's latest model time and CFL numbers where it is running."""
     status = job_status(jobs, accounting, line)
-    return status.join(progress, "run", "left")
+    return status.join(settle(progress, "progress"), "run", "left")  # a row per run: its true size decides the join
 
 
 # --- parameter files -------------------------------------------------------

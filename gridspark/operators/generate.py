@@ -161,22 +161,22 @@ def tracer_columns(bathy: DataFrame, level_rows: DataFrame) -> DataFrame:
 
 
 def tracer_fields(bathy: DataFrame, level_rows: DataFrame) -> DataFrame:
-    """Initial tracer concentrations: a dose in the four levels above the seafloor near each target depth.
+    """Initial tracer concentrations: a dose in the first row, in the four levels above the seafloor near each target depth.
 
     Doses are attached to the axis rows (one row per column) before levels are exploded.
     """
     doses = tracer_columns(bathy, level_rows).groupBy("run", "i").agg(
         F.collect_list(F.struct("tracer", "k_bottom")).alias("doses")
     )
-    axis = bathy.select("run", "i", "nz").join(doses, ["run", "i"], "left")
-    cells = axis.select("*", _index("nz", "k"))
+    axis = bathy.select("run", "i", "nz", "ny").join(doses, ["run", "i"], "left")
+    cells = axis.select("*", _index("nz", "k")).select("*", _index("ny", "j"))
 
     def dosed(name):
         hit = F.exists("doses", lambda t: (t["tracer"] == name) & (F.col("k") <= t["k_bottom"])
                        & (F.col("k") > t["k_bottom"] - TRACER_LEVELS))
-        return F.when(hit, F.lit(TRACER_DOSE)).otherwise(F.lit(TRACER_BACKGROUND)).alias(name)
+        return F.when(hit & (F.col("j") == 0), F.lit(TRACER_DOSE)).otherwise(F.lit(TRACER_BACKGROUND)).alias(name)
 
-    return cells.select("run", "k", F.lit(0).alias("j"), "i", *[dosed(n) for n in TRACER_DEPTHS])
+    return cells.select("run", "k", "j", "i", *[dosed(n) for n in TRACER_DEPTHS])
 
 
 # --- mixing ----------------------------------------------------------------
@@ -187,20 +187,32 @@ def _mixing_cells(bathy: DataFrame, level_rows: DataFrame) -> DataFrame:
     Level depths come as one array per run and are exploded in place.
     """
     on_slope = F.col("d") > -F.col("H")
-    axis = bathy.select("run", "i", "d", "x", "H", carry_from_east("x", on_slope, "i", ["run"]).alias("_edge"))
+    axis = bathy.select("run", "i", "ny", "d", "x", "H", carry_from_east("x", on_slope, "i", ["run"]).alias("_edge"))
     axis = axis.withColumn("_off", F.when(on_slope, F.lit(0.0)).otherwise(F.col("_edge") - F.col("x")))
     columns = axis.join(depth_arrays(level_rows), "run")
-    cells = columns.select("run", "i", "d", "H", "_off", F.posexplode("depths").alias("k", "_depth"))
+    cells = columns.select("run", "i", "ny", "d", "H", "_off", F.posexplode("depths").alias("k", "_depth"))
     return cells.withColumn("z", -F.col("_depth")).drop("_depth")
 
 
+def _first_row(cells: DataFrame) -> DataFrame:
+    """Whole volume of a diffusivity that is given for the first row; the others have the floor."""
+    rows = cells.select("*", _index("ny", "j"))
+    return rows.select("run", "k", "j", "i", F.when(F.col("j") == 0, F.col("Kr")).otherwise(F.lit(C.DIFFUSIVITY_FLOOR)).alias("Kr"))
+
+
+def seafloor_rows(bathy: DataFrame) -> DataFrame:
+    """Seafloor of every row ``j``: the slope in the first one, land (depth 0) in the others."""
+    rows = bathy.select("*", _index("ny", "j"))
+    return rows.withColumn("d", F.when(F.col("j") == 0, F.col("d")).otherwise(F.lit(0.0)))
+
+
 def bottom_diffusivity(bathy: DataFrame, level_rows: DataFrame, decay: float = 250.0,
                        strength: float = 1e-2) -> DataFrame:
     """Diffusivity decaying exponentially above the seafloor and away from the slope, with a floor."""
     cells = _mixing_cells(bathy, level_rows)
     k = strength * F.exp((F.col("z") + F.col("d")) / decay) * F.exp(-F.col("_off") / OFF_SLOPE_DECAY)
     k = F.when(F.col("i") == 0, F.lit(C.DIFFUSIVITY_FLOOR)).otherwise(floor_at(k, C.DIFFUSIVITY_FLOOR))
-    return cells.select("run", "k", F.lit(0).alias("j"), "i", k.alias("Kr"))
+    return _first_row(cells.withColumn("Kr", k))
 
 
 def block_diffusivity(bathy: DataFrame, level_rows: DataFrame, decay: float = 250.0,
@@ -212,4 +224,4 @@ def block_diffusivity(bathy: DataFrame, level_rows: DataFrame, decay: float = 25
     cells = cells.withColumn("_k", F.when(near, raised).otherwise(F.lit(C.DIFFUSIVITY_FLOOR)))
     smooth = moving_geometric_mean("_k", "k", ["run", "i"], MIX_SMOOTH_WIDTH)
     k = F.when(F.col("i") == 0, F.lit(C.DIFFUSIVITY_FLOOR)).otherwise(floor_at(smooth, C.DIFFUSIVITY_FLOOR))
-    return cells.select("run", "k", F.lit(0).alias("j"), "i", k.alias("Kr"))
+    return _first_row(cells.withColumn("Kr", k))

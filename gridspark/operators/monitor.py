@@ -7,17 +7,23 @@ from pyspark.sql import DataFrame, functions as F, Window
 from gridspark.functions.scalars import days, last_number
 from gridspark.operators.ordered import carry_forward
 
-# The metric families written to the log and the lines shown in a status check.
-METRIC_PATTERN = r"((?:time|dynstat|trAdv_CFL|advcfl)_\w+)"
+#: The name before the equals sign of any monitor line.
+METRIC_PATTERN = r"%MON\s+(\w+)\s*="
+# The lines shown in a status check.
 STATUS_METRICS = "advcfl_wvel_max|time_seconds|dynstat_uvel_max"
 BLOCK_METRIC = "time_tsnumber"
 TIME_METRIC = "time_secondsf"
 CFL_METRICS = {"cfl_u": "advcfl_uvel_max", "cfl_v": "advcfl_vvel_max", "cfl_w": "advcfl_wvel_max"}
 
 
-def metrics(lines: DataFrame) -> DataFrame:
-    """Metric name and value of every metric line; the value is the line's last token."""
+def metrics(lines: DataFrame, families: tuple[str, ...] = ()) -> DataFrame:
+    """Metric name and value of every monitor line; the value is the line's last token.
+
+    ``families`` keeps only metrics whose name starts with one of them.
+    """
     found = lines.withColumn("metric", F.regexp_extract("value", METRIC_PATTERN, 1)).where(F.col("metric") != "")
+    if families:
+        found = found.where(F.col("metric").rlike("^(?:" + "|".join(families) + ")_"))
     return found.withColumn("value", last_number("value"))
 
 

@@ -12,13 +12,14 @@ from gridspark.functions.scalars import weighted_mean
 from gridspark.operators.metrics import present, with_horizontal, with_vertical
 from gridspark.schema import RECORD
 
-# field: (wet fraction used as a weight, area); W is weighted by wet/dry only.
+# field: (wet fraction used as a weight, area, thickness); W is weighted by wet/dry only, over
+# the distance between centres, since it sits on interfaces.
 _WEIGHTS = {
-    "UVEL": ("hFacW", "rAw"),
-    "VVEL": ("hFacS", "rAs"),
-    "WVEL": ("mask", "rA"),
-    "THETA": ("hFacC", "rA"),
-    "SALT": ("hFacC", "rA"),
+    "UVEL": ("hFacW", "rAw", "drF"),
+    "VVEL": ("hFacS", "rAs", "drF"),
+    "WVEL": ("mask", "rA", "drC"),
+    "THETA": ("hFacC", "rA", "drF"),
+    "SALT": ("hFacC", "rA", "drF"),
 }
 
 
@@ -49,12 +50,12 @@ def field_statistics(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame,
                      fields: tuple[str, ...] = ("UVEL", "VVEL", "WVEL", "THETA")) -> DataFrame:
     """Wet min, max, volume-weighted mean and standard deviation per record and field."""
     areas = sorted({_WEIGHTS[f][1] for f in fields})
-    rows = with_vertical(with_horizontal(cells, grid2d, *areas), grid1d, "drF")
+    rows = with_vertical(with_horizontal(cells, grid2d, *areas), grid1d, *sorted({_WEIGHTS[f][2] for f in fields}))
     sums = []
     for f in fields:
-        wet, area = _WEIGHTS[f]
+        wet, area, thick = _WEIGHTS[f]
         fraction = F.when(F.col("hFacC") > 0, F.lit(1.0)).otherwise(0.0) if wet == "mask" else F.col(wet)
-        sums += _summaries(f, F.col(f), fraction * F.col(area) * F.col("drF"))
+        sums += _summaries(f, F.col(f), fraction * F.col(area) * F.col(thick))
     return _unpivot(rows.groupBy(*RECORD).agg(*sums), list(fields), RECORD)
 
 
@@ -75,14 +76,15 @@ def top_level_statistics(cells: DataFrame, grid2d: DataFrame, fields: tuple[str,
 
 
 def advective_cfl(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame, dt: float) -> DataFrame:
-    """Largest advective CFL numbers per record, and W's with partial-cell thickness."""
-    rows = with_vertical(with_horizontal(cells, grid2d, "dxG", "dyG"), grid1d, "drF")
-    w_over_dz = F.try_divide(F.abs("WVEL") * dt, F.col("drF"))
+    """Largest advective CFL numbers per record over centre distances, and W's over the partial cell's thickness."""
+    rows = with_vertical(with_horizontal(cells, grid2d, "dxC", "dyC"), grid1d, "drF", "drC")
+    w_over_dz = F.try_divide(F.abs("WVEL") * dt, F.col("drC"))
+    w_over_cell = F.try_divide(F.abs("WVEL") * dt, F.col("drF"))
     return rows.groupBy(*RECORD).agg(
-        F.max(F.try_divide(F.abs("UVEL") * dt, F.col("dxG"))).alias("cfl_u"),
-        F.max(F.try_divide(F.abs("VVEL") * dt, F.col("dyG"))).alias("cfl_v"),
+        F.max(F.try_divide(F.abs("UVEL") * dt, F.col("dxC"))).alias("cfl_u"),
+        F.max(F.try_divide(F.abs("VVEL") * dt, F.col("dyC"))).alias("cfl_v"),
         F.max(w_over_dz).alias("cfl_w"),
-        F.max(F.when(F.col("hFacC") > 0, F.try_divide(w_over_dz, F.col("hFacC")))).alias("cfl_w_hf"),
+        F.max(F.when(F.col("hFacC") > 0, F.try_divide(w_over_cell, F.col("hFacC")))).alias("cfl_w_hf"),
     )
 
 
@@ -98,19 +100,19 @@ def kinetic_energy_statistics(cells: DataFrame, grid2d: DataFrame, grid1d: DataF
 
 
 def relative_vorticity(cells: DataFrame, grid2d: DataFrame) -> DataFrame:
-    """Circulation around each corner over the cell area, where all four edges exist.
+    """Circulation along centre distances around each corner over the corner's area, where all four edges exist.
 
     Every cell hands its edge contributions to the three corners that use them;
     one grouped sum (with map-side partial sums) collects them, instead of two
     window sorts in different directions.
     """
-    metrics = ("dxG", "dyG", "rA")
+    metrics = ("dxC", "dyC", "rAz")
     rows = with_horizontal(cells.select("run", "rec", "k", "j", "i", "UVEL", "VVEL", *present(cells, *metrics)), grid2d, *metrics)
-    v, u = F.col("VVEL") * F.col("dyG"), F.col("UVEL") * F.col("dxG")
+    v, u = F.col("VVEL") * F.col("dyC"), F.col("UVEL") * F.col("dxC")
     one = lambda c: F.when(c.isNotNull(), F.lit(1)).otherwise(0)
 
     def give(dj, di, value, edges):
-        area = F.col("rA") if (dj, di) == (0, 0) else F.lit(None).cast("double")
+        area = F.col("rAz") if (dj, di) == (0, 0) else F.lit(None).cast("double")
         return F.struct((F.col("j") + dj).alias("j"), (F.col("i") + di).alias("i"),
                         value.alias("c"), edges.alias("n"), area.alias("a"))
 

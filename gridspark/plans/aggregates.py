@@ -42,7 +42,8 @@ def window_mean_flow(t):
 
 
 @query("a05_demean", uses="cells grid1d", sql=f"""
-SELECT run, rec, k, j, i, UVEL - u_mean AS UVEL, VVEL - v_mean AS VVEL FROM cells JOIN ({_MEANS}) USING (run, rec)""")
+WITH once AS MATERIALIZED (SELECT run, rec, k, j, i, UVEL, VVEL FROM cells)
+SELECT run, rec, k, j, i, UVEL - u_mean AS UVEL, VVEL - v_mean AS VVEL FROM once JOIN ({_MEANS.replace("FROM cells", "FROM once")}) USING (run, rec)""")
 def demean(t):
     """Fields less their record's depth-window mean."""
     out = reduce.demean(t.cells.select("run", "rec", "k", "j", "i", "UVEL", "VVEL"), t.grid1d, -60.0, -10.0, 0.125)
@@ -236,12 +237,12 @@ _FLUX = """SELECT run, rec, k, AVG((m - ub) * (p - pb)) AS UpPp, AVG(CASE WHEN m
 
 @query("a20_flux_decomposition", uses="cells cells2d", sql=f"""
 WITH f AS ({_FLUX}) SELECT f.run, f.rec, f.k, round(UpPp, 6) AS UpPp, round(UbPb, 6) AS UbPb, round(UpPb, 6) AS UpPb, round(UbPp, 6) AS UbPp,
-  round(tp * 10, 6) AS UpPp_total FROM f JOIN (SELECT run, rec, SUM(UpPp) AS tp FROM f GROUP BY run, rec) USING (run, rec)""")
+  round(t1 * 10, 6) AS UpPp_total, round(t2 * 10, 6) AS UbPb_total, round(t3 * 10, 6) AS UpPb_total, round(t4 * 10, 6) AS UbPp_total
+FROM f JOIN (SELECT run, rec, SUM(UpPp) AS t1, SUM(UbPb) AS t2, SUM(UpPb) AS t3, SUM(UbPp) AS t4 FROM f GROUP BY run, rec) USING (run, rec)""")
 def flux_decomposition(t):
-    """Four parts of the pressure flux along a slice and the vertical total of one."""
+    """Four parts of the pressure flux along a slice and their vertical totals."""
     profile = settle(flux.flux_decomposition(t.cells.where("j = 3"), t.cells2d.where("j = 3")), "flux")
-    out = profile.join(flux.flux_totals(profile).select("run", "rec", "UpPp_total"), ["run", "rec"])
-    return out.select("run", "rec", "k", *[F.round(p, 6).alias(p) for p in flux.PARTS], F.round("UpPp_total", 6).alias("UpPp_total"))
+    return rounded(profile.join(flux.flux_totals(profile), ["run", "rec"]))
 
 
 @query("a21_mean_of_last", uses="cells", sql="""
@@ -260,7 +261,7 @@ def _stat_sql(field: str, weight: str) -> str:
 
 @query("a22_field_statistics", uses="cells grid2d grid1d", sql=" UNION ALL ".join([
     _stat_sql("UVEL", "hFacW*rAw*drF"), _stat_sql("VVEL", "hFacS*rAs*drF"),
-    _stat_sql("WVEL", "CASE WHEN hFacC > 0 THEN 1 ELSE 0 END*rA*drF"), _stat_sql("THETA", "hFacC*rA*drF")]))
+    _stat_sql("WVEL", "CASE WHEN hFacC > 0 THEN 1 ELSE 0 END*rA*drC"), _stat_sql("THETA", "hFacC*rA*drF")]))
 def field_statistics(t):
     """Volume-weighted statistics of four fields in one pass."""
     return stats.field_statistics(t.cells, t.grid2d, t.grid1d)
@@ -310,7 +311,7 @@ def layer_transport_refined(t):
     return rounded(layers.layer_transport(t.cells, t.grid1d, bins=24, parts=8))
 
 
-# Uneven layer edges of the standard layer file, extended to the warm range.
+# Uneven layer edges made up for this query.
 _EDGES = [-2.0, -1.0, 0.0, 1.0, 2.0, 3.0, 4.0, 4.5, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0, 15.0, 20.0, 25.0, 30.0]
 _EDGE_CASE = "CASE " + " ".join(f"WHEN THETA < {e} THEN {n}" for n, e in enumerate(_EDGES[1:-1])) + f" ELSE {len(_EDGES) - 2} END"
 
@@ -324,7 +325,7 @@ def layer_transport_uneven(t):
 
 
 @query("a24_advective_cfl", uses="cells grid2d grid1d", sql="""
-SELECT run, rec, max(abs(UVEL)*6.2/dxG) AS cfl_u, max(abs(VVEL)*6.2/dyG) AS cfl_v, max(abs(WVEL)*6.2/drF) AS cfl_w,
+SELECT run, rec, max(abs(UVEL)*6.2/dxC) AS cfl_u, max(abs(VVEL)*6.2/dyC) AS cfl_v, max(abs(WVEL)*6.2/drC) AS cfl_w,
   max(CASE WHEN hFacC > 0 THEN abs(WVEL)*6.2/drF/hFacC END) AS cfl_w_hf
 FROM cells JOIN grid2d USING (run, j, i) JOIN grid1d USING (run, k) GROUP BY run, rec""")
 def advective_cfl(t):
@@ -343,8 +344,8 @@ def kinetic_energy_statistics(t):
 
 @query("a26_vorticity_statistics", uses="cells grid2d", sql="""
 SELECT run, rec, min(z) AS vort_min, max(z) AS vort_max, round(AVG(z), 6) AS vort_mean, round(stddev_pop(z), 6) AS vort_sd FROM (
-  SELECT run, rec, (v - lag(v) OVER wi - u + lag(u) OVER wj) / rA AS z FROM (
-    SELECT *, VVEL*dyG AS v, UVEL*dxG AS u FROM cells JOIN grid2d USING (run, j, i))
+  SELECT run, rec, (v - lag(v) OVER wi - u + lag(u) OVER wj) / rAz AS z FROM (
+    SELECT *, VVEL*dyC AS v, UVEL*dxC AS u FROM cells JOIN grid2d USING (run, j, i))
   WINDOW wi AS (PARTITION BY run, rec, k, j ORDER BY i), wj AS (PARTITION BY run, rec, k, i ORDER BY j)) GROUP BY run, rec""")
 def vorticity_statistics(t):
     """Statistics of the relative vorticity at cell corners."""

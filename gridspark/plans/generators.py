@@ -44,24 +44,25 @@ def breakpoints(t):
     return rows.select("run", "n", F.round("b.x", 3).alias("x"), F.col("b.y").alias("y"))
 
 
-@query("g03_bathymetry_straight", uses="spec", sql=f"WITH {_AXIS}, {_STRAIGHT} SELECT run, i, round(d, 5) AS d FROM bathy")
+@query("g03_bathymetry_straight", uses="spec", sql=f"WITH {_AXIS}, {_STRAIGHT} SELECT run, CAST(j AS INT) AS j, i, CASE WHEN j = 0 THEN round(d, 5) ELSE 0 END AS d FROM bathy, range(2) q(j) WHERE j < ny")
 def bathymetry_straight(t):
     """Seafloor of a single slope."""
-    return _straight(t).select("run", "i", F.round("d", 5).alias("d"))
+    return generate.seafloor_rows(_straight(t)).select("run", "j", "i", F.round("d", 5).alias("d"))
 
 
 @query("g03_bathymetry_wavy", uses="spec", sql=f"""
 WITH {_AXIS}, c AS (SELECT run, max(x) AS coast FROM axis GROUP BY run),
 b AS (SELECT run, coast - x AS x0, y AS y0 FROM ({_wavy_points()}) JOIN c USING (run)),
 s AS (SELECT run, x0, y0, lead(x0) OVER w AS x1, lead(y0) OVER w AS y1, min(x0) OVER (PARTITION BY run) AS first_x FROM b WINDOW w AS (PARTITION BY run ORDER BY x0)),
-r AS (SELECT a.run, a.i, a.nx, a.H, COALESCE(y0 + COALESCE((y1 - y0) / (x1 - x0) * (a.x - x0), 0), -a.H) AS raw
+r AS (SELECT a.run, a.i, a.nx, a.ny, a.H, COALESCE(y0 + COALESCE((y1 - y0) / (x1 - x0) * (a.x - x0), 0), -a.H) AS raw
   FROM axis a LEFT JOIN s ON a.run = s.run AND a.x >= x0 AND (a.x < x1 OR x1 IS NULL)),
 m AS (SELECT *, SUM(raw) OVER (PARTITION BY run ORDER BY i ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10 AS smooth FROM r)
-SELECT run, i, round(CASE WHEN i = nx - 1 THEN 0 WHEN i < 20 THEN -H ELSE greatest(smooth, -H) END, 5) AS d FROM m""")
+SELECT run, CAST(j AS INT) AS j, i, CASE WHEN j > 0 THEN 0 ELSE round(CASE WHEN i = nx - 1 THEN 0 WHEN i < 20 THEN -H ELSE greatest(smooth, -H) END, 5) END AS d
+FROM m, range(2) q(j) WHERE j < ny""")
 def bathymetry_wavy(t):
     """Smoothed seafloor of alternating slopes."""
     rows = generate.bathymetry(generate.spacing(t.spec), generate.wavy_breaks())
-    return rows.select("run", "i", F.round("d", 5).alias("d"))
+    return generate.seafloor_rows(rows).select("run", "j", "i", F.round("d", 5).alias("d"))
 
 
 @query("g04_levels", uses="spec", sql=f"WITH {_LEVELS} SELECT run, k, dz, z FROM lev")
@@ -112,9 +113,9 @@ hit AS (SELECT run, tracer, depth, max(i) AS i FROM seg, (VALUES ('TRAC01', -450
 mid AS (SELECT run, tracer, CAST(round_even(i + COALESCE((depth - d) / (dn - d), 0), 0) AS INT) AS im FROM hit JOIN seg USING (run, i)),
 col AS (SELECT mid.run, tracer, CAST(im + o AS INT) AS i FROM mid, range(-2, 3) r(o)),
 bot AS (SELECT c.run, tracer, c.i, max(k) AS kb FROM col c JOIN bathy b ON b.run = c.run AND b.i = c.i JOIN lev l ON l.run = c.run AND -l.z > b.d GROUP BY ALL),
-cell AS (SELECT a.run, l.k, a.i FROM axis a JOIN lev l USING (run))
-SELECT cell.run, cell.k, CAST(0 AS INT) AS j, cell.i, {', '.join(f"CASE WHEN bool_or(tracer = 'TRAC0{n}' AND cell.k BETWEEN kb - 3 AND kb) THEN 400e0 ELSE 1e-10 END AS TRAC0{n}" for n in (1, 2, 3, 4))}
-FROM cell LEFT JOIN bot ON bot.run = cell.run AND bot.i = cell.i GROUP BY cell.run, cell.k, cell.i""")
+cell AS (SELECT a.run, l.k, CAST(j AS INT) AS j, a.i FROM axis a JOIN lev l USING (run), range(2) q(j) WHERE j < a.ny)
+SELECT cell.run, cell.k, cell.j, cell.i, {', '.join(f"CASE WHEN cell.j = 0 AND bool_or(tracer = 'TRAC0{n}' AND cell.k BETWEEN kb - 3 AND kb) THEN 400e0 ELSE 1e-10 END AS TRAC0{n}" for n in (1, 2, 3, 4))}
+FROM cell LEFT JOIN bot ON bot.run = cell.run AND bot.i = cell.i GROUP BY cell.run, cell.k, cell.j, cell.i""")
 def tracers(t):
     """Tracer doses along the seafloor."""
     return generate.tracer_fields(_straight(t), generate.levels(t.spec))
@@ -124,18 +125,18 @@ _EDGE = "edge AS (SELECT *, last_value(CASE WHEN d > -H THEN x END IGNORE NULLS)
 
 
 @query("g10_bottom_diffusivity", uses="spec", sql=f"""
-WITH {_AXIS}, {_LEVELS}, {_STRAIGHT}, {_EDGE} SELECT e.run, l.k, CAST(0 AS INT) AS j, e.i, round(CASE WHEN i = 0 THEN 1e-5 ELSE
-  greatest(1e-2 * exp((z + d) / 250) * CASE WHEN d > -e.H THEN 1 ELSE exp(-(xe - x) / 5e3) END, 1e-5) END, 9) AS Kr FROM edge e JOIN lev l USING (run)""")
+WITH {_AXIS}, {_LEVELS}, {_STRAIGHT}, {_EDGE} SELECT e.run, l.k, CAST(j AS INT) AS j, e.i, round(CASE WHEN i = 0 OR j > 0 THEN 1e-5 ELSE
+  greatest(1e-2 * exp((z + d) / 250) * CASE WHEN d > -e.H THEN 1 ELSE exp(-(xe - x) / 5e3) END, 1e-5) END, 9) AS Kr FROM edge e JOIN lev l USING (run), range(2) q(j) WHERE j < e.ny""")
 def bottom_diffusivity(t):
     """Diffusivity decaying above the seafloor."""
     return rounded(generate.bottom_diffusivity(_straight(t), generate.levels(t.spec)), 9)
 
 
 @query("g11_block_diffusivity", uses="spec", sql=f"""
-WITH {_AXIS}, {_LEVELS}, {_STRAIGHT}, {_EDGE}, raw AS (SELECT e.run, l.k, e.i, CASE WHEN -z < d + 250 THEN 1e-2 * CASE WHEN d > -e.H THEN 1 ELSE exp(-(xe - x) / 5e3) END
+WITH {_AXIS}, {_LEVELS}, {_STRAIGHT}, {_EDGE}, raw AS (SELECT e.run, l.k, e.i, e.ny, CASE WHEN -z < d + 250 THEN 1e-2 * CASE WHEN d > -e.H THEN 1 ELSE exp(-(xe - x) / 5e3) END
   ELSE 1e-5 END AS v FROM edge e JOIN lev l USING (run))
-SELECT run, k, CAST(0 AS INT) AS j, i, round(CASE WHEN i = 0 THEN 1e-5 ELSE greatest(pow(10, SUM(log10(v)) OVER (PARTITION BY run, i ORDER BY k
-  ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) / 15), 1e-5) END, 9) AS Kr FROM raw""")
+SELECT run, k, CAST(j AS INT) AS j, i, round(CASE WHEN i = 0 OR j > 0 THEN 1e-5 ELSE greatest(pow(10, m / 15), 1e-5) END, 9) AS Kr FROM (
+  SELECT *, SUM(log10(v)) OVER (PARTITION BY run, i ORDER BY k ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS m FROM raw), range(2) q(j) WHERE j < ny""")
 def block_diffusivity(t):
     """Diffusivity in a bottom layer, smoothed in log space."""
     return rounded(generate.block_diffusivity(_straight(t), generate.levels(t.spec)), 9)

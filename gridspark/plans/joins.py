@@ -90,12 +90,12 @@ def job_overview(t):
 
 @query("j09_source_run", uses="cells", sql="""
 SELECT m.run AS run, c.run AS source_run, rec, k, j, i, KLviscAr FROM (VALUES ('A', 'N'), ('R', 'A')) m(run, source_run)
-JOIN cells c ON c.run = m.source_run WHERE rec >= 4""")
+JOIN cells c ON c.run = m.source_run""")
 def source_run(t):
     """Fields of one run used as another's input."""
     runs = t.grid1d.select("run").distinct().withColumn(
         "source_run", F.when(F.col("run") == "A", "N").when(F.col("run") == "R", "A"))
-    fields = t.cells.where("rec >= 4").select("run", "rec", "k", "j", "i", "KLviscAr")
+    fields = t.cells.select("run", "rec", "k", "j", "i", "KLviscAr")
     return metrics.with_source_run(runs, fields)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridspark.operators import catalogue, reduce, select
 from gridspark.plans.aggregates import _BUDGET, _BUDGET_TABLES, _TERMS, _budget
-from gridspark.plans.binary_fixture import write_level_files
+from gridspark.plans.binary_fixture import write_grid_files, write_level_files
 from gridspark.plans.registry import query, rounded
 from gridspark.sources import binary, tables as store, text
 from gridspark.sources.shared import fresh_path
@@ -26,6 +26,33 @@ def binary_ingest(t):
         F.sum(F.col("j") * F.lit(1000.0) + F.col("i")).alias("places"))
 
 
+def _grid_from_files(t):
+    def write(_, path):
+        for grid, group in ((t.grid1d, "1d"), (t.grid2d, "2d"), (t.grid3d, "3d")):
+            write_grid_files(grid, binary.GRID_FILES[group], path)
+
+    folder = t._once("grid_files", lambda: None, write)
+    return binary.read_grid(t.spark, f"{folder}/results/*/input/*.meta")
+
+
+@query("s01_grid_levels_ingest", uses="grid1d", sql="SELECT run, k, Z, drF, drC FROM grid1d")
+def grid_levels_ingest(t):
+    """Vertical metrics from raw grid files."""
+    return _grid_from_files(t)[0].drop("T0")
+
+
+@query("s01_grid_columns_ingest", uses="grid2d", sql="SELECT * FROM grid2d")
+def grid_columns_ingest(t):
+    """Horizontal metrics from raw grid files."""
+    return _grid_from_files(t)[1]
+
+
+@query("s01_grid_cells_ingest", uses="grid3d", sql="SELECT * FROM grid3d")
+def grid_cells_ingest(t):
+    """Wet fractions from raw grid files."""
+    return _grid_from_files(t)[2]
+
+
 @query("s02_last_iteration_ingest", uses="cells", sql="""
 SELECT run, k, j, i, UVEL, iter FROM cells WHERE rec = 6""")
 def last_iteration_ingest(t):
@@ -180,10 +207,10 @@ def pick_rename(t):
 
 
 @query("p02_drop_prefixed", uses="cells", sql="""
-SELECT * EXCLUDE (hFacC, hFacW, hFacS) FROM cells WHERE rec = 0""")
+SELECT * EXCLUDE (hFacC, hFacW, hFacS) FROM cells""")
 def drop_prefixed(t):
     """Coordinates dropped by name prefix."""
-    return select.drop_prefixed(select.at(t.bare_cells, rec=0).drop("stream"), "hFac", "mask")
+    return select.drop_prefixed(t.bare_cells.drop("stream"), "hFac", "mask")
 
 
 @query("p03_fixed_slice", uses="cells", sql="SELECT run, rec, k, i, UVEL, THETA FROM cells WHERE j = 5")

@@ -21,8 +21,11 @@ from gridspark.schema import cells_schema
 from gridspark.sources.shared import fresh_path, shared_dir
 from gridspark.sources.tables import write_cells
 
-NJ, NK, NREC, PARTS_PER_I = 8, 7, 7, 50
-METRICS = ["rA", "rAw", "rAs", "dxG", "dyG", "drF", "T0"]
+NJ, PARTS_PER_I = 8, 50
+#: Metric of the events that no other branch names, so that every family of the log occurs.
+OTHER_METRICS = "CASE event_id % 4 WHEN 0 THEN 'dynstat_theta_mean' WHEN 1 THEN 'forcing_qnet_max' WHEN 2 THEN 'ke_max' ELSE 'vort_r_min' END"
+HORIZONTAL, VERTICAL = ("rA", "rAw", "rAs", "rAz", "dxG", "dyG", "dxC", "dyC"), ("drF", "drC", "T0")
+METRICS = [*HORIZONTAL, *VERTICAL]
 FIELDS = ["UVEL", "VVEL", "WVEL", "THETA", "PHIHYD", "TRAC01", "KLeps", "KLviscAr", "hFacC", "hFacW", "hFacS"]
 
 # --- expressions both engines evaluate as text -----------------------------
@@ -54,10 +57,11 @@ _FIELD_TEXT = {
 _GRID2D_TEXT = {
     "XC": "i * 100e0 + 50e0", "YC": "j * 100e0 + 50e0", "XG": "i * 100e0", "YG": "j * 100e0",
     "rA": "100e0 + 5 * (i % 4) + j % 3", "rAw": "101e0 + 5 * (i % 4) + j % 3", "rAs": "102e0 + 5 * (i % 4) + j % 3",
-    "dxG": "8e0 * (1 + i % 2)", "dyG": "8e0 * (1 + j % 2)",
+    "rAz": "128e0 * (1 + (i + j) % 2)", "dxG": "8e0 * (1 + i % 2)", "dyG": "8e0 * (1 + j % 2)",
+    "dxC": "16e0 * (1 + i % 2)", "dyC": "4e0 * (1 + (j + 1) % 2)",
 }
 _GRID1D_TEXT = {
-    "Z": "-(10e0 * k + k * (k - 1) / 2e0 + (10 + k) / 2e0)", "drF": "10e0 + k", "T0": "28e0 - (k + 1) / 2e0",
+    "Z": "-(10e0 * k + k * (k - 1) / 2e0 + (10 + k) / 2e0)", "drF": "10e0 + k", "drC": "9.5e0 + k", "T0": "28e0 - (k + 1) / 2e0",
 }
 
 
@@ -68,7 +72,7 @@ def _list(texts: dict[str, str]) -> str:
 # --- SQL text of the derived tables ---------------------------------------
 
 _SQL = {
-    "agg": """SELECT l_returnflag AS run, CAST(year(l_shipdate) - 1995 AS INT) AS rec, CAST(l_linenumber - 1 AS INT) AS k,
+    "agg": """SELECT l_returnflag AS run, CAST(year(l_shipdate) - (SELECT min(year(l_shipdate)) FROM lineitem) AS INT) AS rec, CAST(l_linenumber - 1 AS INT) AS k,
       CAST(l_suppkey % 8 AS INT) AS j, CAST(l_partkey // 50 AS INT) AS i,
       CAST(SUM(CAST(floor(l_discount*100 + 0.5) AS BIGINT)) AS BIGINT) AS sd,
       CAST(SUM(CAST(floor(l_tax*100 + 0.5) AS BIGINT)) AS BIGINT) AS st,
@@ -76,7 +80,7 @@ _SQL = {
       CAST(SUM(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS se,
       CAST(SUM(l_partkey) AS BIGINT) AS sp FROM lineitem GROUP BY ALL""",
     "points": """SELECT run, CAST(k AS INT) AS k, CAST(j AS INT) AS j, CAST(i AS INT) AS i
-      FROM (SELECT DISTINCT l_returnflag AS run FROM lineitem), range(7) a(k), range(8) b(j),
+      FROM (SELECT DISTINCT l_returnflag AS run FROM lineitem), (SELECT unnest(range(max(l_linenumber))) AS k FROM lineitem), range(8) b(j),
       (SELECT unnest(range(max(p_partkey) // 50 + 1)) AS i FROM part)""",
     "grid3d": f"SELECT run, k, j, i, {_list(_WETS)} FROM points",
     "grid1d": f"SELECT run, k, {_list(_GRID1D_TEXT)} FROM (SELECT DISTINCT run, k FROM points)",
@@ -84,12 +88,12 @@ _SQL = {
       (SELECT g.run, g.j, g.i, SUM(hFacC*drF) AS Depth FROM grid3d g JOIN grid1d d USING (run, k) GROUP BY ALL)""",
     "dense": """SELECT p.*, CAST(n.rec AS INT) AS rec, CASE WHEN hFacC > 0 THEN 1 ELSE 0 END AS wet,
       COALESCE(sd,0) AS sd, COALESCE(st,0) AS st, COALESCE(sq,0) AS sq, COALESCE(se,0) AS se, COALESCE(sp,0) AS sp
-      FROM grid3d p CROSS JOIN range(7) n(rec) LEFT JOIN agg a
+      FROM grid3d p CROSS JOIN (SELECT unnest(range(max(rec) + 1)) AS rec FROM agg) n LEFT JOIN agg a
       ON p.run=a.run AND n.rec=a.rec AND p.k=a.k AND p.j=a.j AND p.i=a.i""",
     "cells": f"""SELECT run, rec, k, j, i, CAST(rec AS BIGINT) * 3600 AS iter, rec * 22320e0 AS time_s,
       {_list(_FIELD_TEXT)}, hFacC, hFacW, hFacS FROM dense""",
     "cells2d": """SELECT run, rec, j, i, CAST(rec AS BIGINT) * 3600 AS iter, rec * 22320e0 AS time_s,
-      MAX(CASE WHEN k = 0 THEN sp % 101 - 50 END) / 1024e0 AS ETAN, MAX(CASE WHEN k = 6 THEN sp % 101 - 50 END) / 1024e0 AS PHIBOT
+      MAX(CASE WHEN k = 0 THEN sp % 101 - 50 END) / 1024e0 AS ETAN, MAX(CASE WHEN k = (SELECT max(k) FROM points) THEN sp % 101 - 50 END) / 1024e0 AS PHIBOT
       FROM dense GROUP BY ALL""",
     # parameters by run, as their parameter files have them
     "params": """SELECT run, (1 + ascii(run) % 7) / 64e0 AS u0, (1 + ascii(run) % 5) / 8192e0 AS f0, (1 + ascii(run) % 3) / 1024e0 AS n0
@@ -102,9 +106,9 @@ _SQL = {
     # monitor log
     "log_lines": """SELECT 'run' || CAST(user_id % 8 AS VARCHAR) AS run, event_id AS ord, event_id // 500 AS chunk,
       '(PID.TID 0000.0001) %MON ' || CASE event_type WHEN 'click' THEN 'time_tsnumber' WHEN 'view' THEN 'time_secondsf'
-        WHEN 'purchase' THEN 'advcfl_uvel_max' WHEN 'error' THEN 'advcfl_wvel_max' ELSE 'dynstat_theta_mean' END
+        WHEN 'purchase' THEN 'advcfl_uvel_max' WHEN 'error' THEN 'advcfl_wvel_max' ELSE """ + OTHER_METRICS + """ END
       || ' =   ' || CAST(CAST(floor(value*100 + 0.5) AS BIGINT) AS VARCHAR) || 'E-02' AS value FROM events""",
-    "metrics": """SELECT run, ord, chunk, regexp_extract(value, '((?:time|dynstat|trAdv_CFL|advcfl)_\\w+)', 1) AS metric,
+    "metrics": """SELECT run, ord, chunk, regexp_extract(value, '%MON\\s+(\\w+)\\s*=', 1) AS metric,
       CAST(regexp_extract(value, '(\\S+)$', 1) AS DOUBLE) AS value FROM log_lines""",
     # run log
     "entries": """SELECT 'log' || CAST(user_id % 3 AS VARCHAR) AS file, event_id, date_trunc('second', ts) AS logged_at,
@@ -198,13 +202,20 @@ class Tables:
 
     # gridded tables
 
+    @cached_property
+    def _extent(self) -> tuple[int, int, int]:
+        """First and last year and last level of the line items."""
+        whole = self.given("lineitem").agg(F.min(F.year("l_shipdate")), F.max(F.year("l_shipdate")), F.max("l_linenumber") - 1)
+        return tuple(int(x) for x in whole.first())
+
     def _points(self) -> DataFrame:
         """Static grid positions; each axis is exploded from the few distinct runs."""
         part = self.given("part")
         last_i = part.agg(F.floor(F.max("p_partkey") / PARTS_PER_I).cast("int")).scalar()
         runs = self.given("lineitem").select(F.col("l_returnflag").alias("run")).distinct().withColumn("last_i", last_i)
+        _, _, last_k = self._extent
         rows = runs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("last_i")))).drop("last_i")
-        for axis, n in (("k", NK), ("j", NJ)):
+        for axis, n in (("k", last_k + 1), ("j", NJ)):
             rows = rows.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         return rows.select("run", "k", "j", "i")
 
@@ -229,11 +240,12 @@ class Tables:
     def _dense(self, levels: list[int] | None = None) -> DataFrame:
         """Line-item sums at every grid position and record, 0 where there are none."""
         lines, places = self.given("lineitem"), self.grid3d
+        first, last, _ = self._extent
         if levels is not None:
             lines = lines.where((F.col("l_linenumber") - 1).isin(levels))
             places = places.where(F.col("k").isin(levels))
         sums = lines.groupBy(
-            F.col("l_returnflag").alias("run"), (F.year("l_shipdate") - 1995).cast("int").alias("rec"),
+            F.col("l_returnflag").alias("run"), (F.year("l_shipdate") - first).cast("int").alias("rec"),
             (F.col("l_linenumber") - 1).cast("int").alias("k"), (F.col("l_suppkey") % NJ).cast("int").alias("j"),
             F.floor(F.col("l_partkey") / PARTS_PER_I).cast("int").alias("i"),
         ).agg(
@@ -241,7 +253,7 @@ class Tables:
             F.sum(F.col("l_quantity").cast("bigint")).alias("sq"), F.sum(F.floor("l_extendedprice")).alias("se"),
             F.sum("l_partkey").alias("sp"),
         )
-        places = places.withColumn("rec", F.explode(F.sequence(F.lit(0), F.lit(NREC - 1))))
+        places = places.withColumn("rec", F.explode(F.sequence(F.lit(0), F.lit(last - first))))
         filled = places.join(sums, ["run", "rec", "k", "j", "i"], "left").na.fill(0, ["sd", "st", "sq", "se", "sp"])
         return filled.withColumn("wet", F.when(F.col("hFacC") > 0, 1).otherwise(0))
 
@@ -252,7 +264,7 @@ class Tables:
             rows = self._dense().selectExpr(
                 "run", "'fields' AS stream", "rec", "CAST(rec AS BIGINT) * 3600 AS iter", "rec * 22320e0 AS time_s", "k", "j", "i",
                 *[f"{t} AS {n}" for n, t in _FIELD_TEXT.items()], *_WETS)
-            return materialise(rows, self.grid2d, self.grid1d)
+            return materialise(rows, self.grid2d, self.grid1d, HORIZONTAL, VERTICAL)
 
         path = self._once("cells", build, write_cells)
         return self.spark.read.schema(cells_schema(FIELDS + METRICS)).parquet(path)
@@ -268,7 +280,8 @@ class Tables:
             def level(k, name):
                 return F.max(F.when(F.col("k") == k, (F.col("sp") % 101 - 50) / F.lit(1024.0))).alias(name)
 
-            rows = self._dense([0, NK - 1]).groupBy("run", "rec", "j", "i").agg(level(0, "ETAN"), level(NK - 1, "PHIBOT"))
+            bottom = self._extent[2]  # ETAN and PHIBOT are built from the first and last level only
+            rows = self._dense([0, bottom]).groupBy("run", "rec", "j", "i").agg(level(0, "ETAN"), level(bottom, "PHIBOT"))
             return rows.selectExpr("run", "rec", "CAST(rec AS BIGINT) * 3600 AS iter", "rec * 22320e0 AS time_s", "j", "i", "ETAN", "PHIBOT")
 
         return self._kept("cells2d", build)
@@ -310,14 +323,15 @@ class Tables:
         return self.given("events").selectExpr(
             "concat('run', user_id % 8) AS run", "event_id AS ord", "event_id div 500 AS chunk",
             "concat('(PID.TID 0000.0001) %MON ', CASE event_type WHEN 'click' THEN 'time_tsnumber' WHEN 'view' THEN 'time_secondsf' "
-            "WHEN 'purchase' THEN 'advcfl_uvel_max' WHEN 'error' THEN 'advcfl_wvel_max' ELSE 'dynstat_theta_mean' END, "
+            "WHEN 'purchase' THEN 'advcfl_uvel_max' WHEN 'error' THEN 'advcfl_wvel_max' ELSE " + OTHER_METRICS + " END, "
             "' =   ', CAST(floor(value*100 + 0.5) AS BIGINT), 'E-02') AS value")
 
     @cached_property
     def log_folder(self) -> str:
-        """The monitor log as text below one folder per run, lines in order within a file."""
+        """The monitor log as text below one folder per run, in numbered files with lines in order."""
         def write(df, path):
-            ordered = df.select("run", "ord", "value").repartitionByRange("run").sortWithinPartitions("run", "ord")
+            parts = 4 * df.select("run").distinct().count()  # several files for each run
+            ordered = df.select("run", "ord", "value").repartitionByRange(parts, "run", "ord").sortWithinPartitions("run", "ord")
             ordered.drop("ord").write.partitionBy("run").text(path)
 
         return self._once("log_text", lambda: self.log_lines, write)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridspark.operators import layers, spectra, timewin
+from gridspark.operators import layers, monitor, spectra, timewin
 from gridspark.plans.registry import query, rounded
+from gridspark.plans.tables import OTHER_METRICS
 from gridspark.streaming import live
 
 
@@ -85,7 +86,7 @@ def live_monitor(t):
     """Latest metric per run kept as streaming state."""
     lines = _event_stream(t).select("run", F.col("event_id").alias("ord"), F.concat(
         F.lit("%MON "), F.expr("CASE metric WHEN 'click' THEN 'time_tsnumber' WHEN 'view' THEN 'time_secondsf' WHEN 'purchase' THEN "
-                               "'advcfl_uvel_max' WHEN 'error' THEN 'advcfl_wvel_max' ELSE 'dynstat_theta_mean' END"),
+                               "'advcfl_uvel_max' WHEN 'error' THEN 'advcfl_wvel_max' ELSE " + OTHER_METRICS + " END"),
         F.lit(" = "), F.col("v").cast("bigint"), F.lit("E-02")).alias("value"))
     updates = live.drain(live.live_metrics(lines), "live", mode="update")
     return live.latest_batch_per_key(updates, ["run", "metric"])
@@ -96,7 +97,7 @@ SELECT run, metric, arg_max(value, ord) AS value FROM metrics GROUP BY run, metr
 def live_monitor_files(t):
     """Latest metric per run from log files arriving batch by batch."""
     updates = live.watch_log_files(live.log_stream(t.spark, t.log_folder, 3, r"run=([^/]+)/"), "live-files")
-    return live.latest_batch_per_key(updates, ["run", "metric"])
+    return monitor.latest(updates)
 
 
 @query("x07_streaming_average", uses="series", sql="""

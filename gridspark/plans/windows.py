@@ -144,23 +144,26 @@ def latest_entry(t):
 
 
 @query("u01_union_runs", uses="cells cells2d", sql="""
-SELECT run, rec, k, j, i, UVEL, NULL AS ETAN FROM cells WHERE run = 'A' AND k = 0
-UNION ALL SELECT run, rec, NULL, j, i, NULL, ETAN FROM cells2d WHERE run = 'R'""")
+SELECT run, rec, k, j, i, UVEL, NULL AS ETAN FROM cells
+UNION ALL SELECT run, rec, NULL, j, i, NULL, ETAN FROM cells2d""")
 def union_runs(t):
     """Runs and streams with different fields in one table."""
-    deep = t.cells.where("run = 'A' AND k = 0").select("run", "rec", "k", "j", "i", "UVEL")
-    flat = t.cells2d.where("run = 'R'").select("run", "rec", "j", "i", "ETAN")
+    deep = t.cells.select("run", "rec", "k", "j", "i", "UVEL")
+    flat = t.cells2d.select("run", "rec", "j", "i", "ETAN")
     return store.union_streams([deep, flat])
 
 
 @query("u02_union_sides", uses="cells grid2d", sql="""
 WITH n AS (SELECT run, max(j) AS mj, max(i) AS mi FROM grid2d GROUP BY run)
 SELECT 'W' AS side, run, rec, SUM(UVEL * dyG) AS through FROM cells JOIN grid2d USING (run, j, i) WHERE i = 0 GROUP BY run, rec
-UNION ALL SELECT 'E', run, rec, SUM(UVEL * dyG) FROM cells JOIN grid2d USING (run, j, i) JOIN n USING (run) WHERE i = mi GROUP BY run, rec""")
+UNION ALL SELECT 'E', run, rec, SUM(UVEL * dyG) FROM cells JOIN grid2d USING (run, j, i) JOIN n USING (run) WHERE i = mi GROUP BY run, rec
+UNION ALL SELECT 'S', run, rec, SUM(VVEL * dxG) FROM cells JOIN grid2d USING (run, j, i) WHERE j = 0 GROUP BY run, rec
+UNION ALL SELECT 'N', run, rec, SUM(VVEL * dxG) FROM cells JOIN grid2d USING (run, j, i) JOIN n USING (run) WHERE j = mj GROUP BY run, rec""")
 def union_sides(t):
-    """Flow through two sides in one table with a side column."""
+    """Flow through the four sides in one table with a side column."""
     def side(s):
         rows = select.edge_strip(t.cells, t.grid2d, s, width=1)
-        return rows.groupBy("run", "rec").agg(F.sum(F.col("UVEL") * F.col("dyG")).alias("through")).withColumn("side", F.lit(s))
+        normal = F.col("UVEL") * F.col("dyG") if s in "WE" else F.col("VVEL") * F.col("dxG")
+        return rows.groupBy("run", "rec").agg(F.sum(normal).alias("through")).withColumn("side", F.lit(s))
 
-    return energy.all_sides(side, "WE")
+    return energy.all_sides(side, "WESN")

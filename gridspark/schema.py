@@ -22,8 +22,9 @@ FIELDS_3D = [
 ]
 FIELDS_2D = ["ETAN", "PHIBOT"]
 METRICS_3D = ["hFacC", "hFacW", "hFacS"]
-METRICS_2D = ["XC", "YC", "XG", "YG", "rA", "rAw", "rAs", "dxG", "dyG", "Depth"]
-METRICS_1D = ["Z", "drF", "T0"]
+#: Centre distances (C) and face lengths (G) differ on stretched grids; rAz is the area around corners.
+METRICS_2D = ["XC", "YC", "XG", "YG", "rA", "rAw", "rAs", "rAz", "dxG", "dyG", "dxC", "dyC", "Depth"]
+METRICS_1D = ["Z", "drF", "drC", "T0"]
 
 
 def _doubles(names):

@@ -17,9 +17,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridspark.functions.names import run_of_path
-from gridspark.schema import cells_schema
+from gridspark.schema import GRID1D, GRID2D, GRID3D, cells_schema
 from gridspark.sources.shared import settle
 
+# Names of the grid files and of the metrics they hold.
+GRID_FILES = {
+    "1d": {"RC": "Z", "DRF": "drF", "DRC": "drC"},
+    "2d": {"XC": "XC", "YC": "YC", "XG": "XG", "YG": "YG", "RAC": "rA", "RAW": "rAw", "RAS": "rAs", "RAZ": "rAz",
+           "DXG": "dxG", "DYG": "dyG", "DXC": "dxC", "DYC": "dyC", "Depth": "Depth"},
+    "3d": {"hFacC": "hFacC", "hFacW": "hFacW", "hFacS": "hFacS"},
+}
 CELLS_PER_ITEM = 1_000_000
 ITEMS_PER_READER = 16
 _NUMPY_TYPES = {"float64": "f8", "float32": "f4", "real*8": "f8", "real*4": "f4"}
@@ -42,12 +49,12 @@ def headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     numbers = F.transform(
         F.regexp_extract_all(block("dimList"), F.lit(r"(-?[0-9]+)"), F.lit(1)), lambda t: t.cast("int")
     )
-    # Stream and iteration come from "<stream>.<iteration>[.tile].meta".
+    # Stream and iteration come from "<stream>[.<iteration>][.tile].meta"; grid files have no iteration.
     name = F.regexp_extract("meta", r"/([^/]+)\.meta$", 1)
     parsed = text.select(
         "meta", run_of_path("meta").alias("run"),
-        F.regexp_extract(name, r"^(.*?)\.[0-9]{10}", 1).alias("stream"),
-        F.regexp_extract(name, r"\.([0-9]{10})", 1).cast("bigint").alias("iter"),
+        F.regexp_extract(name, r"^(.*?)(?:\.[0-9]{10})?(?:\.[0-9]{3}){0,2}$", 1).alias("stream"),
+        F.regexp_extract(name, r"\.([0-9]{10})", 1).try_cast("bigint").alias("iter"),
         F.trim(F.regexp_replace(block("dataprec"), "'", "")).alias("prec"), numbers.alias("dims"),
         F.transform(F.regexp_extract_all(block("fldList"), F.lit(r"'\s*(\w+)\s*'"), F.lit(1)),
                     lambda t: F.trim(t)).alias("fields"),
@@ -93,8 +100,8 @@ def _read_items(fields: list[str], order: str):
         j = np.repeat(np.arange(item["band"] - 1, item["band_end"], dtype="i4"), ni)
         i = np.tile(np.arange(item["i0"] - 1, item["i1"], dtype="i4"), rows)
         columns = [
-            pa.array([item["run"]] * size, pa.string()), pa.array([item["stream"]] * size, pa.string()),
-            pa.array(np.full(size, item["rec"], "i4")), pa.array(np.full(size, item["iter"], "i8")),
+            pa.repeat(pa.scalar(item["run"], pa.string()), size), pa.repeat(pa.scalar(item["stream"], pa.string()), size),
+            pa.repeat(pa.scalar(item["rec"], pa.int32()), size), pa.repeat(pa.scalar(item["iter"], pa.int64()), size),
             pa.array(np.full(size, item["k"] - 1, "i4")),
             pa.array(j), pa.array(i),
         ]
@@ -111,6 +118,38 @@ def _read_items(fields: list[str], order: str):
     return read
 
 
+def _read_wide(items: DataFrame, fields: list[str], endian: str, readers: int | None = None) -> DataFrame:
+    # Item rows are tiny, so the reader count follows their number, not their bytes.
+    parallel = items.sparkSession.sparkContext.defaultParallelism
+    readers = readers or max(parallel, math.ceil(items.count() / ITEMS_PER_READER))
+    wide = "run string, stream string, rec int, iter bigint, k int, j int, i int, " + ", ".join(f"{f} double" for f in fields)
+    return items.repartition(readers).mapInArrow(_read_items(fields, _ORDERS[endian]), wide)
+
+
+def read_grid(spark: SparkSession, paths: str | list[str], endian: str = "<",
+              cells_per_item: int = CELLS_PER_ITEM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Grid metrics ``grid1d, grid2d, grid3d`` of every run from raw files, one metric each, without iteration.
+
+    The files are read once into the shared folder.  Reference temperatures are no grid
+    file; ``T0`` is left NULL.
+    """
+    names = {file: metric for group in GRID_FILES.values() for file, metric in group.items()}
+    found = headers(spark, paths).where(F.col("stream").isin(*names)).withColumns({
+        "fields": F.array("stream"), "rec": F.lit(0), "iter": F.lit(None).cast("bigint")})
+    items = work_items(settle(found, "grid-headers"), cells_per_item).select(
+        "meta", "run", "stream", "rec", "iter", "prec", "fields", "i0", "i1", "j0", "j1", "k0", "k1", "k", "band", "band_end"
+    )
+    rows = settle(_read_wide(items, list(names), endian), "grid-values")
+
+    def metrics(group: str, keys: list[str], schema) -> DataFrame:
+        own = rows.where(F.col("stream").isin(*GRID_FILES[group])).groupBy("run", *keys)
+        out = own.agg(*[F.max(file).alias(metric) for file, metric in GRID_FILES[group].items()])
+        missing = {f.name: F.lit(None).cast("double") for f in schema if f.name not in out.columns}
+        return out.withColumns(missing).select(*schema.names)
+
+    return metrics("1d", ["k"], GRID1D), metrics("2d", ["j", "i"], GRID2D), metrics("3d", ["k", "j", "i"], GRID3D)
+
+
 def read_stream(spark: SparkSession, paths: str | list[str], fields: list[str], endian: str = "<",
                 seconds_per_step: float = 1.0, iterations: list[int] | None = None,
                 readers: int | None = None, cells_per_item: int = CELLS_PER_ITEM) -> DataFrame:
@@ -132,9 +171,6 @@ def read_stream(spark: SparkSession, paths: str | list[str], fields: list[str],
     items = work_items(found.join(records, ["run", "stream", "iter"]), cells_per_item).select(
         "meta", "run", "stream", "rec", "iter", "prec", "fields", "i0", "i1", "j0", "j1", "k0", "k1", "k", "band", "band_end"
     )
-    # Item rows are tiny, so the reader count follows their number, not their bytes.
-    readers = readers or max(spark.sparkContext.defaultParallelism, math.ceil(items.count() / ITEMS_PER_READER))
-    wide = "run string, stream string, rec int, iter bigint, k int, j int, i int, " + ", ".join(f"{f} double" for f in fields)
-    rows = items.repartition(readers).mapInArrow(_read_items(fields, _ORDERS[endian]), wide)
+    rows = _read_wide(items, fields, endian, readers)
     rows = rows.withColumn("time_s", F.col("iter") * float(seconds_per_step))
     return rows.select(*[f.name for f in cells_schema(fields)])

@@ -10,6 +10,8 @@ No operator in this package forces a broadcast by hint.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="gridspark-")
+        atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)  # scratch of local mode only
     return _local_dir
 
 

@@ -6,21 +6,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridspark.functions.names import RUN_IN_PATH, run_of_path
 from gridspark.functions.scalars import last_number
-from gridspark.operators.monitor import METRIC_PATTERN, latest, metrics
+from gridspark.operators.monitor import METRIC_PATTERN, metrics
 from gridspark.operators.timewin import window_average
 from gridspark.sources.shared import fresh_path
+from gridspark.sources.text import split_order
 
 
 def log_stream(spark: SparkSession, path: str, files_per_batch: int | None = None,
-               run_in_path: str = RUN_IN_PATH) -> DataFrame:
-    """Lines of growing log folders as a stream, with their run and file split."""
+               run_in_path: str = RUN_IN_PATH, by: str = "name") -> DataFrame:
+    """Lines of log folders in which files arrive, as a stream, with their run and file split.
+
+    For files that grow, see ``sources.tail``.
+    """
     reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(path).select(
         run_of_path("_metadata.file_path", run_in_path).alias("run"), "value",
-        F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"),
-                 F.col("_metadata.file_block_start").alias("block")).alias("split"),
+        F.struct(*split_order(by)).alias("split"),
     )
 
 
@@ -64,24 +67,28 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
 
 
 def watch_log_files(lines: DataFrame, label: str) -> DataFrame:
-    """Latest value per run and metric of every micro-batch of a ``log_stream``.
+    """Latest value per run and metric, with its ``ord``, of every micro-batch of a ``log_stream``.
 
     Line order inside a file split is only known to the batch that reads it, so each
-    batch reduces its own lines; ``latest_batch_per_key`` then picks the newest batch.
+    batch reduces its own lines.  Files may arrive in any order: ``monitor.latest`` over
+    the batches picks the value that is last by file and place.
     """
     spark = lines.sparkSession
     path, checkpoint = fresh_path(spark, label), fresh_path(spark, f"{label}-checkpoint")
 
     def reduce_batch(batch: DataFrame, number: int) -> None:
         order = F.struct("split", F.monotonically_increasing_id().alias("seq"))
-        latest(metrics(batch.withColumn("ord", order))).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last = metrics(batch.withColumn("ord", order)).groupBy("run", "metric").agg(
+            F.max_by("value", "ord").alias("value"), F.max("ord").alias("ord"))
+        last.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     query = (
         lines.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
         .foreachBatch(reduce_batch).start()
     )
     query.awaitTermination()
-    return spark.read.schema("run string, metric string, value double, batch bigint").parquet(path)
+    split = lines.schema["split"].dataType.simpleString()
+    return spark.read.schema(f"run string, metric string, value double, ord struct<split:{split},seq:bigint>, batch bigint").parquet(path)
 
 
 def latest_batch_per_key(updates: DataFrame, keys: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ def frame(spark, fields: dict[str, np.ndarray], run="r", rec=0, stream="s"):
 def grid2d(spark, nj, ni, run="r", **fields):
     j, i = np.indices((nj, ni)).reshape(2, -1)
     pdf = pd.DataFrame({"run": run, "j": j.astype("i4"), "i": i.astype("i4")})
-    base = {"rA": 10.0, "rAw": 10.0, "rAs": 10.0, "dxG": 2.0, "dyG": 5.0, "Depth": 100.0}
+    base = {"rA": 10.0, "rAw": 10.0, "rAs": 10.0, "rAz": 10.0, "dxG": 2.0, "dyG": 5.0, "dxC": 2.0, "dyC": 5.0, "Depth": 100.0}
     for name, value in {**base, **fields}.items():
         pdf[name] = np.broadcast_to(np.asarray(value, float), (nj, ni)).reshape(-1)
     return spark.createDataFrame(pdf)
@@ -32,7 +32,7 @@ def grid1d(spark, nk, run="r", dz=10.0, t0=20.0):
     k = np.arange(nk)
     drf = np.broadcast_to(np.asarray(dz, float), (nk,))
     z = -(np.cumsum(drf) - drf / 2)
-    pdf = pd.DataFrame({"run": run, "k": k.astype("i4"), "Z": z, "drF": drf, "T0": np.broadcast_to(np.asarray(t0, float), (nk,))})
+    pdf = pd.DataFrame({"run": run, "k": k.astype("i4"), "Z": z, "drF": drf, "drC": np.gradient(-z) if nk > 1 else drf, "T0": np.broadcast_to(np.asarray(t0, float), (nk,))})
     return spark.createDataFrame(pdf)
 
 

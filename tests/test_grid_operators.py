@@ -201,7 +201,7 @@ def test_top_edge_falls_in_last_layer(spark):
 def test_vorticity_of_solid_rotation(spark):
     k, j, i = np.indices((1, 4, 5))
     cells = frame(spark, {"UVEL": -1.0 * j, "VVEL": 1.0 * i})
-    out = stats.relative_vorticity(cells, grid2d(spark, 4, 5, dxG=1.0, dyG=1.0, rA=1.0))
+    out = stats.relative_vorticity(cells, grid2d(spark, 4, 5, dxC=1.0, dyC=1.0, rAz=1.0))  # face lengths play no part
     assert out.count() == 12 and {r["vort"] for r in out.collect()} == {2.0}
 
 
@@ -248,3 +248,27 @@ def test_cyclic_forcing_wraps(spark):
     times = spark.createDataFrame([("r", 0.0), ("r", 620.0), ("r", 35 * 1240.0 + 620.0), ("r", 44640.0 * 3 + 1240.0)], "run string, time_s double")
     out = timewin.cyclic_forcing(times, timewin.forcing_arrays(forcing))
     assert sorted(r["u"] for r in out.collect()) == [0.0, 0.5, 1.0, 17.5]
+
+
+def test_statistics_use_centre_distances(spark):
+    """Stretched spacing: CFL numbers and W's weight follow centre distances, not face lengths."""
+    w = np.zeros((2, 1, 2))
+    w[0], w[1] = 1.0, 3.0
+    ones = np.ones((2, 1, 2))
+    cells = frame(spark, {"UVEL": ones, "VVEL": ones, "WVEL": w, "THETA": ones, "hFacC": ones * 0.5, "hFacW": ones, "hFacS": ones})
+    flat = grid2d(spark, 1, 2, dxC=4.0, dxG=1.0, dyC=8.0, dyG=1.0)
+    deep = spark.createDataFrame([("r", 0, -1.0, 2.0, 1.0, 0.0), ("r", 1, -4.0, 6.0, 4.0, 0.0)], "run string, k int, Z double, drF double, drC double, T0 double")
+    cfl = stats.advective_cfl(cells, flat, deep, 2.0).first()
+    assert (cfl["cfl_u"], cfl["cfl_v"], cfl["cfl_w"], cfl["cfl_w_hf"]) == (0.5, 0.25, 2.0, 2.0)
+    means = {r["field"]: r["mean"] for r in stats.field_statistics(cells, flat, deep).collect()}
+    assert means["WVEL"] == (1.0 * 1 + 3.0 * 4) / 5 and means["UVEL"] == 1.0
+
+
+def test_parameters_by_run(spark):
+    """Runs with other parameters get their own work, others the defaults."""
+    cells = frame(spark, {"VVEL": np.ones((2, 3, 4)), "hFacS": np.ones((2, 3, 4))}, run="a").unionByName(
+        frame(spark, {"VVEL": np.ones((2, 3, 4)), "hFacS": np.ones((2, 3, 4))}, run="b"))
+    flat = grid2d(spark, 3, 4, run="a").unionByName(grid2d(spark, 3, 4, run="b"))
+    own = spark.createDataFrame([("a", 2.0)], "run string, u0 double")
+    got = {r["run"]: r["work"] for r in reduce.work_profile(cells, flat, f0=1.0, u0=0.5, parameters=own).where("k = 0").collect()}
+    assert got == {"a": 240.0, "b": 60.0}

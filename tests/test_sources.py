@@ -122,6 +122,51 @@ def test_lines_keep_order_over_file_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def _segments(tmp_path):
+    """Two log files of one run, the later one larger."""
+    folder = tmp_path / "results" / "One" / "input"
+    folder.mkdir(parents=True)
+    block = "%MON time_tsnumber = {0}\n%MON time_secondsf = {0}.0E+00\n%MON advcfl_uvel_max = {1}.0E-02\n"
+    (folder / "STDOUT.0000").write_text("".join(block.format(n, n) for n in range(5)))
+    (folder / "STDOUT.0001").write_text("%MON advcfl_uvel_max = 77.0E-02\n" + "".join(block.format(n, n) for n in range(5, 400)))
+    os.utime(folder / "STDOUT.0000", (1, 1))
+    return str(folder)
+
+
+@pytest.mark.parametrize("by", ["name", "time"])
+def test_several_log_files_of_a_run(spark, tmp_path, by):
+    lines = text.read_lines(spark, _segments(tmp_path), by=by)
+    rows = monitor.metrics(lines)
+    assert {r["metric"]: r["value"] for r in monitor.latest(rows).collect()}["time_secondsf"] == 399.0
+    tail = monitor.matching_tail(lines, "time_seconds", 2).orderBy("from_end").collect()
+    assert [r["value"].split()[-1] for r in tail] == ["399.0E+00", "398.0E+00"]
+    assert monitor.progress(rows).first()["model_seconds"] == 399.0
+    table = {r["block"]: r for r in monitor.blocks(rows, ["time_secondsf", "advcfl_uvel_max"]).collect()}
+    assert table[4]["advcfl_uvel_max"] == 0.77 and table[5]["time_secondsf"] == 5.0 and len(table) == 400
+
+
+def test_several_log_files_arriving_in_any_order(spark, tmp_path):
+    _segments(tmp_path)
+    os.utime(tmp_path / "results" / "One" / "input" / "STDOUT.0001", (0, 0))  # the last file arrives first
+    updates = live.watch_log_files(live.log_stream(spark, str(tmp_path / "results"), 1), "any-order")
+    assert updates.select("batch").distinct().count() == 2
+    assert {r["metric"]: r["value"] for r in monitor.latest(updates).collect()}["time_secondsf"] == 399.0
+
+
+def test_comments_may_mention_a_path(spark):
+    log = ["2025-01-02 03:04:05", "../results/A/input/", "like results/B/ but longer", "", "2025-01-03 03:04:05", "no path, see results/C/x"]
+    df = spark.createDataFrame([("f", n, n // 2, v) for n, v in enumerate(log)], "file string, ord long, chunk long, value string")
+    rows = catalogue.run_log_entries(df).orderBy("logged_at").collect()
+    assert [(r["run"], r["comment"]) for r in rows] == [("A", "like results/B/ but longer"), ("C", "")]
+
+
+def test_all_metric_families_are_kept(spark):
+    names = ["forcing_qnet_max", "ke_max", "vort_r_min", "advcfl_uvel_max"]
+    df = spark.createDataFrame([("r", n, f"%MON {m} = {n}.0E+00") for n, m in enumerate(names)], "run string, ord long, value string")
+    assert {r["metric"] for r in monitor.metrics(df).collect()} == set(names)
+    assert {r["metric"] for r in monitor.metrics(df, ("ke", "vort")).collect()} == {"ke_max", "vort_r_min"}
+
+
 def test_metric_names(spark):
     lines = ["(PID.TID 0000.0001) %MON time_secondsf                =   3.7200000000000E+03", "%MON trAdv_CFL_u_max = 1.0E-01",
              "%MON advcfl_W_hf_max = 2.0E-01", "// Begin MONITOR dynamic field statistics", "%MON dynstat_eta_max = broken"]
@@ -273,22 +318,14 @@ def test_column_buckets_need_no_shuffle(spark, tmp_path):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def test_small_sides_are_settled_beyond_the_threshold(spark):
-    """With a tiny threshold a per-run table is written and re-read, and the result is the same."""
-    from gridspark.operators.select import middle_row
-    from gridspark.sources.shared import sized
+def test_per_run_tables_are_settled(spark):
+    """A per-run table is written and re-read before it is joined, at any size."""
+    from gridspark.operators.select import domain_of, middle_row
     from tests.grids import grid2d
 
-    cells, grid = frame(spark, {"UVEL": np.ones((2, 5, 3))}), settle(grid2d(spark, 5, 3), "grid")
-    per_run = grid.groupBy("run").agg(F.max("j").alias("nj"))
-    assert sized(per_run, "x") is per_run
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10b")
-    try:
-        assert "FileScan" in plan_of(sized(per_run, "x"))
-        assert {r["j"] for r in middle_row(cells, grid).collect()} == {2}
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    cells, grid = frame(spark, {"UVEL": np.ones((2, 5, 3))}), grid2d(spark, 5, 3)
+    assert "FileScan" in plan_of(domain_of(grid))
+    assert {r["j"] for r in middle_row(cells, grid).collect()} == {2}
 
 
 def test_tail_is_limited_before_the_shuffle(spark):
