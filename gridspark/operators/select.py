@@ -7,6 +7,8 @@ table on the run instead of looping over runs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from gridspark.functions.scalars import _col
@@ -88,9 +90,8 @@ def middle_row(cells: DataFrame, grid2d: DataFrame) -> DataFrame:
     return cells.join(middle, ["run", "j"], "left_semi")
 
 
-def records_between(cells: DataFrame, records: DataFrame, start: int | None = None,
-                    stop: int | None = None, step: int = 1) -> DataFrame:
-    """Records by position with negative positions counted from the end, like a slice."""
+def positions_between(records: DataFrame, start: int | None = None, stop: int | None = None, step: int = 1) -> DataFrame:
+    """``run, stream, rec`` of a range of positions; negative ones count from the end, like a slice."""
     n = F.col("n_rec")
 
     def place(position):
@@ -103,8 +104,19 @@ def records_between(cells: DataFrame, records: DataFrame, start: int | None = No
         keep = keep & (F.col("pos") < place(stop))
     if step != 1:
         keep = keep & ((F.col("pos") - lower) % step == 0)
-    wanted = records.where(keep).select("run", "stream", "rec")
-    return cells.join(wanted, ["run", "stream", "rec"], "left_semi")
+    return records.where(keep).select("run", "stream", "rec")
+
+
+def records_between(cells: DataFrame, records: DataFrame, start: int | None = None,
+                    stop: int | None = None, step: int = 1) -> DataFrame:
+    """Records by position with negative positions counted from the end, like a slice."""
+    return cells.join(positions_between(records, start, stop, step), ["run", "stream", "rec"], "left_semi")
+
+
+def records_in_ranges(cells: DataFrame, records: DataFrame, name: str = "part", **ranges: tuple) -> DataFrame:
+    """Rows of several named ``(start, stop)`` ranges, which may overlap, from a single scan."""
+    parts = [positions_between(records, *r).withColumn(name, F.lit(n)) for n, r in ranges.items()]
+    return cells.join(reduce(lambda a, b: a.unionByName(b), parts), ["run", "stream", "rec"])
 
 
 def last_record(cells: DataFrame, records: DataFrame) -> DataFrame:

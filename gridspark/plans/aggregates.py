@@ -60,7 +60,7 @@ _DWP = f"""SELECT run, rec, k, WP, CASE WHEN k BETWEEN 1 AND 5 THEN -(lead(WP) O
 @query("a06_pressure_work", uses="cells grid2d grid1d", sql=f"SELECT run, rec, k, round(WP, 6) AS WP, round(dWPdz, 6) AS dWPdz FROM ({_DWP})")
 def pressure_work(t):
     """Pressure work at interfaces and its divergence."""
-    return rounded(energy.pressure_work_divergence(t.cells, t.grid2d, t.grid1d))
+    return rounded(energy.pressure_work_divergence(t.columns, t.grid2d, t.grid1d))
 
 
 _BF = """SELECT run, rec, k, COALESCE(SUM(0.5 * (VVEL + vb) * hFacC * rA), 0) * any_value(f0) * any_value(u0) AS Bf FROM (
@@ -225,7 +225,7 @@ SELECT run, rec, k, j, i, Ub AS Ub, m - Ub AS Up FROM (
   SELECT run, rec, k, j, i, m, AVG(m) OVER (PARTITION BY run, rec, j, i) AS Ub FROM (SELECT *, CASE WHEN THETA <> 0 THEN UVEL END AS m FROM cells))""")
 def vertical_mean_split(t):
     """Column mean and remainder of the masked flow."""
-    return reduce.split_vertical_mean(t.cells).select("run", "rec", "k", "j", "i", "Ub", "Up")
+    return reduce.split_vertical_mean(t.columns).select("run", "rec", "k", "j", "i", "Ub", "Up")
 
 
 _FLUX = """SELECT run, rec, k, AVG((m - ub) * (p - pb)) AS UpPp, AVG(CASE WHEN m IS NOT NULL THEN ub END * pb) AS UbPb,
@@ -294,7 +294,7 @@ SELECT run, rec, j, i, layer, SUM(UVEL*hFacW*drF) AS uh, SUM(hFacW*drF) AS h FRO
   FROM cells JOIN grid1d USING (run, k) JOIN {_BINS} USING (run) WHERE THETA IS NOT NULL AND hFacW > 0) GROUP BY ALL""")
 def layer_transport(t):
     """Transport and thickness in evenly spaced temperature layers."""
-    return layers.layer_transport(t.cells, t.grid1d, bins=24)
+    return layers.layer_transport(t.columns, t.grid1d, bins=24)
 
 
 @query("a23_layer_transport_refined", uses="cells grid1d", sql=f"""
@@ -308,7 +308,7 @@ SELECT run, rec, j, i, CAST(greatest(0, least(23, floor((th - lo) * 24 / (hi - l
   round(SUM(UVEL*hFacW*drF/8), 6) AS uh, round(SUM(hFacW*drF/8), 6) AS h FROM fine WHERE th IS NOT NULL GROUP BY ALL""")
 def layer_transport_refined(t):
     """The same after splitting each cell in eight with interpolated temperature."""
-    return rounded(layers.layer_transport(t.cells, t.grid1d, bins=24, parts=8))
+    return rounded(layers.layer_transport(t.columns, t.grid1d, bins=24, parts=8))
 
 
 # Uneven layer edges made up for this query.
@@ -321,7 +321,7 @@ SELECT run, rec, j, i, CAST({_EDGE_CASE} AS INT) AS layer, SUM(UVEL*hFacW*drF) A
 FROM cells JOIN grid1d USING (run, k) WHERE THETA IS NOT NULL AND hFacW > 0 GROUP BY ALL""")
 def layer_transport_uneven(t):
     """Transport in layers with uneven edges."""
-    return layers.layer_transport_at(t.cells, t.grid1d, _EDGES)
+    return layers.layer_transport_at(t.columns, t.grid1d, _EDGES)
 
 
 @query("a24_advective_cfl", uses="cells grid2d grid1d", sql="""

@@ -238,12 +238,8 @@ UNION ALL SELECT 'tail', run, rec, k, j, i, UVEL FROM cells WHERE rec >= 2
 UNION ALL SELECT 'last', run, rec, k, j, i, UVEL FROM cells WHERE rec = 6""")
 def records_from_end(t):
     """Record ranges counted from the end: [-4, -1), [-5, end) and the last."""
-    def part(name, rows):
-        return rows.select(F.lit(name).alias("part"), "run", "rec", "k", "j", "i", "UVEL")
-
-    inner = part("inner", select.records_between(t.cells, t.records, -4, -1))
-    tail = part("tail", select.records_between(t.cells, t.records, -5))
-    return inner.unionByName(tail).unionByName(part("last", select.last_record(t.cells, t.records)))
+    rows = select.records_in_ranges(t.cells, t.records, inner=(-4, -1), tail=(-5, None), last=(-1, None))
+    return rows.select("part", "run", "rec", "k", "j", "i", "UVEL")
 
 
 @query("p07_depth_range", uses="cells grid1d", sql="""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridspark.operators.metrics import materialise
 from gridspark.schema import cells_schema
 from gridspark.sources.shared import fresh_path, shared_dir
-from gridspark.sources.tables import write_cells
+from gridspark.sources.tables import save_by_column, write_cells
 
 NJ, PARTS_PER_I = 8, 50
 #: Metric of the events that no other branch names, so that every family of the log occurs.
@@ -269,6 +269,17 @@ class Tables:
         path = self._once("cells", build, write_cells)
         return self.spark.read.schema(cells_schema(FIELDS + METRICS)).parquet(path)
 
+    @cached_property
+    def columns(self) -> DataFrame:
+        """The cells again, bucketed by water column: operators along ``k`` and sums per column move no cells."""
+        key = (shared_dir(self.spark), self.sf_dir, "columns")
+        if key not in _written or not self.spark.catalog.tableExists(_written[key]):
+            path = fresh_path(self.spark, "columns")
+            name = "gridspark_" + path.rsplit("-", 1)[1]
+            save_by_column(self.cells, name, int(self.spark.conf.get("spark.sql.shuffle.partitions")), path)
+            _written[key] = name
+        return self.spark.table(_written[key])
+
     @cached_property
     def bare_cells(self) -> DataFrame:
         """Cell rows without the static metrics, as a stream delivers them."""

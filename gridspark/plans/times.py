@@ -57,7 +57,7 @@ WITH l AS (SELECT run, rec, j, i, CAST(greatest(0, least(11, floor((THETA - lo)
 SELECT CAST(rec // 2 * 44640 AS BIGINT) AS t0, run, j, i, layer, AVG(uh) AS uh, AVG(h) AS h, CAST(COUNT(*) AS BIGINT) AS n FROM l GROUP BY ALL""")
 def layer_average(t):
     """Tidal means of layer transport."""
-    binned = layers.layer_transport(t.cells, t.grid1d, bins=12)
+    binned = layers.layer_transport(t.columns, t.grid1d, bins=12)
     times = t.records.select("run", "rec", "time_s")
     return timewin.tidal_average(binned.join(times, ["run", "rec"]), ["uh", "h"], keys=("run", "j", "i", "layer"))
 

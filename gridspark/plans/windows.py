@@ -34,7 +34,7 @@ SELECT run, rec, k, j, i, (PHIHYD*hFacC + lag(PHIHYD) OVER w * lag(hFacC) OVER w
 FROM cells WINDOW w AS (PARTITION BY run, rec, j, i ORDER BY k)""")
 def interface_weighted(t):
     """Thickness-weighted interface pressure, missing where both cells are dry."""
-    return t.cells.select(*CELL, stencil.interface_value().alias("p"))
+    return t.columns.select(*CELL, stencil.interface_value().alias("p"))
 
 
 @query("w04_face_to_centre", uses="cells", sql="""
@@ -47,6 +47,13 @@ def face_to_centre(t):
     return rows.select(*CELL, "v_wrapped", stencil.face_to_centre("UVEL", "i", periodic=False).alias("u_open"))
 
 
+@query("w05_row_coordinates", uses="spec", sql="""
+SELECT run, CAST(j AS INT) AS j, 100e0 * j AS y FROM spec, range(2) q(j) WHERE j < ny""")
+def row_coordinates(t):
+    """South-north coordinates counted from the first row."""
+    return generate.rows_axis(t.spec).select("run", "j", "y")
+
+
 @query("w05_coordinates", uses="spec", sql="""
 SELECT run, CAST(i AS INT) AS i, round(SUM(100 * pow(1.12, greatest(36 - i, 0))) OVER (PARTITION BY run ORDER BY i), 4) AS x
 FROM spec, range(64) r(i) WHERE i < nx""")
@@ -67,7 +74,7 @@ SELECT run, rec, k, j, i, round(pow(10, SUM(log10(KLviscAr)) OVER (PARTITION BY
 FROM cells""")
 def moving_geometric_mean(t):
     """Moving geometric mean of width 15 over depth."""
-    return t.cells.select(*CELL, F.round(stencil.moving_geometric_mean("KLviscAr", "k", COLUMN, 15), 9).alias("kv"))
+    return t.columns.select(*CELL, F.round(stencil.moving_geometric_mean("KLviscAr", "k", COLUMN, 15), 9).alias("kv"))
 
 
 @query("w08_four_point_mean", uses="cells", sql="""

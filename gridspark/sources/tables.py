@@ -10,12 +10,13 @@ from gridspark.functions.scalars import missing
 
 
 def write_cells(cells: DataFrame, path: str, rows_per_file: int = 4_000_000, partitions: int | None = None) -> None:
-    """Write cells partitioned by run and stream, range-ordered so files prune by record and level.
+    """Write cells partitioned by run, stream and record, range-ordered so files prune by level.
 
-    Range partitioning splits a run that holds most rows over many tasks.
+    Filters on records, and joins with a few chosen records (by dynamic pruning), read only
+    those.  Range partitioning splits a run that holds most rows over many tasks.
     """
     by = [c for c in ("run", "stream", "rec", "k", "j") if c in cells.columns]
-    keys = [c for c in ("run", "stream") if c in cells.columns]
+    keys = [c for c in ("run", "stream", "rec") if c in cells.columns]
     ranged = cells.repartitionByRange(partitions, *by) if partitions else cells.repartitionByRange(*by)
     ordered = ranged.sortWithinPartitions(*by, *[c for c in ("i",) if c in cells.columns])
     ordered.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).partitionBy(*keys).parquet(path)

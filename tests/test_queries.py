@@ -33,3 +33,19 @@ def test_entry(spark):
     assert driver.entry(spark).columns == ["run", "k", "Z", "Bf", "dWPdz", "dEdt", "resid"]
     assert set(QUERIES) <= set(driver.queries())
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def _plan(spark, name):
+    return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["a19_vertical_mean_split", "w03_interface_weighted", "w07_moving_geometric_mean", "a23_layer_transport", "a23_layer_transport_refined"])
+def test_column_operators_move_no_cells(spark, name):
+    assert "Exchange hashpartitioning" not in _plan(spark, name)
+
+
+@pytest.mark.parametrize("name", ["p05_strided_time", "p06_records_from_end", "a21_mean_of_last", "g12_diffusivity_from_run"])
+def test_record_ranges_prune_the_scan(spark, name):
+    plan = _plan(spark, name)
+    scans = [x for x in plan.split("FileScan parquet")[1:] if "UVEL" in x.split("ReadSchema")[-1][:400] or "KLviscAr" in x.split("ReadSchema")[-1][:400] or "THETA" in x.split("ReadSchema")[-1][:400]]
+    assert any("dynamicpruning" in x.split("ReadSchema")[0] for x in scans), plan
