@@ -131,7 +131,8 @@ def iterations(cells: DataFrame, records: DataFrame, wanted: str | int | list[in
         return cells
     if wanted == -1 or wanted == [-1]:
         return last_record(cells, records)
-    return cells.where(F.col("iter").isin(wanted))
+    listed = records.where(F.col("iter").isin(wanted)).select("run", "stream", "rec")
+    return cells.join(listed, ["run", "stream", "rec"], "left_semi")
 
 
 def edge_strip(cells: DataFrame, grid2d: DataFrame, side: str, width: int = 2) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridspark.operators import layers, monitor, spectra, timewin
 from gridspark.plans.registry import query, rounded
 from gridspark.plans.tables import OTHER_METRICS
+from gridspark.sources import tail
 from gridspark.streaming import live
 
 
@@ -100,6 +101,15 @@ def live_monitor_files(t):
     return monitor.latest(updates)
 
 
+@query("x06_live_monitor_growing", uses="metrics", sql="""
+SELECT run, metric, arg_max(value, ord) AS value FROM metrics GROUP BY run, metric""")
+def live_monitor_growing(t):
+    """The same from logs that may keep growing, as streaming state over their offsets."""
+    lines = tail.growing_lines(t.spark, t.log_folder, r"run=([^/]+)/", r"part-[^/]*$")
+    updates = live.drain(live.live_metrics(lines), "live-growing", mode="update")
+    return live.latest_batch_per_key(updates, ["run", "metric"])
+
+
 @query("x07_streaming_average", uses="series", sql="""
 SELECT * FROM (SELECT (t // 44640) * 44640 AS t0, run, metric, AVG(CAST(v AS DOUBLE)) AS v, CAST(COUNT(*) AS BIGINT) AS n FROM series GROUP BY ALL)
 WHERE t0 + 44640 <= (SELECT epoch(max(ts)) - 7200 FROM events)""")

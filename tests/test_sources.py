@@ -153,6 +153,42 @@ def test_several_log_files_arriving_in_any_order(spark, tmp_path):
     assert {r["metric"]: r["value"] for r in monitor.latest(updates).collect()}["time_secondsf"] == 399.0
 
 
+def test_growing_log(spark, tmp_path):
+    """Lines appended to a file that was read before arrive, once, when they are complete."""
+    from gridspark.sources import tail
+
+    folder = tmp_path / "logs" / "results" / "One" / "input"
+    folder.mkdir(parents=True)
+    log, seen = folder / "STDOUT.0000", []
+    log.write_text("%MON time_secondsf = 1.0E+00\n%MON time_secondsf = 2.0E+00\n%MON time_sec")
+
+    def poll():
+        lines = tail.growing_lines(spark, str(tmp_path / "logs"))
+        query = (lines.writeStream.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True)
+                 .foreachBatch(lambda batch, n: seen.extend(monitor.metrics(batch).collect())).start())
+        query.awaitTermination()
+
+    poll()
+    assert [r["value"] for r in seen] == [1.0, 2.0]
+    with log.open("a") as more:
+        more.write("ondsf = 3.0E+00\n" + "".join(f"%MON time_secondsf = {n}.0E+00\n" for n in range(4, 400)))
+    poll()
+    assert sorted(r["value"] for r in seen) == [float(n) for n in range(1, 400)]
+    assert max(seen, key=lambda r: r["ord"])["value"] == 399.0 and {r["run"] for r in seen} == {"One"}
+
+
+def test_growing_log_ranges(tmp_path):
+    """Every line is read once, however the bytes are cut."""
+    from gridspark.sources.tail import TailReader
+
+    text_ = "".join(f"line {n} {'x' * (n % 37)}\n" for n in range(300))
+    (tmp_path / "a.log").write_text(text_ + "unfinished")
+    for size in (1, 7, 64, 100000):
+        reader = TailReader(str(tmp_path), ".", size)
+        parts = reader.partitions({}, reader.latestOffset())
+        assert [v for p in parts for _, _, v in reader.read(p)] == text_.splitlines()
+
+
 def test_comments_may_mention_a_path(spark):
     log = ["2025-01-02 03:04:05", "../results/A/input/", "like results/B/ but longer", "", "2025-01-03 03:04:05", "no path, see results/C/x"]
     df = spark.createDataFrame([("f", n, n // 2, v) for n, v in enumerate(log)], "file string, ord long, chunk long, value string")
