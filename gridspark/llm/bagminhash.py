@@ -38,7 +38,7 @@ from gridspark.llm.common import query, settle, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-ROUNDS = 4  #: against one text of the largest component, before what is left is checked whole
+ROUNDS = 2  #: against one text of the largest component, before what is left is checked whole
 SKETCH = 1024  #: bits of the long signatures; a pair is verified up to SKETCH_SIGMA deviations from a link's mean
 SKETCH_SIGMA = 4.5
 _U = np.uint64
@@ -288,10 +288,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
         labels = _relabelled(labels, told.where(F.col("sim") >= similarity))
     own = left.join(labels, "node")
     sketches = settle(texts.join(able, "node", "left_semi").mapInArrow(_sketched(shingle, unit), ", ".join(["node binary", *(f"s{k} long" for k in range(SKETCH // 64))])), "near-sketches")
-    apart = settle(own.join(_mixed(own), "band", "left_semi").join(sketches, "node"), "near-apart")
+    apart = own.join(_mixed(own), "band", "left_semi")
+    shared = apart.groupBy("node").agg(F.collect_list("band").alias("bands"))  # a text has a row per band
+    apart = apart.join(shared, "node").withColumn("earlier", F.filter("bands", lambda b: b < F.col("band"))).drop("bands")
+    apart = settle(apart.join(sketches, "node"), "near-apart")
     x, y = apart.alias("x"), apart.alias("y")
     near = (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size")) & _reaches("x.size", "y.size", "x.support", "y.support", similarity) & ~(F.coalesce(F.abs(F.col("x.far") - F.col("y.far")), F.lit(0.0)) > 1 - similarity + 1e-9) & _alike(similarity)
-    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & near).select(*_pair(F.col("x.node"), F.col("y.node"))).distinct()
+    near = near & ~F.arrays_overlap("x.earlier", "y.earlier")  # a pair is judged in the first bucket that it shares
+    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & near).select(*_pair(F.col("x.node"), F.col("y.node")))
     cross = settle(cross.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "near-cross")
     more = settle(verify(cross, texts, shingle).where(F.col("sim") >= similarity), "near-more")
     every = links.unionByName(more)
