@@ -5,8 +5,9 @@ text and one class for all other words are the model's symbols; a word of that c
 class's probability times its own share within it, so rare and unseen words are scored too.
 
 The model predicts a symbol from the two before it: their vectors, each through a matrix of its own, sum to a
-prediction that is compared with every symbol's output vector.  Each training document gives a
-fixed share of its positions.  Tasks train on their own positions in numpy, with noise drawn per minibatch, and
+prediction that is compared with every symbol's output vector.  Every position of every training document
+is dealt by hash to one of ``ROUNDS`` rounds, so the rounds together pass once over all of them.  Tasks train on
+their own positions in numpy, with noise drawn per minibatch, and
 their parameters are averaged by position count after each round; the parameters are of fixed size.
 The normalisers of all pairs of symbols are then computed by batched matrix products, so scoring
 looks them up and the probabilities are exactly normalised.
@@ -22,6 +23,7 @@ score is that of an even choice among symbols.
 
 from __future__ import annotations
 
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +35,6 @@ from gridspark.llm.common import query, settle, table
 
 VOCABULARY, WIDTH = 1022, 32
 COMMON = 1 << 18  #: words whose counts travel to the tasks, at most
-SHARE = 0.1  #: of the positions of each training document that the model is trained on
 ROUNDS, BATCH, NOISE, RATE = 4, 512, 64, 0.08
 FOLDS, HELD_OUT = 7, 2
 
@@ -136,8 +137,8 @@ def _with_ends(w: W.Words, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return line, before, further, np.repeat(np.arange(len(counts)), counts + 1), place
 
 
-def _positions(lex: Lexicon, share: float):
-    """A share of the positions, as packed (further, before, symbol)."""
+def _positions(lex: Lexicon, rounds: int):
+    """All positions, as packed (further, before, symbol): a column for each round."""
 
     def run(batches):
         for batch in batches:
@@ -145,13 +146,18 @@ def _positions(lex: Lexicon, share: float):
                 h = W.word_hashes(w)
                 line, before, further, doc, _ = _with_ends(w, _looked_up(lex, h)[0])
                 key = W.mixed(np.arange(len(line), dtype=np.uint64) + W.mixed(np.uint64(len(h)) + np.bitwise_xor.reduce(h, initial=np.uint64(0))))
-                at = np.flatnonzero(key < np.uint64(int(share * (1 << 63)) * 2))
-                packed = np.stack([further[at], before[at], line[at]], axis=1).astype("<u2")
-                yield pa.record_batch([pa.array([len(at)], pa.int64()), pa.array([packed.tobytes()], pa.binary())], names=["n", "packed"])
+                packed = np.stack([further, before, line], axis=1).astype("<u2")
+                dealt = [packed[key % np.uint64(rounds) == r] for r in range(rounds)]
+                yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in dealt], names=[f"packed{r}" for r in range(rounds)])
 
     return run
 
 
+def positions_of(training: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> DataFrame:
+    """``packed0`` to the last round's: each position of the texts in one of them."""
+    return training.mapInArrow(_positions(lex, rounds), ", ".join(f"packed{r} binary" for r in range(rounds)))
+
+
 class Model(NamedTuple):
     inputs: np.ndarray  #: symbols x width
     outputs: np.ndarray
@@ -178,10 +184,10 @@ def initial(unigram: np.ndarray, width: int = WIDTH) -> Model:
 
 def _scattered(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of rows by index."""
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index.astype(np.uint16), kind="stable")  # symbols fit, and short keys sort by radix
     sorted_ = index[order]
     head = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    return sorted_[head], np.add.reduceat(rows[order], head, axis=0)
+    return sorted_[head], np.add.reduceat(rows.take(order, axis=0), head, axis=0)
 
 
 def trained(model: Model, positions: np.ndarray, noise: np.ndarray, seed: int, rate: float = RATE) -> Model:
@@ -222,17 +228,15 @@ def trained(model: Model, positions: np.ndarray, noise: np.ndarray, seed: int, r
 
 def _train_task(model: Model, noise: np.ndarray, round_: int):
     def run(batches):
-        held = [np.frombuffer(x, dtype="<u2").reshape(-1, 3) for batch in batches for x in batch.column(1).to_pylist()]
-        total = sum(map(len, held))
+        own, group, size, total = model, [], 0, 0
+        for x in chain((x for batch in batches for x in batch.column(0).to_pylist()), [None]):
+            if x is not None:
+                group.append(np.frombuffer(x, dtype="<u2").reshape(-1, 3))
+                size += len(group[-1])
+            if size >= 1 << 20 or x is None and size:  # about a million positions at a time
+                own = trained(own, np.concatenate(group), noise, seed=round_ * 7919 + total % 7907)
+                group, size, total = [], 0, total + size
         if total:
-            out, n = np.zeros(model.flat().size), 0
-            own, group, size = model, [], 0
-            for k, part in enumerate(held):  # about a million positions at a time
-                group.append(part)
-                size += len(part)
-                if size >= 1 << 20 or k == len(held) - 1:
-                    own = trained(own, np.concatenate(group), noise, seed=round_ * 7919 + n % 7907)
-                    n, group, size = n + size, [], 0
             out = own.flat().astype(np.float64) * total
             yield pa.record_batch([pa.array(np.arange(out.size, dtype=np.int32)), pa.array(out), pa.array(np.full(out.size, total, np.int64))], names=["place", "value", "n"])
 
@@ -240,11 +244,11 @@ def _train_task(model: Model, noise: np.ndarray, round_: int):
 
 
 def fit(positions: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
-    """``positions``: ``n, packed``; parameters averaged over tasks after each round."""
+    """``positions``: those of ``positions_of``, by round; parameters averaged over tasks after each."""
     model = initial(lex.unigram)
     noise = np.maximum(lex.unigram, 0.5) / np.maximum(lex.unigram, 0.5).sum()
     for r in range(rounds):
-        sums = positions.mapInArrow(_train_task(model, noise, r), "place int, value double, n long").groupBy("place").agg((F.sum("value") / F.sum("n")).alias("value")).toArrow()
+        sums = positions.select(f"packed{r}").mapInArrow(_train_task(model, noise, r), "place int, value double, n long").groupBy("place").agg((F.sum("value") / F.sum("n")).alias("value")).toArrow()
         if sums.num_rows == 0:
             return model
         flat = np.zeros(sums.num_rows)
@@ -318,7 +322,7 @@ def scores(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     training = folded.where("not held_out").select("text")
     counts = settle(training.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     lex = lexicon(counts)
-    positions = settle(training.mapInArrow(_positions(lex, SHARE), "n long, packed binary"), "lm-positions")
+    positions = settle(positions_of(training, lex), "lm-positions")
     model = fit(positions, lex)
     z = normalisers(spark, model)
     rows = folded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
