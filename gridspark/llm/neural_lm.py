@@ -1,15 +1,17 @@
 r"""Language-model scores: a log-bilinear model trained by noise-contrastive estimation.
 
-Words are counted over all training documents.  The commonest ``VOCABULARY`` words, the end of a
-text and one class for all other words are the model's symbols; a word of that class has the
-class's probability times its own share within it, so rare and unseen words are scored too.
+Words are counted over all training documents.  The model's symbols are the end of a text, the commonest
+``VOCABULARY`` words and about ``CLASSES`` classes of the others: those in order of count, cut so that each class has
+about the same share of the tokens, and words too rare for the ``COMMON`` table by hash.  So classes are narrow
+where words are common, and follow the counts at any size.  A word of a class has the class's probability times
+its own share within it, so rare and unseen words are scored too.
 
 The model predicts a symbol from the two before it: their vectors, each through a matrix of its own, sum to a
 prediction that is compared with every symbol's output vector.  Every position of every training document
 is dealt by hash to one of ``ROUNDS`` rounds, so the rounds together pass once over all of them.  Tasks train on
 their own positions in numpy, with noise drawn per minibatch, and
 their parameters are averaged by position count after each round; the parameters are of fixed size.
-The normalisers of all pairs of symbols are then computed by batched matrix products, so scoring
+The normalisers of all pairs of symbols are then one matrix product (the exponentials of both words' parts), so scoring
 looks them up and the probabilities are exactly normalised.
 
 Counts of the commonest ``COMMON`` words travel to the tasks (a bounded table); all other words are
@@ -33,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridspark.llm import words as W
 from gridspark.llm.common import query, settle, table
 
-VOCABULARY, WIDTH = 1022, 32
+VOCABULARY, CLASSES, WIDTH = 1022, 1022, 32
 COMMON = 1 << 18  #: words whose counts travel to the tasks, at most
 ROUNDS, BATCH, NOISE, RATE = 4, 512, 64, 0.08
 FOLDS, HELD_OUT = 7, 2
 
-END, OTHER = 0, 1  #: symbols; the words follow from 2 on
+END = 0  #: symbol; words, classes of common words and classes of rare words follow
 _END_WORD = np.uint64(0x5851F42D4C957F2D)  #: stands for the end among word hashes
 FLUSH_WORDS = 1 << 20
 
@@ -74,27 +76,31 @@ class Lexicon(NamedTuple):
 
     words: np.ndarray  #: sorted hashes of the commonest words
     counts: np.ndarray
-    symbols: np.ndarray  #: symbol of each; OTHER beyond the vocabulary
+    symbols: np.ndarray  #: symbol of each: its own or its class's
     tokens: int
     types: int
     ends: int
     unigram: np.ndarray  #: count of each symbol
-    other_types: int
+    spare: np.ndarray  #: per class of rare words, its types and one for all unseen words; 0 for other symbols
+    rare: int  #: the first class of rare words; all after it are such classes
 
     def base(self, c):
         return np.log10((c + 1) / (self.tokens + self.types + 1))
 
-    def within(self, c):
-        """Share of a word in the class of other words."""
-        return np.log10((c + 1) / (self.unigram[OTHER] + self.other_types + 1))
+    def rare_symbol(self, h: np.ndarray) -> np.ndarray:
+        return self.rare + h.view(np.int64) % (len(self.unigram) - self.rare)
 
+    def within(self, symbol, c):
+        """Share of a word in its class (1 if the symbol is the word)."""
+        return np.log10((c + (symbol >= self.rare)) / (self.unigram[symbol] + self.spare[symbol]))
 
-def lexicon(counts: DataFrame, common: int = COMMON, vocabulary: int = VOCABULARY) -> Lexicon:
+
+def lexicon(counts: DataFrame, common: int = COMMON, vocabulary: int = VOCABULARY, classes: int = CLASSES) -> Lexicon:
     """``counts``: ``word, n`` over all training tokens."""
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    grade = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int").alias("grade")
+    grade = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
     left, least = common, 1 << 62
-    for r in sorted(counts.select(grade).groupBy("grade").agg(F.count("*").alias("v")).collect(), key=lambda r: -r["grade"]):
+    for r in sorted(counts.select(grade.alias("grade")).groupBy("grade").agg(F.count("*").alias("v")).collect(), key=lambda r: -r["grade"]):
         if r["v"] > left:
             break
         left, least = left - r["v"], r["grade"]
@@ -103,22 +109,33 @@ def lexicon(counts: DataFrame, common: int = COMMON, vocabulary: int = VOCABULAR
     order = np.argsort(word)
     word, n = word[order], n[order]
     ends = int(counts.where(F.col("word") == int(_END_WORD.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    first = [i for i in np.lexsort((word, -n)) if word[i] != _END_WORD][:vocabulary]
-    symbols = np.full(len(word), OTHER)
-    symbols[first] = np.arange(len(first)) + 2
-    unigram = np.zeros(len(first) + 2)
-    unigram[END], unigram[2:] = ends, n[first]
-    unigram[OTHER] = whole["n"] - unigram.sum()
-    return Lexicon(word, n, symbols, int(whole["n"]), int(whole["v"]), ends, unigram, max(0, int(whole["v"]) - len(first) - (ends > 0)))
+    ranked = np.lexsort((word, -n))
+    ranked = ranked[word[ranked] != _END_WORD]
+    first, others = ranked[:vocabulary], ranked[vocabulary:]
+    rare_tokens = int(whole["n"]) - ends - int(n[ranked].sum())
+    step = max(1.0, (int(n[others].sum()) + rare_tokens) / max(classes, 1))  # tokens of a class
+    _, class_ = np.unique(((np.cumsum(n[others]) - n[others]) / step).astype(np.int64), return_inverse=True)
+    symbols = np.full(len(word), END)
+    symbols[first] = np.arange(len(first)) + 1
+    symbols[others] = len(first) + 1 + class_
+    rare, n_rare = int(symbols.max(initial=END)) + 1, max(1, round(rare_tokens / step))
+    unigram, spare = np.zeros(rare + n_rare), np.zeros(rare + n_rare)
+    unigram[:rare] = np.bincount(symbols[ranked], n[ranked], rare)
+    unigram[END], spare[rare:] = ends, 1
+    if rare_tokens:
+        left_out = counts.where((grade < least) & (F.col("word") != int(_END_WORD.view(np.int64))))
+        for r in left_out.groupBy(F.pmod("word", F.lit(n_rare)).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+            unigram[rare + r["k"]], spare[rare + r["k"]] = r["n"], r["v"] + 1
+    return Lexicon(word, n, symbols, int(whole["n"]), int(whole["v"]), ends, unigram, spare, rare)
 
 
 def _looked_up(lex: Lexicon, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbol and count of each word; -1 where the count is not at hand."""
     if not len(lex.words):
-        return np.full(len(h), OTHER), np.full(len(h), -1)
+        return lex.rare_symbol(h), np.full(len(h), -1)
     at = np.minimum(np.searchsorted(lex.words, h), len(lex.words) - 1)
     same = (lex.words[at] == h) & (h != _END_WORD)
-    return np.where(same, lex.symbols[at], OTHER), np.where(same, lex.counts[at], -1)
+    return np.where(same, lex.symbols[at], lex.rare_symbol(h)), np.where(same, lex.counts[at], -1)
 
 
 def _with_ends(w: W.Words, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -257,16 +274,22 @@ def fit(positions: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
     return model
 
 
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    top = x.max(axis=1, keepdims=True)
+    return np.exp(x - top), top
+
+
 def _normalisers(model: Model):
     """For each symbol before, the log normaliser after every further symbol."""
 
     def run(batches):
-        reach = model.inputs @ model.far
+        outputs = model.outputs.T.astype(np.float64)
+        far, far_top = _exponentials(model.inputs @ model.far @ outputs + model.bias)
         for batch in batches:
-            for b in batch.column(0).to_pylist():
-                scores = (reach + model.inputs[b] @ model.near) @ model.outputs.T + model.bias
-                top = scores.max(axis=1)
-                z = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+            befores = batch.column(0).to_numpy()
+            near, near_top = _exponentials(model.inputs[befores] @ model.near @ outputs)
+            logs = np.log(near @ far.T) + near_top + far_top.T
+            for b, z in zip(befores.tolist(), logs):
                 yield pa.record_batch([pa.array([b], pa.int64()), pa.array([z.astype("<f4").tobytes()], pa.binary())], names=["b", "z"])
 
     return run
@@ -302,7 +325,7 @@ def _scored(lex: Lexicon, model: Model, z: np.ndarray):
                 line, before, further, doc, _ = _with_ends(w, symbol)
                 score = np.bincount(doc, log_probabilities(model, z, further, before, line), n)
                 here = count >= 0
-                score += np.bincount(own[here], np.where(symbol[here] == OTHER, lex.within(count[here]), 0), n)
+                score += np.bincount(own[here], lex.within(symbol[here], count[here]), n)
                 base = np.bincount(own[here], lex.base(count[here]), n) + lex.base(lex.ends)
                 known = np.bincount(own[here], minlength=n) + (lex.ends > 0)
                 rows = [c.slice(w.low, n) for c in batch.columns[:3]]
@@ -329,12 +352,13 @@ def scores(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     kind = folded.schema["doc_id"].dataType.simpleString()
     parts = settle(rows.mapInArrow(_scored(lex, model, z), _PARTS.format(id=kind)), "lm-parts")
     c = F.coalesce(F.col("c"), F.lit(0))
+    class_size = F.get(F.array(*[F.lit(float(x)) for x in (lex.unigram + lex.spare)[lex.rare :]]), F.pmod("word", F.lit(len(lex.unigram) - lex.rare)).cast("int"))
     rare = (
         parts.where("word is not null").select("row", "word", F.col("n").alias("times")).join(counts.select("word", F.col("n").alias("c")), "word", "left")
         .groupBy("row").agg(
             F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
             F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(lex.tokens + lex.types + 1)))).alias("more_base"),
-            F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(lex.unigram[OTHER] + lex.other_types + 1)))).alias("more_score"),
+            F.sum(F.col("times") * F.log10((c + 1) / class_size)).alias("more_score"),
         )
     )
     zero = F.lit(0.0)

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from gridspark.llm import neural_lm
+from gridspark.llm import neural_lm, words
 
 
 def packed(positions, rounds):
@@ -26,3 +26,22 @@ def test_model_is_trained_on_every_position(spark):
     assert sum(map(len, got)) == want == lex.tokens
     targets = Counter(np.concatenate(got)[:, 2].tolist())
     assert [targets[k] for k in range(len(lex.unigram))] == lex.unigram.tolist()
+
+
+def test_words_beyond_the_vocabulary_fall_in_narrow_classes(spark):
+    """Classes follow the counts, none holds most of the tokens, and shares within them sum to 1."""
+    rng = np.random.default_rng(9)
+    draws = Counter(rng.zipf(1.3, 60000).tolist())
+    counts = spark.createDataFrame([*((int(words.mixed(np.uint64(k)).view(np.int64)), n) for k, n in draws.items()), (int(neural_lm._END_WORD.view(np.int64)), 100)], "word long, n long")
+    lex = neural_lm.lexicon(counts, common=2000, vocabulary=50, classes=100)
+    other = lex.unigram[51:]
+    assert lex.tokens == 60100 == lex.unigram.sum() and len(draws) > 2000 and 80 < len(other) <= 103 and 1 < len(lex.unigram) - lex.rare
+    assert other.max() < 0.05 * other.sum()
+    h = words.mixed(np.array(list(draws), dtype=np.uint64))
+    symbol, known = neural_lm._looked_up(lex, h)
+    n = np.array(list(draws.values()))
+    assert set(known[known >= 0].tolist()) <= set(n[known >= 0].tolist()) and (known < 0).any()
+    assert np.bincount(symbol, n, len(lex.unigram))[1:].tolist() == lex.unigram[1:].tolist()
+    share = np.bincount(symbol, 10 ** lex.within(symbol, n), len(lex.unigram))[1:]
+    unseen = np.where(np.arange(1, len(lex.unigram)) >= lex.rare, 1 / (lex.unigram + lex.spare)[1:], 0)
+    assert np.allclose(share + unseen, 1)
