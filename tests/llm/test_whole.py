@@ -3,8 +3,9 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from gridspark.llm import neural_lm, words
+from gridspark.llm import neural_lm, quality, words
 
 
 def packed(positions, rounds):
@@ -45,3 +46,23 @@ def test_words_beyond_the_vocabulary_fall_in_narrow_classes(spark):
     share = np.bincount(symbol, 10 ** lex.within(symbol, n), len(lex.unigram))[1:]
     unseen = np.where(np.arange(1, len(lex.unigram)) >= lex.rare, 1 / (lex.unigram + lex.spare)[1:], 0)
     assert np.allclose(share + unseen, 1)
+
+
+def test_each_distance_rejects_junk_and_keeps_good(spark):
+    """Planted junk that passes the base rules: odd characters among plain words, and odd words in plain characters."""
+    rng = np.random.default_rng(11)
+    common = [a + b for a in "bcdfglmnprst" for b in ("a", "en", "ir", "os", "un")]
+    odd = lambda: "".join(rng.choice(list("aeinorstl"), 9))
+    weight = 1 / np.arange(1, len(common) + 1)
+    prose = lambda n: " ".join(rng.choice(common, p=weight / weight.sum()) if rng.random() < 0.6 else odd() for _ in range(n))
+    rows = [(i, prose(int(rng.integers(60, 900))), "en") for i in range(150)]
+    refs = quality.references(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    good = [prose(n) for n in (60, 120, 300, 900) for _ in range(5)]
+    unknown = [" | ".join(odd() for _ in range(n)) for n in (80, 200, 600)]
+    strange = [" ".join(x if rng.random() < 0.55 else "%#7$2&" + str(rng.integers(10**9, 10**10)) for x in prose(n).split()) for n in (80, 200, 600)]
+    got = quality.measured(pa.array(good + unknown + strange), refs)
+    by_char, by_word = got["char_js"] > quality.MAX_CHAR_DISTANCE, got["word_js"] > quality.MAX_WORD_DISTANCE
+    assert not got["base_failed"].any()
+    assert got["kept"].tolist() == [True] * len(good) + [False] * 6
+    assert by_word[20:23].all() and not by_char[20:23].any()
+    assert by_char[23:].all() and not by_word[23:].any()
