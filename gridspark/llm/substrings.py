@@ -8,7 +8,7 @@ A window is ``WINDOW`` consecutive words.  Which windows can repeat at all is fo
    that have the same least document become queries against it, or sources where it is the
    document itself.
 
-Then the method proper: the sources - every repeating window once - are dealt to shards of bounded
+That already decides what repeats; the index verifies it, word by word: the sources - every repeating window once - are dealt to shards of bounded
 size by their document, each shard builds a compressed FM-index of its sources' words, and the
 distinct queries of the shard are streamed through it by backward search, which reports
 the stretches of matching words of ``WINDOW`` or more.  Only these, exact in the words, are removed.  Heavily queried shards are
