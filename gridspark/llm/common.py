@@ -41,4 +41,17 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
 
-__all__ = ["ORACLES", "QUERIES", "fresh_path", "keyed", "query", "same_row", "settle", "table"]
+def ordered(df: DataFrame, keys: list[Column], chunk_rows: int, label: str) -> DataFrame:
+    """``df`` written in the order of ``keys`` with ``ord`` (long, ascending) and ``chunk`` (runs of about ``chunk_rows`` rows).
+
+    Chunks are ranges of a sampled sort; the row's own number ends the sort key, so that equal
+    rows spread over chunks as others do.  The written table fixes ``ord`` for all later reads.
+    """
+    parts = max(1, -(-df.count() // chunk_rows))
+    at = [*keys, F.col("_row")]
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(parts, *at).sortWithinPartitions(*at).drop("_row")
+    rows = settle(rows.withColumn("ord", F.monotonically_increasing_id()), label)
+    return rows.withColumn("chunk", F.shiftright("ord", 33))
+
+
+__all__ = ["ORACLES", "QUERIES", "fresh_path", "keyed", "ordered", "query", "same_row", "settle", "table"]
