@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, functions as F
 from gridspark import constants as C
 from gridspark.functions.scalars import total
 from gridspark.operators.metrics import present, with_horizontal, with_vertical
-from gridspark.operators.reduce import demean, run_area, run_parameters
+from gridspark.operators.reduce import demeaning, less_means, run_area, run_parameters
 from gridspark.operators.select import domain_of
-from gridspark.operators.stencil import face_to_centre, interface_value, pair_mean, pair_sums, vertical_divergence
+from gridspark.operators.stencil import (
+    face_to_centre, interface_value, own_rows, pair_mean, pair_sums, tile_face_to_centre, vertical_divergence,
+)
 from gridspark.schema import LEVEL
 
 
@@ -70,9 +72,17 @@ def pressure_work_divergence(cells: DataFrame, grid2d: DataFrame, grid1d: DataFr
 
 def body_force(cells: DataFrame, grid2d: DataFrame, f0: float = 1e-4, u0: float = 0.1,
                periodic: bool = True, parameters: DataFrame | None = None) -> DataFrame:
-    """Work of the background pressure gradient on the cross flow, centred in ``j``."""
-    wanted = [*LEVEL, "j", "i", "VVEL", "hFacC", *present(cells, "rA")]
-    lines = cells.select(*wanted).withColumn("_v", face_to_centre("VVEL", "j", periodic))
+    """Work of the background pressure gradient on the cross flow, centred in ``j``.
+
+    Cells of a tile table with halos (``sources.tables.save_by_tile``) are not shuffled; whether
+    ``j`` is periodic is then the table's choice.
+    """
+    tiled = present(cells, "tile_j", "tile_i", "halo")
+    wanted = [*LEVEL, "j", "i", "VVEL", "hFacC", *present(cells, "rA"), *tiled]
+    if tiled:
+        lines = own_rows(cells.select(*wanted).withColumn("_v", tile_face_to_centre("VVEL", "j")))
+    else:
+        lines = cells.select(*wanted).withColumn("_v", face_to_centre("VVEL", "j", periodic))
     rows = with_horizontal(lines, grid2d, "rA")
     summed = rows.groupBy(*LEVEL).agg(total(F.col("_v") * F.col("hFacC") * F.col("rA")).alias("_b"))
     summed = run_parameters(summed, parameters, f0=f0, u0=u0)
@@ -102,24 +112,27 @@ def energy_budget(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame, f0: fl
                   n0: float = 1e-3, records: tuple[int, int, int] = (0, 1, 2),
                   seconds: float = C.TENDENCY_SECONDS, periodic: bool = True,
                   demean_between: tuple[float, float] | None = None,
-                  parameters: DataFrame | None = None) -> DataFrame:
+                  parameters: DataFrame | None = None,
+                  columns: DataFrame | None = None, tiles: DataFrame | None = None) -> DataFrame:
     """Budget profile per run: ``Bf, dWPdz, dEdt`` and what they leave over (``resid``).
 
     Tendency is taken between the first and last of the three records, the other
     terms at the middle one.  ``demean_between`` gives two depths; the mean flow between
     them (U's relative to ``u0``) is removed from each record first.  ``parameters`` gives ``f0``,
-    ``u0`` and ``n0`` by run where they differ.
+    ``u0`` and ``n0`` by run where they differ.  ``columns`` and ``tiles`` are the same cells
+    bucketed by water column and by tile with halos: with them no neighbour is shuffled.
     """
     first, mid, last = records
+    at_mid = {name: (cells if own is None else own).where(F.col("rec") == mid) for name, own in (("columns", columns), ("tiles", tiles))}
     if demean_between is not None:
-        cells = demean(cells.where(F.col("rec").isin(first, mid, last)), grid1d, *demean_between, background=u0,
-                       parameters=parameters)
-    at_mid = cells.where(F.col("rec") == mid)
+        means = demeaning(cells.where(F.col("rec").isin(first, mid, last)), grid1d, *demean_between, background=u0, parameters=parameters)
+        cells = less_means(cells.where(F.col("rec").isin(first, mid, last)), means)
+        at_mid = {name: less_means(rows, means) for name, rows in at_mid.items()}
     energies = energy_profiles(cells.where(F.col("rec").isin(first, last)), grid2d, grid1d, n0, parameters)
     terms = [
         energy_tendency(energies, first, last, seconds),
-        pressure_work_divergence(at_mid, grid2d, grid1d).select("run", "k", "dWPdz"),
-        body_force(at_mid, grid2d, f0, u0, periodic, parameters).select("run", "k", "Bf"),
+        pressure_work_divergence(at_mid["columns"], grid2d, grid1d).select("run", "k", "dWPdz"),
+        body_force(at_mid["tiles"], grid2d, f0, u0, periodic, parameters).select("run", "k", "Bf"),
     ]
     joined = reduce(lambda a, b: a.join(b, ["run", "k"]), terms)
     resid = -F.col("dEdt") + F.col("Bf") - F.col("dWPdz")

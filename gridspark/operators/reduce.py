@@ -63,14 +63,15 @@ def window_mean_flow(cells: DataFrame, grid1d: DataFrame, low: float = -2000.0,
     return means.select("run", "rec", (F.col("u_mean") - F.col("u0")).alias("u_mean"), "v_mean")
 
 
-def demean(cells: DataFrame, grid1d: DataFrame, low: float = -2000.0, high: float = -50.0,
-           background: float = 0.0, parameters: DataFrame | None = None) -> DataFrame:
-    """Subtract each record's depth-window mean from U and V.
+def demeaning(cells: DataFrame, grid1d: DataFrame, low: float = -2000.0, high: float = -50.0,
+              background: float = 0.0, parameters: DataFrame | None = None) -> DataFrame:
+    """Settled ``window_mean_flow``: one row per record, so joining it does not shuffle the cells
+    while it fits the broadcast threshold."""
+    return settle(window_mean_flow(cells, grid1d, low, high, background, parameters), "window-means")
 
-    The means (one row per record) are settled first, so joining them does not
-    shuffle the cells while they fit the broadcast threshold.
-    """
-    means = settle(window_mean_flow(cells, grid1d, low, high, background, parameters), "window-means")
+
+def less_means(cells: DataFrame, means: DataFrame) -> DataFrame:
+    """Cells with their record's means taken off U and V."""
     return (
         cells.join(means, ["run", "rec"])
         .withColumn("UVEL", F.col("UVEL") - F.col("u_mean"))
@@ -79,6 +80,12 @@ def demean(cells: DataFrame, grid1d: DataFrame, low: float = -2000.0, high: floa
     )
 
 
+def demean(cells: DataFrame, grid1d: DataFrame, low: float = -2000.0, high: float = -50.0,
+           background: float = 0.0, parameters: DataFrame | None = None) -> DataFrame:
+    """Subtract each record's depth-window mean from U and V."""
+    return less_means(cells, demeaning(cells, grid1d, low, high, background, parameters))
+
+
 def column_totals(profile: DataFrame, area: DataFrame, fields: list[str], dz: float = C.PROFILE_DZ) -> DataFrame:
     """Depth-integrated profiles per square kilometre of run area."""
     sums = profile.groupBy("run").agg(*[total(f).alias(f) for f in fields])

@@ -47,6 +47,37 @@ def face_to_centre(value="VVEL", axis: str = "j", periodic: bool = True) -> Colu
     return 0.5 * (_col(value) + before)
 
 
+# --- lateral neighbours on tiles with halos ---------------------------------
+
+def tile_line(axis: str) -> list[str]:
+    """Keys of a line along ``axis`` inside a tile of ``sources.tables.save_by_tile``."""
+    return ["run", "tile_j", "tile_i", *[c for c in ("rec", "k", "j", "i") if c != axis]]
+
+
+def own_rows(tiles: DataFrame) -> DataFrame:
+    """A tile table's rows without the copies from other tiles; drop these once neighbours are found."""
+    return tiles.where(~F.col("halo")).drop("halo", "tile_j", "tile_i")
+
+
+def tile_face_to_centre(value="VVEL", axis: str = "j") -> Column:
+    """``face_to_centre`` on tiles with halos: the copies make a periodic axis periodic, no line is shuffled."""
+    return 0.5 * (_col(value) + neighbour(value, axis, -1, tile_line(axis)))
+
+
+def corner_average(tiles: DataFrame, value: str, weight: str, name: str = "corner") -> DataFrame:
+    """Weighted mean of the four cells around each cell's south-west corner, from tiles with halos.
+
+    Missing values are left out, and so are cells beyond an open edge; missing where all weights are.
+    """
+    used = F.when(F.col(value).isNotNull(), F.col(weight))
+    rows = tiles.withColumns({"_x": F.col(value) * used, "_w": used})
+    for axis in ("i", "j"):
+        both = lambda c: F.when(F.col(c).isNotNull() | neighbour(c, axis, -1, tile_line(axis)).isNotNull(),  # noqa: E731, B023
+                                F.coalesce(c, F.lit(0.0)) + F.coalesce(neighbour(c, axis, -1, tile_line(axis)), F.lit(0.0)))  # noqa: B023
+        rows = rows.withColumns({"_x": both("_x"), "_w": both("_w")})
+    return own_rows(rows.withColumn(name, F.try_divide("_x", "_w")).drop("_x", "_w"))
+
+
 def vertical_divergence(profile: DataFrame, value: str = "WP", thickness: str = "drF",
                         by: list[str] | None = None) -> DataFrame:
     """Adds ``dWPdz``: minus the difference to the next interface over thickness, 0 at both ends."""

@@ -71,7 +71,7 @@ _BF = """SELECT run, rec, k, COALESCE(SUM(0.5 * (VVEL + vb) * hFacC * rA), 0) *
 @query("a07_body_force", uses="cells grid2d params", sql=f"SELECT run, rec, k, Bf AS Bf FROM ({_BF})")
 def body_force(t):
     """Body force with the periodic neighbour average."""
-    return energy.body_force(t.cells, t.grid2d, parameters=t.params)
+    return energy.body_force(t.tiles, t.grid2d, parameters=t.params)
 
 
 # The operators' own constant factors, written so that SQL reads the same doubles.
@@ -123,7 +123,7 @@ _TERMS = ["Bf", "dWPdz", "dEdt", "resid"]
 
 
 def _budget(t):
-    return energy.energy_budget(t.cells, t.grid2d, t.grid1d, parameters=t.params)
+    return energy.energy_budget(t.cells, t.grid2d, t.grid1d, parameters=t.params, columns=t.columns, tiles=t.tiles)
 
 
 @query("a12_budget_residual", uses=_BUDGET_TABLES, sql=f"""
@@ -142,7 +142,7 @@ cells AS (SELECT c.* REPLACE (UVEL - um AS UVEL, VVEL - vm AS VVEL) FROM cells c
 SELECT run, k, Z, round(Bf, 6) AS Bf, round(dWPdz, 6) AS dWPdz, round(dEdt, 6) AS dEdt, round(resid, 6) AS resid FROM (WITH {_DEMEANED} {_BUDGET})""")
 def demeaned_budget(t):
     """The budget of what is left when each record's mean flow between two depths is taken off."""
-    out = energy.energy_budget(t.cells, t.grid2d, t.grid1d, demean_between=(-60.0, -10.0), parameters=t.params)
+    out = energy.energy_budget(t.cells, t.grid2d, t.grid1d, demean_between=(-60.0, -10.0), parameters=t.params, columns=t.columns, tiles=t.tiles)
     return rounded(out.select("run", "k", "Z", *_TERMS))
 
 
@@ -249,7 +249,7 @@ def flux_decomposition(t):
 SELECT run, k, j, i, AVG(KLviscAr) AS KLviscAr FROM cells WHERE rec >= 2 GROUP BY run, k, j, i""")
 def mean_of_last(t):
     """Per-cell mean over the last five records."""
-    return reduce.mean_of_last(t.cells, t.records, ["KLviscAr"], 5)
+    return reduce.mean_of_last(t.columns, t.records, ["KLviscAr"], 5)
 
 
 def _stat_sql(field: str, weight: str) -> str:

@@ -8,7 +8,7 @@ from gridspark.operators import catalogue, reduce, select
 from gridspark.plans.aggregates import _BUDGET, _BUDGET_TABLES, _TERMS, _budget
 from gridspark.plans.binary_fixture import write_grid_files, write_level_files
 from gridspark.plans.registry import query, rounded
-from gridspark.sources import binary, tables as store, text
+from gridspark.sources import binary, fields, tables as store, text
 from gridspark.sources.shared import fresh_path
 
 # --- sources and sinks -----------------------------------------------------
@@ -26,6 +26,16 @@ def binary_ingest(t):
         F.sum(F.col("j") * F.lit(1000.0) + F.col("i")).alias("places"))
 
 
+@query("s01_pushed_ingest", uses="cells", sql="""
+SELECT run, rec, k, j, i, iter, UVEL FROM cells WHERE run <> 'N' AND rec IN (1, 3) AND k < 5 AND j >= 2 AND j <= 4""")
+def pushed_ingest(t):
+    """The raw files as a data source: filters by record and place decide which bytes are read."""
+    folder = t._once("binary", lambda: t.cells, write_level_files)
+    rows = fields.read_fields(t.spark, f"{folder}/results", ["UVEL"])
+    rows = rows.where((F.col("run") != "N") & F.col("rec").isin(1, 3) & (F.col("k") < 5) & F.col("j").between(2, 4))
+    return rows.select("run", "rec", "k", "j", "i", "iter", "UVEL")
+
+
 def _grid_from_files(t):
     def write(_, path):
         for grid, group in ((t.grid1d, "1d"), (t.grid2d, "2d"), (t.grid3d, "3d")):

@@ -17,11 +17,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridspark.operators.metrics import materialise
+from gridspark.operators.select import domain_of
 from gridspark.schema import cells_schema
 from gridspark.sources.shared import fresh_path, shared_dir
-from gridspark.sources.tables import save_by_column, write_cells
+from gridspark.sources.tables import save_by_column, save_by_tile, write_cells
 
 NJ, PARTS_PER_I = 8, 50
+TILE_J, TILE_I = 4, 16  #: cells of a tile; the axes of the derived grid are short
 #: Metric of the events that no other branch names, so that every family of the log occurs.
 OTHER_METRICS = "CASE event_id % 4 WHEN 0 THEN 'dynstat_theta_mean' WHEN 1 THEN 'forcing_qnet_max' WHEN 2 THEN 'ke_max' ELSE 'vort_r_min' END"
 HORIZONTAL, VERTICAL = ("rA", "rAw", "rAs", "rAz", "dxG", "dyG", "dxC", "dyC"), ("drF", "drC", "T0")
@@ -280,6 +282,18 @@ class Tables:
             _written[key] = name
         return self.spark.table(_written[key])
 
+    @cached_property
+    def tiles(self) -> DataFrame:
+        """The cells again, bucketed by horizontal tile with halos, periodic in ``j``: lateral neighbours move no cells."""
+        key = (shared_dir(self.spark), self.sf_dir, "tiles")
+        if key not in _written or not self.spark.catalog.tableExists(_written[key]):
+            path = fresh_path(self.spark, "tiles")
+            name = "gridspark_" + path.rsplit("-", 1)[1]
+            wanted = self.cells.select("run", "rec", "k", "j", "i", "UVEL", "VVEL", "THETA", "hFacC", "rA")
+            save_by_tile(wanted, domain_of(self.grid2d), name, int(self.spark.conf.get("spark.sql.shuffle.partitions")), path, ("j",), j=TILE_J, i=TILE_I)
+            _written[key] = name
+        return self.spark.table(_written[key])
+
     @cached_property
     def bare_cells(self) -> DataFrame:
         """Cell rows without the static metrics, as a stream delivers them."""

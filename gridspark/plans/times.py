@@ -16,7 +16,7 @@ SELECT CAST(floor(time_s / 44640) * 44640 AS BIGINT) AS t0, run, k, j, i, AVG(UV
 FROM cells GROUP BY ALL""")
 def tidal_average(t):
     """Whole tidal period means per cell."""
-    return timewin.tidal_average(t.cells, ["UVEL", "THETA"])
+    return timewin.tidal_average(t.columns, ["UVEL", "THETA"])
 
 
 def _series(t):

@@ -43,8 +43,9 @@ SELECT run, rec, k, j, i, 0.5 * (VVEL + CASE WHEN j = 0 THEN first_value(VVEL) O
   0.5 * (UVEL + lag(UVEL) OVER (PARTITION BY run, rec, k, j ORDER BY i)) AS u_open FROM cells""")
 def face_to_centre(t):
     """Neighbour averages, periodic in j and open in i."""
-    rows = t.cells.select(*CELL, "UVEL", stencil.face_to_centre("VVEL", "j").alias("v_wrapped"))
-    return rows.select(*CELL, "v_wrapped", stencil.face_to_centre("UVEL", "i", periodic=False).alias("u_open"))
+    rows = t.tiles.withColumn("v_wrapped", stencil.tile_face_to_centre("VVEL", "j"))
+    rows = rows.withColumn("u_open", stencil.tile_face_to_centre("UVEL", "i"))
+    return stencil.own_rows(rows).select(*CELL, "v_wrapped", "u_open")
 
 
 @query("w05_row_coordinates", uses="spec", sql="""
@@ -86,6 +87,16 @@ def four_point_mean(t):
     return stencil.four_point_mean(strip, "UVEL", "hFacW", "i", ["run", "rec", "k"])
 
 
+@query("w08_corner_average", uses="cells", sql="""
+WITH n AS (SELECT run, max(j) + 1 AS nj FROM cells GROUP BY run),
+p AS (SELECT run, rec, k, j, i, CASE WHEN THETA IS NOT NULL THEN hFacC END AS w, THETA * hFacC AS x FROM cells),
+g AS (SELECT run, rec, k, (j + dj) % nj AS j, i + di AS i, w, x FROM p JOIN n USING (run), (VALUES (0), (1)) a(dj), (VALUES (0), (1)) b(di))
+SELECT run, rec, k, j, i, SUM(x) / nullif(SUM(w), 0) AS theta FROM g JOIN (SELECT run, rec, k, j, i FROM p) USING (run, rec, k, j, i) GROUP BY ALL""")
+def corner_average(t):
+    """Wet mean of the four cells around each corner, periodic in j."""
+    return stencil.corner_average(t.tiles, "THETA", "hFacC", "theta").select(*CELL, "theta")
+
+
 @query("w09_carry_from_east", uses="grid2d", sql="""
 SELECT run, j, i, last_value(CASE WHEN Depth < 60 THEN XC END IGNORE NULLS) OVER (PARTITION BY run, j ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS edge
 FROM grid2d""")

@@ -78,6 +78,44 @@ def with_tiles(cells: DataFrame, **sizes: int) -> DataFrame:
     return cells.withColumns({f"tile_{a}": F.floor(F.col(a) / n).cast("int") for a, n in sizes.items()})
 
 
+def with_halos(cells: DataFrame, domains: DataFrame, periodic: tuple[str, ...] = (), **sizes: int) -> DataFrame:
+    """Cells by tile, with copies of the rows next to each tile's edges: ``with_halos(cells, domains, j=64, i=64)``.
+
+    Adds ``tile_j``, ``tile_i`` and ``halo``.  A copy keeps its values and, on ``periodic`` axes, gets the
+    index that continues its new tile: row ``n - 1`` becomes ``-1`` and row 0 becomes ``n``.  Only edge rows are
+    copied, so the table grows by the share of edges.  ``domains`` has ``run, nj, ni`` (``select.domain_of``).
+    """
+    rows = cells.join(domains.select("run", *[f"n{a}" for a in sizes]), "run")
+    for a, size in sizes.items():
+        p, n = F.col(a), F.col(f"n{a}")
+
+        def place(tile, at, copied):
+            return F.struct(tile.cast("int").alias("tile"), at.cast("int").alias("at"), F.lit(copied).alias("halo"))
+
+        tile = F.floor(p / size)
+        wraps = F.lit(a in periodic)
+        after = F.when(p == n - 1, F.when(wraps, place(F.lit(0), F.lit(-1), True))).when((p + 1) % size == 0, place(tile + 1, p, True))
+        before = F.when(p == 0, F.when(wraps, place(F.floor((n - 1) / size), n, True))).when(p % size == 0, place(tile - 1, p, True))
+        rows = rows.withColumn(f"_{a}", F.explode(F.filter(F.array(place(tile, p, False), after, before), lambda x: x.isNotNull())))
+    rows = rows.withColumn("halo", reduce(lambda x, y: x | y, [F.col(f"_{a}.halo") for a in sizes]))
+    rows = rows.withColumns({f"tile_{a}": F.col(f"_{a}.tile") for a in sizes}).withColumns({a: F.col(f"_{a}.at") for a in sizes})
+    return rows.drop(*[f"_{a}" for a in sizes], *[f"n{a}" for a in sizes])
+
+
+def save_by_tile(cells: DataFrame, domains: DataFrame, table: str, buckets: int, path: str | None = None,
+                 periodic: tuple[str, ...] = (), **sizes: int) -> None:
+    """Save cells bucketed by horizontal tile, halos included.
+
+    Lateral neighbours, in either direction, are then found inside a bucket: no cell is
+    shuffled at run time (``stencil.tile_line``).  A dominant run is spread over its tiles.
+    """
+    rows = with_halos(cells, domains, periodic, **sizes)
+    by = ["run", *[f"tile_{a}" for a in sizes]]
+    order = [*by, *[c for c in ("rec", "k", "j", "i") if c in rows.columns]]
+    writer = rows.write.mode("errorifexists").format("parquet").bucketBy(buckets, *by).sortBy(*order)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def repartition_tiles(cells: DataFrame, partitions: int | None = None, **sizes: int) -> DataFrame:
     """Re-chunk: rows of one run, record, level and tile land in the same partition."""
     tiled = with_tiles(cells, **sizes)
