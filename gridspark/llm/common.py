@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridspark.sources.shared import fresh_path, settle
 
+_BATCH, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -41,6 +43,12 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 4 MB in this session, unless it has a size of its own: long rows would else fill a worker."""
+    if spark.conf.get(_BATCH) == _DEFAULT_BATCH:
+        spark.conf.set(_BATCH, "4m")
+
+
 def ordered(df: DataFrame, keys: list[Column], chunk_rows: int, label: str) -> DataFrame:
     """``df`` written in the order of ``keys`` with ``ord`` (long, ascending) and ``chunk`` (runs of about ``chunk_rows`` rows).
 
@@ -54,4 +62,4 @@ def ordered(df: DataFrame, keys: list[Column], chunk_rows: int, label: str) -> D
     return rows.withColumn("chunk", F.shiftright("ord", 33))
 
 
-__all__ = ["ORACLES", "QUERIES", "fresh_path", "keyed", "ordered", "query", "same_row", "settle", "table"]
+__all__ = ["ORACLES", "QUERIES", "fresh_path", "keyed", "ordered", "query", "same_row", "settle", "small_batches", "table"]

@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _GRAM = np.uint64(0xD6E8FEB86659FD93 | 1)
@@ -56,7 +56,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 1 << 20)
+            size = max(n, 1 << 19)
             self.up, self.down = _powers(self.base, size), _powers(self.inverse, size)
         return self.up[:n], self.down[:n]
 
@@ -157,6 +157,15 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return mixed((total[size:] - total[:n]) * down[:n])
 
 
+def per_document(flags: np.ndarray, byte_first: np.ndarray) -> np.ndarray:
+    """How many bytes of each document are flagged."""
+    out = np.zeros(len(byte_first) - 1, dtype=np.int64)
+    some = np.flatnonzero(np.diff(byte_first))
+    if len(some):
+        out[some] = np.add.reduceat(flags, byte_first[:-1][some], dtype=np.int64)
+    return out
+
+
 def inside(first: np.ndarray, size: int, n: int) -> np.ndarray:
     """True where a window of ``size`` words starting there ends in the same document; ``n`` starts."""
     counts = np.diff(first)

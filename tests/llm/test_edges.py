@@ -103,7 +103,8 @@ def test_quality(docs, nothing):
     assert quality.kept_rows(docs, refs).columns == docs.columns
     none = quality.references(nothing)
     assert quality.judge(nothing, none).count() == 0
-    assert quality.judge(docs.where("doc_id = 2"), none).first().kept
+    assert none.languages == [] and quality.judge(docs.where("doc_id = 2"), none).first().kept
+    assert quality.judge(nothing, refs).count() == 0 and quality.kept_rows(nothing, refs).count() == 0
 
 
 def test_language_model(docs, nothing):

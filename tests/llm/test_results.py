@@ -121,34 +121,48 @@ def test_markov_models_tell_random_from_words(spark):
     assert all((r.x > secrets.THRESHOLD) == r.chance for r in judged)
 
 
+def plain_quality(t, lang, refs):
+    """Figures and verdict of one text, word by word."""
+    w, lines = split(t), [x for x in t.split("\n") if split(x)]
+    n = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    hit = {j for i in range(len(w) - 7) if n[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    failed = len(w) < 20 or 100 * len(hit) > 30 * len(w)
+    classes = np.zeros(quality.CLASSES)
+    for c in t:
+        classes[quality._CLASS[c.encode()[0]]] += 1
+    own = np.zeros(len(refs.vocabulary) + 1)
+    for x in words.word_hashes(next(words.blocks(pa.array([t])))):
+        at = np.searchsorted(refs.vocabulary, x)
+        own[at if at < len(refs.vocabulary) and refs.vocabulary[at] == x else -1] += 1
+    band = lambda n: int(2 * math.log2(max(n, 1)))
+
+    def far(k):
+        char = float(quality.js_distance(classes / max(len(t), 1), refs.chars[k]))
+        word = float(quality.js_distance(own / max(len(w), 1), refs.words[k]))
+        return char, word, len(t) >= quality.MIN_CHARS and char > refs.char_limit[k][band(len(t))] or len(w) >= quality.MIN_WORDS and word > refs.word_limit[k][band(len(w))]
+
+    known = lang in refs.languages
+    beyond = known and all(far(k)[2] for k in range(len(refs.languages)))
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)), failed, not failed and not beyond, far(refs.languages.index(lang))[:2] if known and w else None
+
+
 def test_quality(spark, texts):
     rows = QUERIES["op7_quality_divergence"](spark, SF).collect()
-    assert len(rows) == len(texts)
+    docs = table(spark, SF, "documents")
+    refs, lang = quality.references(docs), {r.doc_id: r.lang for r in docs.collect()}
+    assert len(rows) == len(texts) and np.isfinite(refs.word_limit).any()
     for r in rows:
-        t = texts[r.doc_id]
-        w, lines = split(t), [x for x in t.split("\n") if split(x)]
-        n = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
-        hit = {j for i in range(len(w) - 7) if n[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit))
-        failed = len(w) < 20 or 100 * len(hit) > 30 * len(w)
-        far = len(t) >= quality.MIN_CHARS and r.char_js > quality.MAX_CHAR_DISTANCE or len(w) >= quality.MIN_WORDS and r.word_js > quality.MAX_WORD_DISTANCE
-        assert r.base_failed == failed and r.kept == (not failed and not far)
-
-
-def test_quality_distances(spark, texts):
-    """The sparse distances equal those of whole histograms."""
+        figures, failed, kept, distances = plain_quality(texts[r.doc_id], lang[r.doc_id], refs)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == figures
+        assert (r.base_failed, r.kept) == (failed, kept)
+        if distances:
+            assert abs(r.char_js - distances[0]) < 1e-9 and abs(r.word_js - distances[1]) < 1e-9
+
+
+def test_quality_references(spark):
     docs = table(spark, SF, "documents")
-    refs = quality.references(docs)
-    some = [texts[i] for i in sorted(texts)[:40]]
-    got = quality.measured(pa.array(some), refs)
-    for k, t in enumerate(some):
-        h = words.word_hashes(next(words.blocks(pa.array([t]))))
-        own = np.zeros(len(refs.vocabulary) + 1)
-        for x in h:
-            at = np.searchsorted(refs.vocabulary, x)
-            own[at if at < len(refs.vocabulary) and refs.vocabulary[at] == x else -1] += 1
-        want = min(quality.js_distance(own / len(h), r) for r in refs.words)
-        assert abs(want - got["word_js"][k]) < 1e-9
+    refs = quality.histograms(docs)
+    assert refs.languages == sorted({"de", "en", "es", "fr"} & set(refs.languages)) and len(refs.languages) > 2 and not np.isfinite(refs.word_limit).any()
     rows = docs.where("lang = 'en'").collect()
     counted = Counter(x for r in rows for x in split(r.text))
     total = sum(counted.values())
@@ -320,7 +334,8 @@ def test_pipeline(spark, texts):
         out = corpus_pipeline.settle(stage(spark, docs, SF), "test")
         left = sorted(r.doc_id for r in out.collect())
         if k == 0:
-            want = [i for i, t in given.items() if quality.measured(pa.array([t]), refs)["kept"][0]]
+            lang = {r.doc_id: r.lang for r in docs.collect()}
+            want = [i for i, t in given.items() if plain_quality(t, lang[i], refs)[2]]
         elif k == 1:
             want = [i for i, c in near_classes(given).items() if c == i]
         elif k == 2:

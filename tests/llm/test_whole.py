@@ -55,14 +55,51 @@ def test_each_distance_rejects_junk_and_keeps_good(spark):
     odd = lambda: "".join(rng.choice(list("aeinorstl"), 9))
     weight = 1 / np.arange(1, len(common) + 1)
     prose = lambda n: " ".join(rng.choice(common, p=weight / weight.sum()) if rng.random() < 0.6 else odd() for _ in range(n))
-    rows = [(i, prose(int(rng.integers(60, 900))), "en") for i in range(150)]
+    rows = [(i, prose(int(np.exp(rng.uniform(np.log(60), np.log(1100))))), "en") for i in range(600)]
     refs = quality.references(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     good = [prose(n) for n in (60, 120, 300, 900) for _ in range(5)]
-    unknown = [" | ".join(odd() for _ in range(n)) for n in (80, 200, 600)]
+    unknown = [" | ".join(odd() for _ in range(n)) for n in (100, 200, 600)]
     strange = [" ".join(x if rng.random() < 0.55 else "%#7$2&" + str(rng.integers(10**9, 10**10)) for x in prose(n).split()) for n in (80, 200, 600)]
-    got = quality.measured(pa.array(good + unknown + strange), refs)
-    by_char, by_word = got["char_js"] > quality.MAX_CHAR_DISTANCE, got["word_js"] > quality.MAX_WORD_DISTANCE
+    got = quality.measured(pa.array(good + unknown + strange), pa.array(["en"] * 26), refs)
+    limit = lambda limits, n: limits[0][quality._band(got[n])]
+    by_char, by_word = got["char_js"] > limit(refs.char_limit, "n_chars"), got["word_js"] > limit(refs.word_limit, "n_words")
     assert not got["base_failed"].any()
     assert got["kept"].tolist() == [True] * len(good) + [False] * 6
-    assert by_word[20:23].all() and not by_char[20:23].any()
-    assert by_char[23:].all() and not by_word[23:].any()
+    assert by_word[20:23].all() and by_char[23:].all() and not by_char[:20].any() and not by_word[:20].any()
+    assert quality.measured(pa.array(unknown + strange), pa.array([None, "xx", "de", None, "xx", "de"]), refs)["kept"].all()  # no reference, no verdict
+
+
+def _prose(rng, letters, weight):
+    words_ = ["".join(rng.choice(list(letters), 3)) for _ in range(80)]
+    return lambda n: " ".join(rng.choice(words_, p=weight / weight.sum()) if rng.random() < 0.6 else "".join(rng.choice(list(letters), 7)) for _ in range(n))
+
+
+def test_languages_come_from_the_data(spark):
+    """A fifth language in another script has its own reference; wrong labels, rare languages and none are kept."""
+    rng = np.random.default_rng(12)
+    weight = 1 / np.arange(1, 81)
+    latin, greek, thai = (_prose(rng, x, weight) for x in ("abcdefgh", "αβγδεζηθ", "กขคงจฉชซ"))
+    length = lambda: int(rng.integers(80, 400))
+    rows = [(i, latin(length()), "en") for i in range(300)] + [(1000 + i, greek(length()), "el") for i in range(150)] + [(2000 + i, thai(length()), "th") for i in range(5)]
+    rows += [(3000, greek(200), "en"), (3001, greek(200), None), (3002, "", "el"), (3003, " ".join("x%d" % rng.integers(10**9) for _ in range(300)), "el")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality.references(docs)
+    assert refs.languages == ["el", "en"]
+    got = {r.doc_id: r for r in quality.judge(docs, refs).collect()}
+    assert [i for i, r in got.items() if not r.kept] == [3002, 3003]
+    assert got[2000].char_js is None and got[3001].word_js is None and got[3000].char_js > got[1000].char_js
+    assert {r.doc_id for r in quality.kept_rows(docs, refs).collect()} == set(got) - {3002, 3003}
+
+
+def test_copies_do_not_decide_what_is_usual(spark):
+    """A third of all rows are near copies of one text: other texts of that length stay."""
+    rng = np.random.default_rng(13)
+    prose = _prose(rng, "abcdefgh", 1 / np.arange(1, 81))
+    copy = prose(200).split()
+    rows = [(i, prose(int(rng.integers(150, 260))), "en") for i in range(400)]
+    for i in range(200):
+        own = list(copy)
+        own[int(rng.integers(200))] = f"x{i}"
+        rows.append((1000 + i, " ".join(own), "en"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert quality.kept_rows(docs, quality.references(docs)).count() == len(rows)
