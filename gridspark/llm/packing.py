@@ -17,6 +17,8 @@ in a text is read as that token unless ``special_as_text``.
 
 from __future__ import annotations
 
+import gc
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,61 +28,86 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from gridspark.llm.common import fresh_path, query, table
+from gridspark.llm.common import fresh_path, query, small_batches, table
 
 CAPACITY, END = 4096, 2
-SLICE_BYTES = 4 << 20  #: text encoded at a time, a longer document alone
+AT_ONCE = 4096  #: words in one call of the tokenizer
+SLICE_BYTES = 8 << 20  #: text encoded at a time, a longer document alone
 OUT_BYTES = 32 << 20  #: ids in one Arrow batch put out, a longer piece alone
-STORE_WORDS, STORE_CHARS = 1 << 20, 16 << 20  #: words whose ids a worker keeps, and their characters; a full store starts afresh
+STORE_WORDS, STORE_BYTES = 1 << 20, 32 << 20  #: words whose ids a worker keeps, and their bytes; a full store starts afresh
 
 _STORES: dict = {}
 
 
 class Store:
-    """Ids of words met so far, in one array."""
+    """Words met so far and their ids, both as Arrow arrays."""
 
-    def __init__(self, path: str, special_as_text: bool):
+    def __init__(self, path: str, special_as_text: bool, end: int = END):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each hold memory
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.end = Tokenizer.from_file(path), end
         self.tokenizer.encode_special_tokens = special_as_text
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.chars = 0
-        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """Word 0 stands for a document's end."""
+        self.words = pa.array([None], pa.large_string())
+        self.edge, self.ids = np.array([0, 1]), np.array([self.end], dtype=np.uint32)
 
-    def numbers(self, words: list[str]) -> np.ndarray:
+    def numbers(self, words: pa.Array) -> np.ndarray:
         """The number of each distinct word, new ones encoded."""
-        if len(self.number) > STORE_WORDS or self.chars > STORE_CHARS:
+        if len(self.words) > STORE_WORDS or self.words.nbytes > STORE_BYTES:
             self.clear()
-        fresh = [w for w in words if w not in self.number]
-        if fresh:
-            self.chars += sum(map(len, fresh))
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
-            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-
-
-def encoded(texts: pa.Array, store: Store, end: int = END) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after the other, each closed by ``end``, and the number of ids of each."""
-    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        number = pc.index_in(words, value_set=self.words)
+        missing = number.is_null()
+        found = number.fill_null(0).to_numpy().astype(np.int64)
+        new = np.flatnonzero(missing.to_numpy(zero_copy_only=False))
+        if len(new):
+            found[new] = len(self.words) + np.arange(len(new))
+            fresh = words.filter(missing)
+            sizes, ids = [], []
+            gc.disable()  # thousands of short lists, none in a cycle, would set off one collection after the other
+            try:
+                for a in range(0, len(fresh), AT_ONCE):
+                    got = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[a : a + AT_ONCE].to_pylist(), add_special_tokens=False)]
+                    sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+                    ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
+            finally:
+                gc.enable()
+            self.words = pa.concat_arrays([self.words, fresh])
+            self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(np.concatenate(sizes))])
+            self.ids = np.concatenate([self.ids, *ids])
+        return found
+
+
+def _plain(texts: pa.Array) -> pa.Array:
+    """The same ids from fewer distinct words: small letters, and closing marks apart from the word.
+
+    The tokenizer does both itself.  Only accents that combine with the letter before, and names of
+    special tokens, tell capitals apart; texts that may hold one are left as they are.
+    """
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    if len(texts) and ((data == 0xCC) | (data == 0xCD)).any() or pc.any(pc.match_substring(texts, "<|")).as_py():
+        return texts
+    return pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z0-9])([.,;:!?]+)([ \t\n\v\f\r]|$)", r"\1 \2\3")
+
+
+def encoded(texts: pa.Array, store: Store) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other, each with its end, and the number of ids of each."""
+    texts = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])  # buffers of these texts alone
+    split = pc.ascii_split_whitespace(_plain(texts))
     coded = split.flatten().dictionary_encode()
-    counts = pc.list_value_length(split).fill_null(0).to_numpy().astype(np.int64)
-    number = store.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-    size = store.size[number]
-    total = np.concatenate([[0], np.cumsum(size)])
-    edge = np.concatenate([[0], np.cumsum(counts)])
-    n_ids = np.diff(total[edge])
-    words = store.ids[np.repeat(store.first[number] - total[:-1], size) + np.arange(total[-1])]
-    out = np.full(len(words) + len(counts), end, dtype=np.uint32)
-    out[np.arange(len(words)) + np.repeat(np.arange(len(counts)), n_ids)] = words
-    return out, n_ids + 1
+    ends = np.asarray(split.offsets)[1:].astype(np.int64) - split.offsets[0].as_py() + np.arange(len(texts))
+    number = np.zeros(len(coded) + len(texts), dtype=np.int64)  # words, and an end for each text
+    at = np.ones(len(number), dtype=bool)
+    at[ends] = False
+    if len(coded):
+        number[at] = store.numbers(coded.dictionary)[np.asarray(coded.indices)]
+    taken = pa.LargeListArray.from_arrays(pa.array(store.edge), pa.array(store.ids)).take(pa.array(number))
+    out = np.asarray(taken.flatten())
+    return out, np.diff(np.asarray(taken.offsets)[np.concatenate([[0], ends + 1])])
 
 
 def cut(n_ids: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,16 +148,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     """
     if capacity & (capacity - 1) or capacity < 1:
         raise ValueError("the capacity has to be a power of two")
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([narrow.schema["doc_id"], *T._parse_datatype_string(_PIECE).fields])
 
     def run(batches):
-        key = tokenizer, special_as_text
+        key = tokenizer, special_as_text, end
         store = _STORES.get(key) or _STORES.setdefault(key, Store(*key))
         task, done = TaskContext.get().partitionId(), np.zeros(64, dtype=np.int64)
         for batch in batches:
             for low, high in _slices(batch.column(1)):
-                ids, n_ids = encoded(batch.column(1)[low:high], store, end)
+                ids, n_ids = encoded(batch.column(1)[low:high], store)
                 doc, start, length = cut(n_ids, capacity)
                 bucket = np.log2(length).astype(np.int64)
                 nth = np.empty(len(doc), dtype=np.int64)
@@ -157,7 +185,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
 def write_buckets(found: DataFrame, path: str) -> DataFrame:
     """Writes pieces with a folder per length and returns the written table."""
-    found.write.partitionBy("length").parquet(path)
+    found.write.option("parquet.enable.dictionary#ids", "false").partitionBy("length").parquet(path)
     return found.sparkSession.read.schema(found.schema).parquet(path).select(*found.columns)
 
 

@@ -43,13 +43,15 @@ def test_given_table(spark, tokenizer):
         assert len(found[doc]) == len(ids) // 4096 + (len(ids) % 4096).bit_count()
 
 
-ODD = ["", None, "  \t\n ", "one", "it's they'LL don't", "́x é é́̂ Å", "a b c　d", "\x1c\x1d\x85 x\x0by\x0cz", "😀😀 日本語テキスト", "123 45.6 a1b2", "ΑΣ ΑΣΑ İstanbul ǅ", "<|endoftext|> x<|startoftext|>y", "w" * 9000, "many words " * 30000, "\x00 \x01a"]
+ODD = ["", None, "  \t\n ", "one", "it's they'LL don't", "́x é é́̂ Å", "a b c　d", "\x1c\x1d\x85 x\x0by\x0cz", "😀😀 日本語テキスト", "123 45.6 a1b2", "ΑΣ ΑΣΑ İstanbul ǅ", "<|endoftext|> x<|startoftext|>y", "w" * 9000, "many words " * 30000, "\x00 \x01a", "J̌ J̌. H̱x", "Ends. HERE,. a.b c.; é.! x€. 9.\x1c .,: (a.) <|ENDOFTEXT|>."]
 
 
 def test_words_give_the_ids_of_whole_texts(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "STORE_WORDS", 3)  # a full store starts afresh
     store = packing.Store(PATH, False)
-    for given in (ODD, ODD[::-1], [], [None], ["x"]):
+    plain = [t for t in ODD if t and not any("\u0300" <= c < "\u0370" for c in t) and "<|" not in t]
+    assert len(plain) > 10
+    for given in (ODD, ODD[::-1], plain, ["Ends. HERE,. a.b c.; é.! x€. 9.\x1c .,: (a.)\n.b, İ. K."], [], [None], ["x"]):
         ids, sizes = packing.encoded(pa.array(given, pa.string()), store)
         want = [ids_of(tokenizer, t) for t in given]
         assert sizes.tolist() == [len(w) for w in want]
