@@ -126,6 +126,19 @@ def cut(n_ids: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.nda
     return doc[order], start[order], length[order]
 
 
+def _gathered(batches) -> Iterator[pa.RecordBatch]:
+    """Small batches put together to about ``SLICE_BYTES``: words are told apart once for all of them."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= SLICE_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64))
     low = 0
@@ -156,7 +169,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         key = tokenizer, special_as_text, end
         store = _STORES.get(key) or _STORES.setdefault(key, Store(*key))
         task, done = TaskContext.get().partitionId(), np.zeros(64, dtype=np.int64)
-        for batch in batches:
+        for batch in _gathered(batches):
             for low, high in _slices(batch.column(1)):
                 ids, n_ids = encoded(batch.column(1)[low:high], store)
                 doc, start, length = cut(n_ids, capacity)
