@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window
 
 from gridspark.functions.names import (
     STAMP_PATTERN, comment_parameters, job_label, name_parameters, parse_stamp, run_of_path,
 )
 from gridspark.functions.scalars import inverse_froude, drag_first_order, drag_second_order
-from gridspark.operators.ordered import carry_forward
+from gridspark.operators.ordered import carry_forward, previous
 from gridspark.sources.shared import settle
 
 
@@ -34,7 +34,7 @@ def run_log_entries(lines: DataFrame, keys=("file",), chunk: str = "chunk", orde
     comment = F.array_join(F.transform(words, lambda t: F.trim(t["v"])), " ")
     return grouped.select(
         *keys, parse_stamp("entry.stamp").alias("logged_at"), run_of_path("path").alias("run"),
-        comment.alias("comment"),
+        comment.alias("comment"), F.col("entry.at").alias(order),
     )
 
 
@@ -52,6 +52,30 @@ def log_frequency(run_log: DataFrame) -> DataFrame:
     )
 
 
+def comment_changes(run_log: DataFrame, place: str = "ord") -> DataFrame:
+    """Entries whose comment differs from that of their run's entry before, with their number per run.
+
+    ``A, B, A`` are three changes, the first entry being one.  Entries follow each other by time, then
+    ``place``; they are compared in chunks of a day, so a run that holds most entries is no window.
+    """
+    order = F.struct("logged_at", place)
+    rows = run_log.withColumns({"_at": order, "_day": F.to_date("logged_at")})
+    rows = previous(rows, "comment", ["run"], "_day", "_at", "_before")
+    kept = rows.where(F.col("_before").isNull() | ~F.col("_before.value").eqNullSafe(F.col("comment")))
+    numbered = _numbered(kept)
+    return numbered.select("run", "change", "logged_at", "comment", F.col("_before.value").alias("before"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``change``: position of each row in its run, counted by day and then within the day."""
+    inside = F.row_number().over(Window.partitionBy("run", "_day").orderBy("_at"))
+    days_ = rows.groupBy("run", "_day").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("run").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = days_.select(F.col("run").alias("_run"), F.col("_day").alias("_d"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    same = F.col("run").eqNullSafe(F.col("_run")) & F.col("_day").eqNullSafe(F.col("_d"))
+    return rows.withColumn("_nth", inside).join(offsets, same).withColumn("change", F.col("_offset") + F.col("_nth"))
+
+
 def decoded_comments(run_log: DataFrame) -> DataFrame:
     return run_log.select("*", *comment_parameters("comment"))
 

@@ -6,6 +6,22 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from gridspark.functions.scalars import _col
 
+
+def previous(df: DataFrame, value, keys: list[str], chunk: str, order: str, name: str) -> DataFrame:
+    """Adds ``name``: a struct with the ``value`` of the row before each row within ``keys``, NULL on the first.
+
+    As below, no window spans a key: the first row of a chunk gets the last value of the chunk before.
+    """
+    marked = df.withColumn("_here", F.struct(_col(value).alias("value")))
+    inside = Window.partitionBy(*keys, chunk).orderBy(order)
+    local = marked.withColumn(name, F.lag("_here").over(inside))
+    ends = marked.groupBy(*keys, chunk).agg(F.max_by("_here", F.col(order)).alias("_end"))
+    carried = ends.select(*keys, chunk, F.lag("_end").over(Window.partitionBy(*keys).orderBy(chunk)).alias("_carry"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, chunk)]
+    joined = local.alias("l").join(carried.alias("r"), same, "left")
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], F.coalesce(f"l.{name}", "r._carry").alias(name))
+
+
 def carry_forward(df: DataFrame, value, keys: list[str], chunk: str, order: str, name: str) -> DataFrame:
     """Adds ``name``: the latest non-missing ``value`` at or before each row within ``keys``.
 

@@ -138,5 +138,13 @@ def first_last_change(profile: DataFrame, field: str, first: int, last: int, by:
     return profile.groupBy(*by).agg((pick(last) - pick(first)).alias(f"d_{field}"))
 
 
+def change_over_run(profile: DataFrame, records: DataFrame, field: str, by: list[str]) -> DataFrame:
+    """Value at each run's last record minus the value at its first, whatever their numbers."""
+    ends = records.where((F.col("pos") == 0) | (F.col("pos") == F.col("n_rec") - 1))
+    ends = ends.select("run", "rec", F.when(F.col("n_rec") == 1, 0).when(F.col("pos") == 0, -1).otherwise(1).alias("_sign"))
+    marked = profile.join(ends, ["run", "rec"])
+    return marked.groupBy(*by).agg(F.sum(F.col(field) * F.col("_sign")).alias(f"d_{field}"))
+
+
 def depth_ordered(profile: DataFrame) -> DataFrame:
     return profile.orderBy(*[c for c in LEVEL if c in profile.columns])

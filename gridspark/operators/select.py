@@ -140,7 +140,7 @@ def edge_strip(cells: DataFrame, grid2d: DataFrame, side: str, width: int = 2) -
 
     Adds ``face``: the index of the side's own face (first or last index).
     """
-    axis, low = {"W": ("i", True), "E": ("i", False), "S": ("j", True), "N": ("j", False)}[side]
+    axis, low = _SIDES[side]
     if low:
         return cells.where(F.col(axis) < width).withColumn("face", F.lit(0))
     size = "ni" if axis == "i" else "nj"
@@ -148,10 +148,28 @@ def edge_strip(cells: DataFrame, grid2d: DataFrame, side: str, width: int = 2) -
     return cells.join(domain, "run").where(F.col(axis) > F.col("face") - width)
 
 
+_SIDES = {"W": ("i", True), "E": ("i", False), "S": ("j", True), "N": ("j", False)}
+
+
+def edge_strips(cells: DataFrame, grid2d: DataFrame, sides: str = "WESN", width: int = 2) -> DataFrame:
+    """The strips of several sides with a ``side`` column, from one scan; a corner belongs to two."""
+    rows = cells.join(domain_of(grid2d), "run")
+    entries = []
+    for side in sides:
+        axis, low = _SIDES[side]
+        last = F.col(f"n{axis}") - 1
+        member = F.col(axis) < width if low else F.col(axis) > last - width
+        entries.append(F.when(member, F.struct(F.lit(side).alias("side"), (F.lit(0) if low else last).cast("int").alias("face"))))
+    found = F.filter(F.array(*entries), lambda e: e.isNotNull())
+    return rows.withColumn("_s", F.explode(found)).select(*cells.columns, "_s.*")
+
+
 # --- shapes ----------------------------------------------------------------
 
-def depth_time_section(profile: DataFrame, field: str, records: list[int]) -> DataFrame:
-    """One row per (run, level), one column per listed record."""
+def depth_time_section(profile: DataFrame, field: str, records: list[int] | None = None) -> DataFrame:
+    """One row per (run, level), one column per record: the listed ones, or all that the profile has."""
+    if records is None:
+        records = sorted(r["rec"] for r in profile.select("rec").distinct().collect())
     return profile.groupBy("run", "k").pivot("rec", records).agg(F.first(field, ignorenulls=True))
 
 

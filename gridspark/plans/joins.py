@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridspark.functions.interp import deepest_above, piecewise_linear
-from gridspark.operators import catalogue, generate, metrics, monitor, reduce, timewin
+from gridspark.operators import catalogue, generate, metrics, monitor, reduce, select, timewin
 from gridspark.plans.registry import query
 from gridspark.plans.texts_sql import NAME_PARAMETERS_SQL, PROGRESS_SQL, STATUS_SQL
 
@@ -56,11 +56,13 @@ def slice_with_surface(t):
 
 
 @query("j06_first_last_change", uses="cells", sql="""
-SELECT run, k, COALESCE(SUM(THETA) FILTER (rec = 6), 0) - COALESCE(SUM(THETA) FILTER (rec = 0), 0) AS d_heat FROM cells GROUP BY run, k""")
+SELECT run, k, SUM(CASE WHEN rec = last THEN THETA ELSE 0 END) - SUM(CASE WHEN rec = 0 THEN THETA ELSE 0 END) AS d_heat
+FROM cells JOIN (SELECT run, max(rec) AS last FROM cells GROUP BY run) USING (run) WHERE THETA IS NOT NULL GROUP BY run, k""")
 def first_last_change(t):
-    """Last minus first record of a profile without a self-join."""
-    profile = t.cells.where(F.col("rec").isin(0, 6)).groupBy("run", "rec", "k").agg(F.sum("THETA").alias("heat"))
-    return reduce.first_last_change(profile, "heat", 0, 6, ["run", "k"])
+    """Each run's last minus first record of a profile without a self-join."""
+    ends = select.records_in_ranges(t.cells, t.records, first=(0, 1), last=(-1, None))
+    profile = ends.groupBy("run", "rec", "k").agg(F.sum("THETA").alias("heat"))
+    return reduce.change_over_run(profile, t.records, "heat", ["run", "k"])
 
 
 @query("j07_sweep", uses="names", sql=f"""

@@ -189,3 +189,15 @@ def log_frequency(t):
     """Run-log entries, span and distinct comments per run."""
     out = catalogue.log_frequency(catalogue.run_log_entries(t.run_log_lines))
     return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_seen", "last_seen")})
+
+
+@query("l05_comment_changes", uses="entries", sql="""
+WITH e AS (SELECT *, line1 || ' ' || line2 AS comment FROM entries),
+c AS (SELECT run, file, event_id, logged_at, comment, lag(comment) OVER w AS before, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY run ORDER BY logged_at, file, event_id))
+SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY n) AS BIGINT) AS change, strftime(logged_at, '%Y-%m-%d %H:%M:%S') AS logged_at, comment, before
+FROM c WHERE n = 1 OR comment IS DISTINCT FROM before""")
+def comment_changes(t):
+    """When each run's comment changed, and from what."""
+    entries = catalogue.run_log_entries(t.run_log_lines).withColumn("place", F.struct("file", "ord"))
+    out = catalogue.comment_changes(entries, "place")
+    return out.select("run", "change", F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss").alias("logged_at"), "comment", "before")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridspark.operators import layers, monitor, spectra, timewin
+from gridspark.operators import incremental, layers, monitor, spectra, timewin
 from gridspark.plans.registry import query, rounded
 from gridspark.plans.tables import OTHER_METRICS
 from gridspark.sources import tail
-from gridspark.streaming import live
+from gridspark.sources.shared import fresh_path
+from gridspark.streaming import blocks, jobs, live, restarts
 
 
 @query("x01_tidal_average", uses="cells", sql="""
@@ -19,6 +20,18 @@ def tidal_average(t):
     return timewin.tidal_average(t.columns, ["UVEL", "THETA"])
 
 
+@query("x01_incremental_average", uses="cells", sql="""
+SELECT CAST(floor(time_s / 44640) * 44640 AS BIGINT) AS t0, run, k, j, i, AVG(UVEL) AS UVEL, AVG(THETA) AS THETA, CAST(COUNT(*) AS BIGINT) AS n
+FROM cells GROUP BY ALL""")
+def incremental_average(t):
+    """The same from partial sums: records added in parts, one part again by a repeated job."""
+    path = fresh_path(t.spark, "tidal-sums")
+    cells = t.cells.select("run", "stream", "rec", "iter", "time_s", "k", "j", "i", "UVEL", "THETA")
+    for part in (t.records.where("pos % 3 = 0"), t.records.where("pos <> 1"), t.records.where("pos <> 1"), t.records):
+        incremental.add_records(cells, part, path, ["UVEL", "THETA"])
+    return incremental.averages(t.spark, path, ["UVEL", "THETA"])
+
+
 def _series(t):
     return t.series.withColumn("time_s", F.col("t").cast("double")).withColumn("v", F.col("v").cast("double"))
 
@@ -110,6 +123,20 @@ def live_monitor_growing(t):
     return live.latest_batch_per_key(updates, ["run", "metric"])
 
 
+@query("l02_streaming_blocks", uses="metrics", sql="""
+WITH b AS (SELECT *, last_value(CASE WHEN metric = 'time_tsnumber' THEN value END IGNORE NULLS)
+  OVER (PARTITION BY run ORDER BY ord ROWS UNBOUNDED PRECEDING) AS block FROM metrics)
+SELECT run, block, arg_max(value, ord) FILTER (metric = 'time_secondsf') AS time_secondsf,
+  arg_max(value, ord) FILTER (metric = 'advcfl_uvel_max') AS advcfl_uvel_max FROM b WHERE block IS NOT NULL GROUP BY run, block""")
+def streaming_blocks(t):
+    """Monitor blocks of growing logs read in limited batches, blocks kept open between them."""
+    size = t.spark.read.text(t.log_folder).select(F.sum(F.length("value") + 1)).first()[0]
+    lines = tail.growing_lines(t.spark, t.log_folder, r"run=([^/]+)/", r"part-[^/]*$", bytes_per_trigger=max(size // 5, 1))
+    rows = monitor.metrics(lines.withColumn("ord", blocks.place(("ord.file", False), ("ord.start", True))))
+    names = ["time_secondsf", "advcfl_uvel_max"]
+    return blocks.whole_blocks(live.drain(blocks.stream_blocks(rows, names), "blocks", mode="update", limited=True, timeouts=True), names)
+
+
 @query("x07_streaming_average", uses="series", sql="""
 SELECT * FROM (SELECT (t // 44640) * 44640 AS t0, run, metric, AVG(CAST(v AS DOUBLE)) AS v, CAST(COUNT(*) AS BIGINT) AS n FROM series GROUP BY ALL)
 WHERE t0 + 44640 <= (SELECT epoch(max(ts)) - 7200 FROM events)""")
@@ -127,6 +154,55 @@ def drop_repeats(t):
     return kept.groupBy("run", "metric").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
 
 
+@query("x08_later_segment", uses="cells", sql="""
+WITH seg AS (SELECT run, iter, k, j, i, THETA, 0 AS segment FROM cells WHERE rec <= 3
+  UNION ALL SELECT run, iter, k, j, i, THETA + 1 AS THETA, 1 FROM cells WHERE rec >= 3)
+SELECT * FROM seg QUALIFY rank() OVER (PARTITION BY run, iter ORDER BY segment DESC) = 1""")
+def later_segment(t):
+    """Repeated records of restart segments on a stream of records; the later segment stays."""
+    columns = ["run", "iter", "k", "j", "i"]
+    first = t.cells.where("rec <= 3").select(*columns, "THETA", F.lit(0).alias("segment"))
+    second = t.cells.where("rec >= 3").select(*columns, (F.col("THETA") + 1).alias("THETA"), F.lit(1).alias("segment"))
+
+    def arrivals(_, path):  # the records of both segments and the ends of the runs, a file each
+        rows = t.records.select("run", F.col("iter").cast("bigint"), "time_s", "rec")
+        ends = rows.groupBy("run").agg(F.lit(None).cast("bigint").alias("iter"), F.lit(None).cast("double").alias("time_s"))
+        parts = [rows.where("rec <= 3").drop("rec").withColumn("segment", F.lit(0)), rows.where("rec >= 3").drop("rec").withColumn("segment", F.lit(1)), ends.withColumn("segment", F.lit(None).cast("int"))]
+        for n, part in enumerate(parts):
+            part.coalesce(1).write.parquet(f"{path}/{n}")
+
+    folder = t._once("restart_arrivals", lambda: None, arrivals)
+    stream = t.spark.readStream.schema("run string, iter bigint, time_s double, segment int").option("maxFilesPerTrigger", 1).parquet(folder + "/*")
+    winners = restarts.winning_records(stream, overlap=22320.0)
+    return restarts.decided_cells(winners, first.unionByName(second), "later-segment")
+
+
+@query("j08_streaming_reports", uses="accounting", sql="""
+SELECT j.run, j.job_id, strftime(logged_at, '%Y-%m-%d %H:%M:%S') AS logged_at, a.state, a.reason, a.exit_code
+FROM (SELECT 'S' || CAST(o_custkey % 100 AS VARCHAR) AS run, CAST(o_orderkey*3 + n AS VARCHAR) AS job_id, o_orderkey % 5 AS hours, CAST(o_orderdate AS TIMESTAMP) AS logged_at
+  FROM orders, range(3) r(n) WHERE n < o_orderkey % 4) j
+LEFT JOIN accounting a ON a.job_id = j.job_id AND j.hours <= 2""")
+def streaming_reports(t):
+    """Logged jobs and accounting as two streams; a job without a report in time is put out with NULLs."""
+    def arrivals(_, path):  # both streams, and a beat of each long after all jobs
+        orders = t.given("orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+        rows = orders.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("n"))
+        jobs = rows.where("n < o_orderkey % 4").selectExpr("concat('S', o_custkey % 100) AS run", "CAST(o_orderkey*3 + n AS STRING) AS job_id", "at AS logged_at")
+        reports = t.accounting.join(rows.selectExpr("CAST(o_orderkey*3 + n AS STRING) AS job_id", "at + make_interval(0, 0, 0, 0, CAST(o_orderkey % 5 AS INT)) AS reported_at"), "job_id")
+        late = orders.agg((F.max("at") + F.expr("INTERVAL 30 DAYS")).alias("late"))
+        jobs.write.parquet(f"{path}/jobs/0")
+        late.selectExpr("'beat' AS run", "'beat' AS job_id", "late AS logged_at").write.parquet(f"{path}/jobs/1")
+        reports.write.parquet(f"{path}/reports/0")
+        late.selectExpr("'end' AS job_id", *[f"CAST(NULL AS STRING) AS {c}" for c in ("state", "reason", "exit_code", "elapsed")], "late AS reported_at").write.parquet(f"{path}/reports/1")
+
+    folder = t._once("job_arrivals", lambda: None, arrivals)
+    stream = lambda name, schema: t.spark.readStream.schema(schema).parquet(f"{folder}/{name}/*")
+    jobs_ = stream("jobs", "run string, job_id string, logged_at timestamp")
+    reports = stream("reports", "job_id string, state string, reason string, exit_code string, elapsed string, reported_at timestamp")
+    out = live.drain(jobs.job_reports(jobs_, reports), "job-reports")
+    return out.select("run", "job_id", F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss").alias("logged_at"), "state", "reason", "exit_code")
+
+
 # --- spectra ---------------------------------------------------------------
 
 

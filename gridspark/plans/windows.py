@@ -179,9 +179,6 @@ UNION ALL SELECT 'S', run, rec, SUM(VVEL * dxG) FROM cells JOIN grid2d USING (ru
 UNION ALL SELECT 'N', run, rec, SUM(VVEL * dxG) FROM cells JOIN grid2d USING (run, j, i) JOIN n USING (run) WHERE j = mj GROUP BY run, rec""")
 def union_sides(t):
     """Flow through the four sides in one table with a side column."""
-    def side(s):
-        rows = select.edge_strip(t.cells, t.grid2d, s, width=1)
-        normal = F.col("UVEL") * F.col("dyG") if s in "WE" else F.col("VVEL") * F.col("dxG")
-        return rows.groupBy("run", "rec").agg(F.sum(normal).alias("through")).withColumn("side", F.lit(s))
-
-    return energy.all_sides(side, "WESN")
+    rows = select.edge_strips(t.cells, t.grid2d, width=1)
+    normal = F.when(F.col("side").isin("W", "E"), F.col("UVEL") * F.col("dyG")).otherwise(F.col("VVEL") * F.col("dxG"))
+    return rows.groupBy("side", "run", "rec").agg(F.sum(normal).alias("through"))

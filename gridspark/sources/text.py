@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridspark.functions.names import RUN_IN_PATH, run_of_path
+from gridspark.sources import ledger
 
 
 def split_order(by: str = "name") -> list[Column]:
@@ -31,7 +32,12 @@ def read_lines(spark: SparkSession, paths: str | list[str], run_in_path: str = R
     ).withColumn("run", run_of_path("file", run_in_path))
 
 
-def append_job_records(jobs: DataFrame, path: str) -> None:
-    """Append ``name status id id …`` lines to a job log folder."""
+def append_job_records(jobs: DataFrame, path: str, token: str) -> bool:
+    """Append ``name status id id …`` lines to a job log, once for each ``token``; whether anything was written."""
     line = F.concat_ws(" ", "run", "status", F.array_join("job_ids", " "))
-    jobs.select(line.alias("value")).write.mode("append").text(path)
+    return ledger.append_once(jobs.select(line.alias("value")), path, token)
+
+
+def read_job_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a job log that ``append_job_records`` writes."""
+    return ledger.read_committed(spark, path, "value string").select("value")

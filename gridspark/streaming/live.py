@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager, nullcontext
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridspark.functions.names import RUN_IN_PATH, run_of_path
@@ -44,25 +46,49 @@ def drop_repeats(rows: DataFrame, keys: list[str], delay: str = "2 hours", ts: s
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+@contextmanager
+def only_with_data(spark: SparkSession):
+    """Queries started inside run no empty batches.
+
+    State with processing-time timeouts asks for one batch after the other, so that a query that is to
+    end when its input does would never end; its timeouts come due with the next data.
+    """
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def drain(stream: DataFrame, label: str, mode: str = "append", limited: bool = False,
+          timeouts: bool = False) -> DataFrame:
     """Process all input available now into a table in the shared folder and read it back.
 
-    Complete and update output go through ``foreachBatch``; each batch lands in its own
+    ``limited`` is for sources that hand out their input in parts of a limited size, ``timeouts`` for
+    state with processing-time timeouts.  Complete and update output go through ``foreachBatch``; each batch lands in its own
     ``batch=<n>`` folder, overwritten on replay, so a retried batch leaves no duplicates.
     """
     spark = stream.sparkSession
     path, checkpoint = fresh_path(spark, label), fresh_path(spark, f"{label}-checkpoint")
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer = stream.writeStream.option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime="0 seconds") if limited else writer.trigger(availableNow=True)
+    schema = stream.schema
     if mode == "append":
-        query = writer.outputMode("append").format("parquet").option("path", path).start()
-        schema = stream.schema
+        writer = writer.outputMode("append").format("parquet").option("path", path)
     else:
         def keep(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-        query = writer.outputMode(mode).foreachBatch(keep).start()
-        schema = stream.schema.add("batch", "long")
-    query.awaitTermination()
+        writer, schema = writer.outputMode(mode).foreachBatch(keep), schema.add("batch", "long")
+    with only_with_data(spark) if timeouts else nullcontext():
+        query = writer.start()
+    if limited:
+        query.processAllAvailable()
+        query.stop()
+    else:
+        query.awaitTermination()
     return spark.read.schema(schema).parquet(path)
 
 
