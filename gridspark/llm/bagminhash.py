@@ -307,6 +307,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     return labelled.join(least, "label").select("doc_id", "node", "class_id"), every
 
 
+def with_links(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with ``n_links``: verified links of the row's text to other texts.
+
+    Links are those that join the class: each text of it has one or more, and copies of a text share them.
+    """
+    ends = links.select("a", "b").distinct().select(F.explode(F.array("a", "b")).alias("node"))
+    counts = ends.groupBy("node").agg(F.count("*").alias("n_links"))
+    return members.join(counts, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+
+
 def representatives(docs: DataFrame, id_col="doc_id", text_col="text", **parameters) -> DataFrame:
     """One row of ``docs`` per class, with its own columns: the one with the least id (then text hash)."""
     members, _ = classes(docs, id_col=id_col, text_col=text_col, with_label=True, **parameters)
@@ -320,4 +330,5 @@ def representatives(docs: DataFrame, id_col="doc_id", text_col="text", **paramet
 
 @query("op6_bagminhash_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"))[0].select("doc_id", "class_id")
+    members, links = classes(table(spark, sf_dir, "documents"))
+    return with_links(members, links).select("doc_id", "class_id", "n_links")

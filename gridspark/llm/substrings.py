@@ -1,24 +1,27 @@
 r"""Substring dedup: passages that already stand in a document with a smaller id are removed.
 
-A window is ``WINDOW`` consecutive words.  Which windows can repeat at all is found by sketches:
+A window is ``WINDOW`` consecutive words.  Sketches choose what is worth an index, and where it goes:
 
 1. Each window has an anchor, its least gram hash.  Equal windows have equal anchors, so only
    windows whose anchor occurs in two different texts can repeat (one short row per anchor).
-2. Of those the window hashes are compared: least document id per hash.  Stretches of windows
-   that have the same least document become queries against it, or sources where it is the
-   document itself.
+2. Of those, windows whose hash occurs in two documents are candidates; hashes of few bits only
+   give more of them.  A piece is the words under neighbouring candidates with one anchor.
 
-That already decides what repeats; the index verifies it, word by word: the sources - every repeating window once - are dealt to shards of bounded
-size by their document, each shard builds a compressed FM-index of its sources' words, and the
-distinct queries of the shard are streamed through it by backward search, which reports
-the stretches of matching words of ``WINDOW`` or more.  Only these, exact in the words, are removed.  Heavily queried shards are
-searched by several tasks, each with a copy of the index, so a passage in a third of all documents loads no
-single task; equal queries are searched once.
+An index then decides.  Pieces are dealt to shards by their anchor, so all that can match a piece
+lies in its shard.  A shard builds a compressed FM-index of its distinct pieces, each owned by the
+least document that holds it, and streams them through it by backward search: the matching
+statistics, kept as long as an owner below the query's document is among the matches, give the
+stretches of ``WINDOW`` words or more that occur in a smaller document.  Only these are removed.
+Equal pieces are searched once for their least holder and once for all others.  A large shard is
+searched by several tasks, and one whose index would be too large is indexed in parts, each
+asked by all of its queries.
 
-Copies of a whole text are one text, kept where its id is least.
+Copies of a whole text are one text, kept where its id is least.  Keys that hold more than a part
+in ``HOT`` of the rows of a join - there are no more than ``HOT`` - are joined apart, without a shuffle.
 
 Defined results: a null text has no words.  A document whose id is null neither loses nor takes
-words from others; rows with the same id do not take from each other.  Texts shorter than a window stay whole.
+words from others; rows with the same id do not take from each other.  Texts shorter than a window stay whole;
+very long ones are cut into segments and pieces, and only one text is held at a time.
 Further columns are ignored.  An empty table gives an empty result.
 """
 
@@ -31,31 +34,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gridspark.llm import fmindex, words as W
-from gridspark.llm.common import query, settle, table
+from gridspark.llm.common import query, settle, small_batches, table
 
 WINDOW = 50
 GRAM = 8  #: words of the grams that anchor windows
-SHARD_WORDS, QUERY_WORDS = 1 << 20, 1 << 22  #: aims for the words indexed by a shard, and searched by a task
-PIECE = 512  #: a longer query is searched in pieces that share a window less a word
+SHARD_WORDS, QUERY_WORDS = 1 << 19, 1 << 22  #: aims for the words indexed by a shard, and searched by a task
+PIECE = 256  #: a longer run of windows is cut into pieces that share a window less a word
+HOT = 1024
 
 _ANCHORS = "anchor long, node binary, low int, high int"
-_WINDOWS = "h long, g long, doc_id long, node binary, start int"
+_WINDOWS = "h long, anchor long, doc_id long, node binary, start int"
+_PARTS = "anchor long, doc_id long, node binary, low int, text binary, n long"
 
 
+def _least_grams(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """The least gram hash of each window of words."""
+    width = window - gram + 1
+    least, reach = W.window_hashes(hashes, gram), 1
+    while reach * 2 <= width:
+        least, reach = np.minimum(least[:-reach], least[reach:]), reach * 2
+    if reach < width and len(least) > width - reach:
+        least = np.minimum(least[: reach - width], least[width - reach :])
+    return least
+
 
 def _anchors(window: int, gram: int):
     """Stretches of window starts with the same anchor: one row each."""
-    width = window - gram + 1
 
     def run(batches):
         for batch in batches:
             for w in W.blocks(batch.column(1)):
-                grams = W.window_hashes(W.word_hashes(w), gram)
-                least, reach = grams, 1
-                while reach * 2 <= width:
-                    least, reach = np.minimum(least[:-reach], least[reach:]), reach * 2
-                if reach < width and len(least) > width - reach:
-                    least = np.minimum(least[: reach - width], least[width - reach :])
+                least = _least_grams(W.word_hashes(w), window, gram)
                 n = max(len(w.start) - window + 1, 0)
                 at = np.flatnonzero(W.inside(w.first, window, n))
                 if not len(at):
@@ -102,25 +111,25 @@ def _segments(window: int):
     return run
 
 
-def _windows(window: int):
+def _windows(window: int, gram: int, bits: int):
     def run(batches):
         for batch in batches:
             low = batch.column(2).to_numpy(zero_copy_only=False)
             for w in W.blocks(batch.column(3)):
                 h = W.word_hashes(w)
-                one, two = W.window_hashes(h, window), W.window_hashes(W.mixed(h + np.uint64(0x8CB92BA72F3D8DD7)), window)
+                one, least = W.window_hashes(h, window) >> np.uint64(64 - bits), _least_grams(h, window, gram)
                 at = np.flatnonzero(W.inside(w.first, window, len(one)))
                 own = w.doc()[at]
                 start = at - w.first[own] + low[own + w.low]
                 rows = pa.array(own + w.low)
-                yield pa.record_batch([pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), batch.column(1).take(rows), batch.column(0).take(rows), pa.array(start.astype(np.int32))], names=["h", "g", "doc_id", "node", "start"])
+                yield pa.record_batch([pa.array(one[at].view(np.int64)), pa.array(least[at].view(np.int64)), batch.column(1).take(rows), batch.column(0).take(rows), pa.array(start.astype(np.int32))], names=["h", "anchor", "doc_id", "node", "start"])
 
     return run
 
 
-def _stretches(window: int):
-    """The text of each stretch of windows; queries in pieces."""
-    names = ["src", "is_query", "node", "low", "text", "n"]
+def _pieces(window: int):
+    """The text of each run of candidate windows, long runs in pieces."""
+    names = ["anchor", "doc_id", "node", "low", "text", "n"]
 
     def run(batches):
         for batch in batches:
@@ -130,27 +139,26 @@ def _stretches(window: int):
                 for d in range(w.low, w.high):
                     first = int(w.first[d - w.low]) - base[d]
                     for r in runs[d]:
-                        asks, stop = r["src"] != doc_id[d], r["high"] + window
-                        step = PIECE - window + 1 if asks else stop - r["low"]
+                        stop, step = r["high"] + window, PIECE - window + 1
                         for low in range(r["low"], stop - window + 1, step):
                             high = min(low + step + window - 1, stop)
-                            out.append((r["src"], asks, node[d], low, _text(w, first + low, first + high), high - low))
-                yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate([pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.binary(), pa.int64()])], names=names)
+                            out.append((r["anchor"], doc_id[d], node[d], low, _text(w, first + low, first + high), high - low))
+                yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()])], names=names)
 
     return run
 
 
 def _matched(window: int):
-    """Search one shard's queries in the index of its sources."""
+    """Search a shard's queries in the index of its sources, each for owners below its limit."""
 
     def run(queries: pa.Table, sources: pa.Table) -> pa.Table:
-        empty = {"key": pa.array([], pa.binary()), "low": pa.array([], pa.int32()), "high": pa.array([], pa.int32())}
         if not queries.num_rows or not sources.num_rows:
-            return pa.table(empty)
+            return pa.table({"key": pa.array([], pa.binary()), "later": pa.array([], pa.bool_()), "low": pa.array([], pa.int32()), "high": pa.array([], pa.int32())})
         texts = lambda t: t.column("text").combine_chunks().cast(pa.string())
-        index, vocabulary = fmindex.index_of(texts(sources))
-        q, low, high = fmindex.search(index, vocabulary, texts(queries), window)
-        return pa.table({"key": queries.column("key").combine_chunks().take(pa.array(q)), "low": pa.array(low.astype(np.int32)), "high": pa.array(high.astype(np.int32))})
+        index, vocabulary = fmindex.index_of(texts(sources), sources.column("owner").to_numpy())
+        q, low, high = fmindex.search(index, vocabulary, texts(queries), window, queries.column("limit").to_numpy())
+        at = pa.array(q)
+        return pa.table({"key": queries.column("key").combine_chunks().take(at), "later": queries.column("later").combine_chunks().take(at), "low": pa.array(low.astype(np.int32)), "high": pa.array(high.astype(np.int32))})
 
     return run
 
@@ -185,22 +193,43 @@ def _kept(window: int):
     return run
 
 
-def _shards(parts: DataFrame, window: int) -> DataFrame:
-    """``key, low, high``: matching stretches of each distinct query."""
-    words = parts.where("not is_query").agg(F.sum("n")).first()[0] or 0
+def _shards(distinct: DataFrame, window: int) -> DataFrame:
+    """``key, later, low, high``: matching stretches of each distinct piece, for its least holder and for later ones."""
+    words = distinct.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("src"), F.lit(shards)).cast("int"))
-    queries = settle(dealt.where("is_query").select("shard", "key", "text", "n").dropDuplicates(["shard", "key"]), "substring-queries")
-    copies = queries.groupBy("shard").agg(F.ceil(F.sum("n") / QUERY_WORDS).cast("int").alias("copies"))
-    copies = settle(copies, "substring-shards")
-    left = queries.join(copies, "shard").select("shard", F.pmod(F.xxhash64("key"), F.col("copies").cast("long")).cast("int").alias("copy"), "key", "text")
-    right = dealt.where("not is_query").select("shard", "text").join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "text")
-    both = left.groupBy("shard", "copy").cogroup(right.groupBy("shard", "copy"))
-    return both.applyInArrow(_matched(window), "key binary, low int, high int")
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col="doc_id", text_col="text") -> DataFrame:
-    """Per row ``doc_id, n_words, n_removed, kept_sha256, kept``."""
+    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
+    ways = dealt.groupBy("shard").agg(F.ceil(F.sum("n") / (2 * SHARD_WORDS)).cast("int").alias("parts"), F.ceil(F.sum("n") * 2 / QUERY_WORDS).cast("int").alias("copies"))
+    ways = settle(ways, "substring-shards")
+    limits = F.array(F.struct(F.lit(False).alias("later"), F.col("least").alias("limit")), F.when(F.col("most") > F.col("least"), F.struct(F.lit(True).alias("later"), (F.col("least") + 1).alias("limit"))))
+    asked = dealt.join(ways, "shard").withColumn("ask", F.explode(F.filter(limits, lambda x: x.isNotNull())))
+    part, copy = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
+    left = asked.select("shard", part.alias("part"), F.pmod(F.xxhash64("key"), F.col("copies").cast("long")).cast("int").alias("copy"), "key", "text", "ask.later", "ask.limit")
+    own = F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts").cast("long")).cast("int")
+    right = dealt.join(ways, "shard").select((F.col("shard") + 0).alias("shard"), own.alias("part"), copy.alias("copy"), F.concat("text").alias("text"), F.col("least").alias("owner"))
+    both = left.groupBy("shard", "part", "copy").cogroup(right.groupBy("shard", "part", "copy"))
+    return both.applyInArrow(_matched(window), "key binary, later boolean, low int, high int")
+
+
+def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with the one row of ``right`` (``key, n, ...``) for its key; ``n`` rows of ``left`` have it.
+
+    Keys of more than a part in ``HOT`` of all rows are written apart: at most ``HOT`` rows, which join without a shuffle.
+    """
+    total = right.agg(F.sum("n")).first()[0] or 0
+    large = F.col("n") * HOT > total
+    hot = settle(right.where(large).drop("n"), "substring-hot")
+    if hot.limit(1).count() == 0:
+        return left.join(right.drop("n"), key)
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(~large).drop("n"), key)
+    return left.join(hot, key).unionByName(rest)
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = 64, id_col="doc_id", text_col="text") -> DataFrame:
+    """Per row ``doc_id, n_words, n_removed, kept_sha256, kept``.
+
+    ``bits`` of a window's hash make it a candidate; the index decides whatever their number.
+    """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("node"), text.alias("text"))
     nodes = settle(rows.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "substring-nodes")
@@ -210,23 +239,27 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col="doc
     ranges = anchors.join(shared, "anchor", "left_semi").groupBy("node").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     ranges = settle(ranges.join(nodes, "node").select("node", "least", "ranges"), "substring-ranges")
     least = rows.join(ranges, (rows["node"] == ranges["node"]) & (rows["doc_id"] == ranges["least"])).select(rows["node"], "doc_id", "text", "ranges")
-    segments = settle(least.mapInArrow(_segments(window), "node binary, doc_id long, low int, text string"), "substring-segments")
-    windows = segments.dropDuplicates(["node", "low"]).mapInArrow(_windows(window), _WINDOWS)
-    windows = settle(windows, "substring-windows")
-    source = windows.groupBy("h", "g").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last")).where("src < last").select("h", "g", "src")
-    found = windows.join(source, ["h", "g"]).select("node", "doc_id", "start", "src")
-    along = Window.partitionBy("node", "src").orderBy("start")
+    segments = settle(least.mapInArrow(_segments(window), "node binary, doc_id long, low int, text string").dropDuplicates(["node", "low"]), "substring-segments")
+    windows = settle(segments.mapInArrow(_windows(window, gram, bits), _WINDOWS), "substring-windows")
+    twice = windows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "n")
+    found = _joined(windows, settle(twice, "substring-twice"), "h").select("node", "anchor", "start")
+    along = Window.partitionBy("node", "anchor").orderBy("start")
     steps = found.withColumn("step", F.when(F.col("start") - F.lag("start").over(along) == 1, 0).otherwise(1))
-    runs = steps.withColumn("run", F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, 0))).groupBy("node", "src", "run").agg(F.min("start").alias("low"), F.max("start").alias("high"))
-    runs = settle(runs.groupBy("node").agg(F.collect_list(F.struct("src", "low", "high")).alias("all")), "substring-runs")
-    held = segments.dropDuplicates(["node", "low"]).join(runs, "node")
+    runs = steps.withColumn("run", F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, 0))).groupBy("node", "anchor", "run").agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    runs = settle(runs.groupBy("node").agg(F.collect_list(F.struct("anchor", "low", "high")).alias("all")), "substring-runs")
     last = F.col("low") + F.size(F.split("text", r"[\x20\t-\r]+")) - window
     own = F.filter("all", lambda r: (r["low"] >= F.col("low")) & (r["low"] <= F.col("last")))
-    held = held.withColumn("last", last).select("node", "doc_id", "low", "text", own.alias("runs")).where(F.size("runs") > 0)
-    parts = held.mapInArrow(_stretches(window), "src long, is_query boolean, node binary, low int, text binary, n long")
-    parts = settle(parts.withColumn("key", F.unhex(F.md5("text"))), "substring-parts")
-    matched = settle(_shards(parts, window), "substring-matched")
-    gone = parts.where("is_query").select("src", "key", "node", F.col("low").alias("base")).join(matched, "key").select("node", F.struct((F.col("base") + F.col("low")).alias("low"), (F.col("base") + F.col("high")).alias("high")).alias("range"))
+    held = segments.join(runs, "node").withColumn("last", last).select("node", "doc_id", "low", "text", own.alias("runs")).where(F.size("runs") > 0)
+    parts = settle(held.mapInArrow(_pieces(window), _PARTS).withColumn("key", F.unhex(F.md5("text"))), "substring-parts")
+    distinct = parts.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n_rows"), F.first("anchor").alias("anchor"), F.first("text").alias("text"), F.first("n").alias("n"))
+    distinct = settle(distinct, "substring-distinct")
+    matched = settle(_shards(distinct, window), "substring-matched")
+    span = F.struct("low", "high")
+    told = matched.groupBy("key").agg(F.collect_list(F.when(~F.col("later"), span)).alias("first"), F.collect_list(F.when(F.col("later"), span)).alias("later"))  # few: a piece is short
+    told = settle(distinct.select("key", F.col("least").alias("holder"), F.col("n_rows").alias("n")).join(told, "key"), "substring-told")
+    asked = _joined(parts.select("key", "doc_id", "node", F.col("low").alias("base")), told, "key")
+    gone = asked.select("node", "base", F.explode(F.when(F.col("doc_id") == F.col("holder"), F.col("first")).otherwise(F.col("later"))).alias("r"))
+    gone = gone.select("node", F.struct((F.col("base") + F.col("r.low")).alias("low"), (F.col("base") + F.col("r.high")).alias("high")).alias("range"))
     gone = gone.groupBy("node").agg(F.collect_set("range").alias("gone"))
     marked = settle(nodes.join(gone, "node", "left").where("n > 1 or gone is not null").select("node", "least", "gone"), "substring-marked")
     ready = rows.join(marked, "node", "left").select("doc_id", "text", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy"), F.when(F.col("doc_id") == F.col("least"), F.col("gone")).alias("gone"))

@@ -32,6 +32,7 @@ from gridspark.llm.common import fresh_path, query, settle, table
 
 MIN_REVISIT_BYTES = 0  #: smaller payloads are always written whole
 RANGE_BYTES = 8 << 20
+RANGES_PER_TASK = 16
 MAGIC = b"\x1f\x8b\x08"
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
@@ -177,7 +178,8 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     """Every record below ``path``; a task holds one range and one record at a time."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "length")
     ranges = settle(files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"), F.col("length")), "warc-ranges")
-    tasks = max(1, min(ranges.count(), 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = ranges.count()
+    tasks = max(1, min(n, spark.sparkContext.defaultParallelism), -(-n // RANGES_PER_TASK))  # grows with the bytes
     dealt = ranges.select("path", "start", F.least(F.col("start") + range_bytes, F.col("length")).alias("stop")).repartition(tasks)
     return dealt.mapInArrow(_read(with_payload), _RECORD)
 

@@ -154,6 +154,14 @@ def test_warc(spark):
     assert warc.read_archives(spark, none).count() == 0
 
 
+def test_reading_tasks_grow_with_the_bytes(spark):
+    path = fresh_path(spark, "warc-tasks")
+    warc.write_archives(spark.createDataFrame([(i, "u", f"{i} " * 400) for i in range(300)], "page_id long, url string, html string").repartition(2), path)
+    found = warc.read_archives(spark, path, range_bytes=40)
+    assert found.rdd.getNumPartitions() > 8 * spark.sparkContext.defaultParallelism and found.count() == 300
+    assert warc.read_archives(spark, path).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
 def test_archives_are_plain_gzip(spark):
     path = fresh_path(spark, "warc-gzip")
     warc.write_archives(spark.createDataFrame([(i, "u", f"text {i}") for i in range(20)], "page_id long, url string, html string").coalesce(1), path)

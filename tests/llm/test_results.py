@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from gridspark.llm import bagminhash, fmindex, mixing, neural_lm, pii, quality, secrets, sharding, words
+from gridspark.llm import bagminhash, fmindex, mixing, neural_lm, pii, quality, secrets, sharding, substrings, words
 from gridspark.llm.common import table
 from gridspark.llm.queries import ORACLES, QUERIES
 from tests.oracle import compare, connect
@@ -224,8 +224,13 @@ def near_classes(texts):
 
 
 def test_near_duplicates(spark, texts):
-    got = {r.doc_id: r.class_id for r in QUERIES["op6_bagminhash_near_duplicates"](spark, SF).collect()}
-    assert got == near_classes(texts)
+    rows = QUERIES["op6_bagminhash_near_duplicates"](spark, SF).collect()
+    want = near_classes(texts)
+    assert {r.doc_id: r.class_id for r in rows} == want
+    several = {c for c in want.values() if len({texts[i] for i, x in want.items() if x == c}) > 1}
+    for r in rows:  # a class of several texts is held together by links: one or more for each text, none elsewhere
+        linked = [i for i, t in texts.items() if t != texts[r.doc_id] and similarity(bag(t), bag(texts[r.doc_id])) >= 0.8]
+        assert (r.n_links > 0) == (r.class_id in several) and r.n_links <= len({texts[i] for i in linked})
 
 
 def test_links_are_verified(spark, texts):
@@ -278,6 +283,78 @@ def test_backward_search(size):
                 assert {j for a, b in zip(low[q == k], high[q == k]) for j in range(a, b)} == want
 
 
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_backward_search_for_smaller_owners(size):
+    """Only what occurs in a text of an owner below the query's limit is reported, whichever way windows overlap."""
+    rng = np.random.default_rng(size)
+    for v in (2, 3, 6, 40):
+        for _ in range(12):
+            sources = [" ".join(f"w{i}" for i in rng.integers(0, v, rng.integers(0, 30))) for _ in range(6)]
+            owner = rng.integers(0, 50, 6)
+            asked = [" ".join(f"w{i}" for i in rng.integers(0, v + 1, rng.integers(0, 25))) for _ in range(6)] + sources
+            limit = np.concatenate([rng.integers(0, 52, 6), owner])
+            q, low, high = fmindex.search(*fmindex.index_of(pa.array(sources), owner), pa.array(asked), size, limit)
+            for k, text in enumerate(asked):
+                held = {tuple(s.split()[i : i + size]) for s, o in zip(sources, owner) if o < limit[k] for i in range(len(s.split()) - size + 1)}
+                w = text.split()
+                want = {j for i in range(len(w) - size + 1) if tuple(w[i : i + size]) in held for j in range(i, i + size)}
+                assert {j for a, b in zip(low[q == k], high[q == k]) for j in range(a, b)} == want
+
+
+def plain_repeats(texts, window):
+    """Words removed of each document, by all windows of all documents."""
+    least, out = {}, {}
+    words_ = {i: split(t) for i, t in texts.items()}
+    for i, w in sorted(words_.items()):
+        for k in range(len(w) - window + 1):
+            least.setdefault(tuple(w[k : k + window]), i)
+    for i, w in words_.items():
+        out[i] = len({j for k in range(len(w) - window + 1) if least[tuple(w[k : k + window])] < i for j in range(k, k + window)})
+    return out
+
+
+@pytest.mark.parametrize("bits", [64, 3])
+def test_the_index_decides(spark, bits):
+    """Hashes of three bits make nearly every window a candidate; the result is the same."""
+    rng = np.random.default_rng(7)
+    passages = [[f"p{k}x{j}" for j in range(40)] for k in range(5)]
+    texts = {}
+    for i in range(60):
+        parts = [[f"w{x}" for x in rng.integers(0, 30, rng.integers(0, 25))] for _ in range(3)]
+        for k in rng.choice(5, 2, replace=False):
+            low = int(rng.integers(0, 20))
+            own = list(passages[k][low : low + int(rng.integers(8, 40))])
+            if rng.random() < 0.3 and len(own) > 12:
+                own[6] = f"new{i}"
+            parts.insert(int(rng.integers(len(parts))), own)
+        texts[i] = " ".join(x for p in parts for x in p)
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_removed for r in substrings.repeats(docs, window=10, gram=4, bits=bits).collect()}
+    want = plain_repeats(texts, 10)
+    assert got == want and 0 < sum(want.values()) < sum(len(split(t)) for t in texts.values())
+
+
+def test_without_the_index_nothing_but_copies_goes(spark, texts, monkeypatch):
+    def found(docs):
+        return {r.doc_id: r.n_removed for r in substrings.repeats(docs).collect()}
+
+    docs = table(spark, SF, "documents")
+    with_index = found(docs)
+    assert with_index == plain_repeats(texts, 50)
+    monkeypatch.setattr(substrings, "_matched", lambda window: lambda q, s: pa.table({"key": pa.array([], pa.binary()), "later": pa.array([], pa.bool_()), "low": pa.array([], pa.int32()), "high": pa.array([], pa.int32())}))
+    without = found(docs)
+    assert sum(without.values()) < sum(with_index.values())
+    assert all(n == (len(split(texts[i])) if n else 0) for i, n in without.items())
+
+
+def test_indexes_in_parts(spark, texts, monkeypatch):
+    """Shards beyond the size of an index are cut, and every part is asked."""
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 300)
+    monkeypatch.setattr(substrings, "QUERY_WORDS", 2000)
+    got = {r.doc_id: r.n_removed for r in substrings.repeats(table(spark, SF, "documents")).collect()}
+    assert got == plain_repeats(texts, 50)
+
+
 def test_language_model(spark, texts):
     rows = {r.doc_id: r for r in QUERIES["op8_log_bilinear_lm"](spark, SF).collect()}
     tokens = {i: [*split(t.translate(LOWER)), "\0"] for i, t in texts.items()}
