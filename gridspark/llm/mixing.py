@@ -1,35 +1,38 @@
 r"""Mixing sources to target weights by iterative proportional fitting (raking).
 
-Token masses by source, language and topic are scaled to the target share of each margin in
-turn, a fixed number of rounds.  A cell's weight - fitted over given mass - is at most
+Token masses by source, language and form of the text are scaled to the target share of each
+margin in turn, a fixed number of rounds.  A cell's weight - fitted over given mass - is at most
 ``1 / keep``, and ``keep`` times the weight is the probability with which each of its documents
-is drawn, so an expected share ``keep`` of all tokens stays, mixed as asked as far as the caps allow.
+is drawn, so an expected share ``keep`` of all tokens stays, mixed as asked as far as the caps allow;
+``Mix.report`` tells for every category what share was asked for and what is reached.
 
-Categories without a target, and nulls, form one class per margin that keeps its own share; the
-cells are thus bounded by the targets given, whatever the input, and only they reach the driver.
-The topic is the form of the text: table, symbols, lines or prose.
+Targets are given as tables, or follow from the data: every category that holds ``LEAST_SHARE`` of the
+tokens or more gets a share in proportion to its own to the power of ``TEMPER``, which lifts rare ones.
+Other categories, and nulls, form one class per margin that keeps its own share.  A margin thus
+has at most ``1 / LEAST_SHARE`` classes besides, or those of its table, and only sums by occurring
+cell reach the driver.  The form of a text is table, symbols, lines or prose.
 
 Defined results: a null text counts as empty (no tokens, form prose).  A document is drawn by a
 hash of its id (nulls by one of their own), so repeated rows stay or go together and any run draws the same.  Further
-columns are kept by ``draw`` and ignored by ``weighted``.  An empty table gives an empty result.
+columns are kept by ``draw`` and ignored by ``weighted``.  Very long texts are only counted.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from itertools import product
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridspark.llm.common import query, settle, table
 
-SOURCES = {f"src{i}": 0.05 for i in range(20)}
-LANGUAGES = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
-TOPICS = {"prose": 0.85, "lines": 0.05, "symbols": 0.05, "table": 0.05}
+MARGINS = ("source", "lang", "form")
+TEMPER, LEAST_SHARE = 0.9, 1e-3
 KEEP, ROUNDS = 0.6, 20
 _WORD = r"[^\x20\x09-\x0D]+"
+_CLASSES = [f"{m}_class" for m in MARGINS]
 
 
-def topic(text: Column) -> Column:
+def form(text: Column) -> Column:
     return (
         F.when(F.contains(text, F.lit(" | ")), "table")
         .when(F.regexp_count(text, F.lit("[#*$%&<>]")) * 50 > F.char_length(text), "symbols")
@@ -37,56 +40,96 @@ def topic(text: Column) -> Column:
     )
 
 
-def _class(value: Column, targets: dict[str, float]) -> Column:
-    """Place of a category among the targets from 1 on; 0 for any other."""
-    return F.coalesce(F.array_position(F.array(*[F.lit(t) for t in targets]), value.cast("string")), F.lit(0)).cast("int")
+def tempered(mass: dict[str, float], temper: float = TEMPER) -> dict[str, float]:
+    """Target shares in proportion to a power of the categories' own."""
+    total = sum(mass.values())
+    raised = {c: (m / total) ** temper for c, m in mass.items()}
+    return {c: r / sum(raised.values()) for c, r in raised.items()}
 
 
-def _cell(docs: DataFrame, margins: list[dict[str, float]], source_col: str, lang_col: str, text_col: str) -> list[Column]:
-    text = F.coalesce(docs[text_col], F.lit(""))
-    return [_class(docs[source_col], margins[0]), _class(docs[lang_col], margins[1]), _class(topic(text), margins[2])]
+def wanted(mass: dict[tuple, float], targets: list[dict[str, float]]) -> list[dict]:
+    """Share of each class of each margin: None keeps its own, the rest is dealt by the targets of those that occur."""
+    total, out = sum(mass.values()), []
+    for axis, asked in enumerate(targets):
+        own: dict = {}
+        for cell, m in mass.items():
+            own[cell[axis]] = own.get(cell[axis], 0.0) + m / total
+        free, known = 1 - own.get(None, 0.0), sum(asked[c] for c in own if c is not None) or 1.0
+        out.append({c: s if c is None else asked[c] / known * free for c, s in own.items()})
+    return out
 
 
-def rake(mass: dict[tuple[int, ...], float], margins: list[dict[str, float]], keep: float = KEEP, rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
-    """Weight of each cell; ``mass`` has positive tokens by (class per margin)."""
-    total = sum(mass.values())
-    shares = []
-    for axis, targets in enumerate(margins):
-        own = [0.0] * (len(targets) + 1)
-        for cell, m in mass.items():
-            own[cell[axis]] += m / total
-        named = [t if m > 0 else 0.0 for t, m in zip(targets.values(), own[1:])]
-        free = 1 - own[0]
-        shares.append([own[0], *(t / (sum(named) or 1.0) * free for t in named)])
+def rake(mass: dict[tuple, float], targets: list[dict[str, float]], keep: float = KEEP, rounds: int = ROUNDS) -> dict[tuple, float]:
+    """Weight of each cell; ``mass`` has positive tokens by (class per margin), None for those without a target."""
+    total, shares = sum(mass.values()), wanted(mass, targets)
     fitted = dict(mass)
     for _ in range(rounds):
-        for axis in range(len(margins)):
-            sums = [0.0] * len(shares[axis])
+        for axis, share in enumerate(shares):
+            sums: dict = {}
             for cell, m in fitted.items():
-                sums[cell[axis]] += m
-            fitted = {cell: m * shares[axis][cell[axis]] * total / sums[cell[axis]] if sums[cell[axis]] else 0.0 for cell, m in fitted.items()}
+                sums[cell[axis]] = sums.get(cell[axis], 0.0) + m
+            fitted = {cell: m * share[cell[axis]] * total / sums[cell[axis]] if sums[cell[axis]] else 0.0 for cell, m in fitted.items()}
         fitted = {cell: min(m, mass[cell] / keep) for cell, m in fitted.items()}
     return {cell: fitted[cell] / mass[cell] for cell in mass}
 
 
-class Mix:
-    """Raked weights, and the expressions that apply them to a table with the same columns."""
-
-    def __init__(self, rows: DataFrame, margins=(SOURCES, LANGUAGES, TOPICS), keep: float = KEEP, rounds: int = ROUNDS):
-        """``rows``: ``source_class, lang_class, topic_class, n_tokens`` of every document."""
-        self.margins, self.keep = [dict(m) for m in margins], keep
-        cells = rows.groupBy("source_class", "lang_class", "topic_class").agg(F.sum("n_tokens").alias("n")).where("n > 0").collect()
-        mass = {tuple(c)[:3]: float(c["n"]) for c in sorted(cells, key=lambda c: tuple(c)[:3])}
-        self.weights = rake(mass, self.margins, keep, rounds) if mass else {}
+class Share(NamedTuple):
+    margin: str
+    category: str | None  #: None for all categories without a target
+    target: float
+    reached: float  #: share of the expected tokens drawn
 
-    def weight(self, classes: list[Column]) -> Column:
-        """1 for cells without tokens."""
-        sizes = [len(m) + 1 for m in self.margins]
-        place = (classes[0] * sizes[1] + classes[1]) * sizes[2] + classes[2]
-        return F.get(F.array(*[F.lit(self.weights.get(c, 1.0)) for c in product(*map(range, sizes))]), place)
 
-    def probability(self, classes: list[Column]) -> Column:
-        return F.least(F.lit(1.0), self.weight(classes) * self.keep)
+class Mix:
+    """Raked weights, and their application to a table with the same columns."""
+
+    def __init__(self, rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, rounds: int = ROUNDS):
+        """``rows``: ``source, lang, form, n_tokens`` of every document; ``targets`` by margin, of those that have a table."""
+        self.spark, self.keep, targets = rows.sparkSession, keep, targets or {}
+        total = rows.agg(F.sum("n_tokens")).first()[0] or 0
+        self.targets = []
+        for m in MARGINS:
+            if m in targets:
+                self.targets.append(dict(targets[m]))
+                continue
+            sums = rows.where(F.col(m).isNotNull()).groupBy(m).agg(F.sum("n_tokens").alias("n"))
+            named = sums.where((F.col("n") > 0) & (F.col("n") >= LEAST_SHARE * total)).collect()
+            mass = {r[0]: float(r[1]) for r in sorted(named, key=lambda r: r[0])}
+            self.targets.append(tempered(mass) if mass else {})
+        cells = rows.groupBy(*self.classes({m: F.col(m) for m in MARGINS})).agg(F.sum("n_tokens").alias("n")).where("n > 0").collect()
+        self.mass = {tuple(c)[:3]: float(c["n"]) for c in sorted(cells, key=lambda c: str(tuple(c)[:3]))}
+        self.weights = rake(self.mass, self.targets, keep, rounds) if self.mass else {}
+
+    def classes(self, values: dict[str, Column]) -> list[Column]:
+        """The categories that have a target; NULL for others."""
+        return [F.when(values[m].isin(list(t)), values[m]).alias(c) if t else F.lit(None).cast("string").alias(c) for m, t, c in zip(MARGINS, self.targets, _CLASSES)]
+
+    def report(self) -> list[Share]:
+        """Target and reached share of every category."""
+        if not self.mass:
+            return []
+        drawn, out = sum(m * self.weights[c] for c, m in self.mass.items()), []
+        for axis, (margin, share) in enumerate(zip(MARGINS, wanted(self.mass, self.targets))):
+            for category, target in share.items():
+                reached = sum(m * self.weights[c] for c, m in self.mass.items() if c[axis] == category) / drawn
+                out.append(Share(margin, category, target, reached))
+        return out
+
+    def table(self) -> DataFrame:
+        """Weight of every cell, and by how much each margin's reached share exceeds its target there."""
+        missed = {(s.margin, s.category): s.reached - s.target for s in self.report()}
+        cells = [(*c, w, *(missed[m, x] for m, x in zip(MARGINS, c))) for c, w in self.weights.items()]
+        schema = ", ".join([*(f"_{c} string" for c in _CLASSES), "weight double", *(f"{m}_miss double" for m in MARGINS)])
+        return settle(self.spark.createDataFrame(cells, schema), "mixing-weights")
+
+    def applied(self, rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+        """``rows`` with ``weight`` (1 for cells without tokens), ``probability`` and the misses of its classes."""
+        given = rows.withColumns(dict(zip((f"__{c}" for c in _CLASSES), self.classes(values))))
+        weights = self.table()
+        same = [F.col(f"__{c}").eqNullSafe(weights[f"_{c}"]) for c in _CLASSES]
+        out = given.join(weights, same, "left").drop(*[weights[f"_{c}"] for c in _CLASSES])
+        out = out.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+        return out.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * self.keep))
 
 
 def _drawn(id_: Column, probability: Column) -> Column:
@@ -94,59 +137,70 @@ def _drawn(id_: Column, probability: Column) -> Column:
     return draw < probability
 
 
-def rows_of(docs: DataFrame, margins=(SOURCES, LANGUAGES, TOPICS), id_col="doc_id", source_col="source", lang_col="lang", text_col="text") -> DataFrame:
-    """``doc_id, source_class, lang_class, topic_class, n_tokens`` of every row."""
-    names = ["source_class", "lang_class", "topic_class"]
-    cell = [c.alias(n) for c, n in zip(_cell(docs, list(margins), source_col, lang_col, text_col), names)]
-    return docs.select(docs[id_col].alias("doc_id"), *cell, F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(_WORD)).cast("long").alias("n_tokens"))
+def _values(source: Column, lang: Column, text: Column) -> dict[str, Column]:
+    return {"source": source.cast("string"), "lang": lang.cast("string"), "form": form(F.coalesce(text, F.lit("")))}
+
+
+def rows_of(docs: DataFrame, id_col="doc_id", source_col="source", lang_col="lang", text_col="text") -> DataFrame:
+    """``doc_id, source, lang, form, n_tokens`` of every row."""
+    values = _values(docs[source_col], docs[lang_col], docs[text_col])
+    return docs.select(docs[id_col].alias("doc_id"), *[c.alias(m) for m, c in values.items()], F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(_WORD)).cast("long").alias("n_tokens"))
 
 
 def weighted(rows: DataFrame, mix: Mix) -> DataFrame:
-    """Weight, probability and draw of every row of ``rows_of``."""
-    classes = [F.col("source_class"), F.col("lang_class"), F.col("topic_class")]
-    out = rows.withColumns({"weight": mix.weight(classes), "probability": mix.probability(classes)})
-    return out.withColumn("drawn", _drawn(F.col("doc_id"), F.col("probability")))
+    """Classes, weight, probability, draw and misses of every row of ``rows_of``."""
+    out = mix.applied(rows, {m: F.col(m) for m in MARGINS}).withColumn("drawn", _drawn(F.col("doc_id"), F.col("probability")))
+    return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in _CLASSES], "n_tokens", "weight", "probability", "drawn", *[f"{m}_miss" for m in MARGINS])
 
 
 def draw(docs: DataFrame, mix: Mix, id_col="doc_id", source_col="source", lang_col="lang", text_col="text") -> DataFrame:
     """The drawn rows of ``docs`` with their own columns."""
-    return docs.where(_drawn(docs[id_col], mix.probability(_cell(docs, mix.margins, source_col, lang_col, text_col))))
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    row = lambda c: F.col("row")[c]
+    out = mix.applied(packed, _values(row(source_col), row(lang_col), row(text_col)))
+    return out.where(_drawn(row(id_col), F.col("probability"))).select("row.*")
 
 
 def _sql() -> str:
-    def place(value, targets):
-        return f"coalesce(list_position([{', '.join(repr(t) for t in targets)}], {value}), 0)"
-
-    margins = {"s": SOURCES, "l": LANGUAGES, "t": TOPICS}
+    axes = dict(zip("slt", MARGINS))
     ctes = [
         """d AS (SELECT doc_id, source, lang, CASE WHEN contains(text, ' | ') THEN 'table'
           WHEN len(regexp_extract_all(text, '[#*$%&<>]')) * 50 > length(text) THEN 'symbols'
           WHEN len(regexp_extract_all(text, '\\n')) * 60 > length(text) THEN 'lines' ELSE 'prose' END AS form,
-          len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents))""",
-        f"c AS MATERIALIZED (SELECT doc_id, CAST(n AS BIGINT) AS n, CAST({place('source', SOURCES)} AS INTEGER) AS s, CAST({place('lang', LANGUAGES)} AS INTEGER) AS l, CAST({place('form', TOPICS)} AS INTEGER) AS t FROM d)",
+          CAST(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents))""",
+        "whole AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM d)",
+    ]
+    for a, m in axes.items():
+        ctes.append(f"k{a} AS (SELECT {m} AS {a} FROM d, whole WHERE {m} IS NOT NULL GROUP BY {m} HAVING sum(n) > 0 AND sum(n) >= {LEAST_SHARE} * max(total))")
+    ctes += [
+        "c AS MATERIALIZED (SELECT doc_id, n, ks.s, kl.l, kt.t FROM d LEFT JOIN ks ON source = ks.s LEFT JOIN kl ON lang = kl.l LEFT JOIN kt ON form = kt.t)",
         "f0 AS (SELECT s, l, t, CAST(sum(n) AS DOUBLE) AS m, CAST(sum(n) AS DOUBLE) AS x FROM c GROUP BY ALL HAVING sum(n) > 0)",
-        "whole AS (SELECT sum(m) AS total FROM f0)",
     ]
-    for axis, targets in margins.items():
-        wanted = ", ".join(f"({i + 1}, CAST({w} AS DOUBLE))" for i, w in enumerate(targets.values()))
+    for a in axes:
         ctes.append(
-            f"""w{axis} AS (SELECT {axis}, CASE WHEN {axis} = 0 THEN m ELSE w / sum(CASE WHEN {axis} > 0 THEN w END) OVER () * (total - coalesce(max(CASE WHEN {axis} = 0 THEN m END) OVER (), 0)) END AS want
-            FROM (SELECT {axis}, sum(m) AS m FROM f0 GROUP BY 1) LEFT JOIN (VALUES {wanted}) v(place, w) ON place = {axis}, whole)"""
+            f"""w{a} AS (SELECT {a}, CASE WHEN {a} IS NULL THEN m ELSE pow(m / total, {TEMPER}) / sum(CASE WHEN {a} IS NOT NULL THEN pow(m / total, {TEMPER}) END) OVER ()
+            * (total - coalesce(max(CASE WHEN {a} IS NULL THEN m END) OVER (), 0)) END AS want FROM (SELECT {a}, sum(m) AS m FROM f0 GROUP BY 1), whole)"""
         )
     last = "f0"
     for r in range(ROUNDS):
-        for axis in margins:
-            ctes.append(f"f{r}{axis} AS MATERIALIZED (SELECT f.s, f.l, f.t, m, x * want / sum(x) OVER (PARTITION BY f.{axis}) AS x FROM {last} f JOIN w{axis} USING ({axis}))")
-            last = f"f{r}{axis}"
+        for a in axes:
+            ctes.append(f"f{r}{a} AS MATERIALIZED (SELECT f.s, f.l, f.t, m, x * want / sum(x) OVER (PARTITION BY f.{a}) AS x FROM {last} f JOIN w{a} ON f.{a} IS NOT DISTINCT FROM w{a}.{a})")
+            last = f"f{r}{a}"
         ctes.append(f"f{r}cap AS MATERIALIZED (SELECT s, l, t, m, least(x, m / {KEEP}) AS x FROM {last})")
         last = f"f{r}cap"
-    return f"""WITH {', '.join(ctes)}, g AS (SELECT doc_id, s AS source_class, l AS lang_class, t AS topic_class, n AS n_tokens, coalesce(x / m, 1) AS weight FROM c LEFT JOIN {last} USING (s, l, t))
-    SELECT doc_id, source_class, lang_class, topic_class, n_tokens, round(weight, 6) AS weight, round(least(1, weight * {KEEP}), 6) AS probability,
-      CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < least(1, weight * {KEEP}) AS drawn FROM g"""
+    for a in axes:
+        ctes.append(f"r{a} AS (SELECT w{a}.{a}, reached - want / total AS miss FROM (SELECT {a}, sum(x) / (SELECT sum(x) FROM {last}) AS reached FROM {last} GROUP BY 1) q JOIN w{a} ON q.{a} IS NOT DISTINCT FROM w{a}.{a}, whole)")
+    same = " AND ".join(f"c.{a} IS NOT DISTINCT FROM f.{a}" for a in axes)
+    misses = ", ".join(f"CASE WHEN f.m IS NOT NULL THEN round(r{a}.miss, 6) END AS {m}_miss" for a, m in axes.items())
+    joins = " ".join(f"LEFT JOIN r{a} ON c.{a} IS NOT DISTINCT FROM r{a}.{a}" for a in axes)
+    named = ", ".join(f"c.{a} AS {m}_class" for a, m in axes.items())
+    return f"""WITH {', '.join(ctes)}, g AS (SELECT doc_id, {named}, n AS n_tokens, coalesce(x / m, 1) AS weight, {misses} FROM c LEFT JOIN {last} f ON {same} {joins})
+    SELECT doc_id, source_class, lang_class, form_class, n_tokens, round(weight, 6) AS weight, round(least(1, weight * {KEEP}), 6) AS probability,
+      CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < least(1, weight * {KEEP}) AS drawn, source_miss, lang_miss, form_miss FROM g"""
 
 
 @query("op1_raked_mixture", _sql())
 def raked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = settle(rows_of(table(spark, sf_dir, "documents")), "mixing-rows")
     out = weighted(rows, Mix(rows))
-    return out.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+    return out.withColumns({c: F.round(c, 6) for c in ("weight", "probability", *(f"{m}_miss" for m in MARGINS))})

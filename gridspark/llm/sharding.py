@@ -34,14 +34,16 @@ def schedule(items: list[tuple[int, str]], shards: int) -> dict[str, int]:
     return out
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row."""
+def assign(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES, id_col="doc_id", text_col="text", with_columns: bool = False) -> DataFrame:
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row.
+
+    ``with_columns`` keeps the rows' own columns before these; own columns of these names give way, but for the id.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = settle(
-        docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("key")),
-        "shard-rows",
-    )
+    measured = [F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("key")]
+    rows = settle(docs.select(*measured), "shard-rows")
+    whole_rows = docs.select(*measured, F.struct(*docs.columns).alias("row")) if with_columns else rows
     whole = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     n, size = whole["n"], whole["bytes"] or 0
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
@@ -49,12 +51,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES, id_col
         groups.where((F.col("n") * bundles > n) | (F.col("bytes") * bundles > size)).select("key", F.ceil(F.col("n") * bundles / F.lit(max(n, 1))).cast("int").alias("subs")),
         "shard-large",
     )
-    placed = rows.join(large, "key", "left").select(
-        "doc_id", "size", "text_crc32", "key",
-        F.when(F.col("subs").isNull(), F.concat(F.lit("b"), F.pmod(F.xxhash64("key"), F.lit(bundles)).cast("string"))).otherwise(F.col("key")).alias("item"),
-        F.when(F.col("subs").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("subs").cast("long"))).cast("int").alias("sub"),
-    )
-    cells = placed.groupBy("item", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()  # bounded by `bundles`
+
+    def in_cells(given):
+        own = ["row"] if "row" in given.columns else []
+        return given.join(large, "key", "left").select(
+            "doc_id", "size", "text_crc32", "key", *own,
+            F.when(F.col("subs").isNull(), F.concat(F.lit("b"), F.pmod(F.xxhash64("key"), F.lit(bundles)).cast("string"))).otherwise(F.col("key")).alias("item"),
+            F.when(F.col("subs").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("subs").cast("long"))).cast("int").alias("sub"),
+        )
+
+    cells = in_cells(rows).groupBy("item", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()  # bounded by `bundles`
     weight: dict[str, int] = {}
     for c in cells:
         weight[c["item"]] = weight.get(c["item"], 0) + c["bytes"]
@@ -66,10 +72,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES, id_col
         filled[s] += c["n"]
     where = settle(spark.createDataFrame(where, "item string, sub int, shard int, base long"), "shard-cells")
     place = Window.partitionBy("item", "sub").orderBy("doc_id", "key")
-    return (
-        placed.withColumn("nth", F.row_number().over(place)).join(where, ["item", "sub"])
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    )
+    found = in_cells(whole_rows).withColumn("nth", F.row_number().over(place)).join(where, ["item", "sub"])
+    told = {"doc_id": F.col("doc_id"), "size": F.col("size"), "text_crc32": F.col("text_crc32"), "law": F.lit("bytes"), "shard": F.col("shard"), "slot": F.col("base") + F.col("nth") - 1, "grown_shard": F.lit(None).cast("int")}
+    own = [c for c in docs.columns if c not in told] if with_columns else []
+    return found.select(*[F.col("row")[c].alias(c) for c in own], *[c.alias(n) for n, c in told.items()])
 
 
 @query("op5_lpt_sharding")

@@ -390,14 +390,43 @@ def test_model_is_normalised_and_learns(spark):
 
 
 def test_raking_meets_margins():
-    mass = {(1, 1, 1): 500.0, (1, 2, 1): 100.0, (2, 1, 1): 300.0, (2, 2, 1): 200.0, (2, 2, 0): 50.0}
-    margins = [{"a": 0.5, "b": 0.5}, {"x": 0.6, "y": 0.4}, {"t": 1.0}]
-    w = mixing.rake(mass, margins, keep=0.3, rounds=200)
+    mass = {("a", "x", "t"): 500.0, ("a", "y", "t"): 100.0, ("b", "x", "t"): 300.0, ("b", "y", "t"): 200.0, ("b", "y", None): 50.0}
+    targets = [{"a": 0.5, "b": 0.5, "absent": 3.0}, {"x": 0.6, "y": 0.4}, {"t": 1.0}]
+    w = mixing.rake(mass, targets, keep=0.3, rounds=200)
     got = {c: m * w[c] for c, m in mass.items()}
     assert math.isclose(sum(got.values()), 1150, rel_tol=1e-6)
-    assert math.isclose(sum(m for c, m in got.items() if c[0] == 1), 575, rel_tol=1e-6)
-    assert math.isclose(sum(m for c, m in got.items() if c[1] == 1), 690, rel_tol=1e-6)
-    assert max(w.values()) <= 1 / 0.3 + 1e-9
+    assert math.isclose(sum(m for c, m in got.items() if c[0] == "a"), 575, rel_tol=1e-6)
+    assert math.isclose(sum(m for c, m in got.items() if c[1] == "x"), 690, rel_tol=1e-6)
+    assert math.isclose(got["b", "y", None], 50, rel_tol=1e-6) and max(w.values()) <= 1 / 0.3 + 1e-9
+
+
+def mixed_rows(spark, counts):
+    rows = [(n, s, l, f, 10) for s, l, f, k in counts for n in range(k)]
+    return spark.createDataFrame(rows, "doc_id long, source string, lang string, form string, n_tokens long")
+
+
+def test_categories_come_from_the_data(spark):
+    """Any source or language of some size is raked; small ones and nulls are one class that keeps its share."""
+    given = mixed_rows(spark, [("big", "en", "prose", 600), ("new", "el", "prose", 300), ("odd \u00e9", "el", "lines", 99), (None, None, "prose", 20), *[(f"tiny{i}", "en", "prose", 0) for i in range(3)]])
+    mix = mixing.Mix(given)
+    assert [sorted(t) for t in mix.targets] == [["big", "new", "odd \u00e9"], ["el", "en"], ["lines", "prose"]]
+    assert all(math.isclose(sum(t.values()), 1) for t in mix.targets) and mix.targets[0]["odd \u00e9"] > 99 / 1019
+    report = {(s.margin, s.category): s for s in mix.report()}
+    assert math.isclose(report["source", None].target, 20 / 1019)
+    assert all(abs(s.target - s.reached) < 0.02 for s in report.values())
+    rows = mixing.weighted(given, mix).where("source_class = 'odd \u00e9'").collect()
+    assert len(rows) == 99 and rows[0].weight > 1 and math.isclose(rows[0].source_miss, report["source", "odd \u00e9"].reached - report["source", "odd \u00e9"].target)
+
+
+def test_targets_out_of_reach_are_told(spark):
+    """A share that the cap does not allow: the report says what is reached, and the draw reaches that."""
+    given = mixed_rows(spark, [("a", "en", "prose", 990), ("b", "en", "prose", 10)])
+    mix = mixing.Mix(given, {"source": {"a": 0.5, "b": 0.5}})
+    told = {s.category: s for s in mix.report() if s.margin == "source"}
+    assert told["b"].target == 0.5 and told["b"].reached < 0.05 and math.isclose(mix.weights["b", "en", "prose"], 1 / mixing.KEEP)
+    expected = mixing.weighted(given, mix).groupBy("source_class").agg({"probability": "sum"}).collect()
+    mass = {r[0]: r[1] for r in expected}
+    assert math.isclose(mass["b"] / sum(mass.values()), told["b"].reached, rel_tol=1e-9)
 
 
 def test_pipeline(spark, texts):
