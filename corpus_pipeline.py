@@ -2,6 +2,13 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` applies them to
 ``documents``, writing each result as Parquet in the shared folder and reading it again.
+
+Every stage keeps whole rows of its input, with their own columns; the last adds shard, slot and
+size.  What nulls, empty and very long texts, ties and repeated rows give is said by the operators:
+texts without twenty words leave at the first stage, so do nulls; of rows with equal texts the one of
+the least id goes on, null ids last; repeated rows of it are one.  A null language is not
+compared with references, a null source or language has no target share.  An empty table
+passes through all stages, and columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.assign(docs)
+    return sharding.assign(docs, with_columns=True)
 
 
 STAGES = [
