@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyarrow import fs
@@ -13,6 +15,14 @@ FIELDS = ["UVEL", "THETA"]
 TILE_COLUMNS = 1024
 
 
+def _put(filesystem, path: str, data: bytes) -> None:
+    """A whole file under its name at once, so that a second attempt of a task disturbs no reader."""
+    attempt = f"{path}.{uuid.uuid4().hex}"
+    with filesystem.open_output_stream(attempt) as out:
+        out.write(data)
+    filesystem.move(attempt, path)
+
+
 def write_level_files(cells: DataFrame, path: str) -> None:
     """One header/array pair per (run, iteration, level, tile of columns), so groups stay bounded."""
 
@@ -30,10 +40,8 @@ def write_level_files(cells: DataFrame, path: str) -> None:
             " fldList = {\n" + " ".join(f"'{f:8s}'" for f in FIELDS) + "\n };\n"
         )
         data = np.concatenate([pdf[f].to_numpy("<f8") for f in FIELDS])
-        with filesystem.open_output_stream(f"{name}.data") as out:
-            out.write(data.tobytes())
-        with filesystem.open_output_stream(f"{name}.meta") as out:
-            out.write(header.encode())
+        _put(filesystem, f"{name}.data", data.tobytes())
+        _put(filesystem, f"{name}.meta", header.encode())
         return pd.DataFrame({"cells": [len(pdf)]})
 
     rows = with_tiles(cells.select("run", "iter", "k", "j", "i", *FIELDS), i=TILE_COLUMNS)
@@ -54,10 +62,8 @@ def write_grid_files(metrics: DataFrame, files: dict[str, str], path: str) -> No
         folder = f"{root}/results/{first['run']}/input"
         filesystem.create_dir(folder, recursive=True)
         name = f"{folder}/{first['file']}.{k + 1:03d}.{int(first['tile_i']) + 1:03d}"
-        with filesystem.open_output_stream(f"{name}.data") as out:
-            out.write(pdf["value"].to_numpy("<f8").tobytes())
-        with filesystem.open_output_stream(f"{name}.meta") as out:
-            out.write(f" nDims = [ 3 ];\n dimList = [ {i1}, {i0}, {i1}, {nj}, 1, {nj}, 7, {k + 1}, {k + 1} ];\n dataprec = [ 'float64' ];\n nrecords = [ 1 ];\n".encode())
+        _put(filesystem, f"{name}.data", pdf["value"].to_numpy("<f8").tobytes())
+        _put(filesystem, f"{name}.meta", (f" nDims = [ 3 ];\n dimList = [ {i1}, {i0}, {i1}, {nj}, 1, {nj}, 7, {k + 1}, {k + 1} ];\n dataprec = [ 'float64' ];\n nrecords = [ 1 ];\n").encode())
         return pd.DataFrame({"cells": [len(pdf)]})
 
     long.groupBy("run", "file", "k", "tile_i").applyInPandas(write, "cells bigint").write.format("noop").mode("overwrite").save()

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # 2-D metrics of a sweep are tens of MB; beyond this size joins shuffle
     "spark.sql.autoBroadcastJoinThreshold": "128MB",
+    # dictionary-coded metrics grow in memory: sizes on disk count four times against the threshold
+    "spark.sql.sources.fileCompressionFactor": "4.0",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

@@ -34,9 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The application's folder in the shared one."""
+    return f"{shared_dir(spark)}/gridspark-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the application's folder."""
+    return f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_settled(spark: SparkSession) -> bool:
+    """Delete what this application settled; whether there was anything.
+
+    For the end of a run, once its results are written elsewhere: tables that were read from settled ones cannot be read again.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

@@ -368,3 +368,20 @@ def test_tail_is_limited_before_the_shuffle(spark):
     lines = spark.range(1000).selectExpr("concat('r', id % 2) AS run", "id AS ord", "'time_seconds 1' AS value")
     plan = plan_of(monitor.matching_tail(lines, "time_seconds", 9))
     assert "WindowGroupLimit" in plan and plan.count("WindowGroupLimit") >= 2
+
+
+def test_settled_tables_are_removed_together(tmp_path):
+    """Everything an application settled lies in one folder of its own; removing it leaves others alone."""
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+from gridspark.sources.shared import settle
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+assert settle(spark.range(3), "x").count() == 3 and own_dir(spark).startswith("file://{tmp_path}/shared/gridspark-")
+assert remove_settled(spark) and not remove_settled(spark)
+"""
+    (tmp_path / "shared" / "other").mkdir(parents=True)
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=120)
+    assert os.listdir(tmp_path / "shared") == ["other"]
