@@ -103,3 +103,24 @@ def test_copies_do_not_decide_what_is_usual(spark):
         rows.append((1000 + i, " ".join(own), "en"))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert quality.kept_rows(docs, quality.references(docs)).count() == len(rows)
+
+
+def test_model_beats_its_own_counts_on_held_out_text(spark):
+    """On documents that were not trained on, the model's score per token exceeds that of its symbols' shares alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in neural_lm.scores(docs).collect() if r.held_out]
+    folded = neural_lm._folded(docs, "doc_id", "text")
+    counts = folded.where("not held_out").select("text").mapInArrow(neural_lm._count, "word long, n long").groupBy("word").agg({"n": "sum"}).toDF("word", "n")
+    lex = neural_lm.lexicon(counts)
+    share, total, tokens = np.log10(np.maximum(lex.unigram, 0.5) / np.maximum(lex.unigram, 0.5).sum()), 0.0, 0
+    for r in folded.where("held_out").collect():
+        for w in words.blocks(pa.array([r.text]), lower=True):
+            symbol, count = neural_lm._looked_up(lex, words.word_hashes(w))
+            total += share[symbol].sum() + share[neural_lm.END] + lex.within(symbol, np.maximum(count, 0)).sum()
+            tokens += len(symbol) + 1
+    gain = (sum(r.score for r in rows) - total) / tokens
+    print(f"held-out gain: {gain:.4f} log10 a token over {tokens} tokens")
+    assert tokens == sum(r.n_tokens for r in rows) and gain > MARGIN
+
+
+MARGIN = 0.02  #: log10 a token on sf0.01
