@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridspark.operators.metrics import materialise
@@ -166,6 +165,7 @@ def with_tables(uses: str, body: str) -> str:
 # --- the same tables on Spark ---------------------------------------------
 
 _written: dict[tuple[str, str, str], str] = {}
+_frames: dict[tuple[str, str], DataFrame] = {}  #: by session and path, so that a folder's files are listed once
 
 
 class Tables:
@@ -193,14 +193,17 @@ class Tables:
 
     def _present(self, path: str) -> bool:
         """Whether a written table is still there; the shared folder may have been emptied."""
-        try:
-            self.spark.read.schema("x int").parquet(path)
-        except AnalysisException:
-            return False
-        return True
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def _read(self, path: str, schema=None) -> DataFrame:
+        key = (f"{self.spark.sparkContext.applicationId}-{self.spark._jsparkSession.hashCode()}", path)
+        if key not in _frames:
+            _frames[key] = (self.spark.read.schema(schema) if schema is not None else self.spark.read).parquet(path)
+        return _frames[key]
 
     def _kept(self, name: str, build) -> DataFrame:
-        return self.spark.read.parquet(self._once(name, build))
+        return self._read(self._once(name, build))
 
     # gridded tables
 
@@ -269,7 +272,7 @@ class Tables:
             return materialise(rows, self.grid2d, self.grid1d, HORIZONTAL, VERTICAL)
 
         path = self._once("cells", build, write_cells)
-        return self.spark.read.schema(cells_schema(FIELDS + METRICS)).parquet(path)
+        return self._read(path, cells_schema(FIELDS + METRICS))
 
     @cached_property
     def columns(self) -> DataFrame:
