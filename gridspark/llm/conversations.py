@@ -368,7 +368,54 @@ def damaged(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).drop("copy")
 
 
-@query("op11_conversation_repair")
+def _sql() -> str:
+    """The damage by a checksum built from its polynomial, and the programme run forwards: a cheapest (cost, letters, lines) for each state."""
+    far = f"{{'c': {FAR}, 'a': '', 't': ''}}"
+    joined = lambda line: f"CASE WHEN s.t = '' THEN {line} ELSE s.t || chr(10) || {line} END"
+
+    def step(state: str, cost: str, letter: str, line: str | None = None) -> str:
+        after = joined(line).replace("s.t", f"{state}.t") if line else f"{state}.t"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {after}}}"
+
+    user, assistant = "'user:'", "'assistant:'"
+    insert_u = lambda q: step(q, str(INSERT), "I", user)
+    closed = lambda of: f"""SELECT * REPLACE (list_min([u, {insert_u('z')}, {insert_u('y')}, {insert_u('p')}]) AS u) FROM
+        (SELECT * REPLACE (list_min([p, {step('u', str(INSERT), 'I', assistant)}]) AS p) FROM
+        (SELECT * REPLACE (list_min([u, {insert_u('z')}, {insert_u('y')}, {insert_u('p')}]) AS u) FROM {of}))"""
+    when = lambda test, cand: f"CASE WHEN {test} THEN {cand} ELSE {far} END"
+    keep = lambda q, initial: when(f"NOT gone AND initial = '{initial}'", step(q, "cut", "K", "role || ':' || text"))
+    relabel = lambda q, name: when("NOT gone", step(q, f"{RELABEL} + cut", "R", f"{name} || text"))
+    delete = lambda q: step(q, str(DELETE), "D")
+    return rf"""
+WITH RECURSIVE tab AS (SELECT CAST(i AS BIGINT) AS n, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END, k + 1 FROM tab WHERE k < 8),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+crc AS (SELECT key, CAST(4294967295 AS BIGINT) AS c, 0 AS pos FROM (SELECT DISTINCT key FROM given)
+  UNION ALL SELECT crc.key, xor(crc.c >> 8, tab.c), pos + 1 FROM crc JOIN tab ON tab.k = 8 AND tab.n = xor(crc.c, CAST(ascii(substr(crc.key, pos + 1, 1)) AS BIGINT)) % 256 WHERE pos < length(crc.key)),
+faults AS (SELECT key, xor(c, CAST(4294967295 AS BIGINT)) % 20 AS fault FROM crc WHERE pos = length(key)),
+damaged AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN replace(replace(replace(text, '.', ''), '!', ''), '?', '') ELSE text END AS text
+  FROM given JOIN faults USING (key), range(2) r(copy) WHERE fault <> 0 AND (copy = 0 OR fault = 3)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM damaged),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS again, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tail, substr(role, 1, 1) AS initial FROM ranked),
+rows_ AS (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN right(tail, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM placed),
+told AS (SELECT conv_id, turn, role, text, k, initial, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut FROM rows_),
+run AS (SELECT conv_id, CAST(0 AS BIGINT) AS n, {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}} AS z, {{'c': CAST({FAR} AS BIGINT), 'a': '', 't': ''}} AS y, {{'c': CAST({FAR} AS BIGINT), 'a': '', 't': ''}} AS u, {{'c': CAST({FAR} AS BIGINT), 'a': '', 't': ''}} AS p
+  FROM (SELECT DISTINCT conv_id FROM told)
+  UNION ALL SELECT w.conv_id, w.n + 1, {delete('z')}, list_min([{delete('y')}, {keep('z', 's')}]),
+    list_min([{delete('u')}, {', '.join(f"{keep(q, 'u')}, {relabel(q, user)}" for q in 'zyp')}]), list_min([{delete('p')}, {keep('u', 'a')}, {relabel('u', assistant)}])
+  FROM ({closed('run')}) w JOIN told ON told.conv_id IS NOT DISTINCT FROM w.conv_id AND told.k = w.n + 1),
+last AS (SELECT conv_id, list_min([z, p]) AS best FROM ({closed('(SELECT run.* FROM run JOIN (SELECT conv_id, max(n) AS n FROM run GROUP BY 1) m ON run.conv_id IS NOT DISTINCT FROM m.conv_id AND run.n = m.n)')})),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id)
+SELECT g.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN last ON last.conv_id IS NOT DISTINCT FROM g.conv_id"""
+
+
+@query("op11_conversation_repair", _sql())
 def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations")
     return repair(damaged(given), given)
