@@ -32,7 +32,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.draw(docs, mixing.Mix(mixing.rows_of(docs)))
+    rows = settle(mixing.rows_of(docs), "mix-rows")  # texts are counted once, sums are taken of the counts
+    return mixing.draw(docs, mixing.Mix(rows))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
