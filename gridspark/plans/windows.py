@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridspark.operators import catalogue, energy, generate, monitor, reduce, select, stencil, timewin
+from gridspark.operators import catalogue, generate, monitor, reduce, select, stencil, timewin
 from gridspark.plans.registry import query, rounded
 from gridspark.schema import CELL, COLUMN
 from gridspark.sources import tables as store
