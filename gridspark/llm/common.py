@@ -45,7 +45,7 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 4 MB in this session, unless it has a size of its own: long rows would else fill a worker."""
-    if spark.conf.get(_BATCH) == _DEFAULT_BATCH:
+    if spark.conf.get(_BATCH, _DEFAULT_BATCH) == _DEFAULT_BATCH:
         spark.conf.set(_BATCH, "4m")
 
 
