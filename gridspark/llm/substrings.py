@@ -104,9 +104,9 @@ def _segments(window: int):
                 for d in range(w.low, w.high):
                     base = int(w.first[d - w.low])
                     for low, high in _merged([(r["low"], r["high"]) for r in ranges[d]], 1):
-                        rows.append((d, low, _text(w, base + low, base + high + window)))
+                        rows.append((d, low, _text(w, base + low, base + high + window), high))
                 at = pa.array([r[0] for r in rows], pa.int64())
-                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())], names=["node", "doc_id", "low", "text"])
+                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string()), pa.array([r[3] for r in rows], pa.int32())], names=["node", "doc_id", "low", "text", "last"])
 
     return run
 
@@ -239,7 +239,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int =
     ranges = anchors.join(shared, "anchor", "left_semi").groupBy("node").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     ranges = settle(ranges.join(nodes, "node").select("node", "least", "ranges"), "substring-ranges")
     least = rows.join(ranges, (rows["node"] == ranges["node"]) & (rows["doc_id"] == ranges["least"])).select(rows["node"], "doc_id", "text", "ranges")
-    segments = settle(least.mapInArrow(_segments(window), "node binary, doc_id long, low int, text string").dropDuplicates(["node", "low"]), "substring-segments")
+    segments = settle(least.mapInArrow(_segments(window), "node binary, doc_id long, low int, text string, last int").dropDuplicates(["node", "low"]), "substring-segments")
     windows = settle(segments.mapInArrow(_windows(window, gram, bits), _WINDOWS), "substring-windows")
     twice = windows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "n")
     found = _joined(windows, settle(twice, "substring-twice"), "h").select("node", "anchor", "start")
@@ -247,9 +247,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int =
     steps = found.withColumn("step", F.when(F.col("start") - F.lag("start").over(along) == 1, 0).otherwise(1))
     runs = steps.withColumn("run", F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, 0))).groupBy("node", "anchor", "run").agg(F.min("start").alias("low"), F.max("start").alias("high"))
     runs = settle(runs.groupBy("node").agg(F.collect_list(F.struct("anchor", "low", "high")).alias("all")), "substring-runs")
-    last = F.col("low") + F.size(F.split("text", r"[\x20\t-\r]+")) - window
     own = F.filter("all", lambda r: (r["low"] >= F.col("low")) & (r["low"] <= F.col("last")))
-    held = segments.join(runs, "node").withColumn("last", last).select("node", "doc_id", "low", "text", own.alias("runs")).where(F.size("runs") > 0)
+    held = segments.join(runs, "node").select("node", "doc_id", "low", "text", own.alias("runs")).where(F.size("runs") > 0)
     parts = settle(held.mapInArrow(_pieces(window), _PARTS).withColumn("key", F.unhex(F.md5("text"))), "substring-parts")
     distinct = parts.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n_rows"), F.first("anchor").alias("anchor"), F.first("text").alias("text"), F.first("n").alias("n"))
     distinct = settle(distinct, "substring-distinct")
