@@ -377,7 +377,7 @@ def test_settled_tables_are_removed_together(tmp_path):
 
     code = f"""
 from pyspark.sql import SparkSession
-from gridspark.sources.shared import settle
+from gridspark.sources.shared import own_dir, remove_settled, settle
 spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
 assert settle(spark.range(3), "x").count() == 3 and own_dir(spark).startswith("file://{tmp_path}/shared/gridspark-")
 assert remove_settled(spark) and not remove_settled(spark)
