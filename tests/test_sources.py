@@ -384,4 +384,5 @@ assert remove_settled(spark) and not remove_settled(spark)
 """
     (tmp_path / "shared" / "other").mkdir(parents=True)
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=120)
-    assert os.listdir(tmp_path / "shared") == ["other"]
+    left = os.listdir(tmp_path / "shared")  # Spark itself keeps a folder there
+    assert "other" in left and not [x for x in left if x.startswith("gridspark-")]
