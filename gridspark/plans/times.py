@@ -11,6 +11,8 @@ from gridspark.sources import tail
 from gridspark.sources.shared import fresh_path
 from gridspark.streaming import blocks, jobs, live, restarts
 
+JOBS_PER_FILE, FILES_PER_BATCH = 500_000, 8  #: of job streams; the join's state holds a few batches
+
 
 @query("x01_tidal_average", uses="cells", sql="""
 SELECT CAST(floor(time_s / 44640) * 44640 AS BIGINT) AS t0, run, k, j, i, AVG(UVEL) AS UVEL, AVG(THETA) AS THETA, CAST(COUNT(*) AS BIGINT) AS n
@@ -184,21 +186,21 @@ FROM (SELECT 'S' || CAST(o_custkey % 100 AS VARCHAR) AS run, CAST(o_orderkey*3 +
 LEFT JOIN accounting a ON a.job_id = j.job_id AND j.hours <= 2""")
 def streaming_reports(t):
     """Logged jobs and accounting as two streams; a job without a report in time is put out with NULLs."""
-    def arrivals(_, path):  # both streams, and a beat of each long after all jobs
+    def arrivals(_, path):  # both streams in files by time, and a beat of each long after all jobs
         orders = t.given("orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("at"))
         rows = orders.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("n"))
         jobs = rows.where("n < o_orderkey % 4").selectExpr("concat('S', o_custkey % 100) AS run", "CAST(o_orderkey*3 + n AS STRING) AS job_id", "at AS logged_at")
         reports = t.accounting.join(rows.selectExpr("CAST(o_orderkey*3 + n AS STRING) AS job_id", "at + make_interval(0, 0, 0, 0, CAST(o_orderkey % 5 AS INT)) AS reported_at"), "job_id")
         late = orders.agg((F.max("at") + F.expr("INTERVAL 30 DAYS")).alias("late"))
-        jobs.write.parquet(f"{path}/jobs/0")
+        files = max(1, -(-3 * orders.count() // JOBS_PER_FILE))
+        live.write_arrivals(jobs, f"{path}/jobs/0", "logged_at", files)
+        live.write_arrivals(reports, f"{path}/reports/0", "reported_at", files)
         late.selectExpr("'beat' AS run", "'beat' AS job_id", "late AS logged_at").write.parquet(f"{path}/jobs/1")
-        reports.write.parquet(f"{path}/reports/0")
         late.selectExpr("'end' AS job_id", *[f"CAST(NULL AS STRING) AS {c}" for c in ("state", "reason", "exit_code", "elapsed")], "late AS reported_at").write.parquet(f"{path}/reports/1")
 
     folder = t._once("job_arrivals", lambda: None, arrivals)
-    stream = lambda name, schema: t.spark.readStream.schema(schema).parquet(f"{folder}/{name}/*")
-    jobs_ = stream("jobs", "run string, job_id string, logged_at timestamp")
-    reports = stream("reports", "job_id string, state string, reason string, exit_code string, elapsed string, reported_at timestamp")
+    jobs_ = live.arrivals(t.spark, f"{folder}/jobs", "run string, job_id string, logged_at timestamp", FILES_PER_BATCH)
+    reports = live.arrivals(t.spark, f"{folder}/reports", "job_id string, state string, reason string, exit_code string, elapsed string, reported_at timestamp", FILES_PER_BATCH)
     out = live.drain(jobs.job_reports(jobs_, reports), "job-reports")
     return out.select("run", "job_id", F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss").alias("logged_at"), "state", "reason", "exit_code")
 

@@ -178,3 +178,28 @@ def test_a_job_that_never_reports(spark, tmp_path):
     out = live.drain(jobs.job_reports(read("jobs", job, "logged_at"), read("reports", report, "reported_at")), "reports")
     assert sorted((r.job_id, r.state) for r in out.collect() if r.state) == [("1", "COMPLETED"), ("1", "RUNNING"), ("2", "COMPLETED")]
     assert sorted(r.job_id for r in out.collect() if r.state is None) == ["3", "4"]  # 9 is still within its delay
+
+
+def test_arrivals_come_in_order_of_time_over_batches(spark, tmp_path):
+    """Rows written in any order arrive by time, a few files a batch, and none comes too late for a watermark."""
+    rows = spark.range(400).selectExpr("id", "timestamp_seconds(3600 * (1 + pmod(id * 37, 400))) AS at")
+    live.write_arrivals(rows, f"{tmp_path}/in/0", "at", 20)
+    stream = live.arrivals(spark, f"{tmp_path}/in", "id long, at timestamp", 4)
+    out = live.drain(stream.withWatermark("at", "1 minute").dropDuplicatesWithinWatermark(["id"]), "by-time", mode="update")
+    batches = out.groupBy("batch").agg({"at": "min", "id": "count"}).orderBy("batch").collect()
+    assert len(batches) == 5 and [r["min(at)"] for r in batches] == sorted(r["min(at)"] for r in batches)
+    assert sum(r["count(id)"] for r in batches) == 400
+
+
+def test_logged_jobs_arrive_in_several_batches(spark, tmp_path, monkeypatch):
+    """The join's state is cleared between batches: there are several, whatever the number of jobs."""
+    from gridspark.plans import tables, times
+
+    monkeypatch.setattr(times, "JOBS_PER_FILE", 30)
+    monkeypatch.setattr(times, "FILES_PER_BATCH", 1)
+    spark.range(100).selectExpr("id AS o_orderkey", "id AS o_custkey", "timestamp'2020-01-01' + make_interval(0, 0, 0, CAST(pmod(id * 37, 100) AS INT)) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    out = times.streaming_reports(tables.Tables(spark, str(tmp_path)))
+    assert out.count() == 150  # 0 to 3 jobs an order
+    assert {r.n for r in out.where("state IS NOT NULL").selectExpr("CAST(job_id AS BIGINT) div 3 % 5 AS n").collect()} == {0, 1, 2}
+    folder = next(p for k, p in tables._written.items() if k[1:] == (str(tmp_path), "job_arrivals"))
+    assert len(live._data_files(spark, f"{folder}/jobs/0")) > 5
