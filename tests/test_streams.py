@@ -203,3 +203,12 @@ def test_logged_jobs_arrive_in_several_batches(spark, tmp_path, monkeypatch):
     assert {r.n for r in out.where("state IS NOT NULL").selectExpr("CAST(job_id AS BIGINT) div 3 % 5 AS n").collect()} == {0, 1, 2}
     folder = next(p for k, p in tables._written.items() if k[1:] == (str(tmp_path), "job_arrivals"))
     assert len(live._data_files(spark, f"{folder}/jobs/0")) > 5
+
+
+def test_a_long_batch_of_lines_is_held_as_numbers_and_arrow_text():
+    """Lines of metrics that are not asked for, and those without a value, are not held at all."""
+    import pandas as pd
+
+    batch = pd.DataFrame({"run": "A", "metric": ["x", "time_tsnumber", "time_secondsf", "time_secondsf"], "value": [1.0, 2.0, None, 3.0], "ord": ["4", "3", "2", "1"]})
+    rows = blocks._in_order(iter([batch, batch.iloc[:1]]), ["time_secondsf", "time_tsnumber"])
+    assert rows.to_pydict() == {"metric": [0, 1], "value": [3.0, 2.0], "ord": ["1", "3"]}
