@@ -7,7 +7,8 @@ per length; training reads one bucket at a time and takes a batch size to match
 
 Words between ASCII blanks are encoded once per batch and kept in a bounded store of the worker:
 the tokenizer drops white space and joins nothing across it, so the ids of a text are those of
-its words in order (``tests/llm`` compares whole texts).
+its words in order (``tests/llm`` compares whole texts).  New words go to the tokenizer in lines
+of many; ids that end a word tell them apart again.
 
 Defined results: a null text counts as empty and gives one piece, the closing id alone.  Texts of
 any length are encoded whole.  Repeated rows and repeated or null ids each get pieces of their
@@ -32,6 +33,7 @@ from gridspark.llm.common import fresh_path, query, small_batches, table
 
 CAPACITY, END = 4096, 2
 AT_ONCE = 4096  #: words in one call of the tokenizer
+LINE, SHORT = 256, 64  #: words in one line of it, and the bytes of the longest of them
 SLICE_BYTES = 8 << 20  #: text encoded at a time, a longer document alone
 OUT_BYTES = 32 << 20  #: ids in one Arrow batch put out, a longer piece alone
 STORE_WORDS, STORE_BYTES = 1 << 20, 32 << 20  #: words whose ids a worker keeps, and their bytes; a full store starts afresh
@@ -48,6 +50,10 @@ class Store:
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
         self.tokenizer.encode_special_tokens = special_as_text
+        vocab, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closing = np.zeros(max(vocab.values()) + 1, dtype=bool)  #: ids that end a part of a word
+        if suffix:
+            self.closing[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -55,6 +61,51 @@ class Store:
         self.words = pa.array([None], pa.large_string())
         self.edge, self.ids = np.array([0, 1]), np.array([self.end], dtype=np.uint32)
 
+    def _ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the number of ids of each."""
+        gc.disable()  # thousands of short lists, none in a cycle, would set off one collection after the other
+        try:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+        finally:
+            gc.enable()
+
+    def _of_lines(self, lines: pa.Array, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words in lines, the number of ids of each, and whether its line is told apart: others have none.
+
+        ``parts`` of a word are exact or, where they are 1, the fewest: a line with as many closing ids as parts has no more of them.
+        """
+        ids, sizes = self._ids(lines)
+        closes = self.closing[ids]
+        closed = np.diff(np.concatenate([[0], np.cumsum(closes)])[np.concatenate([[0], np.cumsum(sizes)])])
+        apart = np.add.reduceat(parts, np.arange(0, len(parts), LINE)) == closed
+        known = np.repeat(apart, LINE)[: len(parts)]
+        kept = np.repeat(apart, sizes)
+        last = np.flatnonzero(closes[kept])[np.cumsum(parts[known]) - 1]
+        return ids[kept], np.diff(last, prepend=-1), known
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words, the number of ids of each, and the words' places in this order."""
+        parts = _parts(words) if self.closing.any() else np.zeros(len(words), dtype=np.int64)
+        short, alone = np.flatnonzero(parts), [np.flatnonzero(parts == 0)]
+        ids, sizes, places = [], [], []
+        for a in range(0, len(short), AT_ONCE):
+            at = short[a : a + AT_ONCE]
+            edge = np.append(np.arange(0, len(at), LINE), len(at)).astype(np.int32)
+            lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge), words.take(pa.array(at)).cast(pa.string())), " ")
+            got, n, known = self._of_lines(lines, parts[at])
+            ids.append(got)
+            sizes.append(n)
+            places.append(at[known])
+            alone.append(at[~known])
+        alone = np.concatenate(alone)
+        for a in range(0, len(alone), AT_ONCE):
+            got, n = self._ids(words.take(pa.array(alone[a : a + AT_ONCE])))
+            ids.append(got)
+            sizes.append(n)
+        return np.concatenate(ids), np.concatenate(sizes), np.concatenate([*places, alone])
+
     def numbers(self, words: pa.Array) -> np.ndarray:
         """The number of each distinct word, new ones encoded."""
         if len(self.words) > STORE_WORDS or self.words.nbytes > STORE_BYTES:
@@ -64,23 +115,26 @@ class Store:
         found = number.fill_null(0).to_numpy().astype(np.int64)
         new = np.flatnonzero(missing.to_numpy(zero_copy_only=False))
         if len(new):
-            found[new] = len(self.words) + np.arange(len(new))
-            fresh = words.filter(missing)
-            sizes, ids = [], []
-            gc.disable()  # thousands of short lists, none in a cycle, would set off one collection after the other
-            try:
-                for a in range(0, len(fresh), AT_ONCE):
-                    got = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[a : a + AT_ONCE].to_pylist(), add_special_tokens=False)]
-                    sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
-                    ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
-            finally:
-                gc.enable()
-            self.words = pa.concat_arrays([self.words, fresh])
-            self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(np.concatenate(sizes))])
-            self.ids = np.concatenate([self.ids, *ids])
+            ids, sizes, places = self.encode(words.take(pa.array(new)))
+            found[new[places]] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, words.take(pa.array(new[places]))])
+            self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, ids])
         return found
 
 
+def _parts(words: pa.Array) -> np.ndarray:
+    """The parts into which the tokenizer splits each word before its merges; 0 for words that it has to take alone.
+
+    Of ASCII words the count is exact.  Letters of other scripts are one part, or more where the
+    tokenizer takes a letter apart.  Long words, special tokens' names and all others are taken alone.
+    """
+    plain = pc.and_(pc.match_substring_regex(words, r"^(?:[!-~]+|\p{L}+)$"), pc.less_equal(pc.binary_length(words), SHORT))
+    plain = pc.and_not(plain, pc.match_substring(words, "<|"))
+    parts = pc.count_substring_regex(words, r"'(?:s|t|re|ve|m|ll|d)|\p{L}+|[0-9]|[^\p{L}0-9]+", ignore_case=True)
+    return np.where(plain.to_numpy(zero_copy_only=False), parts.to_numpy(), 0).astype(np.int64)
+
+
 def _plain(texts: pa.Array) -> pa.Array:
     """The same ids from fewer distinct words: small letters, and closing marks apart from the word.
 

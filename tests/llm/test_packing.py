@@ -2,6 +2,7 @@
 
 import zlib
 from collections import defaultdict
+from itertools import cycle, product
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,49 @@ def test_words_give_the_ids_of_whole_texts(tokenizer, monkeypatch):
         assert ids.tolist() == [i for w in want for i in w]
 
 
+class Counting:
+    """A tokenizer that counts the texts given to it."""
+
+    def __init__(self, inner):
+        self.inner, self.texts = inner, 0
+
+    def encode_batch_fast(self, texts, **kw):
+        self.texts += len(texts)
+        return self.inner.encode_batch_fast(texts, **kw)
+
+
+LETTERS = ["".join(w) for w in product("stlmérdя", repeat=4)]
+MARKED = [f"{a}{m}{b}" for a in ("x", "don", "7", "") for m in ("'s", "'S", "''ll", "'", "_-", "12", "<", "</w>", "#\x7f", "'re've") for b in ("", "s", "t9", ".a")]
+#: Letters that the tokenizer takes apart or that are none, spaces of other kinds, marks, long words.
+HARD = ["İ", "aİb", "\u0958\u0958", "\ufb1d", "\u212a\u017f", "'\u017f", "\u3000", "a\u3000b", "\x85", "\xa0", "\x1c", "\x00x", "\u1100\u1161", "\u1161", "ª²", "é'S", "e\u0301", "\u0301", "漢字", "😀", "<|x", "l" * 65, "я" * 33]
+
+
+def test_new_words_go_to_the_tokenizer_in_lines(tokenizer):
+    store = packing.Store(PATH, False)
+    store.tokenizer = counting = Counting(store.tokenizer)
+    words = LETTERS + [w for w in MARKED if "\x7f" not in w]
+    ids, _ = packing.encoded(pa.array([" ".join(words)]), store)
+    assert ids.tolist() == ids_of(tokenizer, " ".join(words)).tolist()
+    assert len(words) > 4000 and counting.texts < 50
+
+
+@pytest.mark.parametrize("line", [1, 2, 5, 256])
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_every_new_word_gets_its_own_ids(tokenizer, monkeypatch, line, special_as_text):
+    monkeypatch.setattr(packing, "LINE", line)
+    words = list(dict.fromkeys(x for few in zip(LETTERS, cycle(HARD), cycle(MARKED)) for x in few)) + ["<|endoftext|>", "a<|endoftext|>"]
+    store = packing.Store(PATH, special_as_text)
+    for given in (words, words[::-1], HARD, HARD[:1], ["x"]):
+        ids, sizes, places = store.encode(pa.array(given, pa.large_string()))
+        assert sorted(places.tolist()) == list(range(len(given))) and sizes.sum() == len(ids)
+        edge = np.cumsum(sizes)
+        for place, low, high in zip(places.tolist(), (edge - sizes).tolist(), edge.tolist()):
+            assert ids[low:high].tolist() == store.tokenizer.encode(given[place], add_special_tokens=False).ids, given[place]
+    monkeypatch.setattr(store, "closing", np.zeros_like(store.closing))  # a vocabulary that marks no ends
+    ids, sizes, places = store.encode(pa.array(words[:99], pa.large_string()))
+    assert places.tolist() == list(range(99)) and ids.tolist() == [i for w in words[:99] for i in store.tokenizer.encode(w, add_special_tokens=False).ids]
+
+
 def test_special_names_as_text():
     ids, _ = packing.encoded(pa.array(["<|endoftext|>"]), packing.Store(PATH, True))
     assert 49407 not in ids.tolist() and len(ids) > 3
