@@ -129,10 +129,12 @@ def _parts(words: pa.Array) -> np.ndarray:
     Of ASCII words the count is exact.  Letters of other scripts are one part, or more where the
     tokenizer takes a letter apart.  Long words, special tokens' names and all others are taken alone.
     """
-    plain = pc.and_(pc.match_substring_regex(words, r"^(?:[!-~]+|\p{L}+)$"), pc.less_equal(pc.binary_length(words), SHORT))
-    plain = pc.and_not(plain, pc.match_substring(words, "<|"))
-    parts = pc.count_substring_regex(words, r"'(?:s|t|re|ve|m|ll|d)|\p{L}+|[0-9]|[^\p{L}0-9]+", ignore_case=True)
-    return np.where(plain.to_numpy(zero_copy_only=False), parts.to_numpy(), 0).astype(np.int64)
+    short = np.flatnonzero(pc.less_equal(pc.binary_length(words), SHORT))
+    some = words.take(pa.array(short))
+    plain = pc.and_not(pc.match_substring_regex(some, r"^(?:[!-~]+|\p{L}+)$"), pc.match_substring(some, "<|"))
+    parts = np.zeros(len(words), dtype=np.int64)
+    parts[short[plain.to_numpy(zero_copy_only=False)]] = pc.count_substring_regex(some.filter(plain), r"'(?:s|t|re|ve|m|ll|d)|\p{L}+|[0-9]|[^\p{L}0-9]+", ignore_case=True)
+    return parts
 
 
 def _plain(texts: pa.Array) -> pa.Array:
